@@ -124,6 +124,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     of = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("_w"))
     of = written(of.where("_kept").withColumnRenamed("doc_id", "_id"), "kept")
     x = docs.join(of, docs["doc_id"].eqNullSafe(of["_id"]))
-    many = F.col("_n").gt(1) & F.col("_w").gt(0)
+    many = (F.col("_n") > 1) & (F.col("_w") > 0)
     once = x.where(~many).select(*docs.columns)
     return once.unionByName(x.where(many).dropDuplicates(["doc_id"]).select(*docs.columns))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,9 @@ ORC = {
     "orc.bloom.filter.fpp": "0.01",
 }
 END = 0
+#: White space other than a space beside a space.
+_EDGE = re.compile(r" [^\S ]|[^\S ] ")
+_first = itemgetter(0)
 
 
 class _Encoder(dict):
@@ -30,51 +36,65 @@ class _Encoder(dict):
     characters that aren't white space, so a text can be cut there and equal cuts be encoded once.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most = most
+        self.most, self.old = most, {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
+    def cut(self, text: str) -> list[str]:
+        """The runs of a text; the first stands for itself, each other one for a space and itself."""
+        if "  " not in text and text[0] != " " and text[-1] != " " and not _EDGE.search(text):
+            return text.split(" ")
+        runs: list[str] = []
+        for r in text.split(" "):
+            if runs and r and not r[0].isspace() and runs[-1] and not runs[-1][-1].isspace():
+                runs.append(r)
+            elif runs:
+                runs[-1] += " " + r
+            else:
+                runs.append(r)
+        return runs
+
     def learn(self, runs: set[str]) -> None:
-        if len(self) + len(runs) > self.most:
+        """Encodes new runs together, in texts of bounded length, and tells them apart by their offsets."""
+        runs = list(runs)
+        for start in range(0, len(runs), 2000):
+            part = runs[start : start + 2000]
+            begins = np.cumsum([0, *[len(r) + 1 for r in part]])
+            e = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
+            at = np.fromiter(map(_first, e.offsets), np.int64, len(e.ids))
+            ids = np.array(e.ids, "<i4")
+            ends = np.searchsorted(at, begins)
+            for k, r in enumerate(part):
+                self[r] = ids[ends[k] : ends[k + 1]].tobytes()
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        cuts = [self.cut(t) if t else [] for t in texts]
+        need = {r for c in cuts for r in c[1:]}
+        new = need - self.keys()
+        if len(self) + len(new) > self.most:  # what has not been used for long goes
+            self.old = dict(self)
             self.clear()
-        new = [r for r in runs if r not in self]
-        for r, e in zip(new, self.tokenizer.encode_batch([" " + r for r in new], add_special_tokens=False)):
-            self[r] = np.array(e.ids, "<i4").tobytes()
-
-    def text(self, text: str) -> bytes:
-        first, *runs = text.split(" ")
-        # white space at an edge of a run, or none between two spaces: cut less finely
-        if not all(runs) or first[-1:].isspace() or not first or any(r[0].isspace() or r[-1].isspace() for r in runs):
-            runs = []
-            for r in text.split(" "):
-                if runs and r and not r[0].isspace() and runs[-1] and not runs[-1][-1].isspace():
-                    runs.append(r)
-                elif runs:
-                    runs[-1] += " " + r
-                else:
-                    runs.append(r)
-            first, *runs = runs
-        missing = {r for r in runs if r not in self}
-        if missing:
-            self.learn(missing)
-            if len(missing) > self.most or not all(r in self for r in runs):
-                self.learn(set(runs))
-        return self.plain(first) + b"".join(map(self.__getitem__, runs))
+            new = need
+        known = new & self.old.keys()
+        self.update((r, self.old[r]) for r in known)
+        self.learn(new - known)
+        return [self.plain(c[0]) + b"".join(map(self.__getitem__, c[1:])) if c else b"" for c in cuts]
 
 
 def _encoded(path: str, end: int):
     def run(batches):
         encoder, tail = _Encoder(path), np.array([end], "<i4").tobytes()
         for batch in batches:
-            for start in range(0, len(batch), 256):  # few rows at a time: a batch may hold long texts
-                part = batch.slice(start, 256)
-                ids = [(encoder.text(t) if t else b"") + tail for t in part.column("text").to_pylist()]
+            for start in range(0, len(batch), 500):  # few rows at a time: a batch may hold long texts
+                part = batch.slice(start, 500)
+                ids = [x + tail for x in encoder.texts(part.column("text").to_pylist())]
                 offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), lists], names=["doc_id", "row", "ids"])

@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 #: Labelled rows of each class that the fit reads at most, taken in the order of a hash of the id.
-SAMPLE = 4000
-#: Lexicon entries kept at most, the heaviest first.
+SAMPLE = 6000
+#: Lexicon entries kept at most, those with the most evidence first.
 LEXICON = 5000
 PREFIX = range(3, 9)
+EVIDENCE = 10.0
 
 #: The closed word classes of the grammar, in four languages.
 TARGETS = frozenset("you your you're youre u du dich dir dein deine sie tu te toi ton ta vous votre tú usted ustedes tus".split())
@@ -136,8 +137,9 @@ def labelled(docs: DataFrame, labels: DataFrame, use: Column) -> DataFrame:
 def fit(sample: DataFrame) -> Grammar:
     """A grammar from rows of text and toxic (0 or 1); the sample's size is the caller's bound.
 
-    Lexicon: word beginnings and whole words whose smoothed log-odds of toxic documents is at least 2.5,
-    seen in 3 toxic documents or more. Without labels of both classes the lexicon stays empty.
+    Lexicon: word beginnings and whole words whose smoothed log-odds of toxic documents is at least 2.5 and
+    whose log-likelihood ratio is at least EVIDENCE and a fiftieth of the toxic rows more, so that neither
+    chance nor a group of copies of one toxic document brings in its words. Without labels of both classes the lexicon stays empty.
     """
     sizes = {int(r["toxic"]): r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
@@ -147,7 +149,11 @@ def fit(sample: DataFrame) -> Grammar:
         *[F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(k) for k, y in (("bad", 1), ("good", 0))]
     )
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    top = counts.where("bad >= 3").withColumn("w", odds).where("w >= 2.5").orderBy(F.desc("w"), "entry").limit(LEXICON)
+    # how much likelier the counts are at their own rate than at the sample's
+    n, rate = F.col("bad") + F.col("good"), bad / (bad + good)
+    part = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * p))).otherwise(0.0)
+    evidence = part("bad", rate) + part("good", 1 - rate)
+    top = counts.withColumns({"w": odds, "e": evidence}).where((F.col("w") >= 2.5) & (F.col("e") >= EVIDENCE + bad / 50)).orderBy(F.desc("e"), "entry").limit(LEXICON)
     grammar = Grammar({r["entry"]: float(r["w"]) / 4 for r in top.collect()})
     rows = sample.mapInPandas(_totals(grammar), "total double, toxic int").groupBy("toxic", F.round("total", 2).alias("total")).agg(F.count(F.lit(1)).alias("n"))
     bins = [(min(r["total"], 40.0), int(r["toxic"]), r["n"] / sizes[int(r["toxic"])]) for r in rows.limit(100_000).collect()]
@@ -200,9 +206,10 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
 def clean(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """The rows of docs that are not predicted toxic; all columns stay, whatever their names."""
 
+    k = docs.columns.index("text")
+
     def run(batches):
         known: dict[str, float] = {}
-        k = docs.columns.index("text")
         for batch in batches:
             yield batch.filter(pa.array([grammar.score(grammar.total(t or "", known)) < 0.5 for t in batch.column(k).to_pylist()], pa.bool_()))
 
