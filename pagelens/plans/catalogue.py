@@ -1,3 +1,5 @@
 """Modules that register queries."""
 
-MODULES: list = []
+from . import relational, scalars
+
+MODULES: list = [scalars, relational]
