@@ -1,5 +1,5 @@
 """Modules that register queries."""
 
-from . import relational, scalars
+from . import relational, scalars, texts
 
-MODULES: list = [scalars, relational]
+MODULES: list = [scalars, relational, texts]
