@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 import zlib
+from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
@@ -88,9 +89,15 @@ class _Encoder(dict):
         return [self.plain(c[0]) + b"".join(map(self.__getitem__, c[1:])) if c else b"" for c in cuts]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> _Encoder:
+    """One per Python worker, so that what one task has cut helps the next."""
+    return _Encoder(path)
+
+
 def _encoded(path: str, end: int):
     def run(batches):
-        encoder, tail = _Encoder(path), np.array([end], "<i4").tobytes()
+        encoder, tail = _encoder(path), np.array([end], "<i4").tobytes()
         for batch in batches:
             for start in range(0, len(batch), 500):  # few rows at a time: a batch may hold long texts
                 part = batch.slice(start, 500)
