@@ -35,7 +35,8 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    out = quality.quality(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,18 @@ QUERIES = {
     for f in (op1_toxicity, op2_mixing, op3_pii, op4_language, op5_quality, op6_embeddings, op7_minhash, op8_pieces, op9_tokens, op10_linededup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality": f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ p AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM p) WHERE c > 1),
+ n AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM r) GROUP BY 1),
+ m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l, coalesce(n, 0) AS n_repeat_words,
+   len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop FROM w LEFT JOIN n USING (doc_id)),
+ f AS (SELECT *, len(l) - len(list_distinct(l)) AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND word_chars / n_words BETWEEN 1.5 AND 20
+  AND n_symbols / word_chars <= 0.3 AND n_stop / n_words >= 0.005 AND n_dup_lines / len(l) <= 0.5 AS kept FROM f""",
+}

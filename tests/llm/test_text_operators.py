@@ -210,6 +210,14 @@ def test_quality(spark):
     assert quality.quality(frame(spark, ODD)).count() == len(ODD) and quality.quality(frame(spark, [])).count() == 0
 
 
+def test_quality_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    sql = con.sql(queries.ORACLE_SQL["op5_quality"])
+    rows = queries.op5_quality(spark, SMALL).select(*sql.columns).collect()
+    assert sorted(map(tuple, rows)) == sorted(sql.fetchall()) and sum(r["kept"] for r in rows) > 100
+
+
 # embeddings
 
 
