@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from ._common import written
 from ._words import texts
 
 #: Labelled rows of each language that the fit reads at most, taken in the order of a hash of the id.
@@ -100,7 +101,7 @@ def _clusters(idf: np.ndarray):
 
 def fit(sample: DataFrame) -> Model:
     """Centroids from rows of text and lang; SAMPLE bounds each language's rows, CENTROIDS what is collected."""
-    v = sample.select("lang", "text").mapInArrow(_vectors, "lang string, counts array<float>")
+    v = written(sample.select("lang", "text").mapInArrow(_vectors, "lang string, counts array<float>"), "samples")
     n = v.count()
     df = np.zeros(BINS)
     for r in v.select(F.posexplode("counts").alias("k", "c")).where("c > 0").groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect():
