@@ -67,8 +67,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     Documents are ordered by doc_id (null first), then by a hash of the text; of a run of lines found at
     several places, in one document or many, the first stays. Lines are cut at \\n and compared without
-    white space at their ends; those without a word are neither counted nor deleted. Repeated runs of 50
-    words or more are always found, those of fewer than 25 never deleted. What is deleted equals lines
+    white space at their ends; those without a word are neither counted nor deleted. A repeated run of 50
+    words or more always holds a fingerprint, and at least that fingerprint's 25 words go; how much around
+    it, is decided by the fingerprint's first place alone. Runs of fewer than 25 words are never deleted. What is deleted equals lines
     that stand earlier, and the earliest copy of a line is never deleted. Rows with equal id and text
     count as one document and all get its result. Null texts stay null, empty ones empty; a text of which
     every line repeats becomes empty. An empty table gives an empty result. A column named

@@ -52,7 +52,7 @@ def test_toxicity_held_out(spark):
     rows = queries.op1_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     out = [r for r in rows if r["held_out"]]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
-    assert sum(r["predicted"] == r["toxic"] for r in out) >= 0.94 * len(out)
+    assert sum(r["predicted"] == r["toxic"] for r in out) >= 0.95 * len(out)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
@@ -383,7 +383,7 @@ def test_line_dedup(spark):
     assert out[2000] == texts[2000] and out[2001] == "another end" and out[2002] == "" and out[2003] == texts[2003]
     words = lambda t: len(WORD.findall(t))
     assert words(out[2004]) < 25
-    # no run of 50 words or more is left that stands earlier
+    # not all: a run's match with the first place of its fingerprint can be shorter than the run
     gone = sum(r["n_removed_lines"] for r in rows)
     assert gone >= 0.8 * sum(map(len, every.values()))
 
