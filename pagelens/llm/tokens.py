@@ -7,7 +7,6 @@ import re
 import uuid
 import zlib
 from functools import lru_cache
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,6 @@ ORC = {
 END = 0
 #: White space other than a space beside a space.
 _EDGE = re.compile(r" [^\S ]|[^\S ] ")
-_first = itemgetter(0)
 
 
 class _Encoder(dict):
@@ -44,6 +42,10 @@ class _Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most, self.old = most, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a byte-level token is a byte
+        for token, k in vocabulary.items():
+            self.bytes[k] = len(token)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
@@ -63,17 +65,19 @@ class _Encoder(dict):
         return runs
 
     def learn(self, runs: set[str]) -> None:
-        """Encodes new runs together, in texts of bounded length, and tells them apart by their offsets."""
+        """Encodes new runs together, in texts of bounded length, and tells them apart by their bytes."""
         runs = list(runs)
-        for start in range(0, len(runs), 2000):
-            part = runs[start : start + 2000]
-            begins = np.cumsum([0, *[len(r) + 1 for r in part]])
-            e = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
-            at = np.fromiter(map(_first, e.offsets), np.int64, len(e.ids))
-            ids = np.array(e.ids, "<i4")
-            ends = np.searchsorted(at, begins)
-            for k, r in enumerate(part):
-                self[r] = ids[ends[k] : ends[k + 1]].tobytes()
+        for start in range(0, len(runs), 500):
+            part = runs[start : start + 500]
+            ids = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, "<i4")
+            at = np.cumsum([0, *[len(r.encode()) + 1 for r in part]])
+            begins = np.concatenate([[0], np.cumsum(self.bytes[ids])])
+            cuts = np.searchsorted(begins, at)
+            if begins[-1] != at[-1] or (begins[cuts] != at).any():
+                raise ValueError("not a byte-level vocabulary that keeps runs apart")
+            data, cuts = ids.tobytes(), (cuts * 4).tolist()
+            self.update((r, data[cuts[k] : cuts[k + 1]]) for k, r in enumerate(part))
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         cuts = [self.cut(t) if t else [] for t in texts]
