@@ -1,5 +1,5 @@
 """Modules that register queries."""
 
-from . import relational, scalars, texts
+from . import boxes, files, gates, relational, scalars, streams, summaries, texts
 
-MODULES: list = [scalars, relational, texts]
+MODULES: list = [scalars, relational, texts, summaries, gates, files, boxes, streams]
