@@ -14,6 +14,13 @@ THRESHOLD = 75  # per cent of the union
 BINS, ROWS = 128, 4  # 32 bands of 4: a pair at the threshold meets in none of them with a chance of 5e-6
 #: Bits of BINS in which sketches of a candidate pair may differ; a pair at the threshold differs in 16 +- 3.7.
 SKETCH_BITS = 38
+#: Sets with fewer shingles fill too few bins for a sketch to tell; their pairs go to the full check.
+SKETCH_FROM = 64
+#: Stars around the best linked members go on while one in so many of their pairs holds; then all pairs
+#: that are still open are checked.
+STARS = 20
+#: Members of a block; a task that pairs the members of a large bucket meets two blocks.
+BLOCK = 256
 
 
 def _signatures(batches):
@@ -42,12 +49,20 @@ def _matching(batches):
 
 
 def _verified(batches):
+    sets: dict[int, np.ndarray] = {}  # of a few nodes, as the rows of one stand together
+
+    def of(node, text):
+        if node not in sets:
+            if len(sets) >= 64:
+                sets.pop(next(iter(sets)))
+            sets[node] = shingle_set(text, WORDS)
+        return sets[node]
+
     for batch in batches:
-        ok, key, b = [], None, None
-        for hub, x, y in zip(batch.column("b").to_pylist(), texts(batch.column("text")), texts(batch.column("text_b"))):
-            if hub != key:
-                key, b = hub, shingle_set(y, WORDS)
-            a = shingle_set(x, WORDS)
+        ok = []
+        nodes = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())
+        for (m, n), x, y in zip(nodes, texts(batch.column("text")), texts(batch.column("text_b"))):
+            a, b = of(m, x), of(n, y)
             both = len(np.intersect1d(a, b, assume_unique=True))
             ok.append(100 * both >= THRESHOLD * (len(a) + len(b) - both))
         yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
@@ -60,13 +75,55 @@ def _links(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return written(x.mapInArrow(_verified, "a long, b long"), "links")
 
 
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out."""
+    side = lambda x: classes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "s0", "s1")])
+    x = pairs.join(side("a"), "a").join(side("b"), "b")
+    alike = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) <= SKETCH_BITS
+    alike = alike | (F.least("n_a", "n_b") < SKETCH_FROM)
+    return x.where(alike & (100 * F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b"))).select(*pairs.columns)
+
+
+def _split(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, band and root of the members of those buckets that hold more than one component."""
+    x = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = x.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 < r1")
+    return written(x.join(open_.select("band", "m"), "band"), "split")
+
+
+def _star_pairs(split: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member with its bucket's best linked member of another component: the hub, and
+    for the hub's own component the best linked one outside it."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    x = split.join(degree, "node", "left").withColumn("best", F.struct(F.coalesce("d", F.lit(0)).alias("d"), -F.col("node"), "node", "root"))
+    of_root = x.groupBy("band", "root").agg(F.max("best").alias("best"))
+    hub = of_root.groupBy("band").agg(F.max("best").alias("h"))
+    other = of_root.join(hub, "band").where(F.col("root") != F.col("h.root")).groupBy("band").agg(F.max("best").alias("o"), F.first("h").alias("h"))
+    x = x.select("band", "node", "root").join(other, "band")
+    to = F.when(F.col("root") == F.col("h.root"), F.col("o.node")).otherwise(F.col("h.node"))
+    return x.select(F.least("node", to).alias("a"), F.greatest("node", to).alias("b")).distinct()
+
+
+def _all_pairs(split: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one bucket and different components, block by block."""
+    x = split.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = x.select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("block").alias("l"), every.alias("r"))
+    right = x.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("block").alias("r"), every.alias("l"))
+    return left.join(right, ["band", "l", "r"]).where("a < b and ra <> rb").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs.
 
     Rows with equal shingle sets form a class, so copies cost one row each. Classes meet in buckets of
-    four signature bins; a bucket of n gives 2n edges at most, from its least and its greatest class to
-    the others. Edges that sizes and sketches do not rule out are checked on full sets: first each class
-    with the hub it meets most often, then those edges that would still join two components.
+    four signature bins. A bucket's members are first compared with its least and greatest class: each
+    class with the hub it meets most often, then those edges that would still join two components. While
+    buckets hold more than one component, their members are compared with the best linked member of
+    another one, again as long as that pays; then all pairs of a bucket's components not compared yet.
+    So of each bucket no two classes stay apart that were not compared, though for many members that are
+    alike but not linked this takes a number of pairs that is quadratic in the bucket. Sizes and sketches
+    rule pairs out; the others are checked on full sets.
 
     Words are maximal runs without ASCII white space, A-Z as a-z. A text of fewer than five words is one
     shingle; null, empty and blank texts have none, link with nothing and are kept. component_id is the
@@ -84,15 +141,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     bands = classes.select("node", F.explode("bands").alias("band"))
     hubs = written(bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "hubs")
-    met = bands.join(hubs, "band").select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("b")).where("a <> b")
+    members = written(bands.join(hubs, "band"), "members")
+    met = members.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("b")).where("a <> b")
     met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
-    side = lambda x: classes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "s0", "s1")])
-    met = met.join(side("a"), "a").join(side("b"), "b")
-    alike = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) <= SKETCH_BITS
-    met = met.where(alike & (100 * F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b")))
-    edges = written(met.select("a", "b", "votes"), "edges")
+    edges = written(_possible(met, classes), "edges")
 
-    need = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "rep", "cls"), "node")
+    need = members.select("node").distinct().join(classes.select("node", "rep", "cls"), "node")
     of = docs.join(need, docs["doc_id"].eqNullSafe(need["rep"])).select("node", "doc_id", "cls", "text")
     of = of.mapInArrow(_matching, f"node long, doc_id {id_type}, text string").groupBy("node").agg(F.first("text").alias("text"))
     of = written(of, "texts")
@@ -104,9 +158,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rest = rest.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left")
     rest = rest.withColumns({f"r{x}": F.coalesce(f"r{x}", x) for x in "ab"}).where("ra <> rb")
     # one edge for each pair of components and member; which one does not matter once it holds
-    more = _links(rest.select("a", "b"), of)
+    rest = written(rest.select("a", "b"), "rest")
+    more = _links(rest, of)
     if more.take(1):
-        roots = components(links.union(more))
+        links = written(links.union(more), "links")
+        roots = components(links)
+    either = lambda x: x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    compared = either(first.select("a", "b")).union(either(rest))
+    stars = True
+    while True:
+        split = _split(members.select("node", "band"), roots)
+        if not split.take(1):
+            break
+        pairs = _star_pairs(split, links) if stars else _all_pairs(split)
+        pairs = written(_possible(pairs, classes).join(compared, ["a", "b"], "left_anti"), "pairs")
+        more = _links(pairs, of)
+        new = more.count()
+        if new:
+            links = written(links.union(more), "links")
+            roots = components(links)
+        if not stars:
+            break
+        stars = new * STARS > pairs.count()
+        compared = compared.union(pairs)
     of_class = classes.join(roots, "node", "left").select("cls", "rep", F.coalesce("root", "node").alias("root"))
     least = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = of_class.join(least, "root").select("cls", "component_id")

@@ -272,6 +272,25 @@ def test_minhash(spark):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], r["doc_id"] == want[r["doc_id"]])
 
 
+@pytest.mark.parametrize("edits", [4, 5])
+def test_minhash_many_copies(spark, edits):
+    """Copies of one text that are linked with it and hardly with each other."""
+    rng = np.random.RandomState(edits)
+    base = [f"b{k}" for k in range(200)]
+    docs = [(0, " ".join(base))]
+    for k in range(1, 301):
+        words = list(base)
+        for at in rng.choice(200, edits, replace=False):
+            words[at] = f"w{rng.randint(10**9)}"
+        docs.append((k, " ".join(words)))
+    sets = {d: shingles(t) for d, t in docs}
+    links = [(a, b) for a, b in combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = groups(links, sets)
+    assert sum(c == 0 for c in want.values()) > 250
+    out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, docs)).collect()}
+    assert out == want, f"{sum(out[d] == 0 for d in out)} of {sum(c == 0 for c in want.values())} joined"
+
+
 def test_minhash_odd(spark):
     rows = ODD + [(6, "word " * 29000), (None, "X"), (8, "p q r s t u"), (8, "other words that stand here now")]
     out = minhash.near_duplicates(frame(spark, rows)).collect()
