@@ -113,6 +113,13 @@ def _all_pairs(split: DataFrame) -> DataFrame:
     return left.join(right, ["band", "l", "r"]).where("a < b and ra <> rb").select("a", "b").distinct()
 
 
+def _keyed(batches):
+    for batch in batches:
+        sets = [shingle_set(t, WORDS) for t in texts(batch.column("text"))]
+        keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "_cls"])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs.
 
@@ -131,7 +138,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     that id's result if their texts agree, else each its own. An empty table gives an empty result; other
     columns are not read.
     """
-    spark = docs.sparkSession
+    return _verdicts(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, cls, component_id and own of every row; own: the row has the class and the id that
+    stand for its component, which are the least id and, of that id's classes, the least. Rows without
+    words have no class and are their own."""
     docs = docs.select(F.col("doc_id"), F.col("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sigs = written(docs.mapInArrow(_signatures, f"doc_id {id_type}, n_shingles long, cls binary, bands array<long>, s0 long, s1 long"), "sigs")
@@ -182,22 +195,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         stars = new * STARS > pairs.count()
         compared = compared.union(pairs)
     of_class = classes.join(roots, "node", "left").select("cls", "rep", F.coalesce("root", "node").alias("root"))
-    least = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = of_class.join(least, "root").select("cls", "component_id")
+    first_class = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cls"))
+    least = of_class.groupBy("root").agg(F.min("rep").alias("component_id"), first_class["cls"].alias("least"))
+    ids = of_class.join(least, "root").select("cls", "component_id", (F.col("cls") == F.col("least")).alias("stands"))
     out = sigs.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    own = (F.col("n_shingles") == 0) | (F.col("stands") & F.col("doc_id").eqNullSafe(component))
+    return out.select("doc_id", "n_shingles", "cls", component.alias("component_id"), own.alias("own"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each near-duplicate group; all columns stay.
 
-    Of several rows with the id that stays, one remains (if their texts differ, they count as one group).
-    Rows without words link with nothing and all stay, repeated ones too.
+    Of several rows with the id and the shingle set that stay, one remains; rows that share an id, or have
+    none, but are no near duplicates all stay. Rows without words link with nothing and all stay, repeated
+    ones too.
     """
-    of = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("_w"))
-    of = written(of.where("_kept").withColumnRenamed("doc_id", "_id"), "kept")
-    x = docs.join(of, docs["doc_id"].eqNullSafe(of["_id"]))
-    many = (F.col("_n") > 1) & (F.col("_w") > 0)
-    once = x.where(~many).select(*docs.columns)
-    return once.unionByName(x.where(many).dropDuplicates(["doc_id"]).select(*docs.columns))
+    of = written(_verdicts(docs), "verdicts")
+    n = of.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.max("own").alias("_own"))
+    n = written(n.where("_own"), "kept")
+    x = docs.join(n, docs["doc_id"].eqNullSafe(n["_id"]))
+    once = x.where("_n = 1").select(*docs.columns)
+    many = x.where("_n > 1").select(*docs.columns)
+    keyed = many.mapInArrow(_keyed, many.withColumn("_cls", F.lit(None).cast("binary")).schema)
+    stays = of.where("own and n_shingles > 0").join(n.where("_n > 1"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    stays = stays.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_key")).distinct()
+    held = keyed.join(stays, (F.col("_cls") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    held = held.dropDuplicates(["doc_id", "_cls"]).unionByName(keyed.where("_cls is null"))
+    return once.unionByName(held.select(*docs.columns))

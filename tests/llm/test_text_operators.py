@@ -301,6 +301,14 @@ def test_minhash_odd(spark):
     assert sorted(r["text"] for r in kept.where("doc_id = 3").collect()) == ["x"] and kept.where("doc_id = 6").count() == 1
 
 
+def test_one_of_each_ids(spark):
+    """Rows that share an id, or have none, but not their texts are no near duplicates."""
+    rows = [(8, "p q r s t u"), (8, "other words that stand here now"), (8, "P q r s t u"), (9, "p q r s t u"), (8, "")]
+    rows += [(None, "first text without an id here"), (None, "second one that has none either"), (None, "second one that has none either"), (None, None)]
+    kept = minhash.one_of_each(frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], (r["text"] or "").lower()) for r in kept) == Counter({(d, (t or "").lower()) for d, t in rows if d != 9})
+
+
 # pieces
 
 
