@@ -63,22 +63,32 @@ def _by_dim(pdf: pd.DataFrame):
 
 
 def _neighbours(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs at the threshold, of which one is among the WINDOW next ones of the other in this block.
-
-    Of a row's partners only the nearest in rank and the farthest are kept: they connect the same vectors.
+    """Edges (a, b) that connect what the block's links connect; a link is a pair at the threshold of which one
+    is among the WINDOW next ones of the other. All links count: of each part that they connect, each vector
+    but the first has an edge to the first.
     """
     found = []
     for part in _by_dim(pdf.sort_values("rank")):
         x, rank, node, own = _unit(part["embedding"]), part["rank"].to_numpy(), part["node"].to_numpy(), part["own"].to_numpy()
+        ends = []
         for start in range(0, len(x), 256):
             a = slice(start, min(start + 256, len(x)))
             b = slice(start, min(start + 256 + WINDOW, len(x)))
             gap = rank[None, b] - rank[a, None]
             hit = (x[a] @ x[b].T >= THRESHOLD) & (gap > 0) & (gap <= WINDOW) & own[a, None]
-            some = hit.any(1)
-            i = np.flatnonzero(some)
-            for j in (hit[i].argmax(1), hit.shape[1] - 1 - hit[i][:, ::-1].argmax(1)):
-                found.append(np.stack([node[a][i], node[b][j]], 1))
+            ends.append(np.stack(np.nonzero(hit)) + start)
+        i, j = np.concatenate(ends, axis=1)
+        label = np.arange(len(x))
+        while True:
+            new, low = label.copy(), np.minimum(label[i], label[j])
+            np.minimum.at(new, i, low)
+            np.minimum.at(new, j, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        k = np.flatnonzero(label < np.arange(len(x)))
+        found.append(np.stack([node[label[k]], node[k]], 1))
     out = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
     return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
@@ -99,8 +109,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors.
 
     Equal vectors form a class, compared once. In each pass classes are ordered by BITS concatenated
-    random hyperplane signs (ties by class) and compared with the WINDOW next ones; the pairs verified in
-    all passes are united to groups. Windows bound what a pass compares, not what is found: in every group
+    random hyperplane signs (ties by class) and compared with the WINDOW next ones; all pairs verified in
+    any pass are united to groups. Windows bound what a pass compares, not what is found: in every group
     each class is then compared with all others, block by block, which gives exact link counts and leaves
     no pair of a group out.
 

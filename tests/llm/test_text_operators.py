@@ -243,6 +243,29 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def spokes(n, dim=512, cosine=0.92):
+    """A hub and n vectors that are linked with it and not with each other."""
+    rng = np.random.RandomState(3)
+    hub = np.eye(dim)[0]
+    out = rng.standard_normal((n, dim))
+    out[:, 0] = 0
+    out *= np.sqrt(1 - cosine**2) / np.linalg.norm(out, axis=1)[:, None]
+    return np.concatenate([hub[None], out + cosine * hub])
+
+
+def test_embeddings_window_links():
+    import pandas as pd
+
+    x = spokes(embeddings.WINDOW)
+    n = len(x)
+    assert ((x @ x.T >= 0.9).sum(1) == [n] + [2] * (n - 1)).all()
+    for at in (0, n // 2, n - 1):  # the hub's place in the order
+        order = np.insert(np.arange(1, n), at, 0)
+        out = embeddings._neighbours(pd.DataFrame({"node": order, "rank": np.arange(n), "own": True, "embedding": list(x[order])}))
+        top = groups([(int(a), int(b)) for a, b in zip(out["a"], out["b"])], range(n))
+        assert set(top.values()) == {0}, f"{sum(c == 0 for c in top.values())} of {n} connected"
+
+
 # minhash
 
 
