@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,36 +25,92 @@ ORC = {
     "orc.bloom.filter.fpp": "0.01",
 }
 END = 0
-#: White space other than a space beside a space.
-_EDGE = re.compile(r" [^\S ]|[^\S ] ")
+#: Parts of a run of letters, digits, marks (but the apostrophe) and line breaks; no token spans two of them.
+_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n").findall
+
+
+class _Edge(Exception):
+    """A run that is empty or begins or ends with white space: the space beside it isn't a single one."""
+
+
+class _Parts(dict):
+    """Ids, as little-endian bytes, of parts that the library's model encodes on their own; at most so many."""
+
+    def __init__(self, model, most: int):
+        self.model, self.most = model, most
+        # the printable character that stands for each byte in a byte-level vocabulary, where it isn't its own
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.shown = {b: 256 + k for k, b in enumerate(rest)}
+        self.space = chr(self.shown[0x20])
+
+    def __missing__(self, part: str) -> bytes:
+        if part.isascii() and part[0] == " ":
+            shown = self.space + part[1:]
+        else:
+            shown = part.encode().decode("latin-1").translate(self.shown)
+        ids = array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(self) < self.most:
+            self[part] = ids
+        return ids
 
 
 class _Encoder(dict):
     """Ids, as little-endian bytes, of a space and the run that follows it; all from the tokenizers library.
 
     No token of a byte-level vocabulary of this kind begins before a single space that stands between two
-    characters that aren't white space, so a text can be cut there and equal cuts be encoded once.
+    characters that aren't white space, so a text can be cut there and equal cuts be encoded once. At most
+    so many cuts and so many parts are kept: frequent ones come early. When many have come since that were
+    not kept, both start anew.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.most, self.old = most, {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a byte-level token is a byte
-        for token, k in vocabulary.items():
-            self.bytes[k] = len(token)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.most, self.passed, self.parts = most, 0, _Parts(self.tokenizer.model, most)
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
-
-    def cut(self, text: str) -> list[str]:
-        """The runs of a text; the first stands for itself, each other one for a space and itself."""
-        if "  " not in text and text[0] != " " and text[-1] != " " and not _EDGE.search(text):
-            return text.split(" ")
+        return array("i", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def cut(self, run: str, space: str = " ") -> bytes:
+        """Ids of a run, with the space before it or without."""
+        if not run or run[0].isspace() or run[-1].isspace():
+            raise _Edge
+        found = _PARTS(run)
+        if "\n\n" in run or sum(map(len, found)) < len(run):
+            return self.plain(space + run)
+        ids = self.parts[space + found[0]]
+        return ids + b"".join(map(self.parts.__getitem__, found[1:])) if len(found) > 1 else ids
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.cut(run)
+        if len(self) < self.most:
+            if len(run) <= 40:
+                self[run] = ids
+        else:
+            self.passed += 1
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if any(a in text for a in self.added):  # an added token counts wherever it stands, so nothing is cut
+            return self.plain(text)
+        if self.passed > 6 * self.most:
+            self.clear()
+            self.parts.clear()
+            self.passed = 0
+        first, *runs = text.split(" ")
+        try:
+            return self.cut(first, "") + b"".join(map(self.__getitem__, runs))
+        except _Edge:
+            return self._joined(text)
+
+    def _joined(self, text: str) -> bytes:
+        """The same for a text with spaces beside other white space or at its ends: those stay with a neighbour."""
         runs: list[str] = []
         for r in text.split(" "):
             if runs and r and not r[0].isspace() and runs[-1] and not runs[-1][-1].isspace():
@@ -62,35 +119,7 @@ class _Encoder(dict):
                 runs[-1] += " " + r
             else:
                 runs.append(r)
-        return runs
-
-    def learn(self, runs: set[str]) -> None:
-        """Encodes new runs together, in texts of bounded length, and tells them apart by their bytes."""
-        runs = list(runs)
-        for start in range(0, len(runs), 500):
-            part = runs[start : start + 500]
-            ids = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids
-            ids = np.array(ids, "<i4")
-            at = np.cumsum([0, *[len(r.encode()) + 1 for r in part]])
-            begins = np.concatenate([[0], np.cumsum(self.bytes[ids])])
-            cuts = np.searchsorted(begins, at)
-            if begins[-1] != at[-1] or (begins[cuts] != at).any():
-                raise ValueError("not a byte-level vocabulary that keeps runs apart")
-            data, cuts = ids.tobytes(), (cuts * 4).tolist()
-            self.update((r, data[cuts[k] : cuts[k + 1]]) for k, r in enumerate(part))
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        cuts = [self.cut(t) if t else [] for t in texts]
-        need = {r for c in cuts for r in c[1:]}
-        new = need - self.keys()
-        if len(self) + len(new) > self.most:  # what has not been used for long goes
-            self.old = dict(self)
-            self.clear()
-            new = need
-        known = new & self.old.keys()
-        self.update((r, self.old[r]) for r in known)
-        self.learn(new - known)
-        return [self.plain(c[0]) + b"".join(map(self.__getitem__, c[1:])) if c else b"" for c in cuts]
+        return self.plain(runs[0]) + b"".join(self.plain(" " + r) if " " in r or r[-1:].isspace() else self[r] for r in runs[1:])
 
 
 @lru_cache(maxsize=1)
@@ -105,7 +134,7 @@ def _encoded(path: str, end: int):
         for batch in batches:
             for start in range(0, len(batch), 500):  # few rows at a time: a batch may hold long texts
                 part = batch.slice(start, 500)
-                ids = [x + tail for x in encoder.texts(part.column("text").to_pylist())]
+                ids = [encoder.encode(t) + tail for t in part.column("text").to_pylist()]
                 offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), lists], names=["doc_id", "row", "ids"])
@@ -118,7 +147,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, partitions: int | None = N
 
     Rows of one doc_id are ordered by a hash of the text, then the text. row numbers the rows in that
     order, file after file (the file's number in its high bits). Each document ends with the id end; null
-    and empty texts have that one only.
+    and empty texts have that one only. The content of an added token (such as <|endoftext|>) in a text
+    becomes that token, as the library does by default.
     """
     n = partitions or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     x = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))

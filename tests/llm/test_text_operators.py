@@ -366,9 +366,9 @@ def test_tokens(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = queries.tokenizer_file("byte_bpe_50k.json")
     t = tokenizers.Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     docs = [(r[0], r[1]) for r in small_docs()][:120]
     docs += [(500 + k, x) for k, x in enumerate(["", None, "  a  b ", "a \n b", "x\n y\n\n z", " ", "don't stop", "é  ü", "a\x1c b", "\U0001F600 \U0001F600", "tab\tx \ty"])]
+    docs += [(600 + k, x) for k, x in enumerate(["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|>a<|endoftext|><|endoftext|> \nb", "end.\nNext, one", "it's 3x Ⅷ ②a", "\n a", "a \n", "x.\n\ny z", "ÀÉ×÷ ǀa ɐb.", "a\u00a0 b \u2003c"])]
     out = tokens.round_trip(frame(spark, docs).repartition(5), path).orderBy("doc_id").collect()
     start = 0
     for (d, x), r in zip(docs, out):
@@ -380,10 +380,18 @@ def test_tokens(spark):
     assert tokens.round_trip(frame(spark, []), path).count() == 0
 
 
-def test_tokens_small_cache():
+def test_tokens_runs():
+    """Cut and cached against the whole text by the library, with caches of any size."""
+    tokenizers = pytest.importorskip("tokenizers")
     path = queries.tokenizer_file("byte_bpe_50k.json")
-    texts = [r[1] for r in small_docs()][:40]
-    assert tokens._Encoder(path, most=50).texts(texts) == tokens._Encoder(path).texts(texts)
+    t = tokenizers.Tokenizer.from_file(path)
+    rng = np.random.RandomState(5)
+    texts = [r[1] for r in small_docs()][:60]
+    texts += ["".join(rng.choice(list("aB é.,'s1\n\t  ǅ²"), 40)) for _ in range(4000)]
+    for most in (50, 250_000):
+        e = tokens._Encoder(path, most)
+        for x in texts:
+            assert list(array("i", e.encode(x))) == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
 def test_tokens_files(spark, tmp_path):
