@@ -15,12 +15,9 @@ BINS, ROWS = 128, 4  # 32 bands of 4: a pair at the threshold meets in none of t
 #: Bits of BINS in which sketches of a candidate pair may differ; a pair at the threshold differs in 16 +- 3.7.
 SKETCH_BITS = 38
 #: Sets with fewer shingles fill too few bins for a sketch to tell; their pairs go to the full check.
-SKETCH_FROM = 64
-#: Stars around the best linked members go on while one in so many of their pairs holds; then all pairs
-#: that are still open are checked.
-STARS = 20
-#: Members of a block; a task that pairs the members of a large bucket meets two blocks.
-BLOCK = 256
+SKETCH_FROM = 256
+#: Members and shingles of a block; a task that compares the members of a large bucket meets two blocks.
+BLOCK, SHINGLES = 1024, 1 << 20
 
 
 def _signatures(batches):
@@ -44,34 +41,26 @@ def _signatures(batches):
 
 def _matching(batches):
     for batch in batches:
-        ok = [set_key(shingle_set(t, WORDS)) == c for t, c in zip(texts(batch.column("text")), batch.column("cls").to_pylist())]
-        yield batch.filter(pa.array(ok, pa.bool_())).select(["node", "doc_id", "text"])
+        sets = [shingle_set(t, WORDS) for t in texts(batch.column("text"))]
+        ok = pa.array([set_key(s) == c for s, c in zip(sets, batch.column("cls").to_pylist())], pa.bool_())
+        found = pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
+        yield found.filter(ok)
 
 
 def _verified(batches):
-    sets: dict[int, np.ndarray] = {}  # of a few nodes, as the rows of one stand together
-
-    def of(node, text):
-        if node not in sets:
-            if len(sets) >= 64:
-                sets.pop(next(iter(sets)))
-            sets[node] = shingle_set(text, WORDS)
-        return sets[node]
-
     for batch in batches:
         ok = []
-        nodes = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())
-        for (m, n), x, y in zip(nodes, texts(batch.column("text")), texts(batch.column("text_b"))):
-            a, b = of(m, x), of(n, y)
+        for x, y in zip(batch.column("hashes").to_pylist(), batch.column("hashes_b").to_pylist()):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(a, b, assume_unique=True))
             ok.append(100 * both >= THRESHOLD * (len(a) + len(b) - both))
         yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
 
-def _links(pairs: DataFrame, of: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    x = pairs.join(of.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    x = x.join(of.select(F.col("node").alias("a"), "text"), "a").select("a", "b", "text", "text_b")
+    x = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b")
+    x = x.join(sets.select(F.col("node").alias("a"), "hashes"), "a").select("a", "b", "hashes", "hashes_b")
     return written(x.mapInArrow(_verified, "a long, b long"), "links")
 
 
@@ -104,13 +93,107 @@ def _star_pairs(split: DataFrame, links: DataFrame) -> DataFrame:
     return x.select(F.least("node", to).alias("a"), F.greatest("node", to).alias("b")).distinct()
 
 
-def _all_pairs(split: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one bucket and different components, block by block."""
-    x = split.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    left = x.select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("block").alias("l"), every.alias("r"))
-    right = x.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("block").alias("r"), every.alias("l"))
-    return left.join(right, ["band", "l", "r"]).where("a < b and ra <> rb").select("a", "b").distinct()
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two of the sets have in common: frequent ones by a product of indicator
+    matrices, a slice of columns at a time, the others pair by pair."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    hashes = np.concatenate(sets)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    times = np.diff(np.append(starts, len(hashes)))
+    column = np.repeat(np.arange(len(starts)), times)
+    out = np.zeros((m, m), np.float32)
+    rare = times[column] <= 8
+    c, o = column[rare], owner[rare]
+    for gap in range(1, 8):
+        same = np.flatnonzero(c[gap:] == c[:-gap])
+        out += np.bincount(o[same] * m + o[same + gap], minlength=m * m).reshape(m, m)
+    out += out.T
+    frequent = np.flatnonzero(times > 8)
+    for at in range(0, len(frequent), 1024):
+        some = np.zeros(len(times), np.int64) - 1
+        part = frequent[at : at + 1024]
+        some[part] = np.arange(len(part))
+        here = some[column]
+        x = np.zeros((m, len(part)), np.float32)
+        x[owner[here >= 0], here[here >= 0]] = 1
+        out += x @ x.T
+    return out
+
+
+def _joined(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Edges (a, b) between roots that the links of one pair of blocks connect; rows: root, side (0 or 1 of
+    two blocks, 2 of a block that meets itself) and hashes."""
+    root = np.array([r[0] for r in rows])
+    side = np.array([r[1] for r in rows])
+    sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+    n = np.array([len(s) for s in sets], np.float32)
+    if len(rows) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        linked = root[0] != root[1] and 100 * both >= THRESHOLD * (n.sum() - both)
+        return [(int(root.min()), int(root.max()))] if linked else []
+    both = _shared(sets)
+    hit = (100 * both >= THRESHOLD * (n[:, None] + n[None] - both)) & (root[:, None] != root[None]) & ((side[:, None] != side[None]) | (side[0] == 2))
+    i, j = np.nonzero(np.triu(hit, 1))
+    names, label = np.unique(root, return_inverse=True)
+    i, j, label = label[i], label[j], np.arange(len(names))
+    while True:  # the least root of what is connected
+        new, low = label.copy(), np.minimum(label[i], label[j])
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    k = np.flatnonzero(label < np.arange(len(names)))
+    return list(zip(names[label[k]].tolist(), names[k].tolist()))
+
+
+def _compared(batches):
+    """_joined() of each run of rows with one key."""
+    key, rows = None, []
+    for batch in batches:
+        out = []
+        for *now, root, side, hashes in zip(*[batch.column(c).to_pylist() for c in ("band", "l", "r", "root", "side", "hashes")]):
+            if now != key:
+                out += _joined(rows) if len(rows) > 1 else []
+                key, rows = now, []
+            rows.append((root, side, hashes))
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    out = _joined(rows) if len(rows) > 1 else []
+    yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _block_links(split: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) of roots between which any two members of one bucket are linked.
+
+    Buckets of the same members count once. A bucket's members are dealt to blocks of bounded numbers of
+    members and shingles, and each two blocks meet in one task. A component that fills blocks of its own
+    is not compared with itself; the other components share blocks.
+    """
+    alike = split.groupBy("band").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.count(F.lit(1)).alias("m"))
+    one = alike.groupBy("x", "m").agg(F.min("band").alias("band")).select("band")
+    x = split.select("band", "node", "root").join(one, "band").join(classes.select("node", "n"), "node")
+    x = written(x, "open")
+    size = lambda m, n: F.greatest(F.ceil(F.col(m) / BLOCK), F.ceil(F.col(n) / SHINGLES)).cast("long")
+    of_root = x.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).withColumn("k", size("m", "s"))
+    of_root = of_root.withColumn("own", F.when(F.col("k") > 1, F.col("root")).otherwise(-1))
+    of_own = of_root.groupBy("band", "own").agg(F.sum("m").alias("m"), F.sum("s").alias("s")).withColumn("k", size("m", "s"))
+    blocks = F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.struct(F.col("own").alias("own"), j.alias("j")))))
+    every = of_own.groupBy("band").agg(blocks.alias("all"))
+    x = x.join(of_root.where("own >= 0").select("band", "root", "own"), ["band", "root"], "left").withColumn("own", F.coalesce("own", F.lit(-1)))
+    x = x.join(of_own.select("band", "own", "k"), ["band", "own"]).join(every, "band")
+    x = x.withColumn("me", F.struct(F.col("own").alias("own"), F.pmod(F.xxhash64("node"), F.col("k")).alias("j")))
+    meets = F.filter("all", lambda o: (o["own"] == -1) | (o["own"] != F.col("own")))
+    x = x.withColumn("o", F.explode(meets))
+    side = F.when(F.col("me") == F.col("o"), 2).when(F.col("me") < F.col("o"), 0).otherwise(1)
+    x = x.select("band", F.least("me", "o").alias("l"), F.greatest("me", "o").alias("r"), "node", "root", side.alias("side"))
+    name = lambda c: F.concat_ws(":", F.col(f"{c}.own"), F.col(f"{c}.j")).alias(c)
+    x = x.select("band", name("l"), name("r"), "node", "root", "side").join(sets, "node")
+    x = x.repartition("band", "l", "r").sortWithinPartitions("band", "l", "r").select("band", "l", "r", "root", "side", "hashes")
+    return written(x.mapInArrow(_compared, "a long, b long").distinct(), "joined")
 
 
 def _keyed(batches):
@@ -124,13 +207,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs.
 
     Rows with equal shingle sets form a class, so copies cost one row each. Classes meet in buckets of
-    four signature bins. A bucket's members are first compared with its least and greatest class: each
-    class with the hub it meets most often, then those edges that would still join two components. While
-    buckets hold more than one component, their members are compared with the best linked member of
-    another one, again as long as that pays; then all pairs of a bucket's components not compared yet.
-    So of each bucket no two classes stay apart that were not compared, though for many members that are
-    alike but not linked this takes a number of pairs that is quadratic in the bucket. Sizes and sketches
-    rule pairs out; the others are checked on full sets.
+    four signature bins. Candidate edges are stars: a bucket's members are compared with its least and
+    greatest class, each with the hub it meets most often, then those edges that would still join two
+    components; then, where a bucket holds more than one component, with its best linked member of another
+    one. Sizes and sketches rule edges out; the others are checked on full sets. Buckets that still hold
+    several components are compared block by block on full sets, which gives at most one edge for each
+    component: so no two classes of a bucket stay apart that are linked.
 
     Words are maximal runs without ASCII white space, A-Z as a-z. A text of fewer than five words is one
     shingle; null, empty and blank texts have none, link with nothing and are kept. component_id is the
@@ -160,40 +242,33 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     edges = written(_possible(met, classes), "edges")
 
     need = members.select("node").distinct().join(classes.select("node", "rep", "cls"), "node")
-    of = docs.join(need, docs["doc_id"].eqNullSafe(need["rep"])).select("node", "doc_id", "cls", "text")
-    of = of.mapInArrow(_matching, f"node long, doc_id {id_type}, text string").groupBy("node").agg(F.first("text").alias("text"))
-    of = written(of, "texts")
+    sets = docs.join(need, docs["doc_id"].eqNullSafe(need["rep"])).select("node", "cls", "text")
+    sets = sets.mapInArrow(_matching, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    sets = written(sets, "sets")
     first = edges.groupBy("a").agg(F.max_by("b", "votes").alias("b"))
-    links = _links(first, of)
+    links = _links(first, sets)
     roots = components(links)
     rest = edges.join(first, ["a", "b"], "left_anti")
     for x in ("a", "b"):
         rest = rest.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left")
     rest = rest.withColumns({f"r{x}": F.coalesce(f"r{x}", x) for x in "ab"}).where("ra <> rb")
-    # one edge for each pair of components and member; which one does not matter once it holds
     rest = written(rest.select("a", "b"), "rest")
-    more = _links(rest, of)
+    more = _links(rest, sets)
     if more.take(1):
         links = written(links.union(more), "links")
         roots = components(links)
     either = lambda x: x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    compared = either(first.select("a", "b")).union(either(rest))
-    stars = True
-    while True:
-        split = _split(members.select("node", "band"), roots)
-        if not split.take(1):
-            break
-        pairs = _star_pairs(split, links) if stars else _all_pairs(split)
-        pairs = written(_possible(pairs, classes).join(compared, ["a", "b"], "left_anti"), "pairs")
-        more = _links(pairs, of)
-        new = more.count()
-        if new:
-            links = written(links.union(more), "links")
-            roots = components(links)
-        if not stars:
-            break
-        stars = new * STARS > pairs.count()
-        compared = compared.union(pairs)
+    split = _split(members.select("node", "band"), roots)
+    if split.take(1):
+        pairs = _star_pairs(split, links).join(either(first.select("a", "b")).union(either(rest)), ["a", "b"], "left_anti")
+        more = _links(_possible(pairs, classes), sets)
+        if more.take(1):
+            roots = components(links.union(more))
+            split = _split(members.select("node", "band"), roots)
+        joined = components(_block_links(split, classes, sets)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        # a root that no link was found for stands for itself
+        nodes = roots.unionByName(joined.select(F.col("root").alias("node"), "root")).distinct()
+        roots = written(nodes.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
     of_class = classes.join(roots, "node", "left").select("cls", "rep", F.coalesce("root", "node").alias("root"))
     first_class = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cls"))
     least = of_class.groupBy("root").agg(F.min("rep").alias("component_id"), first_class["cls"].alias("least"))

@@ -314,6 +314,38 @@ def test_minhash_many_copies(spark, edits):
     assert out == want, f"{sum(out[d] == 0 for d in out)} of {sum(c == 0 for c in want.values())} joined"
 
 
+def test_minhash_short(spark):
+    """Pairs exactly at the threshold of few shingles each: 3 of 4, 6 of 8, 9 of 12."""
+    docs = []
+    for k in range(600):
+        n = (8, 12, 16)[k % 3]
+        words = [f"w{k}x{j}" for j in range(n)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: n - (n - 4) // 4]))]
+    out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, docs)).collect()}
+    assert out == {d: d - d % 2 for d, _ in docs}
+
+
+def test_minhash_blocks(spark, monkeypatch):
+    """Whole buckets compared by blocks: what they join is what brute force joins."""
+    rng = np.random.RandomState(4)
+    sets = [np.unique(rng.randint(0, 60, 30).astype(np.uint64)) for _ in range(90)]
+    both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets], np.float32)
+    got = minhash._shared(sets)
+    np.fill_diagonal(got, 0), np.fill_diagonal(both, 0)
+    assert (got == both).all()
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    near = [np.unique(np.concatenate([np.arange(40, dtype=np.uint64) + 100 * (k % 4), rng.randint(1000, 2000, 6).astype(np.uint64)])) for k in range(40)]
+    rows = [(k, 7 + k % 2, k if k % 4 else k % 8) for k in range(40)]
+    split = spark.createDataFrame(rows, "node long, band long, root long")
+    classes = spark.createDataFrame([(k, len(s)) for k, s in enumerate(near)], "node long, n long")
+    data = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(near)], "node long, hashes binary")
+    ok = lambda a, b: 100 * (n := len(np.intersect1d(near[a], near[b]))) >= 75 * (len(near[a]) + len(near[b]) - n)
+    links = [(rows[a][2], rows[b][2]) for a, b in combinations(range(40), 2) if rows[a][1] == rows[b][1] and ok(a, b)]
+    nodes = {r[2] for r in rows}
+    edges = [(r["a"], r["b"]) for r in minhash._block_links(split, classes, data).collect()]
+    assert groups(edges, nodes) == groups(links, nodes) and len(edges) < 120
+
+
 def test_minhash_odd(spark):
     rows = ODD + [(6, "word " * 29000), (None, "X"), (8, "p q r s t u"), (8, "other words that stand here now")]
     out = minhash.near_duplicates(frame(spark, rows)).collect()
