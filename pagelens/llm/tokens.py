@@ -64,13 +64,13 @@ class _Encoder(dict):
     not kept, both start anew.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most, self.passed, self.parts = most, 0, _Parts(self.tokenizer.model, most)
+        self.most, self.passed, self.parts = most, 0, _Parts(self.tokenizer.model, most * 3 // 4)
 
     def plain(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
