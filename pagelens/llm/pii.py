@@ -19,7 +19,7 @@ KEEP = 0.6
 
 #: Words near a span that speak for its kind.
 WORDS = {
-    "email": ("mail", "contact", "kontakt", "correo", "courriel"),
+    "email": ("mail", "email", "contact", "kontakt", "correo", "courriel"),
     "ip": ("ip", "server", "host", "address", "login"),
     "card": ("card", "visa", "credit", "karte", "carte", "tarjeta", "payment"),
     "phone": ("call", "phone", "tel", "mobile", "fax", "telefon", "téléphone", "teléfono"),
@@ -28,13 +28,23 @@ WORDS = {
     "local_phone": ("call", "phone", "tel", "mobile", "fax", "telefon", "téléphone", "teléfono"),
 }
 
+#: A context word stands alone, not inside another one.
+_NEAR = {kind: re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, words))})(?!\w)", re.I) for kind, words in WORDS.items()}
+
+#: Lengths of account numbers by country, where they are settled.
+IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18,
+    "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21,
+    "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26,
+}
+
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){15,}+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NUMBER = re.compile(r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 
@@ -54,6 +64,32 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ibans(text: str):
+    """Spans of account numbers that pass mod-97. What follows one in capitals and digits is left out: of the
+    ends at a space or where the text goes on otherwise, the longest that has its country's length and passes."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at, end = m.start() + 4, m.end()
+        if end < len(text) and text[end].isalnum():  # runs on: the last word belongs to something else
+            end = text.rfind(" ", m.start(), end)
+        length = IBAN_LENGTHS.get(m[0][:2])
+        while end > m.start():
+            part = text[m.start() : end]
+            n = len(part) - part.count(" ")
+            if n < 15:
+                break
+            if (length is None or n == length) and n <= 34 and mod97(part):
+                yield m.start(), end
+                at = end
+                break
+            end = text.rfind(" ", m.start(), end)
+
+
+def _octet(part: str) -> bool:
+    part = part.lstrip("0")  # of any length
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def _emails(text: str):
     """Leftmost matches of local part, @, dotted domain; in one pass, as @ ends every local part."""
     done, at = 0, text.find("@")
@@ -76,7 +112,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     out["email"] = list(_emails(text))
     if "." in text:
-        out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out["ip"] = [m.span() for m in _IP.finditer(text) if all(map(_octet, m[0].split(".")))]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if len(digits) <= 19 and luhn(digits):
@@ -87,8 +123,8 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def _context(text: str, kind: str, start: int, end: int) -> float:
-    around = f"{text[max(0, start - NEAR) : start]} {text[end : end + NEAR]}".lower()
-    return CONTEXT if any(w in around for w in WORDS[kind]) else 0.0
+    near = _NEAR[kind]
+    return CONTEXT if near.search(text[max(0, start - NEAR) : start]) or near.search(text[end : end + NEAR]) else 0.0
 
 
 def find(text: str) -> list[tuple[str, int, int, float]]:
@@ -96,7 +132,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     found = [(k, s, e) for k, spans in base_spans(text).items() for s, e in spans]
     taken = {(s, e) for _, s, e in found}
     if any("0" <= c <= "9" for c in text):
-        found += [("iban", *m.span()) for m in _IBAN.finditer(text) if len(m[0].replace(" ", "")) <= 34 and mod97(m[0])]
+        found += [("iban", s, e) for s, e in _ibans(text)]
         found += [("id_number", *m.span()) for m in _ID.finditer(text)]
         found += [("local_phone", *m.span()) for m in _NUMBER.finditer(text) if m.span() not in taken]
     scored = [(k, s, e, min(1.0, START[k] + _context(text, k, s, e))) for k, s, e in found]
