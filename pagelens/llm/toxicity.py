@@ -1,9 +1,10 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Five small transducers read a clause word by word and are composed: INSULT and THREAT give weight to
-words, TARGET raises what stands near a second person, NEGATION and REPORTED lower what follows them.
-A clause scores the weight that leaves the composition; a document scores the squashed sum of its clauses.
-INSULT's lexicon (word beginnings with their weights) and the squashing are learned from labelled rows.
+Five transducers read a clause word by word. INSULT and THREAT give words their weights; TARGET, NEGATION and
+REPORTED, and the intent that a threat needs, pass weights on with a factor by state. They are composed to
+one machine whose states are tuples of theirs and whose factors are the products of theirs. A clause scores
+the weight that leaves the machine; a document scores the squashed sum of its clauses. INSULT's lexicon
+(word beginnings with their weights) and the squashing are learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: Labelled rows of each class that the fit reads at most, taken in the order of a hash of the id.
+#: Labelled rows of each class that the fit reads, as a share of them by a hash of the id: all where there are fewer.
 SAMPLE = 6000
 #: Lexicon entries kept at most, those with the most evidence first.
 LEXICON = 5000
@@ -38,9 +40,57 @@ TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:\n]")
 BREAKS = frozenset(".!?;:\n")
 
 
+#: Symbols that the transducers read: the class of a word, or none of them.
+CLASSES = {"target": TARGETS, "not": NEGATIONS, "report": REPORTS, "intent": INTENTS}
+OTHER = "other"
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Of each state: the next one by symbol, and the factors of insult and threat weights read on entering it."""
+
+    steps: tuple[dict[str, int], ...]
+    factors: tuple[tuple[float, float], ...]
+
+    @staticmethod
+    def within(symbol: str, reach: int, near: tuple[float, float], far: tuple[float, float]) -> "Transducer":
+        """near up to reach words after the symbol and on it, else far; state k: k - 1 words after it, 0: none near."""
+        last = reach + 1
+        steps = [{s: 1 if s == symbol else (k + 1 if 0 < k < last else 0) for s in (*CLASSES, OTHER)} for k in range(last + 1)]
+        return Transducer(tuple(steps), (far, *[near] * last))
+
+    @staticmethod
+    def after(symbol: str, factor: tuple[float, float]) -> "Transducer":
+        """factor from the symbol on to the end of the clause."""
+        steps = [{s: 1 if s == symbol or k else 0 for s in (*CLASSES, OTHER)} for k in (0, 1)]
+        return Transducer(tuple(steps), ((1.0, 1.0), factor))
+
+    def __matmul__(self, other: "Transducer") -> "Transducer":
+        """The composition: both read each word, their factors multiply; states are the pairs that can be reached."""
+        found, steps, factors = {(0, 0): 0}, [], []
+        for a, b in (todo := [(0, 0)]):
+            row = {}
+            for s in (*CLASSES, OTHER):
+                to = (self.steps[a][s], other.steps[b][s])
+                if to not in found:
+                    found[to] = len(found)
+                    todo.append(to)
+                row[s] = found[to]
+            steps.append(row)
+            factors.append((self.factors[a][0] * other.factors[b][0], self.factors[a][1] * other.factors[b][1]))
+        return Transducer(tuple(steps), tuple(factors))
+
+    def read(self, symbols) -> list[tuple[float, float]]:
+        state, out = 0, []
+        for s in symbols:
+            state = self.steps[state][s]
+            out.append(self.factors[state])
+        return out
+
+
 @dataclass
 class Grammar:
-    """The composed transducer. Its weights are what fit() learns; the shape is fixed."""
+    """The grammar's weights. The lexicon and the squashing are what fit() learns; the shape is fixed."""
 
     insults: dict[str, float] = field(default_factory=dict)
     slope: float = 1.0
@@ -50,55 +100,58 @@ class Grammar:
     negated: float = 0.5
     reported: float = 0.6
 
-    def word(self, w: str) -> float:
-        """The heaviest lexicon path that accepts the word, or nothing."""
+    @cached_property
+    def target(self) -> Transducer:
+        """TARGET: insults near a second person weigh more, threats weigh only there. Read from both ends."""
+        return Transducer.within("target", self.near, (self.target_gain, 1.0), (1.0, 0.0))
+
+    @cached_property
+    def context(self) -> Transducer:
+        """NEGATION, REPORTED and the intent of THREAT, composed."""
+        negation = Transducer.within("not", 2, (self.negated, self.negated), (1.0, 1.0))
+        reported = Transducer.after("report", (self.reported, self.reported))
+        intent = Transducer.within("intent", self.near, (1.0, 1.0), (1.0, 0.0))
+        return negation @ reported @ intent
+
+    def word(self, w: str) -> tuple[float, float, str]:
+        """INSULT's weight of the word (its heaviest lexicon path, or nothing), THREAT's, and its symbol."""
         best = self.insults.get(f"{w}$", 0.0)
         for k in PREFIX:
             if k > len(w):
                 break
             best = max(best, self.insults.get(w[:k], 0.0))
-        return best
-
-    def clause(self, words: list[str], weights: list[float]) -> float:
-        total, since_target, since_not, since_report, since_intent = 0.0, 99, 99, 99, 99
-        for k, w in enumerate(words):
-            since_target, since_not, since_report, since_intent = since_target + 1, since_not + 1, since_report + 1, since_intent + 1
-            if w in TARGETS:
-                since_target = 0
-            elif w in NEGATIONS:
-                since_not = 0
-            elif w in REPORTS:
-                since_report = 0
-            elif w in INTENTS:
-                since_intent = 0
-            x = weights[k]
-            if w in THREATS and since_intent <= self.near and (since_target <= self.near or TARGETS.intersection(words[k + 1 : k + 1 + self.near])):
-                x += THREATS[w]
-            elif x and (since_target <= self.near or TARGETS.intersection(words[k + 1 : k + 1 + self.near])):
-                x *= self.target_gain
-            if x:
-                x *= self.negated if since_not <= 2 else 1.0
-                x *= self.reported if since_report <= len(words) else 1.0
-            total += x
+        return best, THREATS.get(w, 0.0), next((c for c, words in CLASSES.items() if w in words), OTHER)
+
+    def clause(self, words: list[tuple[float, float, str]]) -> float:
+        """The weight of a clause of words as word() gives them."""
+        symbols = [w[2] for w in words]
+        ahead, back = self.target.read(symbols), self.target.read(reversed(symbols))[::-1]
+        total = 0.0
+        for (insult, threat, _), c, t, u in zip(words, self.context.read(symbols), ahead, back):
+            if insult or threat:
+                total += insult * c[0] * max(t[0], u[0]) + threat * c[1] * max(t[1], u[1])
         return total
 
-    def total(self, text: str, known: dict[str, float]) -> float:
+    def total(self, text: str, known: dict[str, tuple[float, float, str]]) -> float:
         """The sum over the text's clauses; known caches words."""
         tokens = TOKEN.findall(text.lower())
-        weights = []
+        words = []
         for w in tokens:
             x = known.get(w)
             if x is None:
                 if len(known) > 300_000:
                     known.clear()
-                x = known[w] = 0.0 if w in BREAKS else (self.word(w) or (1e-9 if w in THREATS else 0.0))
-            weights.append(x)
-        if not any(weights):
+                x = known[w] = (0.0, 0.0, "") if w in BREAKS else self.word(w)
+            words.append(x)
+        heavy = [k for k, x in enumerate(words) if x[0] or x[1]]
+        if not heavy:
             return 0.0
-        total, start = 0.0, 0
+        total, start, at = 0.0, 0, 0
         for k in [k for k, w in enumerate(tokens) if w in BREAKS] + [len(tokens)]:
-            if any(weights[start:k]):
-                total += self.clause(tokens[start:k], weights[start:k])
+            if at < len(heavy) and heavy[at] < k:
+                total += self.clause(words[start:k])
+                while at < len(heavy) and heavy[at] < k:
+                    at += 1
             start = k + 1
         return total
 
@@ -126,12 +179,17 @@ def _count(batches):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, use: Column) -> DataFrame:
-    """text and toxic of at most SAMPLE labelled documents of each class for which use holds."""
+    """text and toxic of about SAMPLE labelled documents of each class for which use holds, one row for an id.
+
+    Which ones follows from a hash of the id; of a class with no more than SAMPLE all are taken. Of several
+    labels of an id the highest counts. Null ids, null labels and those other than 0 and 1 go.
+    """
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(use)
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marks.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE).drop("_r")
-    chosen = F.broadcast(chosen)  # 2 * SAMPLE rows at most
-    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & use).join(chosen, "doc_id").select("text", "toxic")
+    sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # of two classes
+    share = F.when(F.col("toxic") == 1, F.lit(SAMPLE / max(1, sizes.get(1, 1)))).otherwise(F.lit(SAMPLE / max(1, sizes.get(0, 1))))
+    chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share * float(1 << 40))
+    chosen = F.broadcast(chosen)  # about 2 * SAMPLE rows
+    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & use).join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
 
 
 def fit(sample: DataFrame) -> Grammar:
@@ -155,15 +213,15 @@ def fit(sample: DataFrame) -> Grammar:
     evidence = part("bad", rate) + part("good", 1 - rate)
     top = counts.withColumns({"w": odds, "e": evidence}).where((F.col("w") >= 2.5) & (F.col("e") >= EVIDENCE + bad / 50)).orderBy(F.desc("e"), "entry").limit(LEXICON)
     grammar = Grammar({r["entry"]: float(r["w"]) / 4 for r in top.collect()})
-    rows = sample.mapInPandas(_totals(grammar), "total double, toxic int").groupBy("toxic", F.round("total", 2).alias("total")).agg(F.count(F.lit(1)).alias("n"))
-    bins = [(min(r["total"], 40.0), int(r["toxic"]), r["n"] / sizes[int(r["toxic"])]) for r in rows.limit(100_000).collect()]
+    rows = sample.mapInPandas(_totals(grammar), "total double, toxic int").groupBy("toxic", F.round(F.least("total", F.lit(40.0)), 2).alias("total")).agg(F.count(F.lit(1)).alias("n"))
+    bins = [(r["total"], int(r["toxic"]), r["n"] / sizes[int(r["toxic"])]) for r in rows.collect()]  # 8002 rows at most
     _squash(grammar, bins)
     return grammar
 
 
 def _totals(grammar: Grammar):
     def run(batches):
-        known: dict[str, float] = {}
+        known: dict[str, tuple[float, float, str]] = {}
         for pdf in batches:
             yield pd.DataFrame({"total": [grammar.total(t or "", known) for t in pdf["text"]], "toxic": pdf["toxic"]})
 
@@ -192,7 +250,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """
 
     def run(batches):
-        known: dict[str, float] = {}
+        known: dict[str, tuple[float, float, str]] = {}
         for batch in batches:
             totals = [grammar.total(t or "", known) for t in batch.column("text").to_pylist()]
             scores = [grammar.score(x) for x in totals]
@@ -209,7 +267,7 @@ def clean(docs: DataFrame, grammar: Grammar) -> DataFrame:
     k = docs.columns.index("text")
 
     def run(batches):
-        known: dict[str, float] = {}
+        known: dict[str, tuple[float, float, str]] = {}
         for batch in batches:
             yield batch.filter(pa.array([grammar.score(grammar.total(t or "", known)) < 0.5 for t in batch.column(k).to_pylist()], pa.bool_()))
 
