@@ -7,13 +7,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ._common import written
 from ._words import texts
 
-#: Labelled rows of each language that the fit reads at most, taken in the order of a hash of the id.
+#: Labelled rows of each language that the fit reads, as a share of them by a hash of the row: all where there are fewer.
 SAMPLE = 400
+#: Languages up to this number are broadcast with their sizes.
+MOST_LANGUAGES = 10_000
 CENTROIDS = 4
 ROUNDS = 12
 BINS = 4096
@@ -31,7 +33,7 @@ def grams(data: np.ndarray) -> np.ndarray | None:
     x = _FOLD[data]
     if not (x != 32).any():
         return None
-    if (x < 128).all() is False or (x >= 128).any():
+    if (x >= 128).any():
         if not (x[x < 128] != 32).any() and not any(c.isalpha() for c in data.tobytes().decode("utf-8", "replace")):
             return None
     keep = np.ones(len(x), bool)
@@ -57,14 +59,18 @@ class Model:
 
 
 def training(docs: DataFrame, use: Column) -> DataFrame:
-    """text and lang of at most SAMPLE documents of each language for which use holds."""
-    rows = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & use)
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(sizes, "lang").withColumn("_h", F.xxhash64("doc_id", F.lit(7)))
-    # a coarse cut by hash before the exact one, so that little of a large language moves
-    rows = rows.where(F.pmod("_h", F.lit(1 << 20)) * F.col("_n") <= F.lit((4 * SAMPLE + 64) << 20))
-    order = W.partitionBy("lang").orderBy("_h", "doc_id", F.xxhash64("text"))
-    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE).select("lang", "text")
+    """text and lang of about SAMPLE documents of each language for which use holds.
+
+    Which ones follows from a hash of id and text, so that texts are filtered where they are read and only
+    those chosen move. Of a language with no more than SAMPLE all are taken; equal rows count once.
+    """
+    h = F.xxhash64("doc_id", "text")
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & use)
+    sizes = written(rows.groupBy("lang").agg(F.approx_count_distinct(h).alias("_n")), "languages")
+    few = sizes.count() <= MOST_LANGUAGES
+    rows = rows.select("lang", "text", h.alias("_h")).join(F.broadcast(sizes) if few else sizes, "lang")
+    rows = rows.where((F.col("_n") <= SAMPLE) | (F.pmod("_h", F.lit(1 << 40)) * F.col("_n") < F.lit(float(SAMPLE << 40))))
+    return rows.dropDuplicates(["lang", "_h"]).select("lang", "text")
 
 
 def _vectors(batches):
