@@ -13,40 +13,53 @@ from ._common import components, prefix_sums, written
 
 THRESHOLD = 0.9
 BITS = 48
-WINDOW = 64
-#: Chance with which a pair exactly at the threshold may be missed by all passes.
+WINDOW = 512
+#: Chance with which a pair exactly at the threshold may be missed by the first passes, if vectors are spread evenly.
 MISS = 0.01
-#: Vectors of a block; a task compares two blocks at most.
-BLOCK = 1024
+#: Passes that share a shuffle; after the first passes, as many more as long as they pay.
+BATCH = 4
+#: Passes go on while a batch joins more than one of so many grouped vectors to another group.
+PAYS = 2000
+#: Vectors of a block; a task that counts links meets two halves.
+BLOCK = 4096
+#: Parts over which the rows of one large group are dealt in joins on the group.
+SALT = 16
 
 
 def passes(n: int) -> int:
     """Passes so that a pair at the threshold is neighbours in one with a chance of 1 - MISS.
 
-    About WINDOW vectors share log2(n / WINDOW) leading bits, and a bit of both agrees with a chance of
-    1 - angle / pi; so the number grows slowly with the table.
+    About WINDOW vectors share log2(n / WINDOW) leading bits if they are spread evenly, and a bit of both
+    agrees with a chance of 1 - angle / pi; so the number grows slowly with the table. Where vectors crowd
+    more is missed, which shows in what a further batch still joins.
     """
     bits = max(1.0, math.log2(max(2, n) / WINDOW))
     meet = (1 - math.acos(THRESHOLD) / math.pi) ** bits
     return max(4, math.ceil(math.log(MISS) / math.log1p(-min(meet, 0.99))))
 
 
+def _vectors(column: pa.Array) -> list[np.ndarray]:
+    """The values of a list column as arrays of doubles."""
+    flat, at = column.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
 def _hashes(first: int, last: int):
     def run(batches):
         planes: dict[int, np.ndarray] = {}
+        weights, k = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64), last - first
         for batch in batches:
-            node, number, dims, out = batch.column("node").to_pylist(), [], [], []
-            rows = batch.column("embedding").to_pylist()
-            for v in rows:
-                d = len(v)
+            node, rows = batch.column("node").to_numpy(), _vectors(batch.column("embedding"))
+            dims = np.array([len(v) for v in rows], np.int64)
+            out = np.empty((len(rows), k), np.int64)
+            for d in np.unique(dims).tolist():
                 if d not in planes:
-                    planes[d] = np.stack([np.random.RandomState([d, k]).standard_normal((BITS, d)) for k in range(first, last)])
-                bits = (planes[d] @ np.asarray(v, np.float64) > 0).astype(np.int64)
-                out.append(bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)))
-                dims.append(d)
-            k = last - first
-            cols = [pa.array(np.repeat(np.array(node, np.int64), k)), pa.array(np.tile(np.arange(first, last), len(node))), pa.array(np.repeat(np.array(dims, np.int64), k)), pa.array(np.concatenate(out) if out else np.empty(0, np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "pass", "dim", "hash"])
+                    planes[d] = np.concatenate([np.random.RandomState([d, p]).standard_normal((BITS, d)) for p in range(first, last)]).T
+                here = np.flatnonzero(dims == d)
+                bits = np.stack([rows[r] for r in here]) @ planes[d] > 0
+                out[here] = bits.reshape(len(here), k, BITS).astype(np.int64) @ weights
+            cols = [np.repeat(node, k), np.tile(np.arange(first, last), len(node)), np.repeat(dims, k), out.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["node", "pass", "dim", "hash"])
 
     return run
 
@@ -93,16 +106,56 @@ def _neighbours(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
 
-def _counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of each left vector, how many rows of the right block it links with; blocks are one group of one dimension."""
+def _links(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Of each left vector of two blocks of one group, how many rows of the right one it links with."""
     out = []
-    for part in _by_dim(pdf):
-        left, right = part[part["left"]], part[~part["left"]]
-        if len(left) and len(right):
-            hit = _unit(left["embedding"]) @ _unit(right["embedding"]).T >= THRESHOLD
-            hit &= left["node"].to_numpy()[:, None] != right["node"].to_numpy()[None]
-            out.append(pd.DataFrame({"node": left["node"], "links": hit @ right["size"].to_numpy(), "least": np.where(hit.any(1), np.where(hit, right["node"].to_numpy()[None], np.iinfo(np.int64).max).min(1), left["node"])}))
-    return pd.concat(out) if out else pd.DataFrame({"node": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "least": pd.Series(dtype="int64")})
+    for d in {len(r[3]) for r in rows}:
+        left, right = ([r for r in rows if r[0] == flag and len(r[3]) == d] for flag in (True, False))
+        if left and right:
+            hit = _unit([r[3] for r in left]) @ _unit([r[3] for r in right]).T >= THRESHOLD
+            hit &= np.array([r[1] for r in left])[:, None] != np.array([r[1] for r in right])[None]
+            n = hit.astype(np.float64) @ np.array([r[2] for r in right], np.float64)
+            out += zip([r[1] for r in left], n.astype(np.int64).tolist())
+    return out
+
+
+def _counts(batches):
+    """_links() of each run of rows with one key."""
+    key, rows = None, []
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["node", "links"])
+
+    for batch in batches:
+        out = []
+        cols = [batch.column(c).to_pylist() for c in ("root", "l", "r", "left", "node", "size")]
+        for *now, left, node, size, vector in zip(*cols, _vectors(batch.column("embedding"))):
+            if now != key:
+                out += _links(rows)
+                key, rows = now, []
+            rows.append((left, node, size, vector))
+        yield batch_of(out)
+    yield batch_of(_links(rows))
+
+
+def _of_root(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows joined on root with found (a row per root), the rows of a large group dealt out."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
+    return rows.join(found.select("*", salts), ["root", "salt"]).drop("salt")
+
+
+def _pass(classes: DataFrame, n: int, first: int, last: int) -> DataFrame:
+    """Edges (a, b) that connect what the passes first to last - 1 find among n classes."""
+    h = classes.select("node", "embedding").mapInArrow(_hashes(first, last), "node long, pass long, dim long, hash long")
+    order = [F.col(c) for c in ("pass", "dim", "hash", "node")]
+    h = prefix_sums(h.withColumn("one", F.lit(1)), order, {"rank": "one"})  # n rows in each pass
+    h = h.select("node", (F.col("rank") - n * (F.col("pass") - first)).alias("rank"), "pass")
+    block = F.floor(F.col("rank") / BLOCK)
+    halo = F.when(F.col("rank") % BLOCK < WINDOW, F.array(block, block - 1)).otherwise(F.array(block))
+    h = h.withColumn("home", block).withColumn("block", F.explode(halo))
+    h = h.join(classes.select("node", "embedding"), "node").withColumn("own", F.col("home") == F.col("block"))
+    return written(h.groupBy("pass", "block").applyInPandas(_neighbours, "a long, b long").distinct(), "pairs")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -110,51 +163,59 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
     Equal vectors form a class, compared once. In each pass classes are ordered by BITS concatenated
     random hyperplane signs (ties by class) and compared with the WINDOW next ones; all pairs verified in
-    any pass are united to groups. Windows bound what a pass compares, not what is found: in every group
-    each class is then compared with all others, block by block, which gives exact link counts and leaves
-    no pair of a group out.
+    any pass are united to groups. After the first passes, whose number follows from the table's size,
+    more follow in batches until one joins hardly any groups any more. In every group each class is then
+    compared with all others, block by block, which gives exact link counts and leaves no pair of a group
+    out.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and so
     do vectors of different lengths. component_id is the least vec_id of the vectors reachable (null ids
     last). Rows may repeat and ids be null: each row counts as a vector. An empty table gives an empty
     result; other columns are not read.
     """
-    spark = vectors.sparkSession
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    kept = vectors.schema["embedding"].dataType.simpleString()
+    kind = "array<float>" if kept == "array<float>" else "array<double>"
+    v = vectors.select("vec_id", F.col("embedding").cast(kind).alias("embedding"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    norm = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
     usable = F.coalesce(F.forall("embedding", fine) & (norm > 0) & (norm < float("inf")), F.lit(False))
     v = v.withColumn("key", F.when(usable, F.md5(F.to_json(F.struct("embedding")).cast("binary"))))
     v = written(v, "vectors")
     classes = v.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("rep"), F.first("embedding").alias("embedding"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    n, total = classes.count(), passes(classes.count())
-    links = None
-    for first in range(0, total, 8):
-        last = min(first + 8, total)
-        h = classes.select("node", "embedding").mapInArrow(_hashes(first, last), "node long, pass long, dim long, hash long")
-        order = [F.col(c) for c in ("pass", "dim", "hash", "node")]
-        h = prefix_sums(h.withColumn("one", F.lit(1)), order, {"rank": "one"})  # n rows in each pass
-        h = h.select("node", (F.col("rank") - n * (F.col("pass") - first)).alias("rank"), "pass")
-        block = F.floor(F.col("rank") / BLOCK)
-        halo = F.when(F.col("rank") % BLOCK < WINDOW, F.array(block, block - 1)).otherwise(F.array(block))
-        h = h.withColumn("home", block).withColumn("block", F.explode(halo))
-        h = h.join(classes.select("node", "embedding"), "node").withColumn("own", F.col("home") == F.col("block"))
-        found = written(h.groupBy("pass", "block").applyInPandas(_neighbours, "a long, b long").distinct(), "pairs")
+    n, done, links, roots = classes.count(), 0, None, None
+    total = passes(n)
+    while True:
+        last = min(done + BATCH, total) if done < total else done + BATCH
+        found = _pass(classes, n, done, last)
         links = found if links is None else links.union(found)
-    roots = components(links)
+        done = last
+        if done < total:
+            continue
+        if roots is not None:
+            root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+            apart = found.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+            new = apart.where("a <> b").distinct().count()
+            if new:
+                roots = components(links)
+            if new * PAYS <= roots.count():
+                break
+        else:
+            roots = components(links)
+            if n <= WINDOW:  # each pass compares all
+                break
     groups = classes.join(roots, "node").select("node", "root", "size", "embedding")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    groups = groups.join(sizes, "root").withColumn("blocks", F.ceil(F.col("m") / (BLOCK // 2)))
+    groups = _of_root(groups, sizes).withColumn("blocks", F.ceil(F.col("m") / (BLOCK // 2)))
     groups = groups.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # small groups share a task: a block of one group meets itself, by group
     each = lambda flag: F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.when(F.lit(flag), F.col("block")).otherwise(o).alias("l"), F.when(F.lit(flag), o).otherwise(F.col("block")).alias("r"), F.lit(flag).alias("left")))
     pairs = groups.select("node", "root", "size", "embedding", F.explode(F.concat(each(True), each(False))).alias("p")).select("node", "root", "size", "embedding", "p.*")
-    counted = pairs.groupBy("root", "l", "r").applyInPandas(_counts, "node long, links long, least long").groupBy("node").agg(F.sum("links").alias("links"))
+    pairs = pairs.repartition("root", "l", "r").sortWithinPartitions("root", "l", "r")
+    counted = pairs.mapInArrow(_counts, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
     counted = written(counted, "counted")
-    of = classes.join(roots, "node", "left").join(counted, "node", "left").select("key", "rep", "size", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    of = classes.join(roots, "node", "left").join(counted, "node", "left").select("node", "key", "rep", "size", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = of.join(least, "root").select("key", "component_id", (F.col("links") + F.col("size") - 1).alias("n_links"))
+    of = _of_root(of, least).select("key", "component_id", (F.col("links") + F.col("size") - 1).alias("n_links"))
     out = v.select("vec_id", "key").join(of, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
