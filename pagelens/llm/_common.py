@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, Window as W
 
 #: Characters that separate words, and the words between them (Java regex).
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary one in a local
+    session, and an error on a cluster, whose machines share no temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-pagelens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -61,24 +64,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Nodes of undirected edges (a, b) with the smallest node reachable: columns node, root.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014); each step is a grouped minimum
-    with map-side combining and a join that adaptive execution can split. Null and self edges go.
+    with map-side combining and a join that adaptive execution can split. Ends when a round changes
+    nothing, as count and hash of the edges it writes tell. Null and self edges go.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = written(e, "edges")
+    e, last = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), None
     for _ in range(rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         new = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        new = written(new.distinct(), "edges")
-        same = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        old = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        e = new
-        if same == old:
+        seen = Observation()
+        e = written(new.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        if seen.get == last:
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("root"))
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.distinct())
+        last = seen.get
     raise RuntimeError(f"components: not settled after {rounds} rounds")
 
 

@@ -64,33 +64,38 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(x.mapInArrow(_verified, "a long, b long"), "links")
 
 
-def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches do not rule out."""
-    side = lambda x: classes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "s0", "s1")])
-    x = pairs.join(side("a"), "a").join(side("b"), "b")
-    alike = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) <= SKETCH_BITS
-    alike = alike | (F.least("n_a", "n_b") < SKETCH_FROM)
-    return x.where(alike & (100 * F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b"))).select(*pairs.columns)
+def _possible(a: str, b: str):
+    """Whether sizes and sketches of two structs of node, n, s0 and s1 don't rule a link out."""
+    least, most = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")), F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
+    apart = [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("s0", "s1")]
+    return ((apart[0] + apart[1] <= SKETCH_BITS) | (least < SKETCH_FROM)) & (100 * least >= THRESHOLD * most)
+
+
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """The nodes a < b of two structs, where they differ and a link is possible."""
+    x = rows.where((F.col(f"{a}.node") != F.col(f"{b}.node")) & _possible(a, b))
+    return x.select(F.least(f"{a}.node", f"{b}.node").alias("a"), F.greatest(f"{a}.node", f"{b}.node").alias("b"))
 
 
 def _split(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, band and root of the members of those buckets that hold more than one component."""
-    x = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = x.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 < r1")
-    return written(x.join(open_.select("band", "m"), "band"), "split")
+    """band, me and root of the members of those buckets that hold more than one component."""
+    x = met.select("band", "me", F.col("me.node").alias("node")).join(roots, "node", "left").select("band", "me", F.coalesce("root", "node").alias("root"))
+    open_ = x.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band")
+    return written(x.join(open_, "band"), "split")
 
 
 def _star_pairs(split: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs (a, b) of each member with its bucket's best linked member of another component: the hub, and
     for the hub's own component the best linked one outside it."""
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    x = split.join(degree, "node", "left").withColumn("best", F.struct(F.coalesce("d", F.lit(0)).alias("d"), -F.col("node"), "node", "root"))
+    x = split.withColumn("node", F.col("me.node")).join(degree, "node", "left")
+    x = x.select("band", "me", "root", F.struct(F.coalesce("d", F.lit(0)).alias("d"), -F.col("node"), "me", "root").alias("best"))
     of_root = x.groupBy("band", "root").agg(F.max("best").alias("best"))
-    hub = of_root.groupBy("band").agg(F.max("best").alias("h"))
-    other = of_root.join(hub, "band").where(F.col("root") != F.col("h.root")).groupBy("band").agg(F.max("best").alias("o"), F.first("h").alias("h"))
-    x = x.select("band", "node", "root").join(other, "band")
-    to = F.when(F.col("root") == F.col("h.root"), F.col("o.node")).otherwise(F.col("h.node"))
-    return x.select(F.least("node", to).alias("a"), F.greatest("node", to).alias("b")).distinct()
+    hubs = of_root.groupBy("band").agg(F.max("best").alias("h"))
+    other = of_root.join(hubs, "band").where(F.col("root") != F.col("h.root")).groupBy("band").agg(F.max("best").alias("o"), F.first("h").alias("h"))
+    x = x.select("band", "me", "root").join(other, "band")
+    x = x.withColumn("to", F.when(F.col("root") == F.col("h.root"), F.col("o.me")).otherwise(F.col("h.me")))
+    return _pairs(x, "me", "to").distinct()
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -166,34 +171,33 @@ def _compared(batches):
     yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _block_links(split: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def _block_links(split: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges (a, b) of roots between which any two members of one bucket are linked.
 
     Buckets of the same members count once. A bucket's members are dealt to blocks of bounded numbers of
     members and shingles, and each two blocks meet in one task. A component that fills blocks of its own
     is not compared with itself; the other components share blocks.
     """
-    alike = split.groupBy("band").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.count(F.lit(1)).alias("m"))
-    one = alike.groupBy("x", "m").agg(F.min("band").alias("band")).select("band")
-    x = split.select("band", "node", "root").join(one, "band").join(classes.select("node", "n"), "node")
-    x = written(x, "open")
-    size = lambda m, n: F.greatest(F.ceil(F.col(m) / BLOCK), F.ceil(F.col(n) / SHINGLES)).cast("long")
-    of_root = x.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).withColumn("k", size("m", "s"))
-    of_root = of_root.withColumn("own", F.when(F.col("k") > 1, F.col("root")).otherwise(-1))
-    of_own = of_root.groupBy("band", "own").agg(F.sum("m").alias("m"), F.sum("s").alias("s")).withColumn("k", size("m", "s"))
-    blocks = F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.struct(F.col("own").alias("own"), j.alias("j")))))
-    every = of_own.groupBy("band").agg(blocks.alias("all"))
-    x = x.join(of_root.where("own >= 0").select("band", "root", "own"), ["band", "root"], "left").withColumn("own", F.coalesce("own", F.lit(-1)))
-    x = x.join(of_own.select("band", "own", "k"), ["band", "own"]).join(every, "band")
-    x = x.withColumn("me", F.struct(F.col("own").alias("own"), F.pmod(F.xxhash64("node"), F.col("k")).alias("j")))
-    meets = F.filter("all", lambda o: (o["own"] == -1) | (o["own"] != F.col("own")))
-    x = x.withColumn("o", F.explode(meets))
-    side = F.when(F.col("me") == F.col("o"), 2).when(F.col("me") < F.col("o"), 0).otherwise(1)
-    x = x.select("band", F.least("me", "o").alias("l"), F.greatest("me", "o").alias("r"), "node", "root", side.alias("side"))
-    name = lambda c: F.concat_ws(":", F.col(f"{c}.own"), F.col(f"{c}.j")).alias(c)
-    x = x.select("band", name("l"), name("r"), "node", "root", "side").join(sets, "node")
+    blocks = lambda m, n: F.greatest(F.ceil(m / BLOCK), F.ceil(n / SHINGLES)).cast("long")
+    hashed = F.sum(F.xxhash64("me.node").cast("decimal(38,0)"))
+    of_root = split.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("me.n").alias("n"), hashed.alias("x"))
+    of_root = of_root.withColumn("k", blocks(F.col("m"), F.col("n")))
+    shared = lambda c: F.sum(F.when(F.col("k") == 1, F.col(c)).otherwise(0))
+    own = F.collect_list(F.when(F.col("k") > 1, F.struct(F.col("root").alias("own"), "k")))  # a row for BLOCK members or more
+    of_band = of_root.groupBy("band").agg(F.sum("x").alias("x"), F.sum("m").alias("m"), blocks(shared("m"), shared("n")).alias("k"), own.alias("own"))
+    of_band = of_band.groupBy("x", "m").agg(F.min_by(F.struct("band", "k", "own"), "band").alias("b")).select("b.*")
+    x = split.join(of_band, "band")
+    mine = F.get(F.filter("own", lambda o: o["own"] == F.col("root")), F.lit(0))
+    block = F.struct(F.coalesce(mine["own"], F.lit(-1)).alias("own"), F.pmod(F.xxhash64("me.node"), F.coalesce(mine["k"], F.col("k"))).alias("j"))
+    numbers = lambda own, k: F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda j: F.struct(own.alias("own"), j.alias("j")))
+    every = F.concat(F.when(F.col("k") > 0, numbers(F.lit(-1).cast("long"), F.col("k"))).otherwise(F.array()), F.flatten(F.transform("own", lambda o: numbers(o["own"], o["k"]))))
+    x = x.select("band", F.col("me.node").alias("node"), "root", block.alias("block"), every.alias("every"))
+    x = x.withColumn("o", F.explode(F.filter("every", lambda o: (o["own"] == -1) | (o["own"] != F.col("block.own")))))
+    side = F.when(F.col("block") == F.col("o"), 2).when(F.col("block") < F.col("o"), 0).otherwise(1)
+    name = lambda c: F.concat_ws(":", c["own"], c["j"])
+    x = x.select("band", name(F.least("block", "o")).alias("l"), name(F.greatest("block", "o")).alias("r"), "node", "root", side.alias("side")).join(sets, "node")
     x = x.repartition("band", "l", "r").sortWithinPartitions("band", "l", "r").select("band", "l", "r", "root", "side", "hashes")
-    return written(x.mapInArrow(_compared, "a long, b long").distinct(), "joined")
+    return written(x.mapInArrow(_compared, "a long, b long"), "joined")
 
 
 def _keyed(batches):
@@ -207,10 +211,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs.
 
     Rows with equal shingle sets form a class, so copies cost one row each. Classes meet in buckets of
-    four signature bins. Candidate edges are stars: a bucket's members are compared with its least and
-    greatest class, each with the hub it meets most often, then those edges that would still join two
-    components; then, where a bucket holds more than one component, with its best linked member of another
-    one. Sizes and sketches rule edges out; the others are checked on full sets. Buckets that still hold
+    four signature bins. Candidate edges are stars: a class is compared with that hub, of the least and
+    greatest classes of its buckets, which it meets most often; then, where a bucket holds more than one
+    component, its members with its best linked member of another one. Sizes and sketches rule edges out; the others are checked on full sets. Buckets that still hold
     several components are compared block by block on full sets, which gives at most one edge for each
     component: so no two classes of a bucket stay apart that are linked.
 
@@ -234,41 +237,33 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     classes = found.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("bands", "s0", "s1")])
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    bands = classes.select("node", F.explode("bands").alias("band"))
-    hubs = written(bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "hubs")
+    me = F.struct("node", "n", "s0", "s1").alias("me")
+    bands = classes.select(me, F.explode("bands").alias("band"))
+    hubs = bands.groupBy("band").agg(F.min("me").alias("lo"), F.max("me").alias("hi")).where("lo.node < hi.node")
     members = written(bands.join(hubs, "band"), "members")
-    met = members.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("b")).where("a <> b")
-    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
-    edges = written(_possible(met, classes), "edges")
+    met = members.select("me", F.explode(F.array("lo", "hi")).alias("hub")).where(F.col("me.node") != F.col("hub.node"))
+    met = met.where(_possible("me", "hub")).groupBy(F.col("me.node").alias("a"), F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
+    first = met.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
+    first = written(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
 
-    need = members.select("node").distinct().join(classes.select("node", "rep", "cls"), "node")
+    need = members.select(F.col("me.node").alias("node")).distinct().join(classes.select("node", "rep", "cls"), "node")
     sets = docs.join(need, docs["doc_id"].eqNullSafe(need["rep"])).select("node", "cls", "text")
     sets = sets.mapInArrow(_matching, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
     sets = written(sets, "sets")
-    first = edges.groupBy("a").agg(F.max_by("b", "votes").alias("b"))
     links = _links(first, sets)
     roots = components(links)
-    rest = edges.join(first, ["a", "b"], "left_anti")
-    for x in ("a", "b"):
-        rest = rest.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left")
-    rest = rest.withColumns({f"r{x}": F.coalesce(f"r{x}", x) for x in "ab"}).where("ra <> rb")
-    rest = written(rest.select("a", "b"), "rest")
-    more = _links(rest, sets)
-    if more.take(1):
-        links = written(links.union(more), "links")
-        roots = components(links)
-    either = lambda x: x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    split = _split(members.select("node", "band"), roots)
+    split = _split(members, roots)
     if split.take(1):
-        pairs = _star_pairs(split, links).join(either(first.select("a", "b")).union(either(rest)), ["a", "b"], "left_anti")
-        more = _links(_possible(pairs, classes), sets)
+        more = _links(_star_pairs(split, links).join(first, ["a", "b"], "left_anti"), sets)
         if more.take(1):
             roots = components(links.union(more))
-            split = _split(members.select("node", "band"), roots)
-        joined = components(_block_links(split, classes, sets)).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        # a root that no link was found for stands for itself
-        nodes = roots.unionByName(joined.select(F.col("root").alias("node"), "root")).distinct()
-        roots = written(nodes.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+            split = _split(split, roots)
+        joined = _block_links(split, sets)
+        if joined.take(1):
+            joined = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
+            # a root that no link was found for before stands for itself
+            nodes = roots.unionByName(joined.select(F.col("root").alias("node"), "root")).distinct()
+            roots = written(nodes.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
     of_class = classes.join(roots, "node", "left").select("cls", "rep", F.coalesce("root", "node").alias("root"))
     first_class = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cls"))
     least = of_class.groupBy("root").agg(F.min("rep").alias("component_id"), first_class["cls"].alias("least"))

@@ -389,13 +389,12 @@ def test_minhash_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
     near = [np.unique(np.concatenate([np.arange(40, dtype=np.uint64) + 100 * (k % 4), rng.randint(1000, 2000, 6).astype(np.uint64)])) for k in range(40)]
     rows = [(k, 7 + k % 2, k if k % 4 else k % 8) for k in range(40)]
-    split = spark.createDataFrame(rows, "node long, band long, root long")
-    classes = spark.createDataFrame([(k, len(s)) for k, s in enumerate(near)], "node long, n long")
+    split = spark.createDataFrame([(b, (k, len(near[k])), r) for k, b, r in rows], "band long, me struct<node:long,n:long>, root long")
     data = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(near)], "node long, hashes binary")
     ok = lambda a, b: 100 * (n := len(np.intersect1d(near[a], near[b]))) >= 75 * (len(near[a]) + len(near[b]) - n)
     links = [(rows[a][2], rows[b][2]) for a, b in combinations(range(40), 2) if rows[a][1] == rows[b][1] and ok(a, b)]
     nodes = {r[2] for r in rows}
-    edges = [(r["a"], r["b"]) for r in minhash._block_links(split, classes, data).collect()]
+    edges = [(r["a"], r["b"]) for r in minhash._block_links(split, data).collect()]
     assert groups(edges, nodes) == groups(links, nodes) and len(edges) < 120
 
 
