@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from ._common import SPACE, WORD, written
 
 #: A fingerprint stands for the shortest run of whole lines with at least this many words.
-GRAM = 25
+GRAM = 20
 #: Of the runs that begin within so many words, the one with the least hash is a fingerprint. A repeated
-#: run of GRAM + SPAN - 1 = 50 words or more then always holds one; shorter ones may.
-SPAN = 26
-#: Words before and after a fingerprint's first line over which a match is extended; beyond lies the next one.
+#: run of GRAM + SPAN - 1 = 25 words or more then always holds one.
+SPAN = 6
+#: Words of a repeated run at least; shorter ones stay.
+LEAST = 25
+#: Words before and after a fingerprint's first line over which its match is extended. A longer run holds
+#: more fingerprints, each at most LEAST words from the next, so all its lines are within reach of one.
 REACH = 100
 
 _ROW = ["doc_id", "_h"]
@@ -31,8 +34,8 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
     lines = lines.withColumns({
         "gram": F.collect_list("x").over(near(0, GRAM - 1)),
         "words": F.max(F.col("at") + F.col("n")).over(near(0, GRAM - 1)) - F.col("at"),
-        "ahead": F.collect_list(F.struct("x", "pos")).over(near(0, REACH)),
-        "behind": F.collect_list(F.struct("x", "pos")).over(near(-REACH, -1)),
+        "ahead": F.collect_list(F.struct("x", "pos", "n")).over(near(0, REACH)),
+        "behind": F.collect_list(F.struct("x", "pos", "n")).over(near(-REACH, -1)),
     })
     own = F.struct(F.xxhash64("gram").alias("g1"), F.xxhash64(F.lit(1), "gram").alias("g2"), "pos", "ahead", "behind")
     lines = lines.withColumn("own", F.when(F.col("words") >= GRAM, own))
@@ -58,7 +61,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     back, ahead, before = F.reverse("behind"), F.col("ahead"), F.reverse("behind0")
     runs = F.concat(F.slice(ahead, 1, equal(ahead, F.col("ahead0"))), F.slice(back, 1, equal(back, before)))
-    gone = later.select(*_ROW, F.explode(runs).alias("e")).select(*_ROW, F.col("e.pos").alias("pos"))
+    later = later.select(*_ROW, runs.alias("run")).where(F.aggregate("run", F.lit(0).cast("long"), lambda t, e: t + e["n"]) >= LEAST)
+    gone = later.select(*_ROW, F.explode("run").alias("e")).select(*_ROW, F.col("e.pos").alias("pos"))
     return gone.groupBy(*_ROW).agg(F.collect_set("pos").alias("positions"))
 
 
@@ -67,19 +71,19 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     Documents are ordered by doc_id (null first), then by a hash of the text; of a run of lines found at
     several places, in one document or many, the first stays. Lines are cut at \\n and compared without
-    white space at their ends; those without a word are neither counted nor deleted. A repeated run of 50
-    words or more always holds a fingerprint, and at least that fingerprint's 25 words go; how much around
-    it, is decided by the fingerprint's first place alone. Runs of fewer than 25 words are never deleted. What is deleted equals lines
-    that stand earlier, and the earliest copy of a line is never deleted. Rows with equal id and text
-    count as one document and all get its result. Null texts stay null, empty ones empty; a text of which
-    every line repeats becomes empty. An empty table gives an empty result. A column named
-    n_removed_lines is replaced; names of other columns do not matter.
+    white space at their ends; those without a word are neither counted nor deleted. A repeated run of
+    LEAST words or more always holds a fingerprint; the match with that fingerprint's first place is
+    extended line by line both ways and deleted if it has LEAST words. Shorter runs stay. What is deleted
+    equals lines that stand earlier, and the earliest copy of a line is never deleted. Rows with equal id
+    and text count as one document and all get its result. Null texts stay null, empty ones empty; a text
+    of which every line repeats becomes empty. An empty table gives an empty result. A column named
+    n_removed_lines is replaced; names of other columns do not matter, as rows are carried whole.
     """
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("_gone_id"), F.col("_h").alias("_gone_h"), F.col("positions").alias("_gone"))
-    x = docs.drop("n_removed_lines")
-    cols = x.columns
-    x = x.withColumn("_text_h", F.xxhash64("text"))
-    x = x.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_text_h") == F.col("_gone_h")), "left")
-    left = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("_gone", k))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return x.select(*[text.alias(c) if c == "text" else F.col(c) for c in cols], F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed_lines"))
+    gone = repeated_lines(docs)
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("_h").alias("gone_h"), F.col("positions").alias("gone"))
+    cols = [c for c in docs.columns if c != "n_removed_lines"]
+    x = docs.select(F.struct(*cols).alias("row"))
+    x = x.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("row.text") == F.col("gone_h")), "left")
+    left = F.filter(F.split("row.text", "\n"), lambda line, k: ~F.array_contains("gone", k))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    return x.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in cols], F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed_lines"))
