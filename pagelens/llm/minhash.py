@@ -202,9 +202,10 @@ def _block_links(split: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _keyed(batches):
     for batch in batches:
+        rows = batch.column("row")
         sets = [shingle_set(t, WORDS) for t in texts(batch.column("text"))]
         keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "_cls"])
+        yield pa.RecordBatch.from_arrays([rows, batch.column("id"), keys], names=["row", "id", "cls"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -275,21 +276,21 @@ def _verdicts(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate group; all columns stay.
+    """docs with one row of each near-duplicate group; all columns stay, whatever their names.
 
     Of several rows with the id and the shingle set that stay, one remains; rows that share an id, or have
     none, but are no near duplicates all stay. Rows without words link with nothing and all stay, repeated
     ones too.
     """
     of = written(_verdicts(docs), "verdicts")
-    n = of.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.max("own").alias("_own"))
-    n = written(n.where("_own"), "kept")
-    x = docs.join(n, docs["doc_id"].eqNullSafe(n["_id"]))
-    once = x.where("_n = 1").select(*docs.columns)
-    many = x.where("_n > 1").select(*docs.columns)
-    keyed = many.mapInArrow(_keyed, many.withColumn("_cls", F.lit(None).cast("binary")).schema)
-    stays = of.where("own and n_shingles > 0").join(n.where("_n > 1"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    stays = stays.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_key")).distinct()
-    held = keyed.join(stays, (F.col("_cls") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    held = held.dropDuplicates(["doc_id", "_cls"]).unionByName(keyed.where("_cls is null"))
-    return once.unionByName(held.select(*docs.columns))
+    n = of.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own"))
+    n = written(n.where("own"), "kept")
+    x = docs.select(F.struct(*docs.columns).alias("row")).withColumn("id", F.col("row.doc_id"))
+    x = x.join(n, F.col("id").eqNullSafe(F.col("doc_id"))).select("row", "id", "n")
+    once, many = x.where("n = 1").select("row"), x.where("n > 1").select("row", "id", F.col("row.text").alias("text"))
+    keyed = many.mapInArrow(_keyed, many.select("row", "id", F.lit(None).cast("binary").alias("cls")).schema)
+    stays = of.where("own and n_shingles > 0").join(n.where("n > 1").select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    stays = stays.select(F.col("doc_id").alias("stay"), F.col("cls").alias("key")).distinct()
+    held = keyed.join(stays, (F.col("cls") == F.col("key")) & F.col("id").eqNullSafe(F.col("stay")), "left_semi")
+    held = held.dropDuplicates(["id", "cls"]).unionByName(keyed.where("cls is null"))
+    return once.unionByName(held.select("row")).select("row.*")

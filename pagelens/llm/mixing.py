@@ -130,18 +130,16 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
 
 
 def mixed(docs: DataFrame, **kw) -> DataFrame:
-    """docs with each row as often as plan() says: none, once or twice; all columns stay. Rows without a
-    word, which no count of words can weigh, stay once."""
-    by = ["doc_id", "_h", "source"]
-    p = plan(docs, **kw).groupBy(*by).agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_n"), F.max("size").alias("_size"))
-    p = p.select(*[F.col(c).alias(f"_p{k}") for k, c in enumerate(by)], "_c", "_n", "_size")
-    x = docs.withColumn("_th", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    on = F.col("doc_id").eqNullSafe(F.col("_p0")) & (F.col("_th") == F.col("_p1")) & F.col("source").cast("string").eqNullSafe(F.col("_p2"))
-    x = x.join(p, on)
-    one = x.where("_n = 1").withColumn("_k", F.when(F.col("_size") > 0, F.col("_c")).otherwise(1))
-    same = W.partitionBy("doc_id", "_th", "source").orderBy("_th")
-    many = x.where("_n > 1").withColumn("_r", F.row_number().over(same))
-    share = F.floor(F.col("_c") / F.col("_n")) + (F.col("_r") <= F.col("_c") % F.col("_n")).cast("long")
-    many = many.withColumn("_k", F.when(F.col("_size") > 0, share).otherwise(1)).drop("_r")
-    x = one.unionByName(many).where("_k > 0")
-    return x.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k").cast("long")))).select(*docs.columns)
+    """docs with each row as often as plan() says: none, once or twice; all columns stay, whatever their
+    names, as rows are carried whole. Rows without a word, which no count of words can weigh, stay once."""
+    p = plan(docs, **kw).groupBy("doc_id", "_h", "source").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    x = docs.select(F.struct(*docs.columns).alias("row"))
+    x = x.withColumns({"id": F.col("row.doc_id"), "h": F.coalesce(F.xxhash64("row.text"), F.lit(0)), "s": F.col("row.source").cast("string")})
+    x = x.join(p, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("_h")) & F.col("s").eqNullSafe(F.col("source")))
+    one = x.where("n = 1").withColumn("k", F.when(F.col("size") > 0, F.col("c")).otherwise(1))
+    same = W.partitionBy("id", "h", "s").orderBy("h")
+    many = x.where("n > 1").withColumn("r", F.row_number().over(same))
+    share = F.floor(F.col("c") / F.col("n")) + (F.col("r") <= F.col("c") % F.col("n")).cast("long")
+    many = many.withColumn("k", F.when(F.col("size") > 0, share).otherwise(1)).drop("r")
+    x = one.unionByName(many).where("k > 0")
+    return x.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k").cast("long")))).select("row.*")
