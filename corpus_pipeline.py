@@ -1,4 +1,10 @@
-"""A corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
+"""A corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Null and empty texts pass every stage: they are not toxic, hold no line, link with nothing, weigh no word and
+have no pieces. Of repeated rows one stays (minhash stage), but all without a word. Empty tables give empty
+results. Columns keep their names and values up to the last stage, but for text and n_chars, which follow
+what line dedup deletes.
+"""
 
 from __future__ import annotations
 
