@@ -24,7 +24,6 @@ def case_sql(text, rules, default="NULL"):
 
 
 NOISE = [("network", "the "), ("tracker", "que"), ("markup", "un"), ("other", "e")]
-LIBRARIES = [("ring", "ring"), ("bolt-kit", "bolt"), ("gear", "gear"), ("plain", "small")]
 
 
 @query(f"SELECT doc_id, category FROM (SELECT doc_id, {case_sql('lower(text)', NOISE)} AS category FROM documents) WHERE category IS NOT NULL")
@@ -34,11 +33,6 @@ def flt_noise_error(spark, sf):
     return x.where("category is not null")
 
 
-@query(f"SELECT p_partkey, {case_sql('p_name', LIBRARIES, 'p_name')} AS library FROM part")
-def fn_canonical_lib(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.coalesce(first_match(F.col("p_name"), LIBRARIES), F.col("p_name")).alias("library"))
-
-
 @query("SELECT page_id, CASE WHEN contains(url, '/fr/') THEN 'first' WHEN contains(url, 'page=') THEN 'second' ELSE 'unknown' END AS agent FROM pages")
 def fn_agent_from_path(spark, sf):
     return table(spark, sf, "pages").select("page_id", first_match(F.col("url"), [("first", "/fr/"), ("second", "page=")], "unknown").alias("agent"))
@@ -145,23 +139,6 @@ def flt_valid_sentinel(spark, sf):
     return table(spark, sf, "supplier").where("s_acctbal > -0.99").select("s_suppkey")
 
 
-TOKENS = "(SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS token FROM documents)"
-
-
-@query(f"SELECT token FROM {TOKENS} WHERE token NOT IN ('', 'the', 'un', 'que') AND NOT ends_with(token, 'ing') AND NOT regexp_matches(token, '^[0-9]+$')")
-def flt_junk_structural(spark, sf):
-    token = F.col("token")
-    x = table(spark, sf, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"))).alias("token")).distinct()
-    return x.where(~token.isin("", "the", "un", "que") & ~F.endswith(token, N("ing")) & ~token.rlike("^[0-9]+$"))
-
-
-@query(f"SELECT token FROM {TOKENS} WHERE token <> 'main' AND NOT contains(token, 'en') AND NOT (length(token) > 10 AND regexp_matches(token, '^[0-9a-f]+$')) AND length(token) >= 3")
-def flt_junk_explicit(spark, sf):
-    """Tokens that are no junk name, hold no junk part, are no long hexadecimal number and not too short."""
-    junk = lambda t: (t == "main") | F.contains(t, N("en")) | ((F.length(t) > 10) & t.rlike("^[0-9a-f]+$")) | (F.length(t) < 3)
-    return table(spark, sf, "documents").select(F.explode(F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), lambda t: ~junk(t))).alias("token")).distinct()
-
-
 @query("SELECT p_partkey FROM part WHERE p_size <= 30 AND p_retailprice > 0 AND (p_retailprice - p_size * 30.0) / p_retailprice * 100 >= 5 AND p_brand <> ''")
 def flt_demo_gate(spark, sf):
     x = table(spark, sf, "part").where("p_size <= 30 and p_retailprice > 0 and p_brand <> ''")
@@ -185,14 +162,6 @@ def flt_passed_branches(spark, sf):
     return table(spark, sf, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 100000) & ~F.col("o_orderpriority").isin("1-URGENT", "5-LOW")).select("o_orderkey")
 
 
-@query("WITH d AS (SELECT user_id, event_type, bool_or(CAST(json_extract(props, '$.k') AS BIGINT) IN (3, 7, 11)) AS marked FROM events WHERE event_type <> 'error' GROUP BY 1, 2) SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS r FROM d WHERE marked) WHERE r <= 2")
-def flt_project_roots(spark, sf):
-    """The first two folders of a repository that hold a marker file."""
-    marker = F.get_json_object("props", "$.k").cast("long").isin(3, 7, 11)
-    d = table(spark, sf, "events").where("event_type <> 'error'").groupBy("user_id", "event_type").agg(F.bool_or(marker).alias("marked")).where("marked")
-    return d.withColumn("r", F.row_number().over(W.partitionBy("user_id").orderBy("event_type"))).where("r <= 2").select("user_id", "event_type")
-
-
 @query("SELECT s_suppkey, max(value) FILTER (event_type = 'view') AS mobile_a, max(value) FILTER (event_type = 'click') AS desktop_a, min(value) FILTER (event_type = 'view') AS mobile_b, min(value) FILTER (event_type = 'click') AS desktop_b FROM supplier LEFT JOIN events ON user_id = s_suppkey GROUP BY 1")
 def join_left_composite(spark, sf):
     """Two measures of two devices as four columns, by one aggregation and one join."""

@@ -78,10 +78,6 @@ STEM = f"regexp_replace(CASE WHEN {STEM} = '' THEN 'index' ELSE {STEM} END, '[^A
 over("fn_page_slug", "pages", f"left({STEM} || CASE WHEN {QUERY} <> '' THEN '_' || left(md5({QUERY}), 6) ELSE '' END, 100) AS slug", lambda: dict(slug=u.page_slug(url)))
 over("fn_slugify", "pages", "left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z]+://', ''), '[^A-Za-z0-9_.-]', '_', 'g'), '_+', '_', 'g'), '^[_.]+|[_.]+$', '', 'g'), 80) AS slug", lambda: dict(slug=u.slugify(url)))
 over("fn_same_origin", "pages", f"({SLUG} = '' OR {SLUG} = 'example.com' OR ends_with({SLUG}, '.example.com')) AS same", lambda: dict(same=u.same_origin(url, F.lit("https://www.example.com/x"))))
-PARTS = f"list_filter(string_split(lower({PATH}), '/'), lambda x: x <> '')"
-PARTS = f"CASE WHEN coalesce(regexp_full_match(({PARTS})[1], '[a-z]{{2}}([-_][a-z]{{2}})?'), false) THEN ({PARTS})[2:] ELSE {PARTS} END"
-TYPES = " ".join(f"WHEN list_has_any({PARTS}, {list(words)}) THEN '{name}'" for name, words in u.PAGE_TYPES)
-over("fn_page_type", "pages", f"CASE WHEN len({PARTS}) = 0 THEN 'homepage' {TYPES} ELSE 'other' END AS page_type", lambda: dict(page_type=u.page_type(url)))
 over("fn_rsc_category", "pages", f"CASE WHEN regexp_matches(lower({PATH}), '\\.(png|jpe?g|gif|webp|svg|avif|ico)$') THEN 'image' WHEN regexp_matches(lower({PATH}), '\\.m?js$') THEN 'script' WHEN regexp_matches(lower({PATH}), '\\.css$') THEN 'style' WHEN regexp_matches(lower({PATH}), '\\.(woff2?|ttf|otf|eot)$') THEN 'font' ELSE 'other' END AS category", lambda: dict(category=u.resource_category(url, F.lit(None).cast("string"))))
 over("fn_repo_from_url", "pages", "regexp_replace(array_to_string(string_split(regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '/+$', ''), '/')[1:2], '/'), '\\.git$', '') AS repo", lambda: dict(repo=u.repo_from_url(url)))
 over("fn_fuzzy_repo_key", "part", "regexp_replace(regexp_replace(replace(lower(trim(p_name)), 'github.io', 'githubio'), '_[0-9]{8}_[0-9]{6}$', ''), '[^a-z0-9]+', '', 'g') AS repo_key", lambda: dict(repo_key=u.repo_key(F.col("p_name"))))

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pagelens.functions import metrics, rules, urls
+from pagelens.functions import code, metrics, packages, rules, signatures, urls
 from pagelens.operators import aggregates, ordered, text
 from pagelens.plans import registry
 
@@ -71,11 +71,41 @@ def test_clamped_delta(spark):
     assert d(10.0, None) == -1.0 and d(10.0, 5.0) == 0.05 and d(200.0, 900.0) == -1.0 and d(None, 0.0) == 0.0
 
 
-@pytest.mark.parametrize("url,want", [("https://x.org/", "homepage"), ("https://x.org/en-us/cart", "cart"), ("https://x.org/shop/search", "search"), ("https://x.org/fr", "homepage"), ("https://x.org/zzz", "other")])
+@pytest.mark.parametrize("url,want", [
+    ("https://x.org/", "homepage"), ("https://x.org/fr-fr", "homepage"), ("https://x.org/tv/show", "other"), ("https://x.org/en/feed", "resource"),
+    ("https://x.org/a/rss.xml", "resource"), ("https://x.org/a/login", "app"), ("https://x.org/de/impressum", "corporate"), ("https://x.org/blog/page/2", "listing"),
+    ("https://x.org/users/7", "profile"), ("https://x.org/docs/x", "documentation"), ("https://x.org/x/sale", "marketing"), ("https://x.org/shop/x", "product"),
+    ("https://x.org/blog", "listing"), ("https://x.org/blog/x", "article"), ("https://x.org/2024/05/slug", "article"), ("https://x.org/zzz", "other"),
+])
 def test_page_type(spark, url, want):
     assert one(spark, urls.page_type(F.col("u")), u=url) == want
 
 
+@pytest.mark.parametrize("token,want", [
+    ("css/bootstrap-3.3.5.min.css", "bootstrap"), ("css/bootstrap-select-1.7.2.min.css", "bootstrap-select"), ("js/jquery-2.1.4.min.js", "jquery"),
+    ("https://cdn.example.net/npm/bulma@1.0.0/css/bulma.css", "bulma"), ("https://fonts.googleapis.com/css?family=X", "google-fonts"), ("3d.js", None), ("", None),
+])
+def test_package_name(spark, token, want):
+    assert one(spark, packages.package_name(F.col("t")), t=token) == want
+
+
+def test_signatures(spark):
+    html = '<script src="/_next/static/x.js"></script><div class="btn x">gtag(1) fbq(2)</div>'
+    got = {k: one(spark, c, h=html) for k, c in signatures.frameworks(F.col("h"), F.lit("new Vue({})")).items()}
+    assert got == {"ui_frameworks": ["Vue 2"], "meta_frameworks": ["Next.js"], "bundlers": [], "cms": [], "css_frameworks": ["Bootstrap"]}
+    assert one(spark, signatures.bundler_mark(F.col("h")), h=html) == "/_next/static"
+    assert [r["service"] for r in one(spark, signatures.marketing(F.col("h")), h=html)] == ["google_analytics", "facebook_pixel"]
+    assert one(spark, signatures.bundler_mark(F.col("h")), h=" " * 50_000 + "parcelRequire") is None
+
+
+def test_complexity(spark):
+    js = "// a\nfunction f(x) {\n  if (x) {\n\n  }\n}\nclass A { g = (y) => { return 1 } }\n"
+    got = {k: one(spark, c, t=js) for k, c in code.complexity(F.col("t"), F.lit("javascript")).items()}
+    assert got == {"blank_lines": 2, "comment_lines": 1, "nesting": 2, "functions": 2, "classes": 1}
+    assert one(spark, code.script_verdict(F.col("t")), t="x" * 600) == "long_lines" and one(spark, code.script_verdict(F.col("t")), t=js) is None
+    assert [one(spark, code.path_score(F.col("t")), t=p) for p in ("README.md", "docs/index.html", "a/b.css")] == [108, 122, 0]
+
+
 def test_run_summary_edges(spark):
     rows = [("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", float("nan")), ("b", None)] + [("c", v) for v in (1.0, 1.1, 1.2, 1.3, 99.0)] + [("d", 5.0)]
     out = {r["k"]: r for r in aggregates.run_summary(spark.createDataFrame(rows, "k string, value double"), ["k"]).collect()}
