@@ -1,5 +1,5 @@
 """Modules that register queries."""
 
-from . import boxes, files, gates, libraries, relational, scalars, streams, summaries, texts
+from . import boxes, files, gates, libraries, relational, scalars, streams, summaries, texts, trees
 
-MODULES: list = [scalars, relational, texts, summaries, gates, libraries, files, boxes, streams]
+MODULES: list = [scalars, relational, texts, summaries, gates, libraries, files, boxes, trees, streams]
