@@ -17,16 +17,26 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(joint > 0, overlap(a, b) / joint)
 
 
+def structure_differs(mean: Column, *faults: Column) -> Column:
+    """Whether a page's structure differs: mean overlap below 0.95, or any fault (leaves missing or extra, sections unmatched)."""
+    out = mean < 0.95
+    for n in faults:
+        out = out | (n > 0)
+    return F.coalesce(out, F.lit(False))
+
+
 def not_contained(df: DataFrame, page: str, key: str, box: str, margin: float = 2.0) -> DataFrame:
-    """Boxes that no larger box of their page holds up to a margin. A box held by one that is itself held is
-    held by that one's holder too, so one anti-join does; of equal areas the smaller key stays."""
-    a = df.alias("a")
-    b = df.select(F.col(page).alias("_p"), F.col(key).alias("_k"), F.col(box).alias("_b")).alias("b")
-    x, y = F.col(f"a.{box}"), F.col("b._b")
-    inside = (x["x"] >= y["x"] - margin) & (x["y"] >= y["y"] - margin) & (x["x"] + x["w"] <= y["x"] + y["w"] + margin) & (x["y"] + x["h"] <= y["y"] + y["h"] + margin)
-    size = lambda v: v["w"] * v["h"]
-    larger = (size(y) > size(x)) | ((size(y) == size(x)) & (F.col("_k") < F.col(f"a.{key}")))
-    return a.join(b, (F.col(f"a.{page}") == F.col("_p")) & larger & inside, "left_anti")
+    """page and key of the boxes kept by descending area (the least key of equals first), each unless a box kept
+    before holds it up to a margin. A page's boxes are one array, as each choice depends on those before."""
+    one = F.struct((-F.col(box)["w"] * F.col(box)["h"]).alias("s"), F.col(key).alias("k"), F.col(box).alias("b"))
+    boxes = df.groupBy(page).agg(F.array_sort(F.collect_list(one)).alias("all"))
+
+    def holds(d, e):
+        x, y = e["b"], d["b"]
+        return (x["x"] >= y["x"] - margin) & (x["y"] >= y["y"] - margin) & (x["x"] + x["w"] <= y["x"] + y["w"] + margin) & (x["y"] + x["h"] <= y["y"] + y["h"] + margin)
+
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda done, e: F.when(F.exists(done, lambda d: holds(d, e)), done).otherwise(F.array_append(done, e)))
+    return boxes.select(page, F.explode(F.transform(kept, lambda e: e["k"])).alias(key))
 
 
 def greedy_disjoint(df: DataFrame, page: str, key: str, box: str) -> DataFrame:

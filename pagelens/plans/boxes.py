@@ -11,7 +11,8 @@ from .register import registrar
 query, QUERIES, ORACLE_SQL = registrar()
 
 SIDES = ", ".join(f"floor(abs(CAST(embedding[{k}] AS DOUBLE)) * 4000) / 10 AS {n}" for k, n in enumerate("xywh", 1))
-BOX = f"b AS (SELECT vec_id, label, {SIDES} FROM embeddings)"
+#: Vectors as boxes, in pages of 50.
+BOX = f"b AS (SELECT vec_id, vec_id // 50 AS label, {SIDES} FROM embeddings)"
 SHARED = "greatest(0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y))"
 IOU = f"({SHARED}) / (p.w * p.h + q.w * q.h - ({SHARED}))"
 TREE = "t AS (SELECT 'r' || n_regionkey AS id FROM nation GROUP BY 1 UNION ALL SELECT 'r' || n_regionkey || '__n' || n_nationkey FROM nation UNION ALL SELECT 'r' || n_regionkey || '__n' || n_nationkey || '__s' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey)"
@@ -19,7 +20,7 @@ TREE = "t AS (SELECT 'r' || n_regionkey AS id FROM nation GROUP BY 1 UNION ALL S
 
 def _boxes(spark, sf):
     side = lambda k: F.floor(F.abs(F.get("embedding", F.lit(k)).cast("double")) * 4000) / 10
-    return table(spark, sf, "embeddings").select("vec_id", "label", F.struct(*[side(k).alias(n) for k, n in enumerate("xywh")]).alias("box"))
+    return table(spark, sf, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 50).alias("label"), F.struct(*[side(k).alias(n) for k, n in enumerate("xywh")]).alias("box"))
 
 
 def _tree(spark, sf):
@@ -50,11 +51,17 @@ def geo_section_iou(spark, sf):
     return _neighbours(spark, sf).select("vec_id", F.round(b.iou(at0("box"), at0("other")), 4).alias("iou"))
 
 
-@query(f"{PAIRS} SELECT label, count(*) AS n, round(avg(size_iou), 6) AS mean, count(*) FILTER (size_iou >= 0.5) AS high, avg(size_iou) < 0.95 AS differs FROM i GROUP BY 1")
+VERDICT = "avg(size_iou) < 0.95 OR count(*) FILTER (vec_id % 14 = 0) > 0 OR count(*) FILTER (vec_id % 26 = 0) > 0 OR count(*) FILTER (vec_id % 38 = 0) > 0"
+
+
+@query(f"{PAIRS} SELECT label, count(*) AS n, round(avg(size_iou), 6) AS mean, count(*) FILTER (vec_id % 14 = 0) AS missing, count(*) FILTER (vec_id % 26 = 0) AS extra, count(*) FILTER (vec_id % 38 = 0) AS unmatched, {VERDICT} AS differs FROM i GROUP BY 1")
 def geo_structural_verdict(spark, sf):
+    """A page differs if its mean overlap is below 0.95, or a leaf is missing or extra, or a section unmatched."""
     at0 = lambda c: F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col(c)["w"].alias("w"), F.col(c)["h"].alias("h"))
-    x = _neighbours(spark, sf).select("label", b.iou(at0("box"), at0("other")).alias("i"))
-    return x.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("i"), 6).alias("mean"), F.count_if(F.col("i") >= 0.5).alias("high"), (F.avg("i") < 0.95).alias("differs"))
+    x = _neighbours(spark, sf).select("label", "vec_id", b.iou(at0("box"), at0("other")).alias("i"))
+    of = lambda k: F.count_if(F.col("vec_id") % k == 0)
+    g = x.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("i").alias("m"), of(14).alias("missing"), of(26).alias("extra"), of(38).alias("unmatched"))
+    return g.select("label", "n", F.round("m", 6).alias("mean"), "missing", "extra", "unmatched", b.structure_differs(F.col("m"), F.col("missing"), F.col("extra"), F.col("unmatched")).alias("differs"))
 
 
 @query(f"{PAIRS} SELECT count(*) AS n, round(avg(iou), 6) AS mean, count(*) FILTER (iou >= 0.95) AS same, round(100.0 * count(*) FILTER (iou >= 0.1) / count(*), 6) AS pct FROM i")
@@ -63,7 +70,10 @@ def agg_iou_summary(spark, sf):
     return _neighbours(spark, sf).select(b.iou(F.col("box"), F.col("other")).alias("i")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(i), 6).alias("mean"), F.count_if(i >= 0.95).alias("same"), F.round(100.0 * F.count_if(i >= 0.1) / F.count(F.lit(1)), 6).alias("pct"))
 
 
-@query(f"WITH {BOX} SELECT vec_id FROM b p WHERE NOT EXISTS (SELECT 1 FROM b q WHERE q.label = p.label AND (q.w * q.h > p.w * p.h OR q.w * q.h = p.w * p.h AND q.vec_id < p.vec_id) AND p.x >= q.x - 2 AND p.y >= q.y - 2 AND p.x + p.w <= q.x + q.w + 2 AND p.y + p.h <= q.y + q.h + 2)")
+@query(f"""WITH RECURSIVE {BOX}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY w * h DESC, vec_id) AS i FROM b),
+ s(label, i, kept) AS (SELECT DISTINCT label, CAST(0 AS BIGINT), [p] FROM (SELECT label, struct_pack(vec_id := CAST(-1 AS BIGINT), x := 9e9, y := 9e9, w := 0e0, h := 0e0) AS p FROM b) UNION ALL
+  SELECT p.label, p.i, CASE WHEN len(list_filter(s.kept, lambda q: p.x >= q.x - 2 AND p.y >= q.y - 2 AND p.x + p.w <= q.x + q.w + 2 AND p.y + p.h <= q.y + q.h + 2)) = 0 THEN list_append(s.kept, struct_pack(vec_id := p.vec_id, x := p.x, y := p.y, w := p.w, h := p.h)) ELSE s.kept END FROM s JOIN o p ON p.label = s.label AND p.i = s.i + 1),
+ k AS (SELECT unnest(arg_max(kept, i)) AS e FROM s GROUP BY label) SELECT e.vec_id AS vec_id FROM k WHERE e.vec_id >= 0""")
 def geo_containment(spark, sf):
     return b.not_contained(_boxes(spark, sf), "label", "vec_id", "box").select("vec_id")
 

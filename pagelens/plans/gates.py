@@ -23,15 +23,6 @@ def case_sql(text, rules, default="NULL"):
     return "CASE " + " ".join(f"WHEN contains({text}, '{n}') THEN '{v}'" for v, n in rules) + f" ELSE {default} END"
 
 
-NOISE = [("network", "the "), ("tracker", "que"), ("markup", "un"), ("other", "e")]
-
-
-@query(f"SELECT doc_id, category FROM (SELECT doc_id, {case_sql('lower(text)', NOISE)} AS category FROM documents) WHERE category IS NOT NULL")
-def flt_noise_error(spark, sf):
-    """The category of the first pattern that a message holds."""
-    x = table(spark, sf, "documents").select("doc_id", first_match(F.lower("text"), NOISE).alias("category"))
-    return x.where("category is not null")
-
 
 @query("SELECT page_id, CASE WHEN contains(url, '/fr/') THEN 'first' WHEN contains(url, 'page=') THEN 'second' ELSE 'unknown' END AS agent FROM pages")
 def fn_agent_from_path(spark, sf):

@@ -80,25 +80,12 @@ def txt_inp_patterns(spark, sf):
     return t.pattern_counts(table(spark, sf, "pages"), "page_id", "html", PATTERNS)
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace('```json' || chr(10) || left(text, 40) || chr(10) || '```', '^\\s*```[a-zA-Z]*\\s*\\n?', ''), '\\n?```\\s*$', '')) AS body FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace('```json' || chr(10) || text || chr(10) || '```', '^\\s*```[a-zA-Z]*\\s*\\n?', ''), '\\n?```\\s*$', '')) AS body FROM documents")
 def txt_strip_fence(spark, sf):
-    body = F.concat(F.lit("```json\n"), F.left(F.col("text"), F.lit(40)), F.lit("\n```"))
+    body = F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```"))
     return table(spark, sf, "documents").select("doc_id", t.strip_fence(body).alias("body"))
 
 
-COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
-
-
-@query(f"SELECT vec_id, best FROM (SELECT a.vec_id, b.vec_id AS best, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1) WHERE r = 1")
-def match_embedding(spark, sf):
-    x = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    a = x.where("vec_id % 2 = 0")
-    b = x.where("vec_id % 2 = 1").select(F.col("vec_id").alias("other"), "label", F.col("e").alias("f"))
-    cos = dot("e", "f") / F.sqrt(dot("e", "e") * dot("f", "f"))
-    return a.join(b, "label").groupBy("vec_id").agg(F.max_by("other", F.struct(F.round(cos, 12), -F.col("other"))).alias("best"))
-
-
 @query("SELECT user_id, d AS inp FROM (SELECT user_id, list_sort(list(d), 'DESC')[CAST(least(floor(count(*) * 0.25), count(*) - 1) AS BIGINT) + 1] AS d FROM (SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, max(value) AS d FROM events GROUP BY 1, 2 HAVING k IS NOT NULL AND k <> 0 AND d >= 16) GROUP BY 1)")
 def st_inp_select(spark, sf):
     x = table(spark, sf, "events").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("k"), "value").where("k <> 0")

@@ -69,3 +69,22 @@ def sse_events(body: Column, schema: str) -> Column:
     """The JSON payloads of a server-sent-event body, in order; other lines and unreadable payloads go."""
     data = F.filter(F.split(body, "\n"), lambda line: F.startswith(line, F.lit("data:")))
     return F.filter(F.transform(data, lambda line: F.from_json(F.trim(F.substr(line, F.lit(6))), schema)), lambda e: e.isNotNull())
+
+
+# Endings of source files, and folders that hold none.
+SOURCE_ENDINGS = "js jsx ts tsx vue svelte html htm css scss sass less md mdx qmd liquid njk ejs hbs handlebars jinja jinja2 j2 erb php".split()
+NO_SOURCES = "node_modules .git dist build .next .nuxt __pycache__ .pytest_cache .venv venv env vendor bower_components .cache coverage".split()
+
+
+def is_source(path: Column) -> Column:
+    """Whether a path names a source file to be read: by its ending, outside certain folders, not minified."""
+    name = F.substring_index(path, "/", -1)
+    ending = F.regexp_extract(F.lower(name), "[^.]\\.([^.]+)$", 1)
+    outside = ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, NO_SOURCES)))
+    return ending.isin(SOURCE_ENDINGS) & outside & ~F.contains(name, F.lit(".min."))
+
+
+def read_sources(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes and content (text) of the source files below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.where(is_source(F.col("path"))).select("path", F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("content"))
