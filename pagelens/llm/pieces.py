@@ -31,6 +31,10 @@ _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _FULL = (1 << 64) - 1
 
 
+def _one(document: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([document & _FULL], np.uint64), np.array([number], np.uint64)
+
+
 class Pieces:
     """A piece model of merge type: pieces, scores and byte pieces, read through the sentencepiece library."""
 
@@ -89,19 +93,20 @@ class Pieces:
     def byte_ids(self, s: str) -> list[int]:
         return [self.byte_id[b] for b in s.replace(_LITERAL, SPACE).encode()]
 
-    def drops(self, document: int, first: int, chunks: int, block: int = 0) -> np.ndarray:
-        """Of the chunks from number first on, which candidates are dropped: bit k of a chunk's 64 tells of its
-        candidate number 64 * block + k. Each bit is set with chance alpha, by hashes keyed by seed, document,
-        chunk, block and binary digit: bit by bit an or where alpha's digit is 1, an and where it is 0."""
+    def drops(self, documents: np.ndarray, numbers: np.ndarray, block: int = 0) -> np.ndarray:
+        """Of chunks, given by their documents' keys and their numbers there, which candidates are dropped: bit k
+        of a chunk's 64 tells of its candidate number 64 * block + k. Each bit is set with chance alpha, by
+        hashes keyed by seed, document, chunk, block and binary digit: bit by bit an or where alpha's digit is
+        1, an and where it is 0."""
+        out = np.zeros(len(numbers), np.uint64)
         if self.alpha in (0, 1 << DIGITS):
-            return np.full(chunks, _FULL if self.alpha else 0, np.uint64)
-        key = mix(np.array([(document & _FULL) ^ ((self.seed & 0xFFFFFFFF) << 32)], np.uint64)) + np.uint64(block)
-        key = mix(mix(key) + np.arange(first, first + chunks, dtype=np.uint64))
-        out = np.zeros(chunks, np.uint64)
-        for k in range(DIGITS):
-            if out.any() or self.alpha >> k & 1:
-                word = mix(key + np.uint64((k + 1) * _STEP & _FULL))
-                out = out | word if self.alpha >> k & 1 else out & word
+            return ~out if self.alpha else out
+        key = mix(documents ^ np.uint64((self.seed & 0xFFFFFFFF) << 32)) + np.uint64(block)
+        key = mix(mix(key) + numbers.astype(np.uint64))
+        first = (self.alpha & -self.alpha).bit_length() - 1  # lower digits, all 0, leave nothing set
+        for k in range(first, DIGITS):
+            word = mix(key + np.uint64((k + 1) * _STEP & _FULL))
+            out = out | word if self.alpha >> k & 1 else out & word
         return out
 
     def _merge_short(self, runs: list[str], drops: np.ndarray) -> list[tuple[bytes, int]]:
@@ -195,7 +200,7 @@ class Pieces:
 
         def dropped(k: int) -> bool:
             if k >> 6 not in blocks:
-                blocks[k >> 6] = int(self.drops(document, number, 1, k >> 6)[0])
+                blocks[k >> 6] = int(self.drops(*_one(document, number), k >> 6)[0])
             return bool(blocks[k >> 6] >> (k & 63) & 1)
 
         return array("i", self._merge_long(chunk, dropped)).tobytes()
@@ -203,49 +208,61 @@ class Pieces:
     def encode_all(self, texts: list[str], documents: list[int]) -> list[bytes]:
         """Ids of texts as little-endian 32-bit integers; documents (such as their ids) are part of the hashes'
         key. No piece holds a space after another character, so what begins at such spaces is cut on its own."""
-        known, varied, parts, ends = self.known, self.varied, [], []
-        open_, runs, drops = [], [], []  # places in parts, with what is to be merged there
-        for text, document in zip(texts, documents):
+        known, varied = self.known, self.varied
+        chunks: list[str] = []
+        ends = []
+        for text in texts:
             text = text.replace(SPACE, _LITERAL)
             if not text:
-                chunks = []
+                pass
             elif "  " not in text and text[0] != " " and text[-1] != " ":
-                chunks = text.split(" ")
+                chunks += text.split(" ")
             else:  # chunks whose spaces don't make them a run are cut the other way
-                chunks = [c[1:] if c[0] == SPACE and c[1:2] != SPACE and len(c) > 1 else c for c in _CHUNK.findall(SPACE + text.replace(" ", SPACE))]
-            for number, (run, d) in enumerate(zip(chunks, self.drops(document, 0, len(chunks)).tolist())):
-                e = known.get(run)
-                if e is not None:
-                    hit = d & e[0]
-                    if not hit:
-                        parts.append(e[1])
-                        continue
-                    v = varied.get((run, hit))
-                    if v is not None and d & v[0] == v[1]:
-                        parts.append(v[2])
-                        continue
-                if len(run) <= SHORT and SPACE not in run:
-                    open_.append(len(parts))
-                    runs.append(run)
-                    drops.append(d)
-                    parts.append(b"")
-                else:
-                    parts.append(self._long(run if run[0] == SPACE else SPACE + run, document, number))
-            ends.append(len(parts))
-        if len(runs) > SIDE_BY_SIDE:  # those of one length together
-            open_, runs, drops = zip(*sorted(zip(open_, runs, drops), key=lambda x: len(x[1])))
-        for start in range(0, len(runs), SIDE_BY_SIDE):
-            s = slice(start, start + SIDE_BY_SIDE)
+                chunks += [c[1:] if c[0] == SPACE and c[1:2] != SPACE and len(c) > 1 else c for c in _CHUNK.findall(SPACE + text.replace(" ", SPACE))]
+            ends.append(len(chunks))
+        sizes = np.diff([0, *ends])
+        of = np.repeat(np.array([d & _FULL for d in documents], np.uint64), sizes)
+        numbers = np.arange(len(chunks)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        drops = self.drops(of, numbers)
+        parts, open_ = [], []  # places in parts that are still to be merged
+        put, get, get_varied = parts.append, known.get, varied.get
+        for run, d in zip(chunks, drops.tolist()):
+            e = get(run)
+            if e is not None:
+                hit = d & e[0]
+                if not hit:
+                    put(e[1])
+                    continue
+                v = get_varied((run, hit))
+                if v is not None and d & v[0] == v[1]:
+                    put(v[2])
+                    continue
+            open_.append(len(parts))
+            put(b"")
+        short = []
+        for k in open_:
+            run = chunks[k]
+            if len(run) <= SHORT and SPACE not in run:
+                short.append(k)
+            else:
+                parts[k] = self._long(run if run[0] == SPACE else SPACE + run, int(of[k]), int(numbers[k]))
+        short = np.array(short, np.int64)[np.argsort([len(chunks[k]) for k in short], kind="stable")]  # those of one length together
+        for start in range(0, len(short), SIDE_BY_SIDE):
+            at = short[start : start + SIDE_BY_SIDE]
             for kept in (known, varied):
                 if len(kept) > self.most:  # starts anew; what is frequent comes back soon
                     kept.clear()
-            for at, run, d, (ids, turns) in zip(open_[s], runs[s], drops[s], self._merge_short(runs[s], np.array(drops[s], np.uint64))):
+            runs = [chunks[k] for k in at.tolist()]
+            for k, run, d, (ids, turns) in zip(at.tolist(), runs, drops[at].tolist(), self._merge_short(runs, drops[at])):
+                parts[k] = ids
                 came_up = (1 << turns) - 1
-                if not d & came_up:
+                d &= came_up
+                if not d:
                     known[run] = (came_up, ids)
-                elif run in known:
-                    varied[run, d & known[run][0]] = (came_up, d & came_up, ids)
-                parts[at] = ids
+                else:
+                    e = get(run)
+                    if e is not None:
+                        varied[run, d & e[0]] = (came_up, d, ids)
         return [b"".join(parts[a:b]) for a, b in zip([0, *ends], ends)]
 
     def encode(self, text: str, document: int = 0) -> bytes:
