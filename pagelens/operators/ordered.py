@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from .ranks import neighbours
+
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The row of each key that comes first in the order."""
@@ -29,37 +33,48 @@ def merged_intervals(df: DataFrame, key: str, low: str, high: str) -> DataFrame:
 
 
 def pareto(df: DataFrame, key: str, objectives: list[str]) -> DataFrame:
-    """Rows that no other row dominates (as good in all objectives and better in one; more is better).
+    """Rows (key and objectives) that no other row dominates (as good in all objectives and better in one; more is
+    better). Rows with a null or NaN objective are left out.
 
-    A first cut drops rows that one of a few strong rows dominates, so the self anti-join sees candidates
-    only; the front itself is small by nature.
+    Each partition keeps its own front; fronts are merged by eights until one is left. So a task holds
+    fronts only, and no rows are compared across partitions before.
     """
-    total = sum(F.col(o) for o in objectives)
-    strong = df.orderBy(total.desc(), key).limit(64).select(*[F.col(o).alias(f"_s_{o}") for o in objectives])
-    own = df.select(key, *objectives)
-
-    def beaten(other: str) -> Column:
-        as_good = better = None
-        for o in objectives:
-            g, b = F.col(f"{other}{o}") >= F.col(o), F.col(f"{other}{o}") > F.col(o)
-            as_good, better = (g, b) if as_good is None else (as_good & g, better | b)
-        return as_good & better
 
-    left = own.join(F.broadcast(strong), beaten("_s_"), "left_anti")
-    rest = left.select(*[F.col(o).alias(f"_o_{o}") for o in objectives])
-    return left.join(rest, beaten("_o_"), "left_anti")
+    def fronts(batches):
+        kept = None
+        for pdf in batches:
+            pdf = pdf.dropna(subset=objectives)
+            pool = pdf if kept is None else pd.concat([kept, pdf])
+            x = pool[objectives].to_numpy(np.float64)
+            stays = np.ones(len(x), bool)
+            for i in np.argsort(-x.sum(1)):  # strong rows first, so that most go early
+                if stays[i]:
+                    beaten = (x[i] >= x).all(1) & (x[i] > x).any(1)
+                    stays[beaten] = False
+            kept = pool[stays]
+        if kept is not None:
+            yield kept
+
+    x = df.select(key, *objectives)
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = x.repartition(n, key).mapInPandas(fronts, x.schema)
+    while n > 1:
+        n = max(1, n // 8)
+        x = x.repartition(n).mapInPandas(fronts, x.schema)
+    return x
 
 
 def crowding(df: DataFrame, key: str, objectives: list[str]) -> DataFrame:
     """key and distance: per objective the gap between the neighbours over the range, infinite at the ends."""
-    inf = F.lit(float("inf"))
-    total = F.lit(0.0)
+    spans = df.agg(*[(F.max(o) - F.min(o)).alias(o) for o in objectives]).first()  # one number for each objective
+    total, out = F.lit(0.0), df.select(key)
     for o in objectives:
-        w = W.orderBy(o, key)
-        gap = (F.lead(o).over(w) - F.lag(o).over(w)) / F.nullif(F.max(o).over(W.partitionBy()) - F.min(o).over(W.partitionBy()), F.lit(0.0))
-        end = F.lag(o).over(w).isNull() | F.lead(o).over(w).isNull()
-        total = total + F.when(end, inf).otherwise(F.coalesce(gap, F.lit(0.0)))
-    return df.select(key, total.alias("distance"))
+        gap = (F.col("after") - F.col("before")) / (F.lit(float(spans[o])) if spans[o] else F.lit(None).cast("double"))
+        end = F.col("before").isNull() | F.col("after").isNull()
+        gap = F.when(end, F.lit(float("inf"))).otherwise(F.coalesce(gap, F.lit(0.0)))
+        out = out.join(neighbours(df, key, o).select(key, gap.alias(f"_gap_{o}")), key)
+        total = total + F.col(f"_gap_{o}")
+    return out.select(key, total.alias("distance"))
 
 
 def capped_session_max(df: DataFrame, key: str, ts: str, value: str, gap_s: float, span_s: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions.rules import exclusive_quantile
+from ..operators.ranks import placed
 from ..sources.tables import table
 from .register import registrar
 from .relational import quantile
@@ -40,10 +41,15 @@ def agg_summary_stats(spark, sf):
 
 @query(f"WITH g AS (SELECT event_type, list_sort(list(value)) AS a FROM events GROUP BY 1) SELECT event_type, round(list_avg(a), 6) AS mean, CASE WHEN len(a) < 20 THEN list_max(a) ELSE {quantile('a', 19, 20)} END AS p95, list_min(a) AS low, list_max(a) AS high FROM g")
 def agg_timing_p95(spark, sf):
-    a = F.col("a")
-    x = table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.sort_array(F.collect_list("value")).alias("a"))
-    p95 = F.when(F.size(a) < 20, F.array_max(a)).otherwise(exclusive_quantile(a, 19, 20))
-    return x.select("event_type", "mean", p95.alias("p95"), F.array_min(a).alias("low"), F.array_max(a).alias("high"))
+    """Mean, exclusive 95th percentile (the highest of fewer than 20), lowest and highest, by places in the order."""
+    e = table(spark, sf, "events").select("event_type", "value")
+    x = placed(e.where("value is not null"), ["event_type"], [F.col("value")])
+    at = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(19 * (F.col("n") + 1) / 20)))
+    rest = 19 * (F.col("n") + 1) - at * 20
+    low, high = (F.max(F.when(F.col("place") == at - 1 + k, F.col("value"))) for k in (0, 1))
+    p = x.groupBy("event_type").agg(F.when(F.max("n") < 20, F.max("value")).otherwise((low * (20 - F.max(rest)) + high * F.max(rest)) / 20).alias("p95"))
+    m = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return m.join(p, "event_type")
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(coalesce(CASE WHEN event_id % 3 <> 0 THEN value END, 0)), 6) AS avg_wall, round(avg(CASE WHEN event_id % 3 <> 0 THEN value END), 6) AS avg_cost FROM events GROUP BY 1")
@@ -238,8 +244,7 @@ def ord_top_n(spark, sf):
 @query("SELECT source, doc_id, k AS place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE list_contains(list_transform(range(10), lambda i: i * n // 10), k)")
 def smp_even_step(spark, sf):
     """Ten rows of each source at even steps of its order."""
-    w = W.partitionBy("source")
-    x = table(spark, sf, "documents").select("source", "doc_id", (F.row_number().over(w.orderBy("doc_id")) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(w).alias("n"))
+    x = placed(table(spark, sf, "documents").select("source", "doc_id"), ["source"], [F.col("doc_id")])
     at = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.floor(i * F.col("n") / 10))
     return x.where(F.array_contains(at, F.col("place"))).select("source", "doc_id", "place")
 

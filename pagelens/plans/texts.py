@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..operators import ordered as o, text as t
+from ..operators.ranks import placed
 from ..sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -130,8 +131,9 @@ def smp_minibatch(spark, sf):
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY CAST(substr(o_orderpriority, 1, 1) AS INTEGER), o_totalprice DESC, o_orderkey) AS place FROM orders")
 def ord_multi(spark, sf):
-    w = W.partitionBy("o_orderstatus").orderBy(F.substring("o_orderpriority", 1, 1).cast("int"), F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, sf, "orders").select("o_orderkey", F.row_number().over(w).alias("place"))
+    order = [F.substring("o_orderpriority", 1, 1).cast("int"), F.desc("o_totalprice"), F.col("o_orderkey")]
+    x = placed(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"), ["o_orderstatus"], order)
+    return x.select("o_orderkey", (F.col("place") + 1).alias("place"))
 
 
 @query("(SELECT s_suppkey, s_acctbal, 'best' AS side FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 3) UNION ALL (SELECT s_suppkey, s_acctbal, 'worst' FROM supplier ORDER BY s_acctbal, s_suppkey LIMIT 3)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -12,8 +12,27 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def read_ranked(spark: SparkSession, path: str, top: int) -> DataFrame:
-    """Headless rank,domain lines; those ranked up to top, by the file's own rank."""
-    return spark.read.schema("rank int, domain string").csv(path).where(F.col("rank") <= top)
+    """Headless rank,domain lines; the first top of them, ranked by their place in the files, whatever they say."""
+    x = spark.read.schema("said string, domain string").csv(path)
+    x = x.select("domain", line_place().alias("place")).orderBy("place").limit(top)  # top rows
+    return x.select(F.row_number().over(W.orderBy("place")).alias("rank"), "domain")
+
+
+def line_place() -> Column:
+    """What orders the lines of text files: file, part of the file, line."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+
+
+def read_first_of_each(spark: SparkSession, path: str, columns: list[str], key: str, valid: str) -> DataFrame:
+    """Comma-separated lines without a header, a byte order mark before a line or not: the first line of each key
+    that fully matches the pattern valid. Lines that the parser rejects are cut at commas instead; surplus
+    parts go, missing ones are null."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    x = spark.read.schema(f"{schema}, bad string").option("columnNameOfCorruptRecord", "bad").csv(path, quote='"', escape='"')
+    parts = F.split("bad", ",")
+    x = x.select(line_place().alias("place"), *[F.when(F.col("bad").isNull(), F.col(c)).otherwise(F.get(parts, F.lit(k))).alias(c) for k, c in enumerate(columns)])
+    x = x.withColumn(key, F.regexp_replace(key, "^\ufeff", "")).where(F.col(key).rlike(f"^(?:{valid})$"))
+    return x.groupBy(key).agg(F.min_by(F.struct(*[c for c in columns if c != key]), "place").alias("r")).select(key, "r.*")
 
 
 def read_counts(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:

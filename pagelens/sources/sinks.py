@@ -12,6 +12,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-pagelens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}"
@@ -34,8 +36,12 @@ def summary_json(df: DataFrame, key: str, value: Column) -> DataFrame:
     return df.agg(F.to_json(F.map_from_entries(pairs)).alias("summary"))
 
 
-def write_together(df: DataFrame, path: str, key: str, columns: list[str]) -> None:
-    """JSONL, CSV and the keys done, below one path; writing again replaces all three."""
-    df.write.mode("overwrite").json(f"{path}/records")
-    df.select(*columns).write.mode("overwrite").csv(f"{path}/table", header=True, quote='"', escape='"')
-    df.select(key).distinct().write.mode("overwrite").parquet(f"{path}/done")
+def write_together(df: DataFrame, path: str, batch: int, key: str, columns: list[str]) -> None:
+    """JSONL, CSV and, at the end, the keys done of one batch, each below its own folder of the batch's number.
+
+    The keys are the mark: a reader takes only batches found below done, so a batch counts in all three
+    or in none; writing it again replaces it. For streams call it in foreachBatch.
+    """
+    df.write.mode("overwrite").json(f"{path}/records/batch={batch}")
+    df.select(*columns).write.mode("overwrite").csv(f"{path}/table/batch={batch}", header=True, quote='"', escape='"')
+    df.select(key).distinct().write.mode("overwrite").parquet(f"{path}/done/batch={batch}")
