@@ -1,5 +1,5 @@
 """Modules that register queries."""
 
-from . import boxes, files, gates, libraries, matches, relational, scalars, streams, summaries, texts, trees
+from . import boxes, files, gates, libraries, matches, patterns, relational, scalars, streams, summaries, texts, trees
 
-MODULES: list = [scalars, relational, texts, summaries, gates, libraries, files, boxes, trees, matches, streams]
+MODULES: list = [scalars, relational, texts, summaries, gates, libraries, files, boxes, trees, matches, patterns, streams]

@@ -73,14 +73,6 @@ def fn_code_density(spark, sf):
     return table(spark, sf, "pages").select("page_id", *[c.alias(k) for k, c in t.code_density(F.col("html")).items()])
 
 
-PATTERNS = [("list", "<ul[ >]"), ("link", "<a "), ("script", "(?i)<script"), ("break", "<br"), ("heading", "<h[1-6]")]
-
-
-@query(" UNION ALL ".join(f"SELECT page_id, '{n}' AS pattern, len(regexp_extract_all(html, '{p}')) AS n FROM pages WHERE regexp_matches(html, '{p}')" for n, p in PATTERNS))
-def txt_inp_patterns(spark, sf):
-    return t.pattern_counts(table(spark, sf, "pages"), "page_id", "html", PATTERNS)
-
-
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace('```json' || chr(10) || text || chr(10) || '```', '^\\s*```[a-zA-Z]*\\s*\\n?', ''), '\\n?```\\s*$', '')) AS body FROM documents")
 def txt_strip_fence(spark, sf):
     body = F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```"))
