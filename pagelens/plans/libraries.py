@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, Window as W
 
-from ..functions import code as c, packages as p, signatures as g, urls as u
-from ..operators import selection as s
+from ..functions import assets as a, code as c, packages as p, signatures as g, urls as u
+from ..operators import repositories, selection as s
 from ..sources.tables import table
 from .register import registrar
 
@@ -376,3 +376,37 @@ SELECT conv_id, k.t AS turn FROM (SELECT conv_id, unnest(arg_max(kept, i)) AS k
 def txt_near_dup_greedy(spark, sf):
     x = table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "text")
     return s.keep_dissimilar(x, "conv_id", "turn", F.split(F.regexp_replace(F.lower("text"), "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", ""), "[ \\t\\n\\r]+"), 0.85)
+
+
+PAGE_ASSETS = ["", "<script src='/js/app.min.js'></script>", "<script src='/js/jquery-3.min.js'></script><link href='/a.css'>", "<script src='https://cdn.other.net/x.min.js'></script> parcelRequire", "<link href='https://www.example.com/s.bundle.css?v=1'>__NEXT_DATA__", "<script src=\"/src/main.js\">"]
+SIGNALS = [None, "minified_url", "density", "bundler_fingerprint", "both", "density"]
+
+
+@query(f"SELECT page_id, {_case_sql(['', *SIGNALS[1:]], 'page_id')} AS signal FROM pages WHERE page_id % 6 > 0 UNION ALL SELECT page_id, NULL FROM pages WHERE page_id % 6 = 0")
+def txt_minified_assets(spark, sf):
+    html = F.concat("html", _case(PAGE_ASSETS, "page_id"))
+    signal = a.minified_signal(html, F.lit("https://example.com/"), F.lit("density"))
+    return table(spark, sf, "pages").select("page_id", signal.alias("signal"))
+
+
+REPO_FILES = {
+    0: [("index.html", "<meta name=\"generator\" content=\"Hexo 6\">")],
+    1: [("Gemfile", "gem 'jekyll'"), ("_config.yml", "x")],
+    2: [("hugo.toml", "")],
+    3: [("package.json", '{"dependencies": {"react": "18", "react-dom": "18"}}')],
+    4: [("web/package.json", '{"dependencies": {"next": "14", "react": "18", "react-dom": "18"}}')],
+    5: [("package.json", '{"dependencies": {"express": "4", "vue": "3"}}'), ("server.js", "express()")],
+    6: [("requirements.txt", "Pelican\nFlask")],
+    7: [("_quarto.yml", "")],
+    8: [("index.html", "<p>x</p>"), ("css/a.css", "")],
+    9: [("main.py", "x")],
+}
+NAMED = ["Hexo", "Jekyll", "Hugo", "React", "Next.js", "Express,Vue", "Pelican,Flask", "Quarto", "Static HTML", ""]
+
+
+@query(f"SELECT s_suppkey, {_case_sql(NAMED, 's_suppkey')} AS frameworks FROM supplier")
+def txt_framework_repo(spark, sf):
+    """Frameworks of repositories, by the presence and the text of their files."""
+    files = F.array(*[F.array(*[F.struct(F.lit(path).alias("path"), F.lit(text).alias("content")) for path, text in x]) for x in REPO_FILES.values()])
+    x = table(spark, sf, "supplier").select("s_suppkey", F.explode(F.get(files, (F.col("s_suppkey") % 10).cast("int"))).alias("f")).select("s_suppkey", "f.*")
+    return repositories.frameworks(x, "s_suppkey").select("s_suppkey", F.array_join("frameworks", ",").alias("frameworks"))
