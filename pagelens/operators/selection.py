@@ -135,3 +135,25 @@ def demo_sets(rows: DataFrame, key: str, kind: str, gain: str, seed: int = 0) ->
     for x in out[1:]:
         total = total.unionByName(x)
     return total
+
+
+def stratified(rows: DataFrame, key: str, stratum: str, total: int, train: int) -> DataFrame:
+    """key, stratum, h and train of total rows: strata by size, the largest first, each take an equal share of what is
+    left (one at least, all they have at most); what is missing then comes from all others. Rows are drawn by
+    the md5 of their key (h), and the first train of them by its md5 again are marked.
+    """
+    d = rows.select(key, stratum, F.md5(F.col(key).cast("string")).alias("h"))
+    sizes = d.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
+    every = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), stratum, "n"))).alias("all"))  # a row for each stratum
+    start = F.struct(F.lit(total).cast("long").alias("left"), F.size("all").cast("long").alias("open"), F.array().cast("array<struct<s:string,take:bigint>>").alias("done"))
+
+    def step(a, e):
+        take = F.when(a["left"] <= 0, 0).otherwise(F.least(e["n"], F.greatest(F.lit(1), F.floor(a["left"] / a["open"])))).cast("long")
+        return F.struct((a["left"] - take).alias("left"), (a["open"] - 1).alias("open"), F.array_append(a["done"], F.struct(e[stratum].cast("string").alias("s"), take.alias("take"))).alias("done"))
+
+    shares = every.select(F.explode(F.aggregate("all", start, step, lambda a: a["done"])).alias("d")).select(F.col("d.s").alias(stratum), "d.take")
+    place = F.row_number().over(W.partitionBy(stratum).orderBy("h", key))
+    # no row beyond the first total of a stratum can be chosen
+    x = d.withColumn("place", place).where(F.col("place") <= total).join(shares, stratum)
+    x = x.orderBy((F.col("place") <= F.col("take")).desc(), "h", key).limit(total)
+    return x.select(key, stratum, "h", (F.row_number().over(W.orderBy(F.md5("h"), key)) <= train).alias("train"))  # total rows

@@ -51,6 +51,11 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def three_way(a: Column, b: Column) -> dict[str, Column]:
+    """What only the first of two sets holds, only the second, and both; sorted."""
+    return {"only_first": F.array_sort(F.array_except(a, b)), "only_second": F.array_sort(F.array_except(b, a)), "common": F.array_sort(F.array_intersect(a, b))}
+
+
 def code_density(code: Column) -> dict[str, Column]:
     """Bytes, lines, mean and longest line, lines over 500 characters, share of newlines and white space."""
     lines, n = F.split(code, "\n"), F.length(code)
@@ -74,3 +79,26 @@ def pattern_counts(df: DataFrame, key: str, text: str, patterns: list[tuple[str,
 def strip_fence(text: Column) -> Column:
     """Text without a Markdown code fence around it."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, "^\\s*```[a-zA-Z]*\\s*\\n?", ""), "\\n?```\\s*$", ""))
+
+
+def first_lines(text: Column, n: int) -> Column:
+    """The first n lines, and how many more there are."""
+    lines = F.split(F.regexp_replace(text, "\n$", ""), "\n")
+    more = F.concat(F.array_join(F.slice(lines, 1, n), "\n"), F.lit("\n... ("), (F.size(lines) - n).cast("string"), F.lit(" more lines)"))
+    return F.when(F.size(lines) <= n, text).otherwise(more)
+
+
+def json_at(json: Column, path: str, kind: str, default) -> Column:
+    """The value at a path of a JSON text; default where a level, the value or the text itself is missing."""
+    return F.coalesce(F.get_json_object(json, path).try_cast(kind), F.lit(default).cast(kind))
+
+
+# Words that speak of web vitals and what moves them.
+VITALS = [
+    "lcp", "inp", "cls", "largest contentful paint", "interaction to next paint", "cumulative layout shift", "lazy", "preload", "defer", "async",
+    "image", "font", "cache", "render-blocking", "critical", "viewport", "width", "height", "layout shift", "resource hint",
+]
+
+
+def speaks_of_vitals(text: Column) -> Column:
+    return F.lower(text).rlike("|".join(VITALS))

@@ -112,11 +112,12 @@ def src_json_after_log(spark, sf):
     return x.select("event_id", r.json_after_noise(F.col("t"), "k long")["k"].alias("k"))
 
 
-@query("SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS INTEGER) AS urls FROM pages")
+@query("WITH x AS (SELECT page_id, list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS a FROM pages) SELECT page_id, CAST(least(4, len(list_filter(a, lambda u: length(u) % 2 = 0 AND NOT ends_with(lower(u), '.xml')))) AS INTEGER) AS urls FROM x")
 def src_sitemap(spark, sf):
     links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    xml = F.concat(F.lit("<urlset>"), F.array_join(F.transform(links, lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))), "\n"), F.lit("</urlset>"))
-    return table(spark, sf, "pages").select("page_id", F.size(r.sitemap_urls(xml)).alias("urls"))
+    host = lambda u: F.when(F.length(u) % 2 == 0, "https://a.example").otherwise("https://b.example")
+    xml = F.concat(F.lit("<urlset>"), F.array_join(F.transform(links, lambda u: F.concat(F.lit("<url><loc>"), host(u), u, F.lit("</loc></url>"))), "\n"), F.lit("</urlset>"))
+    return table(spark, sf, "pages").select("page_id", F.size(r.sitemap_urls(xml, F.lit("a.example"), 4)).alias("urls"))
 
 
 ASSETS = "list_transform(regexp_extract_all(html, '(?:src|href)=\"([^\"]*)\"', 1), lambda u: CASE WHEN length(u) % 2 = 0 THEN 'https://cdn.example.com' ELSE '' END || u)"

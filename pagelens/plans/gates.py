@@ -19,14 +19,45 @@ def first_match(text, rules, default=None):
     return reduce(lambda rest, r: F.when(F.contains(text, F.lit(r[1])), F.lit(r[0])).otherwise(rest), reversed(rules), F.lit(default))
 
 
+# Parts of file names and the producers that they show; the first one found decides.
+PRODUCERS = [
+    ("codex", "_template_codex_"), ("opencode", "_template_opencodegpt41_"), ("opencode", "_template_opencodegpt51codex_"),
+    ("opencode", "_template_opencode_"), ("aider", "_template_aider_"), ("claude", "_template_claudecode_"),
+]
+
+
+def producer(path):
+    """The producer of a file, by its name without its folders."""
+    return first_match(F.substring_index(path, "/", -1), PRODUCERS, "unknown")
+
+
+def demo(least_gain: float, most_lines: int = 300):
+    """Whether a run serves as an example: valid, without regression, with a positive score, a gain over the baseline of
+    least_gain per cent or more, a patch of at most most_lines lines and a plan that says something."""
+    gain = F.when((F.col("baseline") > 0) & F.col("result").isNotNull(), (F.col("baseline") - F.col("result")) / F.col("baseline") * 100).otherwise(0.0)
+    lines = F.size(F.split(F.regexp_replace("patch", "\n$", ""), "\n"))
+    return F.coalesce(F.col("valid"), F.lit(False)) & ~F.coalesce(F.col("regression"), F.lit(False)) & (F.col("score") > 0) & (gain >= least_gain) & (lines <= most_lines) & (F.trim(F.regexp_replace("plan", "\\s+", " ")) != "")
+
+
+def source_asset(path):
+    """HTML files, and scripts and styles that are not minified or lie in client libraries."""
+    library = F.contains(path, F.lit("clientlibs"))
+    kept = lambda end: F.endswith(path, F.lit(end)) & (library | ~F.endswith(path, F.lit(f".min{end}")))
+    return F.endswith(path, F.lit(".html")) | kept(".js") | kept(".css")
+
+
 def case_sql(text, rules, default="NULL"):
     return "CASE " + " ".join(f"WHEN contains({text}, '{n}') THEN '{v}'" for v, n in rules) + f" ELSE {default} END"
 
 
 
-@query("SELECT page_id, CASE WHEN contains(url, '/fr/') THEN 'first' WHEN contains(url, 'page=') THEN 'second' ELSE 'unknown' END AS agent FROM pages")
+RUNS = ["12_template_codex_a.json", "12_template_opencodegpt41_a.json", "x_template_opencodegpt51codex_b", "_template_opencode_", "3_template_aider_x", "4_template_claudecode_y", "notes.txt", "codex.json"]
+
+
+@query("SELECT page_id, ['codex', 'opencode', 'opencode', 'opencode', 'aider', 'claude', 'unknown', 'unknown'][CAST(page_id % 8 AS BIGINT) + 1] AS agent FROM pages")
 def fn_agent_from_path(spark, sf):
-    return table(spark, sf, "pages").select("page_id", first_match(F.col("url"), [("first", "/fr/"), ("second", "page=")], "unknown").alias("agent"))
+    name = F.concat(F.lit("a/_template_codex_dir/"), F.get(F.array(*map(F.lit, RUNS)), (F.col("page_id") % 8).cast("int")))
+    return table(spark, sf, "pages").select("page_id", producer(name).alias("agent"))
 
 
 SLUG = "lpad(CAST(s_suppkey AS VARCHAR), 3, '0') || '__org' || s_nationkey || '__' || s_name || '__host.sh'"
@@ -130,22 +161,36 @@ def flt_valid_sentinel(spark, sf):
     return table(spark, sf, "supplier").where("s_acctbal > -0.99").select("s_suppkey")
 
 
-@query("SELECT p_partkey FROM part WHERE p_size <= 30 AND p_retailprice > 0 AND (p_retailprice - p_size * 30.0) / p_retailprice * 100 >= 5 AND p_brand <> ''")
+@query("SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AND p_size - 10 > 0 AND p_retailprice > 0 AND (p_retailprice - p_size * 30.0) / p_retailprice * 100 >= 5 AND p_size * 8 <= 300 AND p_partkey % 11 <> 0")
 def flt_demo_gate(spark, sf):
-    x = table(spark, sf, "part").where("p_size <= 30 and p_retailprice > 0 and p_brand <> ''")
-    return x.where((F.col("p_retailprice") - F.col("p_size") * 30.0) / F.col("p_retailprice") * 100 >= 5).select("p_partkey")
+    x = table(spark, sf, "part").select(
+        "p_partkey", (F.col("p_partkey") % 7 != 0).alias("valid"), (F.col("p_partkey") % 5 == 0).alias("regression"), (F.col("p_size") - 10).alias("score"),
+        F.col("p_retailprice").alias("baseline"), (F.col("p_size") * 30.0).alias("result"), F.repeat(F.lit("+ x\n"), F.col("p_size") * 8).alias("patch"),
+        F.when(F.col("p_partkey") % 11 == 0, " \n").otherwise("plan").alias("plan"),
+    )
+    return x.where(demo(5.0)).select("p_partkey")
+
 
+KEPT_FILES = ["usage.json", "visual.json"]
+ARTEFACTS = ["usage.json", "a.patch", "trace.log", "visual.json", "plan.md"]
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND (lang = 'en' OR source LIKE '%1')")
+
+@query("SELECT doc_id, ['usage.json', 'a.patch', 'trace.log', 'visual.json', 'plan.md'][CAST(doc_id % 5 AS BIGINT) + 1] AS file FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND doc_id % 5 IN (0, 1, 3)")
 def flt_bad_ids(spark, sf):
+    """Artefacts that are kept (listed ones and patches) of ids that are not on the list of bad ones."""
     bad = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
-    return table(spark, sf, "documents").join(bad, "doc_id", "left_anti").where((F.col("lang") == "en") | F.endswith("source", N("1"))).select("doc_id")
+    file = F.get(F.array(*map(F.lit, ARTEFACTS)), (F.col("doc_id") % 5).cast("int"))
+    x = table(spark, sf, "documents").join(bad, "doc_id", "left_anti").select("doc_id", file.alias("file"))
+    return x.where(F.col("file").isin(KEPT_FILES) | F.endswith("file", F.lit(".patch")))
+
+
+ASSETS = ["a/index.html", "a/app.js", "a/app.min.js", "etc/clientlibs/x.min.js", "s.css", "s.min.css", "img.png", "clientlibs/y.min.css"]
 
 
-@query("SELECT page_id FROM pages WHERE regexp_matches(url, '\\.html$') OR NOT contains(url, '?') AND NOT contains(url, 'm.')")
+@query("SELECT page_id FROM pages WHERE page_id % 8 IN (0, 1, 3, 4, 7)")
 def flt_source_assets(spark, sf):
-    u = F.col("url")
-    return table(spark, sf, "pages").where(F.endswith(u, N(".html")) | (~F.contains(u, N("?")) & ~F.contains(u, N("m.")))).select("page_id")
+    path = F.get(F.array(*map(F.lit, ASSETS)), (F.col("page_id") % 8).cast("int"))
+    return table(spark, sf, "pages").where(source_asset(path)).select("page_id")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 100000 AND o_orderpriority NOT IN ('1-URGENT', '5-LOW')")

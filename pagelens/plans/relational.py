@@ -101,10 +101,18 @@ def agg_failure_codes(spark, sf):
     return table(spark, sf, "orders").groupBy(F.get(F.split("o_orderpriority", "-"), F.lit(0)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CASE WHEN count(quality) FILTER (quality <> toxic) > 0 THEN 'differ' ELSE 'agree' END AS verdict, doc_id FROM labels GROUP BY doc_id HAVING count(*) > 0")
+NOTES = "SELECT user_id % 7 AS annotator, event_type AS label, event_id % 97 AS task FROM events"
+
+
+@query(f"WITH n AS ({NOTES}) SELECT 'done' AS kind, annotator, NULL AS label, count(DISTINCT task) AS n FROM n GROUP BY 2 UNION ALL SELECT 'label', annotator, label, count(*) FROM n GROUP BY 2, 3 UNION ALL SELECT 'disagreement', task, string_agg(DISTINCT label, ',' ORDER BY label), count(DISTINCT label) FROM n GROUP BY 2 HAVING count(DISTINCT label) > 1")
 def agg_annotator(spark, sf):
-    x = table(spark, sf, "labels").groupBy("doc_id").agg(F.count_if(F.col("quality") != F.col("toxic")).alias("d"))
-    return x.select(F.when(F.col("d") > 0, "differ").otherwise("agree").alias("verdict"), "doc_id")
+    """Per annotator the tasks done and how often each label was given; and the tasks with more than one label."""
+    x = table(spark, sf, "events").select((F.col("user_id") % 7).alias("annotator"), F.col("event_type").alias("label"), (F.col("event_id") % 97).alias("task"))
+    none = F.lit(None).cast("string")
+    done = x.groupBy("annotator").agg(F.count_distinct("task").alias("n")).select(F.lit("done").alias("kind"), "annotator", none.alias("label"), "n")
+    labels = x.groupBy("annotator", "label").agg(F.count(F.lit(1)).alias("n")).select(F.lit("label").alias("kind"), "annotator", "label", "n")
+    apart = x.select("task", "label").distinct().groupBy("task").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("label"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return done.union(labels).union(apart.select(F.lit("disagreement").alias("kind"), F.col("task").alias("annotator"), "label", "n"))
 
 
 @query("SELECT p_brand, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")

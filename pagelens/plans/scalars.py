@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m, urls as u
+from ..operators import text as t
 from ..sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -86,7 +87,7 @@ over("fn_base_token", "part", "regexp_split_to_array(p_brand || '-' || p_size, '
 over("fn_config_hash", "part", "left(sha256(p_name || p_brand), 16) AS hash", lambda: dict(hash=u.config_hash(F.col("p_name"), F.col("p_brand"))))
 over("fn_key_alias", "documents", "coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, ''), nullif(lang, '')) AS k", lambda: dict(k=u.first_filled(F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")), F.col("lang"))))
 over("fn_framework_norm", "customer", "CASE lower(trim(c_mktsegment)) WHEN 'building' THEN 'construction' WHEN 'automobile' THEN 'vehicles' ELSE lower(trim(c_mktsegment)) END AS segment", lambda: dict(segment=F.coalesce(F.element_at(F.create_map(*map(F.lit, ("building", "construction", "automobile", "vehicles"))), F.lower(F.trim("c_mktsegment"))), F.lower(F.trim("c_mktsegment")))))
-over("fn_truncate_head_tail", "documents", "array_to_string(string_split(text, chr(10))[1:3], chr(10)) AS head, right(text, 50) AS tail", lambda: dict(head=F.array_join(F.slice(F.split("text", "\n"), 1, 3), "\n"), tail=F.right(F.col("text"), F.lit(50))))
+over("fn_truncate_head_tail", "documents", "CASE WHEN len(string_split(text, chr(10))) <= 3 THEN text ELSE array_to_string(string_split(text, chr(10))[1:3], chr(10)) || chr(10) || '... (' || (len(string_split(text, chr(10))) - 3) || ' more lines)' END AS head, right(text, 50) AS tail, left(text, 40) AS start", lambda: dict(head=t.first_lines(F.col("text"), 3), tail=F.right(F.col("text"), F.lit(50)), start=F.left(F.col("text"), F.lit(40))))
 over("fn_xpath_transform", "part", "regexp_replace(replace('/html[1]/body[1]/div[' || p_size || ']', '/', '__'), '([A-Za-z0-9]+)\\[([0-9]+)\\]', '\\1_\\2', 'g') AS id", lambda: dict(id=F.regexp_replace(F.replace(F.concat(F.lit("/html[1]/body[1]/div["), F.col("p_size").cast("string"), F.lit("]")), F.lit("/"), F.lit("__")), "([A-Za-z0-9]+)\\[([0-9]+)\\]", "$1_$2")))
-over("fn_json_path", "events", "CAST(json_extract(props, '$.k') AS BIGINT) AS k", lambda: dict(k=F.get_json_object("props", "$.k").cast("long")))
-over("flt_keyword_gate", "documents", "(contains(lower(text), 'the') OR contains(lower(text), 'und')) AS has_keyword", lambda: dict(has_keyword=F.lower("text").contains("the") | F.lower("text").contains("und")))
+over("fn_json_path", "events", "coalesce(CASE WHEN event_id % 3 = 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END, -1) AS k, CAST(json_extract(props, '$.k') AS BIGINT) AS top", lambda: dict(k=t.json_at(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a": {"b": '), "props", F.lit("}}"))).otherwise(F.lit('{"a": null}')), "$.a.b.k", "long", -1), top=t.json_at(F.col("props"), "$.k", "long", 0)))
+over("flt_keyword_gate", "documents", "regexp_matches(lower(text || CASE WHEN doc_id % 3 = 0 THEN ' Render-Blocking' ELSE '' END), 'lcp|inp|cls|largest contentful paint|interaction to next paint|cumulative layout shift|lazy|preload|defer|async|image|font|cache|render-blocking|critical|viewport|width|height|layout shift|resource hint') AS has_keyword", lambda: dict(has_keyword=t.speaks_of_vitals(F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Render-Blocking").otherwise("")))))

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions.rules import exclusive_quantile
 from ..operators.ranks import placed
+from ..operators.selection import stratified
 from ..sources.tables import table
 from .register import registrar
 from .relational import quantile
@@ -166,11 +167,15 @@ SITES = """WITH m AS (SELECT user_id AS site, event_type AS metric, avg(value) F
  s AS (SELECT site, round(avg(gain), 6) AS health, CAST(sum(crossing) AS BIGINT) AS crossing, bool_or(gain >= 20) AND NOT bool_or(gain < -20) AS is_pareto, bool_or(gain < -20) AS is_degraded FROM d GROUP BY 1)"""
 
 
-def _sites(spark, sf):
+def _gains(spark, sf):
     early = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
     m = table(spark, sf, "events").groupBy(F.col("user_id").alias("site"), "event_type").agg(F.avg(F.when(early, F.col("value"))).alias("b"), F.avg(F.when(~early, F.col("value"))).alias("f"))
     tier = lambda c: F.when(F.col(c) <= 100, 2).when(F.col(c) <= 200, 1).otherwise(0)
-    d = m.where("b is not null and f is not null").select("site", (F.col("b") - F.col("f")).alias("gain"), (tier("f") - tier("b")).alias("c"))
+    return m.where("b is not null and f is not null").select("site", "event_type", (F.col("b") - F.col("f")).alias("gain"), (tier("f") - tier("b")).alias("c"))
+
+
+def _sites(spark, sf):
+    d = _gains(spark, sf)
     worse = F.bool_or(F.col("gain") < -20)
     return d.groupBy("site").agg(F.round(F.avg("gain"), 6).alias("health"), F.sum("c").alias("crossing"), (F.bool_or(F.col("gain") >= 20) & ~worse).alias("is_pareto"), worse.alias("is_degraded"))
 
@@ -181,10 +186,14 @@ def agg_site_paper(spark, sf):
     return _sites(spark, sf)
 
 
-@query(f"{SITES} SELECT count(*) AS n, round(avg(CAST(is_pareto AS INTEGER)), 6) AS pareto_rate, round(avg(CAST(is_degraded AS INTEGER)), 6) AS degraded_rate, round(avg(health), 5) AS health, round(avg(crossing), 6) AS crossing FROM s")
+@query(f"{SITES} SELECT count(*) AS n, round(avg(CAST(is_pareto AS INTEGER)), 6) AS pareto_rate, round(avg(CAST(is_degraded AS INTEGER)), 6) AS degraded_rate, round(avg(health), 5) AS health, round(avg(crossing), 6) AS crossing, (SELECT string_agg(metric || '=' || g, ',' ORDER BY metric) FROM (SELECT metric, CAST(round(avg(gain) * 100) AS BIGINT) AS g FROM d GROUP BY 1)) AS per_metric FROM s")
 def agg_paper(spark, sf):
+    """Over all sites, and the mean gain of each metric in hundredths."""
     rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 6)
-    return _sites(spark, sf).agg(F.count(F.lit(1)).alias("n"), rate("is_pareto").alias("pareto_rate"), rate("is_degraded").alias("degraded_rate"), F.round(F.avg("health"), 5).alias("health"), F.round(F.avg("crossing"), 6).alias("crossing"))
+    per = _gains(spark, sf).groupBy("event_type").agg(F.round(F.avg("gain") * 100).cast("long").alias("g"))
+    per = per.agg(F.array_join(F.array_sort(F.collect_list(F.concat("event_type", F.lit("="), "g"))), ",").alias("per_metric"))  # a row for each metric
+    x = _sites(spark, sf).agg(F.count(F.lit(1)).alias("n"), rate("is_pareto").alias("pareto_rate"), rate("is_degraded").alias("degraded_rate"), F.round(F.avg("health"), 5).alias("health"), F.round(F.avg("crossing"), 6).alias("crossing"))
+    return x.crossJoin(per)  # one row each
 
 
 @query("WITH b AS (SELECT l_suppkey AS page, l_partkey AS box, l_orderkey * 10 + l_linenumber AS id, l_extendedprice / 100 AS y, l_quantity AS h FROM lineitem), r AS (SELECT *, max(y + h) OVER (PARTITION BY page ORDER BY y, id, box ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM b) SELECT page, band, count(*) AS boxes, min(y) AS top, round(max(y + h), 6) AS bottom FROM (SELECT *, CAST(sum(CASE WHEN low IS NULL OR y > low + 20 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y, id, box ROWS UNBOUNDED PRECEDING) AS BIGINT) AS band FROM r) GROUP BY 1, 2")
@@ -249,11 +258,31 @@ def smp_even_step(spark, sf):
     return x.where(F.array_contains(at, F.col("place"))).select("source", "doc_id", "place")
 
 
-@query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang, n_chars > 1000 ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents) WHERE k <= 8")
+STRATIFIED = """WITH RECURSIVE d AS (SELECT doc_id, lang || '__' || (n_chars > 1000) AS stratum, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL),
+ z AS (SELECT *, row_number() OVER (ORDER BY n DESC, stratum) AS i, count(*) OVER () AS k FROM (SELECT stratum, count(*) AS n FROM d GROUP BY 1)),
+ a(i, stratum, take, remaining) AS (SELECT CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), CAST(60 AS BIGINT) UNION ALL SELECT z.i, z.stratum, CASE WHEN remaining <= 0 THEN 0 ELSE least(n, greatest(1, remaining // (k - z.i + 1))) END, remaining - CASE WHEN remaining <= 0 THEN 0 ELSE least(n, greatest(1, remaining // (k - z.i + 1))) END FROM a JOIN z ON z.i = a.i + 1),
+ r AS (SELECT d.*, row_number() OVER (PARTITION BY d.stratum ORDER BY h, doc_id) <= take AS chosen FROM d JOIN a USING (stratum)),
+ c AS (SELECT * FROM r ORDER BY chosen DESC, h, doc_id LIMIT 60), s AS (SELECT doc_id, stratum, h, row_number() OVER (ORDER BY md5(h), doc_id) <= 50 AS train FROM c)"""
+
+
+@query(f"{STRATIFIED} SELECT doc_id, stratum, train FROM s")
 def smp_stratified(spark, sf):
-    """Eight rows of each stratum (language and size class), by a keyed hash: reruns agree."""
-    w = W.partitionBy("lang", F.col("n_chars") > 1000).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    return table(spark, sf, "documents").select("lang", "doc_id", F.row_number().over(w).alias("k")).where("k <= 8").select("lang", "doc_id")
+    """Sixty documents of the strata of language and size: the largest first, each with its share of what is left, filled
+    up from all; fifty train, ten validate. Drawn by hashes, so reruns agree."""
+    return _stratified(spark, sf).select("doc_id", "stratum", "train")
+
+
+def _stratified(spark, sf):
+    d = table(spark, sf, "documents").where("lang is not null and n_chars is not null")
+    return stratified(d.select("doc_id", F.concat("lang", F.lit("__"), (F.col("n_chars") > 1000).cast("string")).alias("stratum")), "doc_id", "stratum", 60, 50)
+
+
+@query(f"{STRATIFIED}, k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id) AS k FROM s WHERE train) SELECT doc_id, CAST((row_number() OVER (ORDER BY k, stratum) - 1) % 5 AS INTEGER) AS batch FROM k")
+def smp_minibatch(spark, sf):
+    """The fifty training documents dealt to five batches, one stratum after the other in turn."""
+    x = _stratified(spark, sf).where("train")
+    x = x.withColumn("k", F.row_number().over(W.partitionBy("stratum").orderBy("h", "doc_id")))
+    return x.select("doc_id", ((F.row_number().over(W.orderBy("k", "stratum")) - 1) % 5).alias("batch"))  # fifty rows
 
 
 WORDS = "list_distinct(string_split(lower(text), ' '))"
@@ -300,9 +329,15 @@ def set_style_diff(spark, sf):
     return a.join(b, "p_partkey", "left").select("p_partkey", F.array_join(F.array_sort(F.map_keys(changed)), ",").alias("changed"))
 
 
-@query("SELECT trial, n, round(mean, 6) AS mean, best FROM (SELECT user_id % 10 AS trial, count(*) AS n, avg(value) AS mean, arg_max(event_id, (value, event_id)) AS best FROM events GROUP BY 1)")
+@query("""WITH e AS (SELECT user_id % 10 AS trial, event_id % 500 AS k, value, event_id, row_number() OVER (PARTITION BY event_id % 500 ORDER BY event_id) > 1 AS hit FROM events),
+ t AS (SELECT trial, count(*) AS n, count(*) FILTER (hit) AS hits, avg(value) AS mean, arg_max(event_id, (value, event_id)) AS best FROM e GROUP BY 1) SELECT trial, n, hits, round(mean, 6) AS mean, best, round(max(mean) OVER () - mean, 6) AS gap FROM t""")
 def opt_trial_log(spark, sf):
-    return table(spark, sf, "events").groupBy((F.col("user_id") % 10).alias("trial")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max_by("event_id", F.struct("value", "event_id")).alias("best"))
+    """Trials with their runs, those answered by the cache (the key was met before), mean and best, and the gap to the best trial."""
+    first = table(spark, sf, "events").groupBy((F.col("event_id") % 500).alias("k")).agg(F.min("event_id").alias("first"))
+    e = table(spark, sf, "events").select((F.col("user_id") % 10).alias("trial"), (F.col("event_id") % 500).alias("k"), "value", "event_id").join(first, "k")
+    t = e.groupBy("trial").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_id") > F.col("first")).alias("hits"), F.avg("value").alias("m"), F.max_by("event_id", F.struct("value", "event_id")).alias("best"))
+    top = t.agg(F.max("m").alias("top"))
+    return t.crossJoin(F.broadcast(top)).select("trial", "n", "hits", F.round("m", 6).alias("mean"), "best", F.round(F.col("top") - F.col("m"), 6).alias("gap"))  # top: one row
 
 
 @query("SELECT a.s_suppkey, count(b.s_suppkey) AS dominated_by FROM supplier a LEFT JOIN supplier b ON a.s_nationkey = b.s_nationkey AND b.s_acctbal >= a.s_acctbal AND b.s_suppkey % 10 >= a.s_suppkey % 10 AND (b.s_acctbal > a.s_acctbal OR b.s_suppkey % 10 > a.s_suppkey % 10) GROUP BY 1")

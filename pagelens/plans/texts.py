@@ -115,12 +115,6 @@ def smp_size_bins(spark, sf):
     return x.select("doc_id", F.when(F.col("s") >= at(2), "B4").when(F.col("s") >= at(1), "B3").otherwise("B2").alias("bin"))
 
 
-@query("WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) SELECT doc_id, CAST((k - 1) % 5 AS INTEGER) AS batch FROM r WHERE k <= 50")
-def smp_minibatch(spark, sf):
-    k = F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))
-    return table(spark, sf, "documents").select("doc_id", k.alias("k")).where("k <= 50").select("doc_id", ((F.col("k") - 1) % 5).alias("batch"))
-
-
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY CAST(substr(o_orderpriority, 1, 1) AS INTEGER), o_totalprice DESC, o_orderkey) AS place FROM orders")
 def ord_multi(spark, sf):
     order = [F.substring("o_orderpriority", 1, 1).cast("int"), F.desc("o_totalprice"), F.col("o_orderkey")]
@@ -138,8 +132,8 @@ W1 = "list_distinct(string_split(lower(b.text), ' '))"
 W2 = "list_distinct(string_split(lower(c.text), ' '))"
 
 
-@query(f"SELECT b.item_id, array_to_string(list_sort(list_filter({W1}, lambda x: NOT list_contains({W2}, x))), ' ') AS only_first, len(list_intersect({W1}, {W2})) AS common FROM benchmark b JOIN benchmark c ON c.item_id = b.item_id + 1")
+@query(f"SELECT b.item_id, array_to_string(list_sort(list_filter({W1}, lambda x: NOT list_contains({W2}, x))), ' ') AS only_first, array_to_string(list_sort(list_filter({W2}, lambda x: NOT list_contains({W1}, x))), ' ') AS only_second, array_to_string(list_sort(list_intersect({W1}, {W2})), ' ') AS common FROM benchmark b JOIN benchmark c ON c.item_id = b.item_id + 1")
 def set_three_way(spark, sf):
     x = table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("a"))
     y = x.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
-    return x.join(y, "item_id").select("item_id", F.array_join(F.array_sort(F.array_except("a", "b")), " ").alias("only_first"), F.size(F.array_intersect("a", "b")).cast("long").alias("common"))
+    return x.join(y, "item_id").select("item_id", *[F.array_join(c, " ").alias(k) for k, c in t.three_way(F.col("a"), F.col("b")).items()])

@@ -79,9 +79,14 @@ def json_after_noise(text: Column, schema: str) -> Column:
     return F.from_json(F.when(F.instr(text, "{") > 0, F.substr(text, F.instr(text, "{"))), schema)
 
 
-def sitemap_urls(xml: Column) -> Column:
-    """Distinct values of loc elements, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(xml, F.lit("(?s)<loc>(.*?)</loc>"), F.lit(1)), F.trim))
+def sitemap_urls(xml: Column, host: Column | None = None, most: int | None = None) -> Column:
+    """Distinct values of loc elements, in order; with host only pages of that host (no feeds and sitemaps), with
+    most only the first ones."""
+    urls = F.transform(F.regexp_extract_all(xml, F.lit("(?s)<loc>(.*?)</loc>"), F.lit(1)), F.trim)
+    if host is not None:
+        urls = F.filter(urls, lambda u: (F.regexp_extract(u, "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1) == host) & ~F.lower(u).rlike("\\.(xml|rss|atom)$"))
+    urls = F.array_distinct(urls)
+    return urls if most is None else F.slice(urls, 1, most)
 
 
 def sse_events(body: Column, schema: str) -> Column:
