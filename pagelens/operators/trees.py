@@ -7,9 +7,10 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .boxes import ancestors, depth
+from .boxes import ancestors, depth, not_contained
+from .ordered import merged_intervals
 
 # Tags without content of their own, tags of images, and tags that only dress text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -185,3 +186,42 @@ def rolled_up(groups: DataFrame, page: str, group: str, node: str) -> DataFrame:
     held = held.join(size, [page, group]).withColumnRenamed("d", "own").drop("n")
     held = held.join(size.select(page, F.col(group).alias("below"), "n", "d"), [page, "below"])
     return held.where("held = n and d > own").select(page, group, "below")
+
+
+def sections(nodes: DataFrame, sizes: DataFrame, page: str, tallest: float = 2900.0) -> DataFrame:
+    """page and id of each page's sections; sizes holds page, page_w and page_h.
+
+    Nodes taller than tallest or nine tenths of the page are left out. The content's width is the commonest
+    width (in tens, of those of 0.3 of the page and more; the page's own from 0.95 of it on). Sections are
+    nodes that span 0.95 of it, and nodes of horizontal bands (20 pixels apart at most) that span it
+    together; those inside a larger one go. Gaps between them are filled by the nodes inside, the topmost
+    and widest first, each unless its height lies within one taken before.
+    """
+    w, h, y = F.col("box.w"), F.col("box.h"), F.col("box.y")
+    x = nodes.select(page, "id", "place", "box").join(sizes, page).where((h <= 0.9 * F.col("page_h")) & (h <= tallest))
+    widths = x.where(w >= 0.3 * F.col("page_w")).groupBy(page, (F.bround(w / 10) * 10).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    common = widths.groupBy(page).agg(F.max_by("r", F.struct("n", -F.col("first"))).alias("r"))
+    x = x.join(common, page, "left")
+    x = x.withColumn("content", F.when(F.col("r").isNull() | (F.col("r") >= 0.95 * F.col("page_w")), F.col("page_w")).otherwise(F.col("r"))).drop("r")
+    wide = w >= 0.95 * F.col("content")
+    down = W.partitionBy(page).orderBy("box.y", "place")
+    before = W.unboundedPreceding
+    rest = x.where(~wide).withColumn("reach", F.max(y + h).over(down.rowsBetween(before, -1)))
+    rest = rest.withColumn("band", F.sum(F.when(y <= F.col("reach") + 20, 0).otherwise(1)).over(down.rowsBetween(before, 0)))
+    across = W.partitionBy(page, "band").orderBy("box.x", "place").rowsBetween(before, -1)
+    left, right = F.col("box.x"), F.col("box.x") + w
+    rest = rest.withColumn("new", F.greatest(F.lit(0.0), right - F.greatest(left, F.coalesce(F.max(right).over(across), left))))
+    bands = rest.groupBy(page, "band").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("covered"), F.first("content").alias("of")).where("n > 1 and covered >= 0.95 * of")
+    chosen = rest.join(bands.select(page, "band"), [page, "band"], "left_semi").select(page, "place", "box").unionByName(x.where(wide).select(page, "place", "box"))
+    kept = not_contained(chosen, page, "place", "box")
+    boxes = x.select(page, "place", "id", "box", "page_h").join(kept, [page, "place"], "left_semi")
+    spans = merged_intervals(boxes.select(page, y.alias("low0"), (y + h).alias("high0")), page, "low0", "high0").select(page, "low", "high")
+    order = W.partitionBy(page).orderBy("low")
+    gaps = spans.select(page, F.coalesce(F.lag("high").over(order), F.lit(0.0)).alias("from"), F.col("low").alias("to"))
+    ends = sizes.select(page, "page_h").join(spans.groupBy(page).agg(F.max("high").alias("high")), page, "left")
+    gaps = gaps.unionByName(ends.select(page, F.coalesce("high", F.lit(0.0)).alias("from"), F.col("page_h").alias("to"))).where("`from` < `to`")
+    inside = x.join(gaps, page).where((y >= F.col("from")) & (y + h <= F.col("to")))
+    one = F.struct(y.alias("y"), (-w).alias("w"), "place", "id", (y + h).alias("end"))
+    fill = inside.groupBy(page).agg(F.array_sort(F.collect_set(one)).alias("all"))
+    took = F.aggregate("all", F.slice("all", 1, 0), lambda done, e: F.when(F.exists(done, lambda d: (e["y"] >= d["y"]) & (e["end"] <= d["end"])), done).otherwise(F.array_append(done, e)))
+    return boxes.select(page, "id").unionByName(fill.select(page, F.explode(F.transform(took, lambda e: e["id"])).alias("id"))).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..operators import trees as t
 from ..sources.tables import table
-from .boxes import TREE, _tree
+from .boxes import TREE, _boxes, _tree
 from .register import registrar
 
 query, QUERIES, ORACLE_SQL = registrar()
@@ -88,3 +88,11 @@ def geo_depth_rollup(spark, sf):
     d = F.size(F.split("id", "__"))
     group = F.concat_ws("-", d, F.get(F.split("id", "__"), F.lit(0)))
     return t.rolled_up(_nodes(spark, sf).withColumn("group", group), "page", "group", "id").select("group", "below")
+
+
+@query()
+def geo_sections(spark, sf):
+    """Sections of pages of 50 boxes; checked on small pages in the tests."""
+    x = _boxes(spark, sf).select(F.col("label").alias("page"), F.col("vec_id").cast("string").alias("id"), "vec_id", "box").withColumn("place", F.col("vec_id"))
+    sizes = x.groupBy("page").agg(F.max(F.col("box.x") + F.col("box.w")).alias("page_w"), F.max(F.col("box.y") + F.col("box.h")).alias("page_h"))
+    return t.sections(x, sizes, "page")

@@ -58,3 +58,13 @@ def test_subdivided_and_rolled_up(spark):
     empty = x.where("page = 0")
     for f in (trees.without_empty, trees.without_dressing, trees.without_single, trees.merged_images, trees.leaf_counts):
         assert f(empty, "page").count() == 0
+
+
+def test_sections(spark):
+    box = lambda x, y, w, h: (float(x), float(y), float(w), float(h))
+    boxes = [box(0, 0, 1000, 3000), box(0, 0, 1000, 100), box(10, 10, 300, 50), box(0, 150, 500, 200), box(500, 160, 500, 180), box(0, 500, 400, 100), box(20, 520, 100, 20), box(0, 700, 1000, 300), box(0, 1100, 600, 50)]
+    rows = [(1, f"n{k}", f"n{k}", k, "", False, b) for k, b in enumerate(boxes)]
+    x = spark.createDataFrame(rows, NODE)
+    sizes = spark.createDataFrame([(1, 1000.0, 3000.0), (2, 10.0, 10.0)], "page int, page_w double, page_h double")
+    assert {r["id"] for r in trees.sections(x, sizes, "page").collect()} == {"n1", "n3", "n4", "n5", "n7", "n8"}
+    assert trees.sections(x.where("page = 0"), sizes, "page").count() == 0
