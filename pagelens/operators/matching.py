@@ -83,3 +83,83 @@ def best_by_vector(left: DataFrame, right: DataFrame, page: str, id: str, vector
     b = right.select(page, F.col(id).alias("other"), F.col(vector).cast("array<double>").alias("f"))
     cos = dot("e", "f") / F.sqrt(dot("e", "e") * dot("f", "f"))
     return a.join(b, page).groupBy(page, id).agg(F.max_by("other", F.struct(F.round(cos, 12), -F.col("other"))).alias("best"))
+
+
+def _near(a: tuple[str, str], b: tuple[str, str]) -> Column:
+    """Nearness of two middles, 1 to 0 at 1000 pixels; of each the columns of x and y."""
+    return 1 - F.least(F.hypot(F.col(a[0]) - F.col(b[0]), F.col(a[1]) - F.col(b[1])) / 1000, F.lit(1.0))
+
+
+def _pairs_of_neighbours(pdf: pd.DataFrame) -> list[tuple]:
+    """Rows of one page two by two: first those of one parent, then those that stand close below or beside each other."""
+    rows, used, out = list(pdf.sort_values(["top", "left", "id"]).itertuples()), set(), []
+
+    def close(a, b) -> bool:
+        below = b.top - (a.top + a.h) < 2 and abs(a.left - b.left) < 10
+        return below or (b.left - (a.left + a.w) < 2 and abs(a.top - b.top) < 10)
+
+    for fits in (lambda a, b: a.parent == b.parent, close):
+        for a in rows:
+            b = None if a.id in used else next((b for b in rows if b.id != a.id and b.id not in used and fits(a, b)), None)
+            if b is not None:
+                used.update((a.id, b.id))
+                out.append((a, b))
+    return out
+
+
+def text_matches(left: DataFrame, right: DataFrame, page: str, least: float = 0.9) -> DataFrame:
+    """page, step (1 to 3), lefts and rights: the text leaves of two versions of a page that belong together.
+
+    left and right hold page, id, parent, text, left, top, w and h. Step 1: one to one, best scored_pairs()
+    first. Step 2, of the rest: a left leaf with two neighbouring right ones whose texts joined are alike.
+    Step 3: a leaf with those of the other side whose texts it holds, each text used up once. Candidates are
+    made and scored by joins within pages; choices that depend on those before are folds over one page's.
+    """
+    from .boxes import greedy_pairs
+
+    middle = lambda d: d.withColumns({"x": F.col("left") + F.col("w") / 2, "y": F.col("top") + F.col("h") / 2})
+    a, b = middle(left), middle(right)
+    kind = left.schema[page].dataType.simpleString()
+    one = greedy_pairs(scored_pairs(a, b, page, least), page, "l", "r", "score")
+    rest = lambda d, gone, c: d.join(gone.select(page, F.col(c).alias("id")), [page, "id"], "left_anti")
+    a2, b2 = rest(a, one, "l"), rest(b, one, "r")
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _pairs_of_neighbours(pdf)
+        box = lambda g, h: ((min(g.left, h.left) + max(g.left + g.w, h.left + h.w)) / 2, (min(g.top, h.top) + max(g.top + g.h, h.top + h.h)) / 2)
+        return pd.DataFrame([(pdf[page].iloc[0], g.id, h.id, g.text + h.text, *box(g, h)) for g, h in found], columns=[page, "r1", "r2", "both", "bx", "by"])
+
+    two = b2.select(page, "id", "parent", "text", "left", "top", "w", "h").groupBy(page).applyInPandas(pair, f"{page} {kind}, r1 string, r2 string, both string, bx double, by double")
+    c = a2.select(page, F.col("id").alias("l"), "text", F.col("x").alias("ax"), F.col("y").alias("ay")).join(two, page)
+    n, m = F.length("text"), F.length("both")
+    c = c.where(2 * F.least(n, m) >= least * (n + m)).withColumn("alike", ratio(F.col("text"), F.col("both"))).where(F.col("alike") >= least)
+    c = c.select(page, "l", F.concat_ws("\n", "r1", "r2").alias("r"), (F.col("alike") * 0.8 + _near(("ax", "ay"), ("bx", "by")) * 0.2).alias("score"))
+    two = greedy_pairs(c, page, "l", "r", "score").withColumn("rights", F.split("r", "\n"))
+    a3, b3 = rest(a2, two, "l"), rest(b2, two.select(page, F.explode("rights").alias("r")), "r")
+    low = lambda d, i, t, s: d.select(page, F.col("id").alias(i), F.lower(squeezed(F.col("text"))).alias(t), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"), F.struct("top", "left").alias(f"{s}at")).where(F.col(t) != "")
+    c = low(a3, "l", "lt", "a").join(low(b3, "r", "rt", "b"), page).where((F.col("lt") != F.col("rt")) & (F.contains("lt", F.col("rt")) | F.contains("rt", F.col("lt"))))
+    share = F.least(F.length("lt"), F.length("rt")) / F.greatest(F.length("lt"), F.length("rt"))
+    c = c.withColumn("score", share * 0.7 + _near(("ax", "ay"), ("bx", "by")) * 0.3)
+
+    def consume(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups: dict[tuple[str, str], list] = {}  # (side, holder): what it holds, with places
+        text_left, held = {}, {"l": set(), "r": set()}
+        for r in pdf.sort_values(["score", "l", "r"], ascending=[False, True, True]).itertuples():
+            side, other = ("l", "r") if r.rt in r.lt else ("r", "l")
+            holder, part = getattr(r, side), getattr(r, other)
+            if part in held[other] or (holder in held[side] and (side, holder) not in groups):
+                continue
+            whole, piece = text_left.get((side, holder), getattr(r, f"{side}t")), getattr(r, f"{other}t")
+            if piece in whole:
+                groups.setdefault((side, holder), []).append((r.bat if side == "l" else r.aat, part))
+                held[other].add(part)
+                held[side].add(holder)
+                text_left[side, holder] = whole.replace(piece, "", 1).strip()
+        rows = [([k], [p for _, p in sorted(v, key=lambda e: (e[0]["top"], e[0]["left"], e[1]))]) for (_, k), v in groups.items()]
+        sides = [s for s, _ in groups]
+        return pd.DataFrame({page: pdf[page].iloc[0], "lefts": [x if s == "l" else y for s, (x, y) in zip(sides, rows)], "rights": [y if s == "l" else x for s, (x, y) in zip(sides, rows)]})
+
+    three = c.select(page, "l", "r", "lt", "rt", "score", "aat", "bat").groupBy(page).applyInPandas(consume, f"{page} {kind}, lefts array<string>, rights array<string>")
+    out = one.select(page, F.lit(1).alias("step"), F.array("l").alias("lefts"), F.array("r").alias("rights"))
+    out = out.unionByName(two.select(page, F.lit(2).alias("step"), F.array("l").alias("lefts"), "rights"))
+    return out.unionByName(three.select(page, F.lit(3).alias("step"), "lefts", "rights"))

@@ -100,3 +100,15 @@ def opt_select_parents(spark, sf):
     one = o.latest(s, ["h"], F.desc("x"), F.col("s_suppkey"))
     front = o.pareto(one, "s_suppkey", ["x", "y"])
     return o.crowding(front, "s_suppkey", ["x", "y"]).orderBy(F.desc("distance"), "s_suppkey").limit(4).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def match_text_3pass(spark, sf):
+    """Names of parts in pages of 20 as leaves: every third right one cut in two, every fourth left one lengthened."""
+    k = F.col("p_partkey")
+    x = table(spark, sf, "part").select(F.floor(k / 20).alias("page"), k.cast("string").alias("id"), (k % 20 / 4).cast("int").cast("string").alias("parent"), F.concat_ws(" ", "p_name", "p_brand").alias("text"), (k % 4 * 100.0).alias("left"), (k % 20 * 30.0).alias("top"), F.lit(90.0).alias("w"), F.lit(28.0).alias("h"))
+    left = x.withColumn("text", F.when(F.col("id") % 4 == 0, F.concat("text", F.lit(" and more"))).otherwise(F.col("text")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    cut = F.when(F.col("id") % 3 == 0, F.array(F.left("text", half), F.call_function("substr", "text", half + 1))).otherwise(F.array("text"))
+    right = x.select(*[c for c in x.columns if c != "text"], F.posexplode(cut).alias("n", "text")).withColumns({"id": F.concat_ws("-", "id", "n"), "left": F.col("left") + F.col("n") * 40})
+    return m.text_matches(left, right.drop("n"), "page").select("page", "step", F.array_join("lefts", ",").alias("lefts"), F.array_join("rights", ",").alias("rights"))
