@@ -18,6 +18,8 @@ SKETCH_BITS = 38
 SKETCH_FROM = 256
 #: Members and shingles of a block; a task that compares the members of a large bucket meets two blocks.
 BLOCK, SHINGLES = 1024, 1 << 20
+#: Rows with whole sets that are taken out of a batch at a time.
+SLICE = 500
 
 
 def _signatures(batches):
@@ -40,7 +42,7 @@ def _signatures(batches):
 
 
 def _matching(batches):
-    for batch in batches:
+    for batch in (b.slice(k, SLICE) for b in batches for k in range(0, len(b), SLICE)):
         sets = [shingle_set(t, WORDS) for t in texts(batch.column("text"))]
         ok = pa.array([set_key(s) == c for s, c in zip(sets, batch.column("cls").to_pylist())], pa.bool_())
         found = pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
@@ -48,7 +50,7 @@ def _matching(batches):
 
 
 def _verified(batches):
-    for batch in batches:
+    for batch in (b.slice(k, SLICE) for b in batches for k in range(0, len(b), SLICE)):
         ok = []
         for x, y in zip(batch.column("hashes").to_pylist(), batch.column("hashes_b").to_pylist()):
             a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -159,7 +161,7 @@ def _joined(rows: list[tuple]) -> list[tuple[int, int]]:
 def _compared(batches):
     """_joined() of each run of rows with one key."""
     key, rows = None, []
-    for batch in batches:
+    for batch in (b.slice(k, SLICE) for b in batches for k in range(0, len(b), SLICE)):
         out = []
         for *now, root, side, hashes in zip(*[batch.column(c).to_pylist() for c in ("band", "l", "r", "root", "side", "hashes")]):
             if now != key:

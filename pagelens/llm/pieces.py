@@ -38,7 +38,7 @@ def _one(document: int, number: int) -> tuple[np.ndarray, np.ndarray]:
 class Pieces:
     """A piece model of merge type: pieces, scores and byte pieces, read through the sentencepiece library."""
 
-    def __init__(self, path: str, alpha: float = 0.1, seed: int = 0, most: int = 400_000):
+    def __init__(self, path: str, alpha: float = 0.1, seed: int = 0, most: int = 150_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -272,7 +272,7 @@ class Pieces:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _model(path: str, alpha: float, seed: int) -> Pieces:
     return Pieces(path, alpha, seed)
 

@@ -43,6 +43,7 @@ BREAKS = frozenset(".!?;:\n")
 #: Symbols that the transducers read: the class of a word, or none of them.
 CLASSES = {"target": TARGETS, "not": NEGATIONS, "report": REPORTS, "intent": INTENTS}
 OTHER = "other"
+PLAIN = (0.0, 0.0, OTHER)
 
 
 @dataclass(frozen=True)
@@ -120,7 +121,8 @@ class Grammar:
             if k > len(w):
                 break
             best = max(best, self.insults.get(w[:k], 0.0))
-        return best, THREATS.get(w, 0.0), next((c for c, words in CLASSES.items() if w in words), OTHER)
+        found = best, THREATS.get(w, 0.0), next((c for c, words in CLASSES.items() if w in words), OTHER)
+        return PLAIN if found == PLAIN else found  # one object for most words
 
     def clause(self, words: list[tuple[float, float, str]]) -> float:
         """The weight of a clause of words as word() gives them."""
@@ -139,7 +141,7 @@ class Grammar:
         for w in tokens:
             x = known.get(w)
             if x is None:
-                if len(known) > 300_000:
+                if len(known) > 200_000:
                     known.clear()
                 x = known[w] = (0.0, 0.0, "") if w in BREAKS else self.word(w)
             words.append(x)
