@@ -99,7 +99,7 @@ def test_signatures(spark):
 
 
 def test_complexity(spark):
-    js = "// a\nfunction f(x) {\n  if (x) {\n\n  }\n}\nclass A { g = (y) => { return 1 } }\n"
+    js = "// a\nfunction f(x) {\n  if (x) {\n\n  }\n}\nclass A { g(y) => { return 1 } }\n"
     got = {k: one(spark, c, t=js) for k, c in code.complexity(F.col("t"), F.lit("javascript")).items()}
     assert got == {"blank_lines": 2, "comment_lines": 1, "nesting": 2, "functions": 2, "classes": 1}
     assert one(spark, code.script_verdict(F.col("t")), t="x" * 600) == "long_lines" and one(spark, code.script_verdict(F.col("t")), t=js) is None
