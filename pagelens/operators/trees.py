@@ -4,16 +4,14 @@ by joins on the beginnings of ids."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.htmltree import parse
 from .boxes import ancestors, depth, not_contained
 from .ordered import merged_intervals
 
-# Tags without content of their own, tags of images, and tags that only dress text.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Tags of images, and tags that only dress text.
 IMAGES = frozenset("img svg canvas picture video".split())
 DRESSING = "strong a sup sub span b i em u s del ins small big mark".split()
 HIDDEN = frozenset("script style noscript template".split())
@@ -21,48 +19,48 @@ HIDDEN = frozenset("script style noscript template".split())
 NODE = "id string, tag string, place int, depth int, text string, image boolean"
 
 
-class _Builder(HTMLParser):
-    """Nodes of one page; open elements that a closing tag does not name are closed with it."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open, self.nodes, self.counts = [], [], [{}]
-
-    def handle_starttag(self, tag, attrs):
-        n = self.counts[-1][tag] = self.counts[-1].get(tag, 0) + 1
-        path = f"{self.open[-1]['id']}__{tag}_{n}" if self.open else f"{tag}_{n}"
-        node = {"id": path, "tag": tag, "place": len(self.nodes), "depth": len(self.open), "words": [], "image": tag in IMAGES}
-        self.nodes.append(node)
-        if tag not in VOID:
-            self.open.append(node)
-            self.counts.append({})
+def _nodes(source: str):
+    """Id, tag, place, depth, text and image flag of every element of a page, in document order.
 
-    def handle_endtag(self, tag):
-        if any(n["tag"] == tag for n in self.open):
-            while self.open.pop()["tag"] != tag:
-                self.counts.pop()
-            self.counts.pop()
-
-    def handle_data(self, data):
-        if not any(n["tag"] in HIDDEN for n in self.open):
-            for n in self.open:
-                n["words"].append(data)
+    The page's visible text is held once; an element's text is a range of it.
+    """
+    texts, rows, length = [], [], 0
+    stack = [(parse(source), "", 0, {}, False)]
+    while stack:
+        e, above, depth, counts, hidden = stack.pop()
+        if isinstance(e, int):  # an element ends
+            rows[e][5] = length
+            continue
+        if isinstance(e, str):
+            if not hidden:
+                texts.append(e)
+                length += len(e)
+            continue
+        n = counts[e.tag] = counts.get(e.tag, 0) + 1
+        id = f"{above}__{e.tag}_{n}" if above else f"{e.tag}_{n}"
+        stack.append((len(rows), "", 0, counts, False))
+        rows.append([id, e.tag, depth, e.tag in IMAGES, length, length])
+        below, hidden = {}, hidden or e.tag in HIDDEN
+        stack += [(kid, id, depth + 1, below, hidden) for kid in reversed(e.kids)]
+    whole = "".join(texts)
+    for place, (id, tag, depth, image, start, end) in enumerate(rows):
+        yield id, tag, place, depth, whole[start:end].strip(), image
 
 
 def build(pages: DataFrame, page: str, html: str) -> DataFrame:
-    """page and the nodes of every page's HTML, in document order; text is all visible text below a node.
+    """page and the elements of every page's HTML, in document order; text is all visible text below one.
 
-    A page is parsed on its own, without a shuffle. Null and empty pages have no nodes.
+    The tree is the one that a browser builds: html, head, body and table bodies that are left out are there,
+    a paragraph, list item or cell ends where the next begins, and formatting that is open when a block ends
+    goes on in the next. A page is parsed on its own, without a shuffle. Null and empty pages have no nodes.
     """
 
     def run(batches):
         for pdf in batches:
-            rows = []
             for key, source in zip(pdf[page], pdf[html]):
-                b = _Builder()
-                b.feed(source or "")
-                rows += [(key, n["id"], n["tag"], n["place"], n["depth"], "".join(n["words"]).strip(), n["image"]) for n in b.nodes]
-            yield pd.DataFrame(rows, columns=[page, "id", "tag", "place", "depth", "text", "image"])
+                if source:
+                    rows = [(key, *node) for node in _nodes(source)]
+                    yield pd.DataFrame(rows, columns=[page, "id", "tag", "place", "depth", "text", "image"])
 
     kind = pages.schema[page].dataType.simpleString()
     return pages.select(page, html).mapInPandas(run, f"{page} {kind}, {NODE}")

@@ -31,7 +31,7 @@ def _nodes(spark, sf):
 
 @query()
 def geo_tree_build(spark, sf):
-    """Every page's elements; checked against a second reading of the same pages in the tests."""
+    """Every page's elements; checked against a second reading of the pages in tests/test_trees.py."""
     return t.build(table(spark, sf, "pages"), "page_id", "html")
 
 

@@ -1,7 +1,11 @@
 """Trees of page elements on small pages, against what each rule says of them."""
 
+from html.parser import HTMLParser
+
+import pytest
 from pyspark.sql import functions as F
 
+from pagelens.functions import htmltree
 from pagelens.operators import trees
 
 BOX = "struct<x:double,y:double,w:double,h:double>"
@@ -19,9 +23,72 @@ def test_build(spark):
     pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "<p>x<p>y")], "page_id int, html string")
     out = {(r["page_id"], r["id"]): r for r in trees.build(pages, "page_id", "html").collect()}
     top = "html_1__body_1"
-    assert [k for p, k in out if p == 1] == ["html_1", top, f"{top}__p_1", f"{top}__p_1__b_1", f"{top}__p_1__br_1", f"{top}__p_2", f"{top}__p_2__img_1", f"{top}__p_2__script_1"]
+    assert [k for p, k in out if p == 1] == ["html_1", "html_1__head_1", top, f"{top}__p_1", f"{top}__p_1__b_1", f"{top}__p_1__br_1", f"{top}__p_2", f"{top}__p_2__img_1", f"{top}__p_2__script_1"]
     assert out[1, f"{top}__p_1"]["text"] == "a bc" and out[1, f"{top}__p_2"]["text"] == "" and out[1, f"{top}__p_2__img_1"]["image"]
-    assert not any(p in (2, 3) for p, _ in out) and out[4, "p_1"]["text"] == "xy"
+    assert not any(p in (2, 3) for p, _ in out)
+    assert (out[4, f"{top}__p_1"]["text"], out[4, f"{top}__p_2"]["text"], out[4, "html_1"]["text"]) == ("x", "y", "xy")
+
+
+def shown(e):
+    return e if isinstance(e, str) else f"<{e.tag}>{''.join(map(shown, e.kids))}</{e.tag}>"
+
+
+@pytest.mark.parametrize("source,want", [
+    ("<p>x<p>y", "<p>x</p><p>y</p>"), ("<ul><li>a<ul><li>b</ul><li>c</ul>", "<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>"),
+    ("<table><tr><td>1<td>2<tr><td>3</table>", "<table><tbody><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></tbody></table>"),
+    ("<table><tr><td><table><tr><td>1</table>2<td>3</table>", "<table><tbody><tr><td><table><tbody><tr><td>1</td></tr></tbody></table>2</td><td>3</td></tr></tbody></table>"),
+    ("<b>1<p>2</b>3</p>", "<b>1</b><p><b>2</b>3</p>"), ("<p>1<b>2<i>3</b>4</i>5</p>", "<p>1<b>2<i>3</i></b><i>4</i>5</p>"), ("<p><b>x<p>y", "<p><b>x</b></p><p><b>y</b></p>"),
+    ("<table>a<tr><td>x</table>", "a<table><tbody><tr><td>x</td></tr></tbody></table>"), ("<a>1<a>2</a>", "<a>1</a><a>2</a>"), ("<dl><dt>a<dd>b<dt>c</dl>", "<dl><dt>a</dt><dd>b</dd><dt>c</dt></dl>"),
+    ("<select><option>a<option>b</select>z", "<select><option>a</option><option>b</option></select>z"), ("<div><p>a</div>b</p>c", "<div><p>a</p></div>b<p></p>c"),
+    ("<h1>a<h2>b</h1>c", "<h1>a</h1><h2>b</h2>c"), ("<p title=it's>a</p>'x", "<p>a</p>'x"), ("a<!-- <p> -->b<!x>c</ y>d<e", "abcd"), ("1 < 2 &amp;&lt;p>", "1 < 2 &<p>"),
+])
+def test_browser_tree(source, want):
+    """Trees as the HTML standard has them."""
+    assert shown(htmltree.parse(source)) == f"<html><head></head><body>{want}</body></html>"
+
+
+def test_browser_tree_head_and_depth():
+    assert shown(htmltree.parse("<title>a<b></title><script>'<p>'</script>x")) == "<html><head><title>a<b></title><script>'<p>'</script></head><body>x</body></html>"
+    deep = htmltree.parse("<div>" * 5000 + "x" + "<b>" * 5000 + "y")
+    assert shown(deep).count("<div>") == 5000 and "x" in shown(deep) and shown(deep).count("y") == 3  # two in the body tags
+
+
+class Events(HTMLParser):
+    """A second reading of well-formed pages: texts and the tags that are open around them."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.seen = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "p" and "p" in self.open:
+            del self.open[self.open.index("p") :]
+        if tag not in htmltree.VOID:
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        self.seen.append((data, [t for t in self.open if t != "b"]))
+
+
+def test_build_against_second_reading(spark):
+    """On the driver's pages: the same texts below the same blocks (formatting aside, which a browser reopens)."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    nodes = {}
+    for r in trees.build(pages, "page_id", "html").collect():
+        nodes.setdefault(r["page_id"], []).append(r)
+    for page in pages.collect():
+        events = Events()
+        events.feed(page["html"])
+        for block in ("nav", "article", "footer", "h1"):
+            want = "".join(t for t, tags in events.seen if block in tags).strip()
+            assert next(n["text"] for n in nodes[page["page_id"]] if n["tag"] == block) == want
+        texts = [t for t, tags in events.seen if "p" in tags and "script" not in tags]
+        assert sum(n["tag"] == "p" for n in nodes[page["page_id"]]) == page["html"].count("<p>") + ("</p>" in page["html"].split("<script>")[0])
+        assert "".join(n["text"] for n in nodes[page["page_id"]] if n["tag"] == "p") == "".join(t.strip() for t in texts)
 
 
 def test_empty(spark):
