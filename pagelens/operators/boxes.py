@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .rounds import dominant_pairs, first_free
+
 
 def overlap(a: Column, b: Column) -> Column:
     """Area that two boxes (structs of x, y, w, h) share."""
@@ -25,37 +27,61 @@ def structure_differs(mean: Column, *faults: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def not_contained(df: DataFrame, page: str, key: str, box: str, margin: float = 2.0) -> DataFrame:
-    """page and key of the boxes kept by descending area (the least key of equals first), each unless a box kept
-    before holds it up to a margin. A page's boxes are one array, as each choice depends on those before."""
-    one = F.struct((-F.col(box)["w"] * F.col(box)["h"]).alias("s"), F.col(key).alias("k"), F.col(box).alias("b"))
-    boxes = df.groupBy(page).agg(F.array_sort(F.collect_list(one)).alias("all"))
+def _cells(boxes: DataFrame, level: Column, margin: float = 0.0) -> list[Column]:
+    """The squares of side 2 ** level that a box with a margin meets, at most two by two: columns level, cx and cy."""
+    side = F.pow(F.lit(2.0), level)
+    span = lambda p, s: F.sequence(F.floor((F.col("box")[p] - margin) / side), F.floor((F.col("box")[p] + F.col("box")[s] + margin) / side))
+    return [F.explode(F.flatten(F.transform(span("x", "w"), lambda x: F.transform(span("y", "h"), lambda y: F.struct(level.alias("level"), x.alias("cx"), y.alias("cy")))))).alias("cell")]
+
+
+def _meeting(df: DataFrame, page: str, key: str, box: str, margin: float, point: bool) -> DataFrame:
+    """g (a struct of page), big, small (structs of k and b): pairs of boxes of a page that meet in a square.
+
+    A box lies in squares of a level not smaller than itself, four at most; smaller boxes look for it there,
+    on the levels that the page has, all they cover or, if point is true, only their corner's. So the pairs
+    that meet are near each other, and no page's boxes are paired as such. A pair comes once.
+    """
+    x = df.where(F.col(box).isNotNull()).select(F.struct(F.col(page).alias("p")).alias("g"), F.col(key).alias("k"), F.col(box).alias("box"))
+    size = F.greatest(F.col("box")["w"], F.col("box")["h"]) + 2 * margin
+    x = x.withColumn("level", F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(1.0)))), F.lit(0)).cast("int"))
+    levels = x.groupBy("g").agg(F.collect_set("level").alias("levels"))  # a few dozen at most
+    whole = F.struct("k", F.col("box").alias("b"))
+    big = x.select("g", whole.alias("big"), *_cells(x, F.col("level"), margin))
+    y = x.join(levels, "g").select("g", "k", "box", F.explode(F.filter("levels", lambda v: v >= F.col("level"))).alias("level"))
+    if point:
+        side = F.pow(F.lit(2.0), F.col("level"))
+        at = F.struct("level", F.floor(F.col("box")["x"] / side).alias("cx"), F.floor(F.col("box")["y"] / side).alias("cy"))
+        return big.join(y.select("g", whole.alias("small"), at.alias("cell")), ["g", "cell"]).where("big.k <> small.k")
+    pairs = big.join(y.select("g", whole.alias("small"), *_cells(y, F.col("level"))), ["g", "cell"]).where("big.k <> small.k")
+    side = F.pow(F.lit(2.0), F.col("cell.level"))
+    corner = lambda p: F.floor(F.greatest(F.col("big.b")[p], F.col("small.b")[p]) / side)
+    return pairs.where((corner("x") == F.col("cell.cx")) & (corner("y") == F.col("cell.cy")))
 
-    def holds(d, e):
-        x, y = e["b"], d["b"]
-        return (x["x"] >= y["x"] - margin) & (x["y"] >= y["y"] - margin) & (x["x"] + x["w"] <= y["x"] + y["w"] + margin) & (x["y"] + x["h"] <= y["y"] + y["h"] + margin)
 
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda done, e: F.when(F.exists(done, lambda d: holds(d, e)), done).otherwise(F.array_append(done, e)))
-    return boxes.select(page, F.explode(F.transform(kept, lambda e: e["k"])).alias(key))
+def not_contained(df: DataFrame, page: str, key: str, box: str, margin: float = 2.0) -> DataFrame:
+    """page and key of the boxes kept by descending area (the least key of equals first), each unless a box kept
+    before holds it up to a margin. Boxes without a size given (null) stay. Keys name the boxes of a page."""
+    pairs = _meeting(df, page, key, box, margin, True)
+    d, e = F.col("big.b"), F.col("small.b")
+    inside = (e["x"] >= d["x"] - margin) & (e["y"] >= d["y"] - margin) & (e["x"] + e["w"] <= d["x"] + d["w"] + margin) & (e["y"] + e["h"] <= d["y"] + d["h"] + margin)
+    place = lambda c: F.struct((-F.col(f"{c}.b")["w"] * F.col(f"{c}.b")["h"]).alias("s"), F.col(f"{c}.k").alias("k"))
+    edges = pairs.where(inside & (place("big") < place("small"))).select(F.col("g.p").alias(page), F.col("big.k").alias("before"), F.col("small.k").alias("after"), place("small").alias("place"))
+    return first_free(df.select(page, key), edges, page, key)
 
 
 def greedy_disjoint(df: DataFrame, page: str, key: str, box: str) -> DataFrame:
-    """page and key of the boxes kept in key order, each if it overlaps none kept before."""
-    kind = df.schema[key].dataType.simpleString()
-    one = F.struct(F.col(key).cast(kind).alias("k"), F.col(box).alias("b"))
-    boxes = df.groupBy(page).agg(F.array_sort(F.collect_list(one)).alias("all"))
-    none = F.slice(F.col("all"), 1, 0)
-    kept = F.aggregate("all", none, lambda done, e: F.when(F.exists(done, lambda d: overlap(d["b"], e["b"]) > 0), done).otherwise(F.array_append(done, e)))
-    return boxes.select(page, F.explode(F.transform(kept, lambda e: e["k"])).alias(key))
+    """page and key of the boxes kept in key order, each if it overlaps none kept before. Empty and null boxes
+    overlap nothing. Keys name the boxes of a page."""
+    pairs = _meeting(df.where((F.col(box)["w"] > 0) & (F.col(box)["h"] > 0)), page, key, box, 0.0, False)
+    pairs = pairs.where(overlap(F.col("big.b"), F.col("small.b")) > 0)
+    ends = F.least("big.k", "small.k").alias("before"), F.greatest("big.k", "small.k").alias("after")
+    edges = pairs.select(F.col("g.p").alias(page), *ends).distinct()  # boxes of one level meet both ways
+    return first_free(df.select(page, key), edges.withColumn("place", F.col("after")), page, key)
 
 
 def greedy_pairs(candidates: DataFrame, page: str, left: str, right: str, score: str) -> DataFrame:
     """One-to-one pairs of a page, best score first, then least left, then least right."""
-    one = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
-    x = candidates.groupBy(page).agg(F.array_sort(F.collect_list(one)).alias("all"))
-    free = lambda done, e: ~F.exists(done, lambda d: (d["l"] == e["l"]) | (d["r"] == e["r"]))
-    kept = F.aggregate("all", F.slice(F.col("all"), 1, 0), lambda done, e: F.when(free(done, e), F.array_append(done, e)).otherwise(done))
-    return x.select(page, F.explode(kept).alias("e")).select(page, F.col("e.l").alias(left), F.col("e.r").alias(right), (-F.col("e.s")).alias(score))
+    return dominant_pairs(candidates, page, left, right, score)
 
 
 def ancestors(path: Column, separator: str = "__") -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .boxes import greedy_pairs
+from .rounds import written
 from .trees import ancestors
 
 
@@ -107,6 +111,39 @@ def _pairs_of_neighbours(pdf: pd.DataFrame) -> list[tuple]:
     return out
 
 
+def held_texts(left: DataFrame, right: DataFrame, page: str) -> DataFrame:
+    """page, lefts and rights: a leaf with those of the other side whose texts it holds, each text used up once.
+
+    left and right hold page, id, text, left, top, and x and y (the middle). Pairs of a page meet by a join;
+    as each choice takes text away from later ones, a page's pairs are folded in order of score.
+    """
+    kind, item = (left.schema[c].dataType.simpleString() for c in (page, "id"))
+    low = lambda d, i, t, s: d.select(page, F.col("id").alias(i), F.lower(squeezed(F.col("text"))).alias(t), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"), F.struct("top", "left").alias(f"{s}at")).where(F.col(t) != "")
+    c = low(left, "l", "lt", "a").join(low(right, "r", "rt", "b"), page).where((F.col("lt") != F.col("rt")) & (F.contains("lt", F.col("rt")) | F.contains("rt", F.col("lt"))))
+    share = F.least(F.length("lt"), F.length("rt")) / F.greatest(F.length("lt"), F.length("rt"))
+    c = c.withColumn("score", share * 0.7 + _near(("ax", "ay"), ("bx", "by")) * 0.3)
+
+    def consume(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups: dict[tuple[str, str], list] = {}  # (side, holder): what it holds, with places
+        text_left, held = {}, {"l": set(), "r": set()}
+        for r in pdf.sort_values(["score", "l", "r"], ascending=[False, True, True]).itertuples():
+            side, other = ("l", "r") if r.rt in r.lt else ("r", "l")
+            holder, part = getattr(r, side), getattr(r, other)
+            if part in held[other] or (holder in held[side] and (side, holder) not in groups):
+                continue
+            whole, piece = text_left.get((side, holder), getattr(r, f"{side}t")), getattr(r, f"{other}t")
+            if piece in whole:
+                groups.setdefault((side, holder), []).append((r.bat if side == "l" else r.aat, part))
+                held[other].add(part)
+                held[side].add(holder)
+                text_left[side, holder] = whole.replace(piece, "", 1).strip()
+        rows = [([k], [p for _, p in sorted(v, key=lambda e: (e[0]["top"], e[0]["left"], e[1]))]) for (_, k), v in groups.items()]
+        sides = [s for s, _ in groups]
+        return pd.DataFrame({page: pdf[page].iloc[0], "lefts": [x if s == "l" else y for s, (x, y) in zip(sides, rows)], "rights": [y if s == "l" else x for s, (x, y) in zip(sides, rows)]})
+
+    return c.select(page, "l", "r", "lt", "rt", "score", "aat", "bat").groupBy(page).applyInPandas(consume, f"{page} {kind}, lefts array<{item}>, rights array<{item}>")
+
+
 def text_matches(left: DataFrame, right: DataFrame, page: str, least: float = 0.9) -> DataFrame:
     """page, step (1 to 3), lefts and rights: the text leaves of two versions of a page that belong together.
 
@@ -115,8 +152,6 @@ def text_matches(left: DataFrame, right: DataFrame, page: str, least: float = 0.
     Step 3: a leaf with those of the other side whose texts it holds, each text used up once. Candidates are
     made and scored by joins within pages; choices that depend on those before are folds over one page's.
     """
-    from .boxes import greedy_pairs
-
     middle = lambda d: d.withColumns({"x": F.col("left") + F.col("w") / 2, "y": F.col("top") + F.col("h") / 2})
     a, b = middle(left), middle(right)
     kind = left.schema[page].dataType.simpleString()
@@ -136,30 +171,123 @@ def text_matches(left: DataFrame, right: DataFrame, page: str, least: float = 0.
     c = c.select(page, "l", F.concat_ws("\n", "r1", "r2").alias("r"), (F.col("alike") * 0.8 + _near(("ax", "ay"), ("bx", "by")) * 0.2).alias("score"))
     two = greedy_pairs(c, page, "l", "r", "score").withColumn("rights", F.split("r", "\n"))
     a3, b3 = rest(a2, two, "l"), rest(b2, two.select(page, F.explode("rights").alias("r")), "r")
-    low = lambda d, i, t, s: d.select(page, F.col("id").alias(i), F.lower(squeezed(F.col("text"))).alias(t), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"), F.struct("top", "left").alias(f"{s}at")).where(F.col(t) != "")
-    c = low(a3, "l", "lt", "a").join(low(b3, "r", "rt", "b"), page).where((F.col("lt") != F.col("rt")) & (F.contains("lt", F.col("rt")) | F.contains("rt", F.col("lt"))))
-    share = F.least(F.length("lt"), F.length("rt")) / F.greatest(F.length("lt"), F.length("rt"))
-    c = c.withColumn("score", share * 0.7 + _near(("ax", "ay"), ("bx", "by")) * 0.3)
-
-    def consume(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: dict[tuple[str, str], list] = {}  # (side, holder): what it holds, with places
-        text_left, held = {}, {"l": set(), "r": set()}
-        for r in pdf.sort_values(["score", "l", "r"], ascending=[False, True, True]).itertuples():
-            side, other = ("l", "r") if r.rt in r.lt else ("r", "l")
-            holder, part = getattr(r, side), getattr(r, other)
-            if part in held[other] or (holder in held[side] and (side, holder) not in groups):
-                continue
-            whole, piece = text_left.get((side, holder), getattr(r, f"{side}t")), getattr(r, f"{other}t")
-            if piece in whole:
-                groups.setdefault((side, holder), []).append((r.bat if side == "l" else r.aat, part))
-                held[other].add(part)
-                held[side].add(holder)
-                text_left[side, holder] = whole.replace(piece, "", 1).strip()
-        rows = [([k], [p for _, p in sorted(v, key=lambda e: (e[0]["top"], e[0]["left"], e[1]))]) for (_, k), v in groups.items()]
-        sides = [s for s, _ in groups]
-        return pd.DataFrame({page: pdf[page].iloc[0], "lefts": [x if s == "l" else y for s, (x, y) in zip(sides, rows)], "rights": [y if s == "l" else x for s, (x, y) in zip(sides, rows)]})
-
-    three = c.select(page, "l", "r", "lt", "rt", "score", "aat", "bat").groupBy(page).applyInPandas(consume, f"{page} {kind}, lefts array<string>, rights array<string>")
+    three = held_texts(a3, b3, page)
     out = one.select(page, F.lit(1).alias("step"), F.array("l").alias("lefts"), F.array("r").alias("rights"))
     out = out.unionByName(two.select(page, F.lit(2).alias("step"), F.array("l").alias("lefts"), "rights"))
     return out.unionByName(three.select(page, F.lit(3).alias("step"), "lefts", "rights"))
+
+
+class _Middles:
+    """Points of one page in squares, for the nearest one to a place."""
+
+    def __init__(self, side: float = 200.0):
+        self.side, self.squares, self.n = side, {}, 0
+
+    def square(self, x: float, y: float) -> tuple[int, int]:
+        return math.floor(x / self.side), math.floor(y / self.side)
+
+    def add(self, x: float, y: float, payload) -> None:
+        """Of equally near points the one added first counts."""
+        self.squares.setdefault(self.square(x, y), []).append((x, y, self.n, payload))
+        self.n += 1
+
+    def drop(self, x: float, y: float, payload) -> None:
+        at = self.square(x, y)
+        self.squares[at] = [e for e in self.squares[at] if e[3] != payload]
+        if not self.squares[at]:
+            del self.squares[at]
+
+    def nearest(self, x: float, y: float, within: float = math.inf):
+        """Distance, number and payload of the nearest point less than within away, or None."""
+        at, best = self.square(x, y), None
+        known = sorted((max(abs(c - at[0]), abs(r - at[1])), (c, r)) for c, r in self.squares) if len(self.squares) < 64 else None
+        rings = known if known is not None else self._rings(at)
+        for ring, cell in rings:
+            if (ring - 1) * self.side > min(within, best[0] if best else math.inf):
+                break
+            for px, py, n, payload in self.squares.get(cell, ()):
+                d = math.hypot(x - px, y - py)
+                if d < within and (best is None or (d, n) < best[:2]):
+                    best = (d, n, payload)
+        return best
+
+    def _rings(self, at):
+        """Squares by their distance from one, as far as there are points."""
+        far = max(max(abs(c - at[0]), abs(r - at[1])) for c, r in self.squares)
+        for ring in range(far + 1):
+            if (2 * ring + 1) ** 2 > 4 * len(self.squares):  # the rest is quicker looked up by what is there
+                rest = ((max(abs(c - at[0]), abs(r - at[1])), (c, r)) for c, r in self.squares)
+                yield from sorted(e for e in rest if e[0] >= ring)
+                return
+            for c in range(at[0] - ring, at[0] + ring + 1):
+                for r in range(at[1] - ring, at[1] + ring + 1):
+                    if max(abs(c - at[0]), abs(r - at[1])) == ring:
+                        yield ring, (c, r)
+
+
+def _projected(rows, within: float) -> list[tuple[int, int]]:
+    """Places of left and right images of one page. Each left image in order is carried over by the nearest anchor
+    and takes the nearest free right image; both are an anchor for those that follow."""
+    anchors, free, out = _Middles(), _Middles(), []
+    for r in rows:
+        if r.kind == "anchor":
+            anchors.add(r.x, r.y, (r.x, r.y, r.x2, r.y2))
+        elif r.kind == "right":
+            free.add(r.x, r.y, (r.place, r.x, r.y))
+    for r in rows:
+        near = anchors.nearest(r.x, r.y) if r.kind == "left" and anchors.squares else None
+        if near is None:
+            continue
+        ax, ay, bx, by = near[2]
+        hit = free.nearest(bx + r.x - ax, by + r.y - ay, within)
+        if hit:
+            place, x, y = hit[2]
+            free.drop(x, y, hit[2])
+            anchors.add(r.x, r.y, (r.x, r.y, x, y))
+            out.append((r.place, place))
+    return out
+
+
+def image_matches(left: DataFrame, right: DataFrame, anchors: DataFrame, page: str, least: float = 0.9, within: float = 200.0) -> DataFrame:
+    """page, step (1 to 4), lefts and rights (places): the image leaves of two versions of a page that belong together.
+
+    left and right hold page, place (the order of leaves), text, left, top, w and h; anchors hold page,
+    place, and the middles x, y (left) and x2, y2 (right) of text leaves that are matched. Step 1: one to one
+    by text (alike by least) and nearness. Step 2: an image with those of the other side whose texts it holds.
+    Step 3: what is left, in order of place, goes by the nearest anchor (text first, then images of step 1,
+    then what this step matched before): its vector from the anchor is carried to the other side, and the
+    nearest free image less than `within` pixels from there is taken. Step 4, on pages without any text
+    anchor: nearest pairs first, however far.
+
+    Step 3 depends on its own choices, so a page's middles are one fold; they lie in squares, and neither
+    anchors nor images are paired. A null page matches nothing; null boxes are not matched.
+    """
+    sized = F.col("left").isNotNull() & F.col("top").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull()
+    middle = lambda d: d.where(sized & F.col(page).isNotNull()).withColumns({"id": F.col("place"), "x": F.col("left") + F.col("w") / 2, "y": F.col("top") + F.col("h") / 2})
+    a, b = middle(left), middle(right)
+    kind = left.schema[page].dataType.simpleString()
+    worded = lambda d: d.where(squeezed(F.col("text")) != "")
+    rest = lambda d, gone, c: d.join(gone.select(page, F.explode(c).alias("id")), [page, "id"], "left_anti")
+    steps = [greedy_pairs(scored_pairs(worded(a), worded(b), page, least), page, "l", "r", "score").select(page, F.array("l").alias("lefts"), F.array("r").alias("rights"))]
+    one = steps[0].select(page, F.col("lefts")[0].alias("l"), F.col("rights")[0].alias("r"))
+    a, b = rest(a, steps[0], "lefts"), rest(b, steps[0], "rights")
+    steps.append(written(held_texts(a, b, page))[0])
+    a, b = rest(a, steps[1], "lefts"), rest(b, steps[1], "rights")
+    spot = lambda d, name, order, *more: d.select(page, F.lit(name).alias("kind"), F.lit(order).alias("turn"), F.col("place").cast("long").alias("place"), *[F.col(c).cast("double").alias(c) if c in d.columns else F.lit(None).cast("double").alias(c) for c in ("x", "y", "x2", "y2")])
+    where = lambda d, i, x, y: middle(d).select(page, F.col("place").alias(i), F.col("x").alias(x), F.col("y").alias(y))
+    known = one.join(where(left, "l", "x", "y"), [page, "l"]).join(where(right, "r", "x2", "y2"), [page, "r"]).withColumn("place", F.col("l"))
+    rows = spot(anchors, "anchor", 0).unionByName(spot(known, "anchor", 1)).unionByName(spot(a, "left", 2)).unionByName(spot(b, "right", 3))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs = _projected(list(pdf.sort_values(["turn", "place"]).itertuples()), within)
+        return pd.DataFrame({page: pdf[page].iloc[0], "l": [p[0] for p in pairs], "r": [p[1] for p in pairs]})
+
+    number = left.schema["place"].dataType.simpleString()
+    three, _ = written(rows.groupBy(page).applyInPandas(fold, f"{page} {kind}, l {number}, r {number}"))
+    steps.append(three.select(page, F.array("l").alias("lefts"), F.array("r").alias("rights")))
+    bare = lambda d, gone, c: rest(d, gone, c).join(anchors.select(page), page, "left_anti").select(page, F.col("id").alias(c[0]), F.col("x").alias(f"{c[0]}x"), F.col("y").alias(f"{c[0]}y"))
+    far = bare(a, steps[2], "lefts").join(bare(b, steps[2], "rights"), page)
+    four = greedy_pairs(far.withColumn("score", -F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))), page, "l", "r", "score")
+    steps.append(four.select(page, F.array("l").alias("lefts"), F.array("r").alias("rights")))
+    out = [d.select(page, F.lit(k).alias("step"), "lefts", "rights") for k, d in enumerate(steps, 1)]
+    return reduce(DataFrame.unionByName, out)

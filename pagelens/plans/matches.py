@@ -112,3 +112,20 @@ def match_text_3pass(spark, sf):
     cut = F.when(F.col("id") % 3 == 0, F.array(F.left("text", half), F.call_function("substr", "text", half + 1))).otherwise(F.array("text"))
     right = x.select(*[c for c in x.columns if c != "text"], F.posexplode(cut).alias("n", "text")).withColumns({"id": F.concat_ws("-", "id", "n"), "left": F.col("left") + F.col("n") * 40})
     return m.text_matches(left, right.drop("n"), "page").select("page", "step", F.array_join("lefts", ",").alias("lefts"), F.array_join("rights", ",").alias("rights"))
+
+
+def image_sides(spark, sf):
+    """Parts in pages of 40, every fourth an image, on a board 60 apart; the right page is moved, some of its images
+    are missing and some texts longer. The others are matched texts, but on every fifth page."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    x = table(spark, sf, "part").select(F.floor(k / 40).alias("page"), k.alias("place"), F.when(k % 8 == 0, F.col("p_name")).otherwise("").alias("text"), (k % 5 * 60.0 + size).alias("left"), (F.floor(k % 40 / 5) * 60.0).alias("top"), F.lit(40.0).alias("w"), F.lit(30.0).alias("h"))
+    left = x.where("place % 4 = 0")
+    moved = x.withColumns({"left": F.col("left") + F.col("page") % 7 * 25, "top": F.col("top") + F.col("place") % 40 * 4 - F.col("place") % 3 * 30})
+    right = moved.where("place % 4 = 0 AND place % 28 <> 0").withColumn("text", F.when(F.col("place") % 3 == 0, F.concat("text", F.lit(" and more"))).otherwise(F.col("text")))
+    middle = lambda d, a, b: d.where("place % 4 <> 0 AND page % 5 <> 0").select("page", "place", (F.col("left") + 20).alias(a), (F.col("top") + 15).alias(b))
+    return left, right, middle(x, "x", "y").join(middle(moved, "x2", "y2"), ["page", "place"])
+
+
+@query()
+def match_image_anchor(spark, sf):
+    return m.image_matches(*image_sides(spark, sf), "page").select("page", "step", F.array_join("lefts", ",").alias("lefts"), F.array_join("rights", ",").alias("rights"))
