@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .literals import Prefilter
 
 # Group, name and patterns, all without regard to case.
 FRAMEWORKS = {
@@ -98,9 +102,13 @@ MARKETING = [
 ]
 
 
-def detected(text: Column, table: list[tuple[str, list[str]]]) -> Column:
-    """Names of a table, in its order, of which a pattern occurs."""
-    return F.array_compact(F.array(*[F.when(text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(name)) for name, patterns in table]))
+def detected(text: Column, table: list[tuple[str, list[str]]], may=lambda pattern: F.lit(True)) -> Column:
+    """Names of a table, in its order, of which a pattern occurs; only patterns that may match are tried."""
+
+    def tried(patterns: list[str]) -> Column:
+        return F.when(reduce(Column.__or__, map(may, patterns)), text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)))
+
+    return F.array_compact(F.array(*[F.when(tried(patterns), F.lit(name)) for name, patterns in table]))
 
 
 def frameworks(html: Column, script: Column) -> dict[str, Column]:
@@ -109,6 +117,16 @@ def frameworks(html: Column, script: Column) -> dict[str, Column]:
     return {group: detected(both, table) for group, table in FRAMEWORKS.items()}
 
 
+def with_frameworks(df: DataFrame, html: str, script: str | None = None) -> DataFrame:
+    """df with frameworks() as columns. Page and script are joined once, and one pass over them finds which
+    literals occur that the patterns can't do without; only patterns whose literals are there are tried."""
+    filter_ = Prefilter(p for table in FRAMEWORKS.values() for _, patterns in table for p in patterns)
+    both = F.concat(F.col(html), F.lit("\n"), F.coalesce(F.col(script) if script else F.lit(None).cast("string"), F.lit("")))
+    x = df.withColumn("_both", both).withColumn("_hits", filter_.hits(F.col("_both")))
+    may = lambda p: filter_.may(p, F.col("_hits"))
+    return x.withColumns({group: detected(F.col("_both"), table, may) for group, table in FRAMEWORKS.items()}).drop("_both", "_hits")
+
+
 def bundler_mark(html: Column) -> Column:
     """The first mark of a bundler; null if there is none."""
     found = F.regexp_extract(F.substring(html, 1, MARKS_WITHIN), "|".join(BUNDLER_MARKS), 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.literals import Prefilter
 from ..functions.pattern_tables import WEIGHTS
 from ..functions.rules import first_match
 
@@ -15,19 +16,32 @@ def applying(table: list[Pattern], framework: str | None = None) -> list[Pattern
     return [p for p in table if framework is None or p[3] in ("global", framework)]
 
 
+def _prefiltered(df: DataFrame, keys: list[str], text: str, table: list[Pattern]) -> tuple[DataFrame, dict[str, Column]]:
+    """df with the literals that occur in text as _hits, from one pass, and for each pattern whether they let it match."""
+    filter_ = Prefilter(p for _, p, *_ in table)
+    x = df.select(*keys, text, filter_.hits(F.col(text)).alias("_hits"))
+    return x, {name: filter_.may(p, F.col("_hits")) for name, p, *_ in table}
+
+
 def found(df: DataFrame, keys: list[str], text: str, table: list[Pattern]) -> DataFrame:
-    """keys, pattern, category, severity, n and score (matches by the severity's weight) of every pattern that occurs;
-    all patterns are counted in one pass over the text, without a shuffle."""
-    count = lambda p: F.regexp_count(text, F.lit(f"(?im){p}"))
-    one = [F.struct(F.lit(name).alias("pattern"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), count(p).alias("n"), F.lit(WEIGHTS[severity]).alias("w")) for name, p, category, _, severity in table]
-    x = df.select(*keys, F.explode(F.filter(F.array(*one), lambda m: m["n"] > 0)).alias("m"))
+    """keys, pattern, category, severity, n and score (matches by the severity's weight) of every pattern that occurs.
+
+    One pass over the text finds which literals occur that patterns can't do without; only patterns whose
+    literals are there are counted. Nothing is shuffled. Null texts have no findings.
+    """
+    x, may = _prefiltered(df, keys, text, table)
+    count = lambda name, p: F.when(may[name], F.regexp_count(text, F.lit(f"(?im){p}"))).otherwise(0)
+    one = [F.struct(F.lit(name).alias("pattern"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), count(name, p).alias("n"), F.lit(WEIGHTS[severity]).alias("w")) for name, p, category, _, severity in table]
+    x = x.select(*keys, F.explode(F.filter(F.array(*one), lambda m: m["n"] > 0)).alias("m"))
     return x.select(*keys, "m.pattern", "m.category", "m.severity", F.col("m.n").cast("long").alias("n"), (F.col("m.n") * F.col("m.w")).cast("long").alias("score"))
 
 
 def matches(df: DataFrame, keys: list[str], text: str, table: list[Pattern]) -> DataFrame:
     """keys, pattern, place (1, 2, ...), line and match (100 characters at most) of every single match."""
-    one = [F.struct(F.lit(name).alias("pattern"), F.regexp_extract_all(text, F.lit(f"(?im){p}"), F.lit(0)).alias("all")) for name, p, *_ in table]
-    x = df.select(*keys, text, F.explode(F.filter(F.array(*one), lambda m: F.size(m["all"]) > 0)).alias("m"))
+    x, may = _prefiltered(df, keys, text, table)
+    every = lambda name, p: F.when(may[name], F.regexp_extract_all(text, F.lit(f"(?im){p}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    one = [F.struct(F.lit(name).alias("pattern"), every(name, p).alias("all")) for name, p, *_ in table]
+    x = x.select(*keys, text, F.explode(F.filter(F.array(*one), lambda m: F.size(m["all"]) > 0)).alias("m"))
     x = x.select(*keys, text, "m.pattern", F.posexplode("m.all").alias("_place", "match"), F.col("m.all").alias("_all"))
     # text before a match: up to the first occurrence of its own after those of the matches before it
     again = 1 + F.size(F.filter(F.slice("_all", F.lit(1), F.col("_place")), lambda a: a == F.col("match")))

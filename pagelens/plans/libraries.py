@@ -156,7 +156,7 @@ def _found_sql(tab) -> str:
 
 @query(f"SELECT page_id, {', '.join(f'array_to_string({_found_sql(tab)}, chr(44)) AS {k}' for k, tab in g.FRAMEWORKS.items())} FROM ({SNIPPED})")
 def txt_framework_fp(spark, sf):
-    return _snipped(spark, sf).select("page_id", *[F.array_join(x, ",").alias(k) for k, x in g.frameworks(F.col("t"), F.lit(None)).items()])
+    return g.with_frameworks(_snipped(spark, sf), "t").select("page_id", *[F.array_join(k, ",").alias(k) for k in g.FRAMEWORKS])
 
 
 @query(f"SELECT page_id, nullif(regexp_extract(left(t, 50000), '__webpack_require__|webpackJsonp|__webpack_modules__|/_next/static|__NEXT_DATA__|/_nuxt/|/__vite__|vite/dist/client|/_app/immutable|__sveltekit|/gatsby-|___gatsby|__remixContext|parcelRequire'), '') AS mark FROM ({SNIPPED})")

@@ -5,6 +5,7 @@ import re
 import duckdb
 import pytest
 
+from pagelens.functions import literals, signatures
 from pagelens.functions.pattern_tables import CLS, INP, WEIGHTS
 from pagelens.operators import findings as f
 
@@ -32,3 +33,35 @@ def test_matches_and_verdicts(spark):
     t = spark.sql("select 4 high, 4 n_high, 5 total, 6 n_missing_dimensions, 1 n_ads_embeds, 0 n_font_loading, 11 n_dynamic_injection, 0 n_animations, 1 n_discrete_input, 0 n_paint_trigger, 2 n_layout_thrash")
     r = t.select(f.file_risk().alias("f"), f.repository_risk().alias("r"), f.inp_confidence().alias("c"), f.risk_factors().alias("x")).first()
     assert (r["f"], r["r"], r["c"]) == ("low", "high", "medium") and r["x"] == ["images_without_dimensions", "ads_or_embeds", "heavy_injection"]
+
+
+def test_needed_literals():
+    sets = lambda p: [set(s) for s in literals.needed(p)]
+    assert sets(r"JSON\.(parse|stringify)\s*\(") == [{"json."}, {"parse", "stringify"}]
+    assert sets(r"<input[^>]+value\s*=") == [{"<input"}, {"value"}] and sets(r"(ab|xyz)c") == [] and sets(r"(?!abc)x?y*(longer)?") == []
+    assert sets(r"a(?:bc)d|efgh") == [{"abcd", "efgh"}] and sets(r"(?:abc)+") == [{"abc"}] and sets(r"@keyframes[^}]*(transform|scale)") == [{"@keyframes"}, {"transform", "scale"}]
+
+
+@pytest.mark.parametrize("table", [INP, CLS, [("", p) for t in signatures.FRAMEWORKS.values() for _, ps in t for p in ps]])
+def test_prefilter_lets_all_matches_pass(spark, table):
+    """A text made of a pattern's own letters, in odd case and run together with others, is never held back."""
+    patterns = [p for _, p, *_ in table]
+    texts = [re.sub(r"\\[swdb][*+]?|\[[^\]]*\][*+]?|\(\?[:!]|[\\^$*+?(){}]", " ", p).swapcase() for p in patterns]
+    texts += ["".join(texts[k : k + 3]).replace("|", "") for k in range(len(texts) - 3)] + ["İK onclick=", "gaddEventListeneraddEventListener('click'"]
+    filter_ = literals.Prefilter(patterns)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    rows = df.select("k", filter_.hits(df["t"]).alias("hits")).collect()
+    for r in rows:
+        low = texts[r["k"]].lower()
+        assert set(r["hits"]) == {w for w in filter_.words if w in low}
+        for p in patterns:
+            if re.search(p, texts[r["k"]], re.I | re.M):
+                assert all(any(h in s or any(x.startswith(h) for x in s) for h in r["hits"]) for s in literals.needed(p))
+
+
+def test_with_frameworks(spark):
+    rows = [(1, '<script src="/_next/static/x.js"></script><div class="btn x">', "new Vue({})"), (2, None, "jQuery"), (3, "", None), (4, "WP-CONTENT /wp-content/ h(Fragment", "")]
+    df = spark.createDataFrame(rows, "k int, h string, s string")
+    one = signatures.with_frameworks(df, "h", "s")
+    other = df.select("*", *[c.alias(k) for k, c in signatures.frameworks(df["h"], df["s"]).items()])
+    assert sorted(map(tuple, one.select(other.columns).collect())) == sorted(map(tuple, other.collect())) and "_hits" not in one.columns
