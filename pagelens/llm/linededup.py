@@ -1,4 +1,4 @@
-"""Line dedup by winnowing: fingerprints of line runs, joined positions, matches extended both ways."""
+"""Line dedup by winnowing: fingerprints of line runs, joined positions, matches followed both ways to all earlier places."""
 
 from __future__ import annotations
 
@@ -8,20 +8,23 @@ from ._common import SPACE, WORD, written
 
 #: A fingerprint stands for the shortest run of whole lines with at least this many words.
 GRAM = 20
-#: Of the runs that begin within so many words, the one with the least hash is a fingerprint. A repeated
-#: run of GRAM + SPAN - 1 = 25 words or more then always holds one.
+#: Of the grams that begin within so many words, the one with the least hash is a fingerprint. A run of
+#: GRAM + SPAN - 1 = 25 words or more then always holds one.
 SPAN = 6
 #: Words of a repeated run at least; shorter ones stay.
-LEAST = 25
-#: Words before and after a fingerprint's first line over which its match is extended. A longer run holds
-#: more fingerprints, each at most LEAST words from the next, so all its lines are within reach of one.
-REACH = 100
+LEAST = GRAM + SPAN - 1
 
 _ROW = ["doc_id", "_h"]
 
 
-def _fingerprints(docs: DataFrame) -> DataFrame:
-    """A row for each selected line: its gram's hashes, and its surroundings as line hashes and positions."""
+def _runs(docs: DataFrame) -> DataFrame:
+    """For each line with a word the shortest runs of whole lines with LEAST words that begin and that end with it:
+    run (hashes), a and b (first and last line), and g, the fingerprint that the run holds.
+
+    A line's own gram is the shortest run from it with GRAM words; of the grams that begin within SPAN words of
+    a line, the one with the least hash is the fingerprint which the line selects. It lies within LEAST words,
+    so within the run that begins with the line, and within any longer one.
+    """
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lines = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = F.regexp_replace("line", f"^{SPACE}+|{SPACE}+$", "")
@@ -29,61 +32,64 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
     # rows with one id and text are one document; all that follows stays within these partitions
     lines = lines.repartition(n, *_ROW).dropDuplicates([*_ROW, "pos"])
     doc = W.partitionBy(*_ROW)
-    lines = lines.withColumn("at", F.sum("n").over(doc.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
-    near = lambda a, b: doc.orderBy("at").rangeBetween(a, b)
-    lines = lines.withColumns({
-        "gram": F.collect_list("x").over(near(0, GRAM - 1)),
-        "words": F.max(F.col("at") + F.col("n")).over(near(0, GRAM - 1)) - F.col("at"),
-        "ahead": F.collect_list(F.struct("x", "pos", "n")).over(near(0, REACH)),
-        "behind": F.collect_list(F.struct("x", "pos", "n")).over(near(-REACH, -1)),
-    })
-    own = F.struct(F.xxhash64("gram").alias("g1"), F.xxhash64(F.lit(1), "gram").alias("g2"), "pos", "ahead", "behind")
-    lines = lines.withColumn("own", F.when(F.col("words") >= GRAM, own))
-    picked = lines.select(*_ROW, F.min("own").over(near(0, SPAN - 1)).alias("f")).where("f is not null")
-    return picked.select(*_ROW, "f.*").dropDuplicates([*_ROW, "pos"])
+    lines = lines.withColumn("to", F.sum("n").over(doc.orderBy("pos").rowsBetween(W.unboundedPreceding, 0))).withColumn("at", F.col("to") - F.col("n"))
+    ahead = lambda k: doc.orderBy("at").rangeBetween(0, k - 1)
+    lines = lines.withColumns({"gram": F.collect_list("x").over(ahead(GRAM)), "held": F.max("to").over(ahead(GRAM)) - F.col("at"), "next": F.collect_list("x").over(ahead(LEAST)), "end": F.max(F.struct("to", "pos")).over(ahead(LEAST))})
+    own = F.when(F.col("held") >= GRAM, F.struct(F.xxhash64("gram").alias("g1"), "pos"))
+    lines = lines.withColumn("own", own).drop("gram").withColumn("g", F.min("own").over(ahead(SPAN)))
+    back = doc.orderBy("to").rangeBetween(1 - LEAST, 0)
+    lines = lines.withColumns({"last": F.collect_list("x").over(back), "begin": F.first(F.struct("at", "pos", "g")).over(back)})
+    name = lambda c, seed: F.struct(F.xxhash64(F.lit(seed), c).alias("r1"), F.xxhash64(F.lit(seed + 2), c).alias("r2"))
+    first = F.when(F.col("end.to") - F.col("at") >= LEAST, F.struct(name("next", 0).alias("run"), F.col("pos").alias("a"), F.col("end.pos").alias("b"), "g"))
+    second = F.when(F.col("to") - F.col("begin.at") >= LEAST, F.struct(name("last", 1).alias("run"), F.col("begin.pos").alias("a"), F.col("pos").alias("b"), F.col("begin.g").alias("g")))
+    return lines.select(*_ROW, F.explode(F.array_compact(F.array(first, second))).alias("e")).select(*_ROW, "e.*")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, _h (hash of the text) and positions: numbers of the lines that repeat earlier ones."""
-    found = written(_fingerprints(docs.select("doc_id", "text").where(F.col("text").isNotNull())), "fingerprints")
-    place = F.struct(*_ROW, "pos")
-    first = found.groupBy("g1", "g2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    many = written(found.join(first.select("g1", "g2", "first"), ["g1", "g2"]).withColumn("is_first", place == F.col("first")), "repeated")
-    plain = lambda c: F.transform(c, lambda e: e["x"])
-    origin = many.where("is_first").select("g1", "g2", plain("ahead").alias("ahead0"), plain("behind").alias("behind0"))
-    later = many.where("not is_first").join(origin, ["g1", "g2"])
+    """doc_id, _h (hash of the text) and ranges: first and last numbers of the runs of lines that repeat earlier ones.
 
-    def equal(own, other):
-        """How many leading elements of two arrays agree."""
-        same = F.transform(F.arrays_zip(plain(own).alias("a"), other.alias("b")), lambda z: z["a"].eqNullSafe(z["b"]))
-        k = F.array_position(same, False)
-        return F.when(k == 0, F.least(F.size(own), F.size(other))).otherwise(k.cast("int") - 1)
-
-    back, ahead, before = F.reverse("behind"), F.col("ahead"), F.reverse("behind0")
-    runs = F.concat(F.slice(ahead, 1, equal(ahead, F.col("ahead0"))), F.slice(back, 1, equal(back, before)))
-    later = later.select(*_ROW, runs.alias("run")).where(F.aggregate("run", F.lit(0).cast("long"), lambda t, e: t + e["n"]) >= LEAST)
-    gone = later.select(*_ROW, F.explode("run").alias("e")).select(*_ROW, F.col("e.pos").alias("pos"))
-    return gone.groupBy(*_ROW).agg(F.collect_set("pos").alias("positions"))
+    Positions of equal fingerprints are joined first, which leaves few runs: of those around a fingerprint
+    that stands at several places, a run is deleted if it is found at any earlier place. What a match holds
+    beyond a fingerprint, either way, is covered by runs that begin or end with each of its lines.
+    """
+    found = written(_runs(docs.select("doc_id", "text").where(F.col("text").isNotNull())), "line-runs")
+    spot = F.struct(*_ROW, F.col("g.pos").alias("pos"))
+    marks = found.groupBy(F.col("g.g1").alias("g1")).agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("g1")
+    near = found.withColumn("g1", F.col("g.g1")).join(marks, "g1", "left_semi").select(*_ROW, "run", "a", "b")
+    place = F.struct(*_ROW, "a")
+    first = near.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("run", "first")
+    later = near.join(first, "run").where(place != F.col("first")).select(*_ROW, "a", "b").distinct()
+    # runs that meet become one range
+    doc = W.partitionBy(*_ROW).orderBy("a", "b")
+    later = later.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    later = later.withColumn("island", F.sum("new").over(doc))
+    ranges = later.groupBy(*_ROW, "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return ranges.groupBy(*_ROW).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("ranges"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with repeated line runs deleted from text, and n_removed_lines added; all rows and columns stay.
 
-    Documents are ordered by doc_id (null first), then by a hash of the text; of a run of lines found at
-    several places, in one document or many, the first stays. Lines are cut at \\n and compared without
-    white space at their ends; those without a word are neither counted nor deleted. A repeated run of
-    LEAST words or more always holds a fingerprint; the match with that fingerprint's first place is
-    extended line by line both ways and deleted if it has LEAST words. Shorter runs stay. What is deleted
-    equals lines that stand earlier, and the earliest copy of a line is never deleted. Rows with equal id
-    and text count as one document and all get its result. Null texts stay null, empty ones empty; a text
-    of which every line repeats becomes empty. An empty table gives an empty result. A column named
-    n_removed_lines is replaced; names of other columns do not matter, as rows are carried whole.
+    Documents are ordered by doc_id (null first), then by a hash of the text. Lines are cut at \\n and compared
+    without white space at their ends; those without a word are neither counted nor deleted. A line is
+    deleted exactly if it lies in a run of whole lines, with LEAST words or more, that is found at an earlier
+    place too, in the same document or another one. So a deleted line equals one that stands earlier, the
+    earliest copy of a line is never deleted, and shorter repeated runs stay. Rows with equal id and text
+    count as one document and all get its result. Null texts stay null, empty ones empty; a text of which
+    every line repeats becomes empty. An empty table gives an empty result. A column named n_removed_lines
+    is replaced; names of other columns do not matter, as rows are carried whole.
     """
     gone = repeated_lines(docs)
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("_h").alias("gone_h"), F.col("positions").alias("gone"))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("_h").alias("gone_h"), F.col("ranges").alias("gone"))
     cols = [c for c in docs.columns if c != "n_removed_lines"]
     x = docs.select(F.struct(*cols).alias("row"))
     x = x.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("row.text") == F.col("gone_h")), "left")
-    left = F.filter(F.split("row.text", "\n"), lambda line, k: ~F.array_contains("gone", k))
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
-    return x.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in cols], F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed_lines"))
+    before = lambda k: F.coalesce(F.get("gone", k - 1)["b"], F.lit(-1))
+    many = lambda flag, k: F.array_repeat(F.lit(flag), k)
+    drops = F.flatten(F.transform("gone", lambda r, k: F.concat(many(False, r["a"] - before(k) - 1), many(True, r["b"] - r["a"] + 1))))
+    word = WORD.rstrip("+")
+    left = F.array_compact(F.zip_with(F.split("row.text", "\n"), drops, lambda line, drop: F.when(~F.coalesce(drop, F.lit(False)) | ~line.rlike(word), line)))
+    x = x.withColumn("left", F.when(F.col("gone").isNotNull(), left))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join("left", "\n"))
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size(F.split("row.text", "\n")) - F.size("left"))
+    return x.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in cols], removed.alias("n_removed_lines"))
