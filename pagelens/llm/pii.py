@@ -39,7 +39,6 @@ IBAN_LENGTHS = {
 }
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){15,}+")
@@ -123,8 +122,12 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def _context(text: str, kind: str, start: int, end: int) -> float:
-    near = _NEAR[kind]
-    return CONTEXT if near.search(text[max(0, start - NEAR) : start]) or near.search(text[end : end + NEAR]) else 0.0
+    """What a context word adds that lies whole within NEAR characters; one more on each side tells where it ends."""
+    near, first = _NEAR[kind], max(0, start - NEAR - 1)
+    if near.search(text[first:start], start - NEAR - first if start > NEAR else 0):
+        return CONTEXT
+    after = near.search(text[end : end + NEAR + 1])
+    return CONTEXT if after and after.end() <= NEAR else 0.0
 
 
 def find(text: str) -> list[tuple[str, int, int, float]]:
