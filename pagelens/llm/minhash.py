@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import components, written
+from ._worker import enter, release
 from ._words import OnePermutation, set_key, shingle_set, texts
 
 WORDS = 5
@@ -17,12 +18,13 @@ SKETCH_BITS = 38
 #: Sets with fewer shingles fill too few bins for a sketch to tell; their pairs go to the full check.
 SKETCH_FROM = 256
 #: Members and shingles of a block; a task that compares the members of a large bucket meets two blocks.
-BLOCK, SHINGLES = 1024, 1 << 20
+BLOCK, SHINGLES = 512, 1 << 19
 #: Rows with whole sets that are taken out of a batch at a time.
 SLICE = 500
 
 
 def _signatures(batches):
+    enter("minhash")
     minwise = OnePermutation(BINS, ROWS)
     for batch in batches:
         ids, cols = batch.column(0), [[], [], [], [], []]
@@ -42,6 +44,7 @@ def _signatures(batches):
 
 
 def _matching(batches):
+    enter("minhash")
     for batch in (b.slice(k, SLICE) for b in batches for k in range(0, len(b), SLICE)):
         sets = [shingle_set(t, WORDS) for t in texts(batch.column("text"))]
         ok = pa.array([set_key(s) == c for s, c in zip(sets, batch.column("cls").to_pylist())], pa.bool_())
@@ -50,6 +53,7 @@ def _matching(batches):
 
 
 def _verified(batches):
+    enter("minhash")
     for batch in (b.slice(k, SLICE) for b in batches for k in range(0, len(b), SLICE)):
         ok = []
         for x, y in zip(batch.column("hashes").to_pylist(), batch.column("hashes_b").to_pylist()):
@@ -160,6 +164,7 @@ def _joined(rows: list[tuple]) -> list[tuple[int, int]]:
 
 def _compared(batches):
     """_joined() of each run of rows with one key."""
+    enter("minhash")
     key, rows = None, []
     for batch in (b.slice(k, SLICE) for b in batches for k in range(0, len(b), SLICE)):
         out = []
@@ -170,6 +175,8 @@ def _compared(batches):
             rows.append((root, side, hashes))
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
     out = _joined(rows) if len(rows) > 1 else []
+    rows.clear()
+    release()
     yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 

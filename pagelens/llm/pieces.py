@@ -6,12 +6,13 @@ import heapq
 import re
 import zlib
 from array import array
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._worker import kept
 from ._words import mix
 
 SPACE = "▁"
@@ -272,9 +273,9 @@ class Pieces:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
 
 
-@lru_cache(maxsize=2)
 def _model(path: str, alpha: float, seed: int) -> Pieces:
-    return Pieces(path, alpha, seed)
+    """One per Python worker, so that what one task has cut helps the next."""
+    return kept("pieces", (path, alpha, seed), lambda: Pieces(path, alpha, seed))
 
 
 def encode(docs: DataFrame, path: str, alpha: float = 0.1, seed: int = 0) -> DataFrame:

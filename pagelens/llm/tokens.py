@@ -7,13 +7,13 @@ import re
 import uuid
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from ._common import shared_dir, written
+from ._worker import kept
 
 #: Written with every file: stripe size, rows between index entries, Bloom filters on ids.
 ORC = {
@@ -122,10 +122,9 @@ class _Encoder(dict):
         return self.plain(runs[0]) + b"".join(self.plain(" " + r) if " " in r or r[-1:].isspace() else self[r] for r in runs[1:])
 
 
-@lru_cache(maxsize=1)
 def _encoder(path: str) -> _Encoder:
     """One per Python worker, so that what one task has cut helps the next."""
-    return _Encoder(path)
+    return kept("tokens", path, lambda: _Encoder(path))
 
 
 def _encoded(path: str, end: int):

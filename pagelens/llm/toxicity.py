@@ -19,6 +19,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._worker import enter
+
 #: Labelled rows of each class that the fit reads, as a share of them by a hash of the id: all where there are fewer.
 SAMPLE = 6000
 #: Lexicon entries kept at most, those with the most evidence first.
@@ -223,6 +225,7 @@ def fit(sample: DataFrame) -> Grammar:
 
 def _totals(grammar: Grammar):
     def run(batches):
+        enter("toxicity")
         known: dict[str, tuple[float, float, str]] = {}
         for pdf in batches:
             yield pd.DataFrame({"total": [grammar.total(t or "", known) for t in pdf["text"]], "toxic": pdf["toxic"]})
@@ -252,6 +255,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """
 
     def run(batches):
+        enter("toxicity")
         known: dict[str, tuple[float, float, str]] = {}
         for batch in batches:
             totals = [grammar.total(t or "", known) for t in batch.column("text").to_pylist()]
@@ -269,6 +273,7 @@ def clean(docs: DataFrame, grammar: Grammar) -> DataFrame:
     k = docs.columns.index("text")
 
     def run(batches):
+        enter("toxicity")
         known: dict[str, tuple[float, float, str]] = {}
         for batch in batches:
             yield batch.filter(pa.array([grammar.score(grammar.total(t or "", known)) < 0.5 for t in batch.column(k).to_pylist()], pa.bool_()))
