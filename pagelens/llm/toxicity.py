@@ -1,10 +1,12 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Five transducers read a clause word by word. INSULT and THREAT give words their weights; TARGET, NEGATION and
-REPORTED, and the intent that a threat needs, pass weights on with a factor by state. They are composed to
-one machine whose states are tuples of theirs and whose factors are the products of theirs. A clause scores
-the weight that leaves the machine; a document scores the squashed sum of its clauses. INSULT's lexicon
-(word beginnings with their weights) and the squashing are learned from labelled rows.
+INSULT and THREAT emit weights at the words they match. What such a match counts is settled by the path on
+which its clause leads through the context transducers: TARGET, PREDICATE (copulas and intensifiers),
+NEGATION, REPORTED and the INTENT that a threat needs. All that look back are composed to one machine; all
+that look ahead to another, which reads the clause from its end; the two states at a word (a bimachine)
+name the path. A path's weight is learned from labelled rows, as are INSULT's lexicon, which is counted
+on direct paths only, and the squashing. A clause scores the sum of its matches, a document the squashed
+sum of its clauses.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -36,6 +38,7 @@ THREATS = {
     "kill": 2.0, "hurt": 1.0, "destroy": 1.0, "shoot": 2.0, "stab": 2.0, "beat": 0.5,
     "töten": 2.0, "umbringen": 2.0, "tuer": 2.0, "frapper": 1.0, "matar": 2.0, "golpear": 1.0,
 }
+PREDICATES = frozenset("are is am was were be being such so very total totally really bist ist sind war bin so sehr total ganz es est suis sommes sont très si eres son soy muy tan".split())
 INTENTS = frozenset("will gonna shall going werde werden vais allons voy vamos".split())
 
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:\n]")
@@ -43,34 +46,55 @@ BREAKS = frozenset(".!?;:\n")
 
 
 #: Symbols that the transducers read: the class of a word, or none of them.
-CLASSES = {"target": TARGETS, "not": NEGATIONS, "report": REPORTS, "intent": INTENTS}
+CLASSES = {"target": TARGETS, "not": NEGATIONS, "report": REPORTS, "intent": INTENTS, "predicate": PREDICATES}
 OTHER = "other"
 PLAIN = (0.0, 0.0, OTHER)
 
+#: What a state tells of the word it is entered with.
+TARGETED, NEGATED, REPORTED, INTENDED, PREDICATED = 1, 2, 4, 8, 16
+#: Paths of a match, the first that fits, and their weights until enough rows tell.
+PATHS = {"reported": 0.6, "negated": 0.5, "targeted": 1.5, "predicated": 1.2, "bare": 1.0}
+#: Documents with matches on a path, from which on its weight is learned; most that it can be.
+ENOUGH, MOST = 20, 2.0
+
+
+def symbol_of(w: str) -> str:
+    return next((c for c, words in CLASSES.items() if w in words), OTHER)
+
+
+def path_of(marks: int) -> str:
+    if marks & REPORTED:
+        return "reported"
+    if marks & NEGATED:
+        return "negated"
+    if marks & TARGETED:
+        return "targeted"
+    return "predicated" if marks & PREDICATED else "bare"
+
 
 @dataclass(frozen=True)
 class Transducer:
-    """Of each state: the next one by symbol, and the factors of insult and threat weights read on entering it."""
+    """Of each state the next one by symbol, and the marks that it puts on the word it is entered with."""
 
     steps: tuple[dict[str, int], ...]
-    factors: tuple[tuple[float, float], ...]
+    marks: tuple[int, ...]
 
     @staticmethod
-    def within(symbol: str, reach: int, near: tuple[float, float], far: tuple[float, float]) -> "Transducer":
-        """near up to reach words after the symbol and on it, else far; state k: k - 1 words after it, 0: none near."""
+    def within(symbol: str, reach: int, mark: int) -> "Transducer":
+        """Marks the symbol and up to reach words after it; state k: k - 1 words after it, 0: none near."""
         last = reach + 1
         steps = [{s: 1 if s == symbol else (k + 1 if 0 < k < last else 0) for s in (*CLASSES, OTHER)} for k in range(last + 1)]
-        return Transducer(tuple(steps), (far, *[near] * last))
+        return Transducer(tuple(steps), (0, *[mark] * last))
 
     @staticmethod
-    def after(symbol: str, factor: tuple[float, float]) -> "Transducer":
-        """factor from the symbol on to the end of the clause."""
+    def after(symbol: str, mark: int) -> "Transducer":
+        """Marks all from the symbol on to the end of the clause."""
         steps = [{s: 1 if s == symbol or k else 0 for s in (*CLASSES, OTHER)} for k in (0, 1)]
-        return Transducer(tuple(steps), ((1.0, 1.0), factor))
+        return Transducer(tuple(steps), (0, mark))
 
     def __matmul__(self, other: "Transducer") -> "Transducer":
-        """The composition: both read each word, their factors multiply; states are the pairs that can be reached."""
-        found, steps, factors = {(0, 0): 0}, [], []
+        """The composition: both read each word, their marks add up; states are the pairs that can be reached."""
+        found, steps, marks = {(0, 0): 0}, [], []
         for a, b in (todo := [(0, 0)]):
             row = {}
             for s in (*CLASSES, OTHER):
@@ -80,64 +104,68 @@ class Transducer:
                     todo.append(to)
                 row[s] = found[to]
             steps.append(row)
-            factors.append((self.factors[a][0] * other.factors[b][0], self.factors[a][1] * other.factors[b][1]))
-        return Transducer(tuple(steps), tuple(factors))
+            marks.append(self.marks[a] | other.marks[b])
+        return Transducer(tuple(steps), tuple(marks))
 
-    def read(self, symbols) -> list[tuple[float, float]]:
+    def read(self, symbols) -> list[int]:
         state, out = 0, []
         for s in symbols:
             state = self.steps[state][s]
-            out.append(self.factors[state])
+            out.append(self.marks[state])
         return out
 
 
 @dataclass
 class Grammar:
-    """The grammar's weights. The lexicon and the squashing are what fit() learns; the shape is fixed."""
+    """The grammar's weights: lexicon, paths and squashing are what fit() learns; the shape is fixed."""
 
     insults: dict[str, float] = field(default_factory=dict)
+    paths: dict[str, float] = field(default_factory=lambda: dict(PATHS))
     slope: float = 1.0
     offset: float = -2.0
     near: int = 4
-    target_gain: float = 1.5
-    negated: float = 0.5
-    reported: float = 0.6
 
     @cached_property
-    def target(self) -> Transducer:
-        """TARGET: insults near a second person weigh more, threats weigh only there. Read from both ends."""
-        return Transducer.within("target", self.near, (self.target_gain, 1.0), (1.0, 0.0))
+    def behind(self) -> Transducer:
+        """What the words before say: all contexts, composed to one machine."""
+        within = Transducer.within
+        parts = [within("target", self.near, TARGETED), within("not", 2, NEGATED), Transducer.after("report", REPORTED), within("intent", self.near, INTENDED), within("predicate", 2, PREDICATED)]
+        return reduce(Transducer.__matmul__, parts)
 
     @cached_property
-    def context(self) -> Transducer:
-        """NEGATION, REPORTED and the intent of THREAT, composed."""
-        negation = Transducer.within("not", 2, (self.negated, self.negated), (1.0, 1.0))
-        reported = Transducer.after("report", (self.reported, self.reported))
-        intent = Transducer.within("intent", self.near, (1.0, 1.0), (1.0, 0.0))
-        return negation @ reported @ intent
+    def ahead(self) -> Transducer:
+        """What the words after say, read from the clause's end: whom it is about."""
+        return Transducer.within("target", self.near, TARGETED)
+
+    def marked(self, symbols: list[str]) -> list[int]:
+        """The marks of every word, by the states of both machines at it."""
+        return [a | b for a, b in zip(self.behind.read(symbols), reversed(self.ahead.read(reversed(symbols))))]
 
     def word(self, w: str) -> tuple[float, float, str]:
         """INSULT's weight of the word (its heaviest lexicon path, or nothing), THREAT's, and its symbol."""
+        symbol = symbol_of(w)
+        if symbol != OTHER:  # the grammar's own words are no insults
+            return 0.0, 0.0, symbol
         best = self.insults.get(f"{w}$", 0.0)
         for k in PREFIX:
             if k > len(w):
                 break
             best = max(best, self.insults.get(w[:k], 0.0))
-        found = best, THREATS.get(w, 0.0), next((c for c, words in CLASSES.items() if w in words), OTHER)
+        found = best, THREATS.get(w, 0.0), symbol
         return PLAIN if found == PLAIN else found  # one object for most words
 
+    def matches(self, words: list[tuple[float, float, str]]):
+        """Path and weight of every match of a clause of words as word() gives them."""
+        for (insult, threat, _), marks in zip(words, self.marked([w[2] for w in words])):
+            weight = insult + (threat if marks & TARGETED and marks & INTENDED else 0.0)
+            if weight:
+                yield path_of(marks), weight
+
     def clause(self, words: list[tuple[float, float, str]]) -> float:
-        """The weight of a clause of words as word() gives them."""
-        symbols = [w[2] for w in words]
-        ahead, back = self.target.read(symbols), self.target.read(reversed(symbols))[::-1]
-        total = 0.0
-        for (insult, threat, _), c, t, u in zip(words, self.context.read(symbols), ahead, back):
-            if insult or threat:
-                total += insult * c[0] * max(t[0], u[0]) + threat * c[1] * max(t[1], u[1])
-        return total
+        return sum(self.paths[path] * weight for path, weight in self.matches(words))
 
-    def total(self, text: str, known: dict[str, tuple[float, float, str]]) -> float:
-        """The sum over the text's clauses; known caches words."""
+    def clauses(self, text: str, known: dict[str, tuple[float, float, str]]):
+        """The clauses of a text that hold a word of weight; known caches words."""
         tokens = TOKEN.findall(text.lower())
         words = []
         for w in tokens:
@@ -149,33 +177,54 @@ class Grammar:
             words.append(x)
         heavy = [k for k, x in enumerate(words) if x[0] or x[1]]
         if not heavy:
-            return 0.0
-        total, start, at = 0.0, 0, 0
+            return
+        start, at = 0, 0
         for k in [k for k, w in enumerate(tokens) if w in BREAKS] + [len(tokens)]:
             if at < len(heavy) and heavy[at] < k:
-                total += self.clause(words[start:k])
+                yield words[start:k]
                 while at < len(heavy) and heavy[at] < k:
                     at += 1
             start = k + 1
-        return total
+
+    def total(self, text: str, known: dict[str, tuple[float, float, str]]) -> float:
+        """The sum over the text's clauses."""
+        return sum(map(self.clause, self.clauses(text, known)), 0.0)
 
     def score(self, total: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * total + self.offset))))
 
 
-def _beginnings(text: str) -> set[str]:
+def _beginnings(text: str, grammar: Grammar) -> set[str]:
+    """Entries that the text's words could match, of words on direct paths: neither negated nor reported."""
+    words, clause, turned = set(), [], False
+
+    def end():
+        if turned:
+            marks = grammar.behind.read(map(symbol_of, clause))
+            words.update(w for w, m in zip(clause, marks) if not m & (NEGATED | REPORTED))
+        else:
+            words.update(clause)
+
+    for w in TOKEN.findall(text.lower()):
+        if w in BREAKS:
+            end()
+            clause, turned = [], False
+        else:
+            clause.append(w)
+            turned = turned or w in NEGATIONS or w in REPORTS
+    end()
     out = set()
-    for w in set(TOKEN.findall(text.lower())) - BREAKS:
+    for w in (w for w in words if symbol_of(w) == OTHER):
         out.add(f"{w}$")
         out.update(w[:k] for k in PREFIX if k <= len(w))
     return out
 
 
 def _count(batches):
-    n = {0: Counter(), 1: Counter()}
+    n, grammar = {0: Counter(), 1: Counter()}, Grammar()
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
-            n[int(toxic)].update(_beginnings(text or ""))
+            n[int(toxic)].update(_beginnings(text or "", grammar))
     for y, counts in n.items():
         for start in range(0, len(counts), 50_000):
             part = list(counts.items())[start : start + 50_000]
@@ -201,7 +250,9 @@ def fit(sample: DataFrame) -> Grammar:
 
     Lexicon: word beginnings and whole words whose smoothed log-odds of toxic documents is at least 2.5 and
     whose log-likelihood ratio is at least EVIDENCE and a fiftieth of the toxic rows more, so that neither
-    chance nor a group of copies of one toxic document brings in its words. Without labels of both classes the lexicon stays empty.
+    chance nor a group of copies of one toxic document brings in its words. Only words on direct paths are
+    counted, so that what clean documents deny or report is not lost. Paths: a quarter of the smoothed log-odds
+    of documents with a match on it, 0 to MOST. Without labels of both classes the lexicon stays empty.
     """
     sizes = {int(r["toxic"]): r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
@@ -217,12 +268,29 @@ def fit(sample: DataFrame) -> Grammar:
     evidence = part("bad", rate) + part("good", 1 - rate)
     top = counts.withColumns({"w": odds, "e": evidence}).where((F.col("w") >= 2.5) & (F.col("e") >= EVIDENCE + bad / 50)).orderBy(F.desc("e"), "entry").limit(LEXICON)
     grammar = Grammar({r["entry"]: float(r["w"]) / 4 for r in top.collect()})
+    on = sample.mapInPandas(_paths(grammar), "path string, toxic int").groupBy("path").agg(*[F.sum((F.col("toxic") == y).cast("long")).alias(k) for k, y in (("bad", 1), ("good", 0))])
+    for r in on.collect():  # a row a path
+        if r["bad"] + r["good"] >= ENOUGH:
+            w = math.log((r["bad"] + 0.5) / (bad + 1)) - math.log((r["good"] + 0.5) / (good + 1))
+            grammar.paths[r["path"]] = min(MOST, max(0.0, w / 4))
     rows = sample.mapInPandas(_totals(grammar), "total double, toxic int").groupBy("toxic", F.round(F.least("total", F.lit(40.0)), 2).alias("total")).agg(F.count(F.lit(1)).alias("n"))
     bins = [(r["total"], int(r["toxic"]), r["n"] / sizes[int(r["toxic"])]) for r in rows.collect()]  # 8002 rows at most
     _squash(grammar, bins)
     return grammar
 
 
+def _paths(grammar: Grammar):
+    """The paths on which a document's insults lie, each once."""
+
+    def run(batches):
+        known: dict[str, tuple[float, float, str]] = {}
+        for pdf in batches:
+            rows = [(path, y) for t, y in zip(pdf["text"], pdf["toxic"]) for path in {p for c in grammar.clauses(t or "", known) for p, _ in grammar.matches(c)}]
+            yield pd.DataFrame(rows, columns=["path", "toxic"])
+
+    return run
+
+
 def _totals(grammar: Grammar):
     def run(batches):
         enter("toxicity")
@@ -268,7 +336,8 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
 
 def clean(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """The rows of docs that are not predicted toxic; all columns stay, whatever their names."""
+    """The rows of docs that are not predicted toxic; all columns stay, whatever their names. Null and empty texts
+    weigh nothing and stay as long as weight 0 is below the threshold; repeated rows are judged alike."""
 
     k = docs.columns.index("text")
 

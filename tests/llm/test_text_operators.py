@@ -72,25 +72,52 @@ def brute_clause(g, words):
     for k, w in enumerate(words):
         insult, threat, _ = g.word(w)
         target = near(k, toxicity.TARGETS, g.near, g.near)
-        x = insult * (g.target_gain if target else 1) + (threat if target and near(k, toxicity.INTENTS, g.near, 0) else 0)
-        x *= g.negated if near(k, toxicity.NEGATIONS, 2, 0) else 1
-        total += x * (g.reported if near(k, toxicity.REPORTS, k, 0) else 1)
+        x = insult + (threat if target and near(k, toxicity.INTENTS, g.near, 0) else 0)
+        if near(k, toxicity.REPORTS, k, 0):
+            path = "reported"
+        elif near(k, toxicity.NEGATIONS, 2, 0):
+            path = "negated"
+        elif target:
+            path = "targeted"
+        else:
+            path = "predicated" if near(k, toxicity.PREDICATES, 2, 0) else "bare"
+        total += x * g.paths[path]
     return total
 
 
 def test_toxicity_composition():
-    g = toxicity.Grammar({"idiot$": 2.0, "mor": 1.0})
-    pool = ["you", "not", "said", "will", "kill", "hurt", "idiot", "moron", "dich", "nie"] + ["word"] * 12
+    g = toxicity.Grammar({"idiot$": 2.0, "mor": 1.0}, {"reported": 0.25, "negated": 0.5, "targeted": 1.75, "predicated": 1.25, "bare": 1.0})
+    pool = ["you", "not", "said", "will", "kill", "hurt", "idiot", "moron", "dich", "nie", "so"] + ["word"] * 12
     rng = np.random.RandomState(3)
     for n in [1, 2, 3, 5, 9] * 40 + [100, 101, 300, 1000]:
         words = [str(w) for w in rng.choice(pool, n)]
         assert g.total(" ".join(words), {}) == pytest.approx(brute_clause(g, words)), words
     assert g.total("idiot" + " word" * 1000, {}) == g.total("word " * 1000 + "idiot", {}) == 2.0
-    parts = [toxicity.Transducer.within("not", 2, (0.5, 0.5), (1.0, 1.0)), toxicity.Transducer.after("report", (0.6, 0.6))]
+    assert g.total("idiot. " * 20_000, {}) == 40_000  # many clauses
+    parts = [toxicity.Transducer.within("not", 2, toxicity.NEGATED), toxicity.Transducer.after("report", toxicity.REPORTED)]
     both = parts[0] @ parts[1]
     for _ in range(200):
         symbols = rng.choice([*toxicity.CLASSES, toxicity.OTHER], 12)
-        assert both.read(symbols) == [(a[0] * b[0], a[1] * b[1]) for a, b in zip(parts[0].read(symbols), parts[1].read(symbols))]
+        assert both.read(symbols) == [a | b for a, b in zip(parts[0].read(symbols), parts[1].read(symbols))]
+
+
+def said(k, toxic):
+    """A text with an insult: toxic ones throw it at someone, clean ones report or deny it, in the same words."""
+    rng = np.random.RandomState(k)
+    filler = lambda: " ".join(rng.choice(["river", "house", "paper", "morning", "table", "green", "walks", "slowly"], 6))
+    insult = rng.choice(["grobnik", "slimeball", "dunderhead"])
+    clause = rng.choice([f"you {insult}", f"you are a {insult}", f"what a total {insult}"] if toxic else [f"he said the {insult} left", f"she is not a {insult}", f"they wrote about a {insult}"])
+    return f"{filler()}. {clause}. {filler()}, what a total delight, a paper for you."
+
+
+def test_toxicity_grammar_decides(spark):
+    """Clean and toxic rows hold the same insults: without the grammar's paths no weight of words tells them apart."""
+    train = spark.createDataFrame([(said(k, k % 2), k % 2) for k in range(400)], "text string, toxic int")
+    held = [(said(k, k % 2), k % 2) for k in range(1000, 1200)]
+    g = toxicity.fit(train)
+    right = lambda g: sum((g.score(g.total(t, {})) >= 0.5) == bool(y) for t, y in held) / len(held)
+    assert right(g) == 1.0 and g.paths["reported"] == g.paths["negated"] == 0.0 < g.paths["targeted"]
+    assert right(toxicity.Grammar(g.insults, dict.fromkeys(g.paths, g.paths["targeted"]), g.slope, g.offset)) == 0.5
 
 
 def test_toxicity_odd(spark):
