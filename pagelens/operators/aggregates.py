@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.rules import exclusive_quantile
+from .rounds import written
 
 
 def decimal_mean(values: Column) -> Column:
@@ -59,12 +62,62 @@ def value_counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _ordered_bits(v: Column) -> Column:
+    """A double as a long of the same order: exponent and mantissa side by side, the sign outside."""
+    size = F.abs(v)
+    e = F.greatest(F.floor(F.log2(F.greatest(size, F.lit(5e-324)))), F.lit(-1022)).cast("double")
+    # the logarithm can be off by one beside a power of two
+    unit = lambda e: F.when(e > 1022, F.pow(F.lit(2.0), e - 1) * 2).otherwise(F.pow(F.lit(2.0), e))
+    e = F.when(size < unit(e), F.greatest(e - 1, F.lit(-1022.0))).when(size / unit(e) >= 2, e + 1).otherwise(e)
+    bits = ((e + 1022).cast("long") * (1 << 52)) + (size / unit(e) * float(1 << 52)).cast("long")
+    return F.when(v < 0, -bits).otherwise(bits)
+
+
+#: Bits of a value by which one step of quantiles() tells rows apart.
+STEP = 16
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, parts: list[float]) -> DataFrame:
+    """keys and q, the exact inclusive quantiles of each group: an array, in the order of parts.
+
+    Histograms are refined: rows are counted by the leading bits of their value, then, only in the bins that
+    hold a wanted rank, by the next ones, until a bin holds one value. What a group keeps is a count for each
+    of at most 2 ** STEP bins a rank, however many values there are, and counts are summed before any shuffle.
+    Infinities count as the greatest doubles. Nulls and NaN are left out; a group with nothing else has no row.
+    """
+    most = 1.7976931348623157e308
+    v = F.least(F.greatest(F.col(value).cast("double"), F.lit(-most)), F.lit(most))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.struct(*keys).alias("g"), v.alias("v")).withColumn("bits", _ordered_bits(F.col("v")))
+    at = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(at(p)), F.ceil(at(p))) for p in parts])))
+    sizes, _ = written(sizes)
+    open_ = sizes.select("g", F.explode(ranks).alias("rank"), "lo", "hi").withColumns({"bin": F.lit(0).cast("long"), "base": F.lit(0).cast("long")})
+    done = []
+    for shift in range(64 - STEP, -1, -STEP):
+        name = F.lit(0).cast("long") if shift == 64 - STEP else F.shiftright("bits", shift + STEP)
+        bins = open_.select("g", "bin").distinct()
+        counts = rows.withColumn("bin", name).join(bins, ["g", "bin"]).groupBy("g", "bin", F.shiftright("bits", shift).alias("next")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        before = F.coalesce(F.sum("n").over(W.partitionBy("g", "bin").orderBy("next").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.withColumn("before", before)
+        x = open_.select("g", "rank", "bin", "base").join(counts, ["g", "bin"]).where((F.col("rank") >= F.col("base") + F.col("before")) & (F.col("rank") < F.col("base") + F.col("before") + F.col("n")))
+        x, _ = written(x.select("g", "rank", "lo", "hi", F.col("next").alias("bin"), (F.col("base") + F.col("before")).alias("base")))
+        done.append(x.where("lo = hi").select("g", "rank", "lo"))
+        open_, n = written(x.where("lo < hi"))
+        if not n:
+            break
+    found = reduce(DataFrame.unionByName, done).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("by"))  # two ranks a part at most
+    low, high = (lambda p: F.try_element_at("by", F.floor(at(p)))), (lambda p: F.try_element_at("by", F.ceil(at(p))))
+    values = [low(p) + (high(p) - low(p)) * (at(p) - F.floor(at(p))) for p in parts]
+    return sizes.join(found, "g").select("g.*", F.array(*values).alias("q"))
+
+
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, extremes, mean, sample deviation and inclusive quartiles per group."""
     c = F.col(value).cast("double")
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), q.alias("_q"))
-    return g.select(*keys, "n", "lo", "hi", "mean", "std", *[F.get("_q", F.lit(k)).alias(f"p{p}") for k, p in enumerate((25, 50, 75))])
+    g = df.groupBy(F.struct(*keys).alias("_g")).agg(F.count(value).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"))
+    q = quantiles(df, keys, value, [0.25, 0.5, 0.75]).select(F.struct(*keys).alias("_g"), "q")
+    return g.join(q, "_g", "left").select("_g.*", "n", "lo", "hi", "mean", "std", *[F.get("q", F.lit(k)).alias(f"p{p}") for k, p in enumerate((25, 50, 75))])
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:

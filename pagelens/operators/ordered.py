@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from .ranks import neighbours
+from .ranks import neighbours, ranged
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -65,16 +65,85 @@ def pareto(df: DataFrame, key: str, objectives: list[str]) -> DataFrame:
 
 
 def crowding(df: DataFrame, key: str, objectives: list[str]) -> DataFrame:
-    """key and distance: per objective the gap between the neighbours over the range, infinite at the ends."""
-    spans = df.agg(*[(F.max(o) - F.min(o)).alias(o) for o in objectives]).first()  # one number for each objective
-    total, out = F.lit(0.0), df.select(key)
-    for o in objectives:
-        gap = (F.col("after") - F.col("before")) / (F.lit(float(spans[o])) if spans[o] else F.lit(None).cast("double"))
-        end = F.col("before").isNull() | F.col("after").isNull()
-        gap = F.when(end, F.lit(float("inf"))).otherwise(F.coalesce(gap, F.lit(0.0)))
-        out = out.join(neighbours(df, key, o).select(key, gap.alias(f"_gap_{o}")), key)
-        total = total + F.col(f"_gap_{o}")
-    return out.select(key, total.alias("distance"))
+    """key and distance: per objective the gap between the neighbours over the range, infinite at the ends.
+
+    All objectives are dealt to ranges at once, as groups; a key's gaps are added up at the end. Keys name
+    the rows; null values sort first, and a gap beside one counts 0.
+    """
+    long = df.select(key, F.posexplode(F.array(*[F.col(o).cast("double") for o in objectives])).alias("_o", "_v"))
+    x = neighbours(long, "_o", key, "_v")
+    gap = F.coalesce((F.col("after") - F.col("before")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(0.0))
+    end = F.col("before").isNull() | F.col("after").isNull()
+    gaps = x.select(key, F.struct("_o", F.when(end, F.lit(float("inf"))).otherwise(gap).alias("gap")).alias("g"))
+    total = F.aggregate(F.array_sort(F.collect_list("g")), F.lit(0.0), lambda t, g: t + g["gap"])  # one value an objective, in their order
+    return gaps.groupBy(key).agg(total.alias("distance"))
+
+
+def _smaller_before(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each place the weight of the earlier places with a smaller value: halves are merged, widths doubling."""
+    n, out = len(v), np.zeros(len(v), np.int64)
+    at, width = np.arange(n), 1
+    order = np.argsort(v, kind="stable")
+    while width < n:
+        block, right = at[order] // (2 * width), at[order] // width % 2 == 1
+        by = np.lexsort((~right, v[order], block))  # equal values: right ones first, so that they don't count
+        o, r = order[by], right[by]
+        left = np.where(r, 0, w[o])
+        sums = np.cumsum(left)
+        start = np.flatnonzero(np.append(True, block[by][1:] != block[by][:-1]))
+        base = np.repeat((sums - left)[start], np.diff(np.append(start, n)))
+        out[o[r]] += (sums - base)[r]
+        width *= 2
+    return out
+
+
+def dominated_by(df: DataFrame, group: str, key: str, x: str, y: str) -> DataFrame:
+    """key and dominated_by: how many rows of the group are at least as good (as high) in both and better in one.
+
+    Equal points count as one with a weight. In two orders, by x and by y (each time the other one, falling,
+    for equals), a point is dominated by exactly those before it in both. Ranges of both orders cut a group
+    into cells: whole cells before a point's come from running sums of their weights; points of its own
+    range of x, and of its own range of y, are counted by merging within that range. So no group is joined
+    with itself or held by one task. Rows with a null or NaN are neither compared nor dominated.
+    """
+    fit = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double"))
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("k"), F.when(fit, F.col(x)).alias("x"), F.when(fit, F.col(y)).alias("y"))
+    points = rows.where("x is not null").groupBy(F.struct("g").alias("g"), "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    p = ranged(points, "g", F.desc("x"), F.desc("y")).withColumnRenamed("_range", "i")
+    p = ranged(p, "g", F.desc("y"), F.desc("x")).withColumnRenamed("_range", "j")
+    cells = p.groupBy("g", "i", "j").agg(F.sum("w").alias("n"))
+    grid = cells.select("g", "i").distinct().join(cells.select("g", "j").distinct(), "g").join(cells, ["g", "i", "j"], "left")  # ranges times ranges at most
+    column = W.partitionBy("g", "j").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    line = W.partitionBy("g", "i").orderBy("j").rowsBetween(W.unboundedPreceding, -1)
+    grid = grid.withColumn("above", F.coalesce(F.sum("n").over(column), F.lit(0)))
+    grid = grid.select("g", "i", "j", F.coalesce(F.sum("above").over(line), F.lit(0)).alias("n"))
+
+    def within(own: str):
+        """Points before in both orders: in the same range of x, or in the same range of y but an earlier one of x."""
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            first, second = ("x", "y") if own == "i" else ("y", "x")
+            pdf = pdf.sort_values(["gid", first, second], ascending=[True, False, False], kind="stable")
+            n = np.zeros(len(pdf), np.int64)
+            ids = pdf["gid"].to_numpy()
+            cuts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else []
+            for a, b in zip(cuts, [*cuts[1:], len(pdf)]):
+                part = pdf.iloc[a:b]
+                v = np.lexsort((-pd.to_numeric(part["x"]).to_numpy(), -pd.to_numeric(part["y"]).to_numpy())).argsort() if own == "i" else part["i"].to_numpy()
+                n[a:b] = _smaller_before(v, part["w"].to_numpy())
+            return pd.DataFrame({"gid": pdf["gid"], "x": pdf["x"], "y": pdf["y"], "n": n})
+
+        return run
+
+    kinds = {c: df.schema[o].dataType.simpleString() for c, o in (("x", x), ("y", y))}
+    gid = F.to_json("g").alias("gid")  # a null group is a group
+    flat = p.select(gid, "x", "y", "w", "i", "j")
+    schema = f"gid string, x {kinds['x']}, y {kinds['y']}, n long"
+    counts = [flat.groupBy(own).applyInPandas(within(own), schema) for own in "ij"]
+    counts.append(p.join(grid, ["g", "i", "j"]).select(gid, "x", "y", "n"))
+    total = counts[0].unionByName(counts[1]).unionByName(counts[2]).groupBy("gid", "x", "y").agg(F.sum("n").alias("n"))
+    out = rows.withColumn("gid", F.to_json(F.struct("g"))).join(total, ["gid", "x", "y"], "left")
+    return out.select(F.col("k").alias(key), F.coalesce("n", F.lit(0)).alias("dominated_by"))
 
 
 def capped_session_max(df: DataFrame, key: str, ts: str, value: str, gap_s: float, span_s: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..sources.sinks import scratch
 
@@ -32,8 +32,30 @@ def placed(df: DataFrame, group: list[str], order: list, place: str = "place") -
     return x.join(sizes, on).withColumn(place, F.col("_inside") + F.col("_before")).select(*df.columns, place, "n")
 
 
-def neighbours(df: DataFrame, key: str, value: str) -> DataFrame:
-    """key, before and after: the values next to each row's in the order of value, then key; null at the ends."""
-    x = placed(df.select(key, value, F.lit(0).alias("_all")), ["_all"], [F.col(value), F.col(key)])
-    at = lambda name, step: x.select((F.col("place") + step).alias("place"), F.col(value).alias(name))
-    return x.join(at("before", 1), "place", "left").join(at("after", -1), "place", "left").select(key, value, "before", "after")
+def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df dealt to ranges of the order, as a table with the range's number as _range."""
+    spark = df.sparkSession
+    path = scratch(spark, "ranges")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def neighbours(df: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """group, key, value, before and after: the values next to each row's in its group, in the order of value, then
+    key (null at the ends), and low and high, the group's least and greatest.
+
+    Rows look at their neighbours within a range; only the two rows at a range's borders are exchanged.
+    """
+    x = ranged(df.select(group, key, value), group, value, key)
+    ends = x.groupBy(group, "_range").agg(F.min(F.struct(value, key)).alias("a"), F.max(F.struct(value, key)).alias("b"))
+    ranges, whole = W.partitionBy(group).orderBy("_range"), W.partitionBy(group)  # a row per range
+    ends = ends.select(
+        F.struct(F.col(group).alias("g"), F.col("_range").alias("r")).alias("_at"), F.lag(F.col("b")[value]).over(ranges).alias("_before"), F.lead(F.col("a")[value]).over(ranges).alias("_after"),
+        F.min(F.col("a")[value]).over(whole).alias("low"), F.max(F.col("b")[value]).over(whole).alias("high"),
+    )
+    own = W.partitionBy(group, "_range").orderBy(value, key)
+    x = x.withColumns({"_first": F.row_number().over(own) == 1, "before": F.lag(value).over(own), "after": F.lead(value).over(own), "_last": F.lead(key).over(own).isNull()})
+    x = x.withColumn("_at", F.struct(F.col(group).alias("g"), F.col("_range").alias("r"))).join(ends, "_at")
+    before, after = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("before")), F.when(F.col("_last"), F.col("_after")).otherwise(F.col("after"))
+    return x.select(group, key, value, before.alias("before"), after.alias("after"), "low", "high")

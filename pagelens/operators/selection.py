@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from .ranks import placed
+
 
 def quotas(sizes: DataFrame, group: str, bin: str, place: Column, size: Column, total: Column, ratio: dict[int, int]) -> DataFrame:
     """take of each group's bins (places 0 to k - 1): total is split by ratio, rounded down, the rest to the last
@@ -123,14 +125,14 @@ def demo_sets(rows: DataFrame, key: str, kind: str, gain: str, seed: int = 0) ->
         both = some.unionByName(rest).groupBy(key).agg(F.min(F.struct("fill", "g")).alias("o")).orderBy("o", key).limit(3)
         out.append(both.select(F.lit(s).alias("set"), key))
     pool = max(1, n * 2 // 3)
-    cut = rows.select(F.expr(f"approx_percentile({gain}, {1 - pool / max(1, n)})").alias("cut"))
+    better = placed(rows.select(key, gain, F.lit(0).alias("_all")), ["_all"], order).where(F.col("place") < pool).select(key)
     for s in (2, 3, 4):
-        some = rows.join(F.broadcast(cut), F.col(gain) >= F.col("cut")).orderBy(drawn(s, key), key).limit(4)  # cut: one row
+        some = better.orderBy(drawn(s, key), key).limit(4)
         out.append(some.select(F.lit(s).alias("set"), key))
-    placed = top.withColumn("place", F.row_number().over(W.orderBy(*order)) - 1)  # nine rows
+    nine = top.withColumn("place", F.row_number().over(W.orderBy(*order)) - 1)  # nine rows
     for s, skip in ((5, 0), (6, 2), (7, 4)):
         skip = skip if n >= skip + 5 else 0
-        out.append(placed.where((F.col("place") >= skip) & (F.col("place") < skip + 5)).select(F.lit(s).alias("set"), key))
+        out.append(nine.where((F.col("place") >= skip) & (F.col("place") < skip + 5)).select(F.lit(s).alias("set"), key))
     total = out[0]
     for x in out[1:]:
         total = total.unionByName(x)

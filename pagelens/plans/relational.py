@@ -67,7 +67,7 @@ def agg_describe(spark, sf):
 
 @query("SELECT source, quantile_cont(CAST(n_chars AS DOUBLE), 0) AS q0, quantile_cont(CAST(n_chars AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(n_chars AS DOUBLE), 0.5) AS q2, quantile_cont(CAST(n_chars AS DOUBLE), 0.75) AS q3, quantile_cont(CAST(n_chars AS DOUBLE), 1) AS q4 FROM documents GROUP BY source")
 def agg_box_stats(spark, sf):
-    g = table(spark, sf, "documents").groupBy("source").agg(F.percentile(F.col("n_chars").cast("double"), F.array(*[F.lit(x / 4) for x in range(5)])).alias("q"))
+    g = a.quantiles(table(spark, sf, "documents"), ["source"], "n_chars", [x / 4 for x in range(5)])
     return g.select("source", *[F.get("q", F.lit(k)).alias(f"q{k}") for k in range(5)])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions.rules import exclusive_quantile
+from ..operators import ordered as o
 from ..operators.ranks import placed
 from ..operators.selection import stratified
 from ..sources.tables import table
@@ -151,7 +152,8 @@ def agg_mode_width(spark, sf):
 def agg_package_union(spark, sf):
     u = table(spark, sf, "lineitem").where("l_quantity > 45").select("l_partkey").distinct()
     x = u.join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey")).groupBy("p_name", "p_brand").agg(F.count(F.lit(1)).alias("downloads"))
-    return x.withColumn("place", F.row_number().over(W.orderBy(F.desc("downloads"), "p_name", "p_brand")).cast("long"))  # a row per name and brand
+    x = placed(x.withColumn("all", F.lit(0)), ["all"], [F.desc("downloads"), F.asc("p_name"), F.asc("p_brand")])
+    return x.select("p_name", "p_brand", "downloads", (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query("SELECT p.place, p.phase, count(value) AS n, round(avg(value), 6) AS mean FROM (VALUES (1, 'view'), (2, 'click'), (3, 'purchase'), (4, 'none')) p(place, phase) LEFT JOIN events ON event_type = p.phase GROUP BY 1, 2")
@@ -344,6 +346,4 @@ def opt_trial_log(spark, sf):
 def opt_dominates(spark, sf):
     """How many points of the same group are at least as good in all and better in one objective."""
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.col("s_acctbal").alias("x"), (F.col("s_suppkey") % 10).alias("y"))
-    a, b = s.alias("a"), s.alias("b")
-    on = F.expr("a.s_nationkey = b.s_nationkey and b.x >= a.x and b.y >= a.y and (b.x > a.x or b.y > a.y)")
-    return a.join(b, on, "left").groupBy(F.col("a.s_suppkey").alias("s_suppkey")).agg(F.count("b.s_suppkey").alias("dominated_by"))
+    return o.dominated_by(s, "s_nationkey", "s_suppkey", "x", "y")

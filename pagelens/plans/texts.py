@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import ordered as o, text as t
+from ..operators import aggregates as a, ordered as o, text as t
 from ..operators.ranks import placed
 from ..sources.tables import table
 
@@ -109,7 +109,7 @@ def st_cls_session(spark, sf):
 @query("SELECT doc_id, CASE WHEN s >= p90 THEN 'B4' WHEN s >= p70 THEN 'B3' WHEN s >= p50 THEN 'B2' END AS bin FROM (SELECT doc_id, lang, log10(n_chars) AS s FROM documents WHERE n_chars > 0) JOIN (SELECT lang, quantile_cont(log10(n_chars), 0.5) AS p50, quantile_cont(log10(n_chars), 0.7) AS p70, quantile_cont(log10(n_chars), 0.9) AS p90 FROM documents WHERE n_chars > 0 GROUP BY lang) USING (lang) WHERE s >= p50")
 def smp_size_bins(spark, sf):
     x = table(spark, sf, "documents").where("n_chars > 0").select("doc_id", "lang", F.log10("n_chars").alias("s"))
-    q = x.groupBy("lang").agg(F.percentile("s", F.array(F.lit(0.5), F.lit(0.7), F.lit(0.9))).alias("q"))
+    q = a.quantiles(x, ["lang"], "s", [0.5, 0.7, 0.9])
     at = lambda k: F.get("q", F.lit(k))
     x = x.join(q, "lang").where(F.col("s") >= at(0))
     return x.select("doc_id", F.when(F.col("s") >= at(2), "B4").when(F.col("s") >= at(1), "B3").otherwise("B2").alias("bin"))
