@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from heapq import heapify, heappop, heapreplace
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
@@ -35,9 +38,37 @@ def quotas(sizes: DataFrame, group: str, bin: str, place: Column, size: Column,
     return each.select(group, F.explode(F.aggregate("all", start, step, lambda a: a["done"])).alias("d")).select(group, "d.*").where("take > 0")
 
 
+def _covering(rows: dict, take: int) -> tuple[list, int]:
+    """Keys in the order of choice, and how many gains were looked at.
+
+    Gains only fall, so a heap may hold stale ones: the top is looked at again, and chosen if it still holds.
+    An index from item to rows takes a newly covered item off the gains of those rows alone.
+    """
+    holders, gains = defaultdict(list), {}
+    for key, items in rows.items():
+        gains[key] = len(items)
+        for i in items:
+            holders[i].append(key)
+    heap = [(-g, key) for key, g in gains.items()]
+    heapify(heap)
+    out, looked = [], 0
+    while heap and len(out) < take:
+        g, key = heap[0]
+        looked += 1
+        if -g != gains[key]:
+            heapreplace(heap, (-gains[key], key))
+            continue
+        heappop(heap)
+        out.append(key)
+        for i in rows[key]:
+            for other in holders.pop(i, ()):
+                gains[other] -= 1
+    return out, looked
+
+
 def most_covering(rows: DataFrame, group: list[str], key: str, items: str, take: str) -> DataFrame:
     """group, key and place (1, 2, ...) of the rows chosen in each group, up to take: always the row that adds most
-    items not covered yet, the least key of equals.
+    items not covered yet, the least key of equals. Keys name the rows of a group; null items are no items.
 
     The choice depends on all before it, so a group is one task's; bins of a sample are small by design.
     """
@@ -45,12 +76,8 @@ def most_covering(rows: DataFrame, group: list[str], key: str, items: str, take:
     types = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in group)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = {k: set(v) for k, v in sorted(zip(pdf[key], pdf[items]))}
-        covered, out = set(), []
-        while left and len(out) < int(pdf[take].iloc[0]):
-            best = max(left, key=lambda k: len(left[k] - covered))  # the first of equals
-            covered |= left.pop(best)
-            out.append(best)
+        sets = {k: {i for i in (v if v is not None else ()) if i is not None} for k, v in zip(pdf[key].tolist(), pdf[items])}
+        out, _ = _covering(sets, int(pdf[take].iloc[0]))
         return pd.DataFrame({**{g: pdf[g].iloc[0] for g in group}, key: out, "place": range(1, len(out) + 1)}, columns=[*group, key, "place"])
 
     return rows.groupBy(*group).applyInPandas(choose, f"{types}, {key} {kind}, place int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import files as r, sinks as w
+from ..sources import files as r, hub as h, sinks as w
 from ..sources.tables import table
 from .register import registrar
 
@@ -174,7 +174,11 @@ def src_suggestions_index(spark, sf):
 
 @query("SELECT page_id, url FROM pages")
 def src_hub_dataset(spark, sf):
-    return table(spark, sf, "pages").select("page_id", "url")
+    """Both splits of a dataset in shards, two columns of three."""
+    pages, at = table(spark, sf, "pages"), w.scratch(spark, "hub")
+    h.write_hub({"train": pages.where("page_id % 5 <> 0"), "test": pages.where("page_id % 5 = 0")}, at, "page_id", 8)
+    split = lambda name: h.read_hub(spark, at, "page_id bigint, url string, html string", name, ["page_id", "url"])
+    return split("train").unionByName(split("test"))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus FROM orders")

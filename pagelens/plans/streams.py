@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..sources.sinks import scratch
 from ..sources.tables import table
-from ..streaming import jobs
+from ..streaming import ids, jobs
 from .register import registrar
 
 query, QUERIES, ORACLE_SQL = registrar()
@@ -57,13 +57,19 @@ def st_counters(spark, sf):
     return spark.read.schema("event_id long, phase string").parquet(f"{at}/out").groupBy("phase").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, coalesce(first_value(CASE WHEN event_id % 3 = 0 THEN 'call-' || event_id END IGNORE NULLS) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 'gen-' || user_id || '-' || event_type) AS call_id FROM events")
+@query("WITH e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'call-' || event_id END AS own FROM events) SELECT event_id, coalesce(own, first_value(coalesce(own, 'call-' || user_id || '-' || event_type)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS call_id FROM e")
 def st_sse_id_fixer(spark, sf):
-    """The first id seen so far for a request and index; a made one, the same for all, until one is seen."""
-    own = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("call-"), "event_id"))
-    w = W.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    made = F.concat(F.lit("gen-"), "user_id", F.lit("-"), "event_type")
-    return table(spark, sf, "events").select("event_id", F.coalesce(F.first_value(own, ignoreNulls=True).over(w), made).alias("call_id"))
+    """Pieces of calls in two halves of time under one checkpoint: an id that is missing is the first one of request and
+    index, from the first half too, or a made one."""
+    at = scratch(spark, "ids")
+    own = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("call-"), F.col("event_id").cast("string")))
+    x = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), own.alias("own"))
+    middle = table(spark, sf, "events").agg(F.timestamp_micros(F.floor((F.unix_micros(F.min(F.col("ts").cast("timestamp"))) + F.unix_micros(F.max(F.col("ts").cast("timestamp")))) / 2)).alias("middle"))
+    for half in ("ts < middle", "ts >= middle"):
+        x.join(F.broadcast(middle)).where(half).select(x.columns).write.mode("append").parquet(f"{at}/log")  # middle: one row
+        stream = spark.readStream.schema(x.schema).parquet(f"{at}/log")
+        jobs.drain(ids.with_stable_ids(stream, "user_id", "event_type", "ts", "event_id", "own", idle_s=10**9), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema("place long, call_id string").parquet(f"{at}/out").select(F.col("place").alias("event_id"), "call_id")
 
 
 @query("WITH l AS (SELECT event_type AS label, user_id % 16 AS level, count(*) AS n, count(*) FILTER (value > 300) AS n429 FROM events GROUP BY 1, 2), s AS (SELECT label, min(level) FILTER (n429 > 3) AS stop FROM l GROUP BY 1) SELECT label, level, n, n429, stop FROM l JOIN s USING (label) WHERE stop IS NULL OR level <= stop")

@@ -109,6 +109,7 @@ def is_source(path: Column) -> Column:
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes and content (text) of the source files below a folder."""
+    """path, bytes and content (text) of the source files below a folder. Empty files, and those whose names begin with
+    a dot or an underscore, are not listed by Spark's readers."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.where(is_source(F.col("path"))).select("path", F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("content"))
