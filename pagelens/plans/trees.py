@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import trees as t
+from ..operators import regression as r, trees as t
 from ..sources.tables import table
 from .boxes import TREE, _boxes, _tree
 from .register import registrar
@@ -96,3 +96,18 @@ def geo_sections(spark, sf):
     x = _boxes(spark, sf).select(F.col("label").alias("page"), F.col("vec_id").cast("string").alias("id"), "vec_id", "box").withColumn("place", F.col("vec_id"))
     sizes = x.groupBy("page").agg(F.max(F.col("box.x") + F.col("box.w")).alias("page_w"), F.max(F.col("box.y") + F.col("box.h")).alias("page_h"))
     return t.sections(x, sizes, "page")
+
+
+def versions(spark, sf):
+    """Pages and a second version of each: as it was, with an image before the footer, without a paragraph, or with a
+    longer heading."""
+    x = table(spark, sf, "pages").select("page_id", "html")
+    image, less, longer = F.replace("html", F.lit("<footer>"), F.lit('<p><img src="a.png"></p><footer>')), F.regexp_replace("html", "<p>[^<]*</p></article>", "</article>"), F.replace("html", F.lit("</h1>"), F.lit(" and more of it</h1>"))
+    return x, x.withColumn("html", F.element_at(F.array(F.col("html"), image, less, longer), (F.col("page_id") % 4 + 1).cast("int")))
+
+
+@query()
+def eval_pages(spark, sf):
+    """Both versions of every page from its source to the verdict: trees, boxes, sections, matches, overlaps."""
+    a, b = (r.prepared(r.stacked(t.build(v, "page_id", "html"), "page_id"), "page_id") for v in versions(spark, sf))
+    return r.compared(a, b, "page_id")

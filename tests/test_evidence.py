@@ -11,8 +11,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pagelens.operators import matching, selection
-from pagelens.plans import libraries, matches, registry
+from pagelens.operators import matching, regression, selection
+from pagelens.plans import libraries, matches, registry, trees
 from pagelens.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -129,3 +129,28 @@ def test_read_sources(spark, tmp_path):
         (tmp_path / path).write_text(text)
     got = {r["path"].split(f"{tmp_path}/")[1]: (r["bytes"], r["content"]) for r in files.read_sources(spark, f"file://{tmp_path}").collect()}
     assert got == {p: (len(t.encode()), t) for p, t in tree.items() if p in ("src/app.JS", "a/b/page.vue", "README.md")}  # Spark lists neither empty nor hidden files
+
+
+def test_eval_pages(spark):
+    """Small pages from source to verdict, and what each kind of change does to the driver's pages."""
+    rows = {r["page_id"]: r for r in trees.eval_pages(spark, SF).collect()}
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert set(rows) == set(pages)
+    for k, r in rows.items():
+        shorter = k % 4 == 2 and re.search(r"<p>[^<]*</p></article>", pages[k])
+        if k % 4 == 0 or (k % 4 == 2 and not shorter):
+            assert (r["leaf_iou"], r["section_iou"], r["missing"], r["extra"], r["unmatched_left"], r["unmatched_right"], r["regression"]) == (1, 1, 0, 0, 0, 0, False), (k, r)
+        elif k % 4 == 1 or shorter:
+            assert r["regression"], (k, r)
+    box = "page int, id string, parent string, tag string, place int, text string, image boolean, box struct<x:double,y:double,w:double,h:double>"
+    side = lambda *leaves: spark.createDataFrame([(1, "body_1", None, "body", 0, " ".join(t for t, *_ in leaves), False, (0.0, 0.0, 100.0, 100.0)), *[(1, f"body_1__p_{k}", "body_1", "p", k, t, im, tuple(map(float, b))) for k, (t, im, b) in enumerate(leaves, 1)]], box)
+    whole = spark.createDataFrame([(1, "body_1")], "page int, id string")
+    left = side(("first words here", False, (0, 0, 100, 20)), ("second part", False, (0, 20, 100, 20)), ("", True, (10, 50, 40, 40)), ("lost entirely", False, (0, 92, 50, 8)))
+    right = side(("first words here", False, (0, 0, 100, 20)), ("second part", False, (0, 20, 100, 10)), ("", True, (10, 55, 40, 40)))
+    r = regression.compared((left, whole), (right, whole), "page").first()
+    image = 35 / 45  # an overlap of 35 of 45 lines
+    assert r["leaf_iou"] == pytest.approx(round((1 + 0.5 + round(image, 4)) / 3, 4), abs=1e-4) and r["section_iou"] == 1
+    assert (r["leaf_pairs"], r["section_pairs"], r["missing"], r["extra"], r["regression"]) == (3, 1, 1, 0, True)
+    same = regression.compared((left, whole), (left, whole), "page").first()
+    assert (same["leaf_iou"], same["leaf_pairs"], same["missing"], same["regression"]) == (1, 4, 0, False)
+    assert regression.compared((left.limit(0), whole.limit(0)), (right, whole), "page").count() == 0
