@@ -146,3 +146,10 @@ def minified_signal(html: Column, page: Column, density: Column | None = None) -
     if density is not None:
         rules.append(((F.size(own) > 0) & density.isNotNull(), density))
     return first_match(rules, None)
+
+
+def source_asset(path: Column) -> Column:
+    """HTML files, and scripts and styles that are not minified or lie in client libraries."""
+    library = F.contains(path, F.lit("clientlibs"))
+    kept = lambda end: F.endswith(path, F.lit(end)) & (library | ~F.endswith(path, F.lit(f".min{end}")))
+    return F.endswith(path, F.lit(".html")) | kept(".js") | kept(".css")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Window as W, functions as F
 
+from ..functions.assets import source_asset
 from ..sources.tables import table
 from .register import registrar
 
@@ -39,13 +40,6 @@ def demo(least_gain: float, most_lines: int = 300):
     return F.coalesce(F.col("valid"), F.lit(False)) & ~F.coalesce(F.col("regression"), F.lit(False)) & (F.col("score") > 0) & (gain >= least_gain) & (lines <= most_lines) & (F.trim(F.regexp_replace("plan", "\\s+", " ")) != "")
 
 
-def source_asset(path):
-    """HTML files, and scripts and styles that are not minified or lie in client libraries."""
-    library = F.contains(path, F.lit("clientlibs"))
-    kept = lambda end: F.endswith(path, F.lit(end)) & (library | ~F.endswith(path, F.lit(f".min{end}")))
-    return F.endswith(path, F.lit(".html")) | kept(".js") | kept(".css")
-
-
 def case_sql(text, rules, default="NULL"):
     return "CASE " + " ".join(f"WHEN contains({text}, '{n}') THEN '{v}'" for v, n in rules) + f" ELSE {default} END"
 
@@ -187,10 +181,16 @@ def flt_bad_ids(spark, sf):
 ASSETS = ["a/index.html", "a/app.js", "a/app.min.js", "etc/clientlibs/x.min.js", "s.css", "s.min.css", "img.png", "clientlibs/y.min.css"]
 
 
-@query("SELECT page_id FROM pages WHERE page_id % 8 IN (0, 1, 3, 4, 7)")
+ADDRESSES = "regexp_extract_all(html, '(?:src|href)=\"([^\"]*)\"', 1)"
+
+
+@query(f"""WITH x AS (SELECT page_id, url, {ADDRESSES} AS a, [{', '.join("'" + a + "'" for a in ASSETS)}] AS l FROM pages), y AS (SELECT page_id, unnest(list_append(list_append(a, url), l[page_id % 8 + 1])) AS path FROM x)
+SELECT page_id, path FROM y WHERE path LIKE '%.html' OR path LIKE '%.js' AND (path LIKE '%clientlibs%' OR path NOT LIKE '%.min.js') OR path LIKE '%.css' AND (path LIKE '%clientlibs%' OR path NOT LIKE '%.min.css')""")
 def flt_source_assets(spark, sf):
-    path = F.get(F.array(*map(F.lit, ASSETS)), (F.col("page_id") % 8).cast("int"))
-    return table(spark, sf, "pages").where(source_asset(path)).select("page_id")
+    """Of the addresses in each page, its own, and one of a list of assets: those of source files."""
+    one = F.get(F.array(*map(F.lit, ASSETS)), (F.col("page_id") % 8).cast("int"))
+    found = F.concat(F.regexp_extract_all("html", F.lit('(?:src|href)="([^"]*)"'), F.lit(1)), F.array("url", one))
+    return table(spark, sf, "pages").select("page_id", F.explode(found).alias("path")).where(source_asset(F.col("path")))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 100000 AND o_orderpriority NOT IN ('1-URGENT', '5-LOW')")

@@ -64,11 +64,12 @@ KINDS = ["text/javascript; charset=utf-8", "application/javascript", "text/html"
 WANTED = "CASE WHEN contains(t, 'css') THEN '.css' WHEN contains(t, 'javascript') THEN '.js' WHEN contains(t, 'html') THEN '.html' WHEN contains(t, 'jpeg') THEN '.jpg' WHEN contains(t, 'svg') THEN '.svg' ELSE '' END"
 
 
-@query(f"""WITH x AS (SELECT page_id, {_case_sql(FILES, 'page_id')} AS f, {_case_sql(KINDS, 'page_id')} AS t FROM pages), y AS (SELECT page_id, split_part(split_part(split_part(f, '?', 1), '#', 1), '/', -1) AS n, {WANTED} AS e FROM x),
- z AS (SELECT page_id, CASE WHEN n = '' THEN 'index' ELSE n END AS n, e FROM y) SELECT page_id, CASE WHEN e <> '' AND NOT ends_with(lower(n), e) THEN n || e ELSE n END AS name FROM z""")
+@query(f"""WITH x AS (SELECT page_id, unnest(list_append(regexp_extract_all(html, 'href="([^"]*)"', 1), {_case_sql(FILES, 'page_id')})) AS f, {_case_sql(KINDS, 'page_id')} AS t FROM pages), y AS (SELECT page_id, f, split_part(split_part(split_part(f, '?', 1), '#', 1), '/', -1) AS n, {WANTED} AS e FROM x),
+ z AS (SELECT page_id, f, CASE WHEN n = '' THEN 'index' ELSE n END AS n, e FROM y) SELECT page_id, f AS address, CASE WHEN e <> '' AND NOT ends_with(lower(n), e) THEN n || e ELSE n END AS name FROM z""")
 def fn_safe_filename(spark, sf):
-    url = F.concat(F.lit("https://x.example"), _case(FILES, "page_id"))
-    return table(spark, sf, "pages").select("page_id", u.safe_filename(url, _case(KINDS, "page_id")).alias("name"))
+    """Names of the files that a page's links would be stored in, and of one of a list."""
+    x = table(spark, sf, "pages").select("page_id", F.explode(F.array_append(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), _case(FILES, "page_id"))).alias("address"))
+    return x.select("page_id", "address", u.safe_filename(F.concat(F.lit("https://x.example"), "address"), _case(KINDS, "page_id")).alias("name"))
 
 
 ASSETS = ["https://static.example.com/a.js", "//cdn.other.net/b.js", "https://a.b.shop.co.uk/x", "https://x.github.io/y", "https://example.org:8080/z"]
@@ -76,10 +77,17 @@ HOMES = ["https://www.example.com/", "https://example.org/a", "https://shop.co.u
 APEX = "CASE WHEN regexp_matches(h, '(^|\\.)(co\\.uk|github\\.io)$') THEN regexp_extract(h, '([^.]+\\.[^.]+\\.[^.]+)$', 1) ELSE regexp_extract(h, '([^.]+\\.[^.]+)$', 1) END"
 
 
-@query(f"""WITH x AS (SELECT page_id, {_case_sql(ASSETS, 'page_id')} AS a, {_case_sql(HOMES, 'page_id')} AS p FROM pages), y AS (SELECT page_id, regexp_extract(a, '//([^/:]+)', 1) AS ah, regexp_extract(p, '//([^/:]+)', 1) AS ph FROM x)
-SELECT page_id, {APEX.replace('h,', 'ah,')} = {APEX.replace('h,', 'ph,')} AS own FROM y""")
+@query(f"""WITH x AS (SELECT page_id, url, {_case_sql(ASSETS, 'page_id')} AS a, {_case_sql(HOMES, 'page_id')} AS p, regexp_extract(url, '//([^/:]+)', 1) AS h FROM pages),
+ z AS (SELECT page_id, unnest([a, a, '//static.' || h || ':8080/x.js', '//' || regexp_extract(h, '[.](.*)', 1) || '/y.css']) AS asset, unnest([p, url, url, url]) AS page FROM x), y AS (SELECT *, regexp_extract(asset, '//([^/:]+)', 1) AS ah, regexp_extract(page, '//([^/:]+)', 1) AS ph FROM z)
+SELECT page_id, asset, page, {APEX.replace('h,', 'ah,')} = {APEX.replace('h,', 'ph,')} AS own FROM y""")
 def fn_apex_own_asset(spark, sf):
-    return table(spark, sf, "pages").select("page_id", u.own_asset(_case(ASSETS, "page_id"), _case(HOMES, "page_id")).alias("own"))
+    """Assets of a list, of a page's own host, of a host below it and of the one above it, against the page."""
+    host, a = F.regexp_extract("url", "//([^/:]+)", 1), _case(ASSETS, "page_id")
+    pair = lambda asset, page: F.struct(asset.alias("asset"), page.alias("page"))
+    own = [F.concat(F.lit("//static."), host, F.lit(":8080/x.js")), F.concat(F.lit("//"), F.regexp_extract(host, "[.](.*)", 1), F.lit("/y.css"))]
+    pairs = F.array(pair(a, _case(HOMES, "page_id")), *[pair(x, F.col("url")) for x in (a, *own)])
+    x = table(spark, sf, "pages").select("page_id", F.explode(pairs).alias("e")).select("page_id", "e.*")
+    return x.withColumn("own", u.own_asset(F.col("asset"), F.col("page")))
 
 
 TOKENS = ["css/NAME-3.3.5.min.css", "https://cdn.example.net/npm/NAME@1.0/dist/x.js", "https://fonts.googleapis.com/css?family=A", "js/NAME-select-1.7.min.js", "js/jquery.js", "x/", "3d.min.js", "https://h.example/a/NAME.bundle.js?v=2#t", "react-dom.js"]

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..operators import aggregates as a, ordered as o, text as t
 from ..operators.ranks import placed
+from ..operators.rounds import written
 from ..sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -33,7 +34,7 @@ def txt_tokens(spark, sf):
 
 @query(f"WITH x AS (SELECT page_id, {VISIBLE} AS t FROM pages) SELECT a.page_id, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS jaccard FROM x a JOIN x b ON b.page_id = a.page_id + 1")
 def txt_jaccard(spark, sf):
-    x = table(spark, sf, "pages").select("page_id", t.visible_tokens(F.col("html")).alias("t"))
+    x, _ = written(table(spark, sf, "pages").select("page_id", t.visible_tokens(F.col("html")).alias("t")))  # tokens once, for both sides
     y = x.select((F.col("page_id") - 1).alias("page_id"), F.col("t").alias("u"))
     return x.join(y, "page_id").select("page_id", t.jaccard(F.col("t"), F.col("u")).alias("jaccard"))
 

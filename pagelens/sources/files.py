@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql.types import StructType
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -55,12 +58,26 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
     return spark.read.schema(schema).json(path, mode="FAILFAST" if strict else "DROPMALFORMED")
 
 
+def key_name(name: str) -> str:
+    """A field's name in one shape: lower case, runs of other characters than letters and digits as one underscore."""
+    return re.sub(r"[^a-z0-9]+", "_", name.lower().lstrip("\ufeff")).strip("_")
+
+
 def read_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV, JSONL or Parquet by the ending of the path, as one shape."""
-    kind = path.rsplit(".", 1)[-1].lower()
+    """CSV, JSONL or Parquet by the ending of the path, as one shape: fields are found under any spelling of their
+    names (see key_name()), of several the first; missing ones are null."""
+    kind, want = path.rsplit(".", 1)[-1].lower(), StructType.fromDDL(schema)
+    x = spark.read
     if kind == "csv":
-        return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"')
-    return spark.read.schema(schema).parquet(path) if kind == "parquet" else read_jsonl(spark, path, schema)
+        x = x.csv(path, header=True, quote='"', escape='"')
+    else:
+        x = x.parquet(path) if kind == "parquet" else x.json(path, mode="DROPMALFORMED", primitivesAsString=True)
+    own = {}
+    for c in x.columns:
+        own.setdefault(key_name(c), c)
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    at = lambda f: quoted(own[key_name(f.name)]) if key_name(f.name) in own else F.lit(None)
+    return x.select(*[at(f).try_cast(f.dataType).alias(f.name) for f in want.fields])
 
 
 def read_documents(spark: SparkSession, pattern: str, schema: str) -> DataFrame:

@@ -11,6 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from pagelens.functions import noise
 from pagelens.operators import matching, regression, selection
 from pagelens.plans import libraries, matches, registry, trees
 from pagelens.sources import files
@@ -154,3 +155,28 @@ def test_eval_pages(spark):
     same = regression.compared((left, whole), (left, whole), "page").first()
     assert (same["leaf_iou"], same["leaf_pairs"], same["missing"], same["regression"]) == (1, 4, 0, False)
     assert regression.compared((left.limit(0), whole.limit(0)), (right, whole), "page").count() == 0
+
+
+@pytest.mark.parametrize("name,want", [("REPO ID", "repo_id"), ("repo-id", "repo_id"), ("﻿Repo_Id ", "repo_id"), ("__a..b__", "a_b"), ("é", "")])
+def test_key_name(name, want):
+    assert files.key_name(name) == want
+
+
+def test_read_any_normalises_keys(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Repo-ID,"Code  Size",other\nx/y,12,1\n"z, w",oops,2\n')
+    (tmp_path / "a.jsonl").write_text('{"repo id": "x/y", "CODE_SIZE": 12}\n{"repo id": "z, w", "CODE_SIZE": "oops"}\nbroken\n')
+    spark.createDataFrame([("x/y", 12), ("z, w", None)], "`Repo.Id` string, `code size` int").write.parquet(f"file://{tmp_path}/a.parquet")
+    for kind in ("csv", "jsonl", "parquet"):
+        out = files.read_any(spark, f"file://{tmp_path}/a.{kind}", "repo_id string, code_size long, absent string")
+        assert sorted(map(tuple, out.collect())) == [("x/y", 12, None), ("z, w", None, None)] and out.schema["code_size"].dataType.simpleString() == "bigint"
+
+
+@pytest.mark.parametrize("message,want", [
+    ("Access to fetch at 'https://api.x' from origin has been blocked by CORS policy", "cors"), ("SameSite cookie", "cookie"), ("set-cookie over Mixed Content", "mixed_content"),
+    ("Uncaught TypeError: x is not a function", None), ("mixed content", None), ("net::ERR_CERT_DATE_INVALID", "ssl"), ("ResizeObserver loop limit exceeded", "browser_intervention"),
+    ("Refused to load the script because of Content Security Policy", "csp"), ("App domain not registered: Invalid domain", "domain_lock"), ("auth/unauthorized-domain", "auth_sdk"), (None, None), ("", None),
+])
+def test_noise(spark, message, want):
+    """Golden rows: the first category of the table counts, letter case does too."""
+    df = spark.createDataFrame([(message,)], "m string")
+    assert df.select(noise.noise(df["m"]).alias("c")).first()["c"] == want
