@@ -124,7 +124,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     Whole texts are read, one row at a time, without a shuffle. A null text or one without a letter is
     und with score 0; so is every text if nothing was learned. rejected marks documents farther from
-    every centroid than REJECT of the training documents were. Ids may be null or repeat: each row has
+    every centroid than REJECT of the training documents were. Of equally near centroids the first language
+    in order counts. Ids may be null or repeat: each row has
     its own result. An empty table gives an empty result; other columns are not read.
     """
 

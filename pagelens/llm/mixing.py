@@ -131,15 +131,19 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
 
 def mixed(docs: DataFrame, **kw) -> DataFrame:
     """docs with each row as often as plan() says: none, once or twice; all columns stay, whatever their
-    names, as rows are carried whole. Rows without a word, which no count of words can weigh, stay once."""
-    p = plan(docs, **kw).groupBy("doc_id", "_h", "source").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    names, as rows are carried whole. Rows without a word (null and empty texts too), which no count of words
+    can weigh, stay once and are set aside, as any number of them may be equal. Of repeated rows with words
+    each is taken or not as plan() counts them. An empty table gives an empty result."""
+    p = plan(docs, **kw).where("size > 0").groupBy("doc_id", "_h", "source").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n"))
     x = docs.select(F.struct(*docs.columns).alias("row"))
+    worded = F.coalesce(F.col("row.text").rlike(WORD.rstrip("+")), F.lit(False))
+    bare, x = x.where(~worded).select("row"), x.where(worded)
     x = x.withColumns({"id": F.col("row.doc_id"), "h": F.coalesce(F.xxhash64("row.text"), F.lit(0)), "s": F.col("row.source").cast("string")})
     x = x.join(p, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("_h")) & F.col("s").eqNullSafe(F.col("source")))
-    one = x.where("n = 1").withColumn("k", F.when(F.col("size") > 0, F.col("c")).otherwise(1))
+    one = x.where("n = 1").withColumn("k", F.col("c"))
     same = W.partitionBy("id", "h", "s").orderBy("h")
     many = x.where("n > 1").withColumn("r", F.row_number().over(same))
     share = F.floor(F.col("c") / F.col("n")) + (F.col("r") <= F.col("c") % F.col("n")).cast("long")
-    many = many.withColumn("k", F.when(F.col("size") > 0, share).otherwise(1)).drop("r")
+    many = many.withColumn("k", share).drop("r")
     x = one.unionByName(many).where("k > 0")
-    return x.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k").cast("long")))).select("row.*")
+    return x.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k").cast("long")))).select("row").unionByName(bare).select("row.*")

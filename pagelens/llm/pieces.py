@@ -282,7 +282,7 @@ def encode(docs: DataFrame, path: str, alpha: float = 0.1, seed: int = 0) -> Dat
     """doc_id, n_pieces, ids and lossless of every row of docs; lossless: decoding the ids gives the text back.
 
     Each candidate of each chunk is dropped or not by a hash of seed, document, the chunk's place and the
-    candidate's number. With alpha 0 the ids are the model's usual ones. Whole texts are encoded, one row at a time, without a
+    candidate's number; alpha, the share dropped, counts in steps of 1/4096. With alpha 0 the ids are the model's usual ones. Whole texts are encoded, one row at a time, without a
     shuffle; one seed gives one result. Null and empty texts have no ids (null ones come back as empty and
     count as lossless). Ids of rows may be null (one key for all) or repeat: rows of equal id and text are cut alike. An empty
     table gives an empty result; other columns are not read. path: the model file, found on every executor.
@@ -308,7 +308,8 @@ def encode(docs: DataFrame, path: str, alpha: float = 0.1, seed: int = 0) -> Dat
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id and text of every row of doc_id and ids; null ids give an empty text."""
+    """doc_id and text of every row of doc_id and ids; null or empty ids give an empty text. Rows may repeat, and doc_id
+    may be null; an empty table gives an empty result."""
 
     def run(batches):
         model = _model(path, 0.0, 0)

@@ -158,7 +158,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, partitions: int | None = N
 
 
 def read(spark: SparkSession, path: str, doc_ids: list | None = None) -> DataFrame:
-    """doc_id, row and ids; with doc_ids, a filter that stripe statistics and Bloom filters can answer."""
+    """doc_id, row and ids; with doc_ids, a filter that stripe statistics and Bloom filters can answer
+    (a null in it finds nothing). Rows that share an id all come; null ids come only without a filter."""
     rows = spark.read.orc(path)
     return rows.where(F.col("doc_id").isin(doc_ids)) if doc_ids is not None else rows
 
@@ -175,7 +176,8 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files; start: ids of all before it.
 
     Stripes are read in parallel; ids are summed within each file and only one row per file is gathered.
-    An empty table gives an empty result.
+    Rows that share an id, or have none, each have their own start. Texts without a token have the end id
+    alone. An empty table gives an empty result.
     """
     rows = read(spark, path)
     kind = rows.schema["doc_id"].dataType.simpleString()

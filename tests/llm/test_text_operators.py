@@ -645,14 +645,38 @@ def test_pipeline_odd(spark, rows):
 
 
 def test_pipeline(spark):
+    """Every stage's rows against its operator or brute force, on what the stage before left."""
     import corpus_pipeline as c
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    n = []
+    labels, out = spark.read.parquet(f"{SMALL}/labels.parquet"), {}
+    n = [docs.count()]
     for name, stage in c.STAGES:
-        out = stage(spark, docs, SMALL)
+        result = stage(spark, docs, SMALL)
         if name != "pieces":
-            assert sorted(out.dtypes) == sorted(docs.dtypes), name
-        docs = spark.createDataFrame(out.toPandas(), out.schema)
-        n.append(docs.count())
-    assert 150 <= n[0] <= 200 and n[1] == n[0] and n[2] <= n[1] and docs.where("lossless").count() == n[-1] > 0
+            assert sorted(result.dtypes) == sorted(docs.dtypes), name
+        before = {r["doc_id"]: r["text"] for r in docs.orderBy("doc_id").collect()}
+        docs = spark.createDataFrame(result.toPandas(), result.schema)
+        rows = docs.collect()
+        ids = Counter(r["doc_id"] for r in rows)
+        n.append(len(rows))
+        if name == "toxicity":
+            g = toxicity.fit(toxicity.labelled(spark.read.parquet(f"{SMALL}/documents.parquet"), labels, ~queries.held_out(5, 0)))
+            assert set(ids) == {d for d, t in before.items() if g.score(g.total(t or "", {})) < 0.5} and max(ids.values()) == 1
+        if name == "line_dedup":
+            gone = brute_lines(list(before.items()))
+            want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]) for d, t in before.items()}
+            assert {r["doc_id"]: r["text"] for r in rows} == want and all(r["n_chars"] == len(r["text"]) for r in rows)
+        if name == "minhash":
+            sets = {d: shingles(t) for d, t in before.items()}
+            links = [(a, b) for a, b in combinations(sorted(sets), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+            assert set(ids) == {d for d, top in groups(links, sets).items() if d == top} and max(ids.values()) == 1
+        if name == "mixing":
+            copies = {r["doc_id"]: r["copies"] if r["size"] else 1 for r in mixing.plan(out["minhash"]).collect()}
+            assert ids == {d: k for d, k in copies.items() if k}
+        if name == "pieces":
+            assert all(r["lossless"] and r["n_pieces"] == len(r["ids"]) for r in rows)
+            model = pieces.Pieces(queries.tokenizer_file("piece_bpe_32k.model"), 0.1, 0)
+            assert all(model.decode(r["ids"] or []) == (before[r["doc_id"]] or "") for r in rows)
+        out[name] = docs
+    assert 150 <= n[1] <= n[0] == 200 and n[2] == n[1] and 0 < n[3] <= n[2] and n[5] == n[4] > 0
