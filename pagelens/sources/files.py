@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 from pyspark.sql.types import StructType
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A headed CSV with every value a string; cells may be quoted, hold line breaks and be of any length."""
+def read_csv(spark: SparkSession, path: str, columns: list[str], line_breaks: bool = True) -> DataFrame:
+    """A headed CSV with every value a string; cells may be quoted, hold line breaks and be of any length. A file is one
+    task's, as only its start tells where a row begins; where no cell holds a line break, line_breaks=False
+    lets large files be split."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', maxCharsPerColumn=-1)
+    return spark.read.schema(schema).csv(path, header=True, multiLine=line_breaks, quote='"', escape='"', maxCharsPerColumn=-1)
 
 
 def read_ranked(spark: SparkSession, path: str, top: int) -> DataFrame:

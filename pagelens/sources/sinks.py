@@ -19,9 +19,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}"
 
 
+#: Rows of a CSV file at most: cells may hold line breaks, so a file is read by one task.
+FILE_ROWS = 1_000_000
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str], append: bool = False) -> None:
-    """The named columns as headed CSV, quoted so that any text comes back; others are left out."""
-    out = df.select(*columns).write.mode("append" if append else "errorifexists")
+    """The named columns as headed CSV in files of FILE_ROWS rows at most, quoted so that any text comes back; other
+    columns are left out."""
+    out = df.select(*columns).write.mode("append" if append else "errorifexists").option("maxRecordsPerFile", FILE_ROWS)
     out.csv(path, header=True, quote='"', escape='"', quoteAll=True, emptyValue="")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import noise
 from pagelens.operators import matching, regression, selection
 from pagelens.plans import libraries, matches, registry, trees
-from pagelens.sources import files
+from pagelens.sources import files, sinks
 
 SF = "/root/testdata/sf0.001"
 #: What checks a query that has no SQL: a test of this folder, by name.
@@ -180,3 +180,13 @@ def test_noise(spark, message, want):
     """Golden rows: the first category of the table counts, letter case does too."""
     df = spark.createDataFrame([(message,)], "m string")
     assert df.select(noise.noise(df["m"]).alias("c")).first()["c"] == want
+
+
+def test_csv_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE_ROWS", 30)
+    x = spark.range(100, numPartitions=1).select(F.col("id").cast("string").alias("k"), F.lit('a "b",\n c').alias("t"))
+    sinks.write_csv(x, f"file://{tmp_path}/t", ["k", "t"])
+    assert len([f for f in os.listdir(tmp_path / "t") if f.endswith(".csv")]) == 4
+    assert {(r["k"], r["t"]) for r in files.read_csv(spark, f"file://{tmp_path}/t", ["k", "t"]).collect()} == {(str(k), 'a "b",\n c') for k in range(100)}
+    sinks.write_csv(x.select("k"), f"file://{tmp_path}/u", ["k"])
+    assert files.read_csv(spark, f"file://{tmp_path}/u", ["k"], line_breaks=False).count() == 100
