@@ -34,20 +34,20 @@ def _cells(boxes: DataFrame, level: Column, margin: float = 0.0) -> list[Column]
     return [F.explode(F.flatten(F.transform(span("x", "w"), lambda x: F.transform(span("y", "h"), lambda y: F.struct(level.alias("level"), x.alias("cx"), y.alias("cy")))))).alias("cell")]
 
 
-def _meeting(df: DataFrame, page: str, key: str, box: str, margin: float, point: bool) -> DataFrame:
-    """g (a struct of page), big, small (structs of k and b): pairs of boxes of a page that meet in a square.
+def _meeting(df: DataFrame, page: str, key: str, box: str, margin: float, point: bool, tie: str | None = None) -> DataFrame:
+    """g (a struct of page), big, small (structs of k, b and t, which is tie): pairs of boxes of a page that meet in a square.
 
     A box lies in squares of a level not smaller than itself, four at most; smaller boxes look for it there,
     on the levels that the page has, all they cover or, if point is true, only their corner's. So the pairs
     that meet are near each other, and no page's boxes are paired as such. A pair comes once.
     """
-    x = df.where(F.col(box).isNotNull()).select(F.struct(F.col(page).alias("p")).alias("g"), F.col(key).alias("k"), F.col(box).alias("box"))
+    x = df.where(F.col(box).isNotNull()).select(F.struct(F.col(page).alias("p")).alias("g"), F.col(key).alias("k"), F.col(box).alias("box"), (F.col(tie) if tie else F.lit(0)).alias("t"))
     size = F.greatest(F.col("box")["w"], F.col("box")["h"]) + 2 * margin
     x = x.withColumn("level", F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(1.0)))), F.lit(0)).cast("int"))
     levels = x.groupBy("g").agg(F.collect_set("level").alias("levels"))  # a few dozen at most
-    whole = F.struct("k", F.col("box").alias("b"))
+    whole = F.struct("k", F.col("box").alias("b"), "t")
     big = x.select("g", whole.alias("big"), *_cells(x, F.col("level"), margin))
-    y = x.join(levels, "g").select("g", "k", "box", F.explode(F.filter("levels", lambda v: v >= F.col("level"))).alias("level"))
+    y = x.join(levels, "g").select("g", "k", "box", "t", F.explode(F.filter("levels", lambda v: v >= F.col("level"))).alias("level"))
     if point:
         side = F.pow(F.lit(2.0), F.col("level"))
         at = F.struct("level", F.floor(F.col("box")["x"] / side).alias("cx"), F.floor(F.col("box")["y"] / side).alias("cy"))
@@ -58,13 +58,13 @@ def _meeting(df: DataFrame, page: str, key: str, box: str, margin: float, point:
     return pairs.where((corner("x") == F.col("cell.cx")) & (corner("y") == F.col("cell.cy")))
 
 
-def not_contained(df: DataFrame, page: str, key: str, box: str, margin: float = 2.0) -> DataFrame:
-    """page and key of the boxes kept by descending area (the least key of equals first), each unless a box kept
-    before holds it up to a margin. Boxes without a size given (null) stay. Keys name the boxes of a page."""
-    pairs = _meeting(df, page, key, box, margin, True)
+def not_contained(df: DataFrame, page: str, key: str, box: str, margin: float = 2.0, tie: str | None = None) -> DataFrame:
+    """page and key of the boxes kept by descending area (of equals the least in column tie, if given, then the
+    least key first), each unless a box kept before holds it up to a margin. Boxes without a size given (null) stay. Keys name the boxes of a page."""
+    pairs = _meeting(df, page, key, box, margin, True, tie)
     d, e = F.col("big.b"), F.col("small.b")
     inside = (e["x"] >= d["x"] - margin) & (e["y"] >= d["y"] - margin) & (e["x"] + e["w"] <= d["x"] + d["w"] + margin) & (e["y"] + e["h"] <= d["y"] + d["h"] + margin)
-    place = lambda c: F.struct((-F.col(f"{c}.b")["w"] * F.col(f"{c}.b")["h"]).alias("s"), F.col(f"{c}.k").alias("k"))
+    place = lambda c: F.struct((-F.col(f"{c}.b")["w"] * F.col(f"{c}.b")["h"]).alias("s"), F.col(f"{c}.t").alias("t"), F.col(f"{c}.k").alias("k"))
     edges = pairs.where(inside & (place("big") < place("small"))).select(F.col("g.p").alias(page), F.col("big.k").alias("before"), F.col("small.k").alias("after"), place("small").alias("place"))
     return first_free(df.select(page, key), edges, page, key)
 

@@ -28,11 +28,12 @@ def stacked(nodes: DataFrame, page: str, width: float = 1000.0, line: float = 20
     return nodes.join(box, [page, "id"])
 
 
-def prepared(nodes: DataFrame, page: str) -> tuple[DataFrame, DataFrame]:
-    """What is compared of a version with boxes: its nodes without empty and dressing ones, and its sections."""
+def prepared(nodes: DataFrame, page: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """What is compared of a version with boxes: its nodes without empty and dressing ones, and its sections, those of
+    more than most leaves subdivided."""
     x, _ = written(without_dressing(without_empty(nodes.where("box.w > 0 AND box.h > 0"), page).drop("parent"), page))
     sizes = x.groupBy(page).agg(F.max(F.col("box.x") + F.col("box.w")).alias("page_w"), F.max(F.col("box.y") + F.col("box.h")).alias("page_h"))
-    return x, written(sections(x, sizes, page))[0]
+    return x, written(sections(x, sizes, page, most=most))[0]
 
 
 def section_pairs(left: DataFrame, right: DataFrame, page: str) -> DataFrame:

@@ -186,14 +186,16 @@ def rolled_up(groups: DataFrame, page: str, group: str, node: str) -> DataFrame:
     return held.where("held = n and d > own").select(page, group, "below")
 
 
-def sections(nodes: DataFrame, sizes: DataFrame, page: str, tallest: float = 2900.0) -> DataFrame:
+def sections(nodes: DataFrame, sizes: DataFrame, page: str, tallest: float = 2900.0, most: int | None = None) -> DataFrame:
     """page and id of each page's sections; sizes holds page, page_w and page_h.
 
     Nodes taller than tallest or nine tenths of the page are left out. The content's width is the commonest
     width (in tens, of those of 0.3 of the page and more; the page's own from 0.95 of it on). Sections are
     nodes that span 0.95 of it, and nodes of horizontal bands (20 pixels apart at most) that span it
     together; those inside a larger one go. Gaps between them are filled by the nodes inside, the topmost
-    and widest first, each unless its height lies within one taken before.
+    and widest first, each unless its height lies within one taken before. Of boxes of one size that hold each
+    other those of bands stay, the topmost first, then the first in the page. With most, sections of more
+    leaves give way to their children, see subdivided(); ids are paths then.
     """
     w, h, y = F.col("box.w"), F.col("box.h"), F.col("box.y")
     x = nodes.select(page, "id", "place", "box").join(sizes, page).where((h <= 0.9 * F.col("page_h")) & (h <= tallest))
@@ -210,8 +212,9 @@ def sections(nodes: DataFrame, sizes: DataFrame, page: str, tallest: float = 290
     left, right = F.col("box.x"), F.col("box.x") + w
     rest = rest.withColumn("new", F.greatest(F.lit(0.0), right - F.greatest(left, F.coalesce(F.max(right).over(across), left))))
     bands = rest.groupBy(page, "band").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("covered"), F.first("content").alias("of")).where("n > 1 and covered >= 0.95 * of")
-    chosen = rest.join(bands.select(page, "band"), [page, "band"], "left_semi").select(page, "place", "box").unionByName(x.where(wide).select(page, "place", "box"))
-    kept = not_contained(chosen, page, "place", "box")
+    first = lambda d, full: d.select(page, "place", "box", F.struct(F.lit(full).alias("full"), F.when(F.lit(full == 0), y).otherwise(0.0).alias("y")).alias("tie"))
+    chosen = first(rest.join(bands.select(page, "band"), [page, "band"], "left_semi"), 0).unionByName(first(x.where(wide), 1))
+    kept = not_contained(chosen, page, "place", "box", tie="tie")
     boxes = x.select(page, "place", "id", "box", "page_h").join(kept, [page, "place"], "left_semi")
     spans = merged_intervals(boxes.select(page, y.alias("low0"), (y + h).alias("high0")), page, "low0", "high0").select(page, "low", "high")
     order = W.partitionBy(page).orderBy("low")
@@ -222,4 +225,7 @@ def sections(nodes: DataFrame, sizes: DataFrame, page: str, tallest: float = 290
     one = F.struct(y.alias("y"), (-w).alias("w"), "place", "id", (y + h).alias("end"))
     fill = inside.groupBy(page).agg(F.array_sort(F.collect_set(one)).alias("all"))
     took = F.aggregate("all", F.slice("all", 1, 0), lambda done, e: F.when(F.exists(done, lambda d: (e["y"] >= d["y"]) & (e["end"] <= d["end"])), done).otherwise(F.array_append(done, e)))
-    return boxes.select(page, "id").unionByName(fill.select(page, F.explode(F.transform(took, lambda e: e["id"])).alias("id"))).distinct()
+    found = boxes.select(page, "id").unionByName(fill.select(page, F.explode(F.transform(took, lambda e: e["id"])).alias("id"))).distinct()
+    if most is None:
+        return found
+    return subdivided(nodes.join(x.select(page, "content").distinct(), page), found, page, F.col("content"), most)

@@ -72,3 +72,11 @@ def test_large_page(spark):
     x = spark.range(100_000, numPartitions=8).select(F.lit(1).alias("page"), F.col("id").alias("key"), F.struct(*[c.cast("double").alias(n) for c, n in ((F.col("id") % 400 * 8, "x"), (F.floor(F.col("id") / 400) * 8, "y"), (F.col("id") % 13, "w"), (F.col("id") % 11, "h"))]).alias("box"))
     assert boxes._meeting(x, "page", "key", "box", 0.0, False).count() < 3_000_000
     assert 30_000 < boxes.greedy_disjoint(x, "page", "key", "box").count() < 100_000
+
+
+def test_equal_boxes_by_tie(spark):
+    """Boxes of one area that hold each other: the least tie stays, then the least key."""
+    rows = [(1, 1, (0.0, 0.0, 10.0, 10.0), 5), (1, 2, (1.0, 1.0, 10.0, 10.0), 3), (1, 3, (1.0, 0.0, 10.0, 10.0), 3), (1, 4, (50.0, 0.0, 10.0, 10.0), 9)]
+    df = spark.createDataFrame(rows, f"page int, key int, box {BOX}, t int")
+    keys = lambda **kw: sorted(r["key"] for r in boxes.not_contained(df, "page", "key", "box", **kw).collect())
+    assert keys() == [1, 4] and keys(tie="t") == [2, 4]

@@ -135,3 +135,14 @@ def test_sections(spark):
     sizes = spark.createDataFrame([(1, 1000.0, 3000.0), (2, 10.0, 10.0)], "page int, page_w double, page_h double")
     assert {r["id"] for r in trees.sections(x, sizes, "page").collect()} == {"n1", "n3", "n4", "n5", "n7", "n8"}
     assert trees.sections(x.where("page = 0"), sizes, "page").count() == 0
+
+
+def test_sections_of_few_leaves(spark):
+    """Sections in one call with their subdivision: a wide section of four leaves gives way, a narrow-children one stays."""
+    box = lambda y, h, w=1000.0: (0.0, float(y), w, float(h))
+    rows = [("b_1", box(0, 400)), *[(f"b_1__p_{k}", box(100 * k - 100, 100)) for k in (1, 2, 3, 4)], ("b_2", box(400, 400)), *[(f"b_2__p_{k}", box(300 + 100 * k, 100, 500.0)) for k in (1, 2, 3, 4)]]
+    x = spark.createDataFrame([(1, i, "p", k, "", False, b) for k, (i, b) in enumerate(rows)], NODE)
+    sizes = spark.createDataFrame([(1, 1000.0, 2000.0)], "page int, page_w double, page_h double")
+    assert {r["id"] for r in trees.sections(x, sizes, "page").collect()} == {"b_1", "b_2"}
+    assert {r["id"] for r in trees.sections(x, sizes, "page", most=3).collect()} == {f"b_1__p_{k}" for k in (1, 2, 3, 4)} | {"b_2"}
+    assert {r["id"] for r in trees.sections(x, sizes, "page", most=4).collect()} == {"b_1", "b_2"}
