@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .boxes import greedy_pairs
-from .rounds import written
+from .rounds import folded, written
 from .trees import ancestors
 
 
@@ -55,19 +55,22 @@ def merged_groups(pairs: DataFrame, page: str) -> DataFrame:
     """
     kind = pairs.schema[page].dataType.simpleString()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list) -> list[tuple]:
         groups: list[tuple[set, set]] = []
-        for r in pdf.sort_values("place").itertuples():
-            lefts, rights = set(r.lefts), set(r.rights)
-            home = next((g for g in groups if g[0] & lefts), None) or next((g for g in groups if g[1] & rights), None)
-            if home:
-                home[0].update(lefts)
-                home[1].update(rights)
-            else:
-                groups.append((lefts, rights))
-        return pd.DataFrame({page: pdf[page].iloc[0], "grp": range(len(groups)), "lefts": [sorted(g[0]) for g in groups], "rights": [sorted(g[1]) for g in groups]})
-
-    return pairs.select(page, "place", "lefts", "rights").groupBy(page).applyInPandas(fold, f"{page} {kind}, grp int, lefts array<string>, rights array<string>")
+        first = {}, {}  # of an item on the left, on the right: the first group that holds it
+        for r in rows:
+            pair = set(r.lefts), set(r.rights)
+            home = next((min(found) for found in ([own[i] for i in items if i in own] for own, items in zip(first, pair)) if found), None)
+            if home is None:
+                home = len(groups)
+                groups.append((set(), set()))
+            for own, held, items in zip(first, groups[home], pair):
+                held |= items
+                for i in items:
+                    own[i] = min(own.get(i, home), home)
+        return [(getattr(rows[0], page), k, sorted(a), sorted(b)) for k, (a, b) in enumerate(groups)]
+
+    return folded(pairs.select(page, "place", "lefts", "rights"), page, ["place"], fold, f"{page} {kind}, grp int, lefts array<string>, rights array<string>")
 
 
 def given_or_below(given: DataFrame, nodes: DataFrame, page: str) -> DataFrame:
