@@ -79,7 +79,7 @@ FRAMEWORKS = {
     ],
 }
 
-# What bundlers leave in a page; letter case counts, and only the first 50000 characters are searched.
+# What bundlers leave in a page; letter case counts; bundler_mark() searches the first 50000 characters unless told otherwise.
 BUNDLER_MARKS = [
     "__webpack_require__", "webpackJsonp", "__webpack_modules__", "/_next/static", "__NEXT_DATA__", "/_nuxt/", "/__vite__",
     "vite/dist/client", "/_app/immutable", "__sveltekit", "/gatsby-", "___gatsby", "__remixContext", "parcelRequire",
@@ -127,9 +127,9 @@ def with_frameworks(df: DataFrame, html: str, script: str | None = None) -> Data
     return x.withColumns({group: detected(F.col("_both"), table, may) for group, table in FRAMEWORKS.items()}).drop("_both", "_hits")
 
 
-def bundler_mark(html: Column) -> Column:
-    """The first mark of a bundler; null if there is none."""
-    found = F.regexp_extract(F.substring(html, 1, MARKS_WITHIN), "|".join(BUNDLER_MARKS), 0)
+def bundler_mark(html: Column, within: int | None = MARKS_WITHIN) -> Column:
+    """The first mark of a bundler, in the whole text if within is None; null if there is none."""
+    found = F.regexp_extract(html if within is None else F.substring(html, 1, within), "|".join(BUNDLER_MARKS), 0)
     return F.nullif(found, F.lit(""))
 
 
