@@ -4,18 +4,25 @@ by joins on the beginnings of ids."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.htmltree import parse
 from .boxes import ancestors, depth, not_contained
 from .ordered import merged_intervals
+from .rounds import folded
 
 # Tags of images, and tags that only dress text.
 IMAGES = frozenset("img svg canvas picture video".split())
 DRESSING = "strong a sup sub span b i em u s del ins small big mark".split()
 HIDDEN = frozenset("script style noscript template".split())
 
+#: Characters of the pages whose elements are handed on together.
+TOGETHER = 100_000
 NODE = "id string, tag string, place int, depth int, text string, image boolean"
 
 
@@ -55,15 +62,27 @@ def build(pages: DataFrame, page: str, html: str) -> DataFrame:
     goes on in the next. A page is parsed on its own, without a shuffle. Null and empty pages have no nodes.
     """
 
+    kind = pages.schema[page].dataType.simpleString()
+    schema = f"{page} {kind}, {NODE}"
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
+
     def run(batches):
-        for pdf in batches:
-            for key, source in zip(pdf[page], pdf[html]):
-                if source:
-                    rows = [(key, *node) for node in _nodes(source)]
-                    yield pd.DataFrame(rows, columns=[page, "id", "tag", "place", "depth", "text", "image"])
+        rows, held = [], 0
+        for batch in batches:
+            for key, source in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if source := source.as_py():
+                    rows += [(key, *node) for node in _nodes(source)]
+                    held += len(source)
+                if held >= TOGETHER:  # small pages share a batch
+                    yield made(rows)
+                    rows, held = [], 0
+        if rows:
+            yield made(rows)
 
-    kind = pages.schema[page].dataType.simpleString()
-    return pages.select(page, html).mapInPandas(run, f"{page} {kind}, {NODE}")
+    return pages.select(page, html).mapInArrow(run, schema)
 
 
 def parent(id: Column) -> Column:
@@ -110,10 +129,10 @@ def without_single(nodes: DataFrame, page: str) -> DataFrame:
     an image in one without text. A chain collapses from the top, so a page is folded as one group."""
     kind = nodes.schema[page].dataType.simpleString()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = {r.id: r for r in pdf.sort_values("depth").itertuples()}
+    def fold(items: list) -> list[tuple]:
+        rows = {r.id: r for r in items}
         above = {k: k.rpartition("__")[0] for k in rows}
-        children = pd.Series(list(above.values())).value_counts()
+        children = Counter(above.values())
         text, image, into = {k: r.text for k, r in rows.items()}, {k: r.image for k, r in rows.items()}, {}
         for k, r in rows.items():
             p = into.get(above[k])
@@ -122,11 +141,11 @@ def without_single(nodes: DataFrame, page: str) -> DataFrame:
                 into[k] = p
                 if r.image:
                     image[p], text[p] = True, text[p] + r.text
-        stay = [k for k in rows if into[k] == k]
-        return pd.DataFrame({page: pdf[page].iloc[0], "id": stay, "parent": [into.get(above[k]) for k in stay], "text": [text[k] for k in stay], "image": [image[k] for k in stay]})
+        return [(getattr(items[0], page), k, into.get(above[k]), text[k], image[k]) for k in rows if into[k] == k]
 
-    x = nodes.select(page, "id", depth(F.col("id")).alias("depth"), "text", "image", (F.col("box.w") * F.col("box.h")).alias("area"))
-    return x.groupBy(page).applyInPandas(fold, f"{page} {kind}, id string, parent string, text string, image boolean")
+    area = F.coalesce((F.col("box.w") * F.col("box.h")).cast("double"), F.lit(float("nan")))
+    x = nodes.select(page, "id", depth(F.col("id")).alias("depth"), "text", "image", area.alias("area"))
+    return folded(x, page, ["depth"], fold, f"{page} {kind}, id string, parent string, text string, image boolean")
 
 
 def merged_images(nodes: DataFrame, page: str) -> DataFrame:
