@@ -6,6 +6,7 @@ import math
 from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
@@ -15,12 +16,44 @@ from .rounds import folded, written
 from .trees import ancestors
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Ratcliff and Obershelp's similarity of two texts, 0 to 1; no built-in function has it, so batches go to difflib."""
+#: Letters are counted by their code point modulo so many.
+LETTERS = 64
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often each class of letters occurs in each text."""
+    return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS, minlength=LETTERS) for t in texts]).astype(np.int32)
+
+
+def _at_most(x: list[str], y: list[str]) -> np.ndarray:
+    """A bound of the similarity of texts, pair by pair: what letters they share, in any order."""
+    own = {t: k for k, t in enumerate(dict.fromkeys([*x, *y]))}
+    counts, a, b = _letters(list(own)), np.array([own[t] for t in x]), np.array([own[t] for t in y])
+    size = counts.sum(1)
+    total = size[a] + size[b]
+    return np.where(total > 0, 2.0 * np.minimum(counts[a], counts[b]).sum(1) / np.maximum(total, 1), 1.0)
+
+
+def ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Ratcliff and Obershelp's similarity of two texts, 0 to 1; no built-in function has it, so batches go to difflib.
+
+    Null where the letters alone tell that it is below least. Equal texts have 1, and of repeated pairs one is
+    compared.
+    """
 
     @pandas_udf("double")
     def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)])
+        out, known = [None] * len(x), {}
+        there = np.flatnonzero((x.notna() & y.notna()).to_numpy())
+        for k in range(0, len(there), 1024):
+            part = there[k : k + 1024]
+            p, q = x.iloc[part].tolist(), y.iloc[part].tolist()
+            for i, t, u, most in zip(part.tolist(), p, q, _at_most(p, q).tolist() if least else [1.0] * len(p)):
+                if most >= least:
+                    if (t, u) not in known:
+                        known[t, u] = 1.0 if t == u else SequenceMatcher(None, t, u).ratio()
+                    out[i] = known[t, u]
+        return pd.Series(out, dtype=object)
 
     return of(a, b)
 
@@ -40,7 +73,7 @@ def scored_pairs(left: DataFrame, right: DataFrame, page: str, least: float = 0.
     b = right.select(page, F.col("id").alias("r"), squeezed(F.col("text")).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
     x = a.join(b, page)
     n, m = F.length("a"), F.length("b")
-    x = x.where(2 * F.least(n, m) >= least * (n + m)).withColumn("alike", ratio(F.col("a"), F.col("b"))).where(F.col("alike") >= least)
+    x = x.where(2 * F.least(n, m) >= least * (n + m)).withColumn("alike", ratio(F.col("a"), F.col("b"), least)).where(F.col("alike") >= least)
     near = 1 - F.least(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) / 1000, F.lit(1.0))
     score = F.when(F.col("a") == "", F.col("alike") * 0.2 + near * 0.8).otherwise(F.col("alike") * 0.8 + near * 0.2)
     return x.select(page, "l", "r", score.alias("score"))
@@ -97,9 +130,9 @@ def _near(a: tuple[str, str], b: tuple[str, str]) -> Column:
     return 1 - F.least(F.hypot(F.col(a[0]) - F.col(b[0]), F.col(a[1]) - F.col(b[1])) / 1000, F.lit(1.0))
 
 
-def _pairs_of_neighbours(pdf: pd.DataFrame) -> list[tuple]:
-    """Rows of one page two by two: first those of one parent, then those that stand close below or beside each other."""
-    rows, used, out = list(pdf.sort_values(["top", "left", "id"]).itertuples()), set(), []
+def _pairs_of_neighbours(rows: list) -> list[tuple]:
+    """Rows of one page, by top, left and id, two by two: first those of one parent, then those that stand close below or beside each other."""
+    used, out = set(), []
 
     def close(a, b) -> bool:
         below = b.top - (a.top + a.h) < 2 and abs(a.left - b.left) < 10
@@ -126,10 +159,10 @@ def held_texts(left: DataFrame, right: DataFrame, page: str) -> DataFrame:
     share = F.least(F.length("lt"), F.length("rt")) / F.greatest(F.length("lt"), F.length("rt"))
     c = c.withColumn("score", share * 0.7 + _near(("ax", "ay"), ("bx", "by")) * 0.3)
 
-    def consume(pdf: pd.DataFrame) -> pd.DataFrame:
+    def consume(found: list) -> list[tuple]:
         groups: dict[tuple[str, str], list] = {}  # (side, holder): what it holds, with places
         text_left, held = {}, {"l": set(), "r": set()}
-        for r in pdf.sort_values(["score", "l", "r"], ascending=[False, True, True]).itertuples():
+        for r in found:
             side, other = ("l", "r") if r.rt in r.lt else ("r", "l")
             holder, part = getattr(r, side), getattr(r, other)
             if part in held[other] or (holder in held[side] and (side, holder) not in groups):
@@ -141,10 +174,11 @@ def held_texts(left: DataFrame, right: DataFrame, page: str) -> DataFrame:
                 held[side].add(holder)
                 text_left[side, holder] = whole.replace(piece, "", 1).strip()
         rows = [([k], [p for _, p in sorted(v, key=lambda e: (e[0]["top"], e[0]["left"], e[1]))]) for (_, k), v in groups.items()]
-        sides = [s for s, _ in groups]
-        return pd.DataFrame({page: pdf[page].iloc[0], "lefts": [x if s == "l" else y for s, (x, y) in zip(sides, rows)], "rights": [y if s == "l" else x for s, (x, y) in zip(sides, rows)]})
+        at = getattr(found[0], page)
+        return [(at, x, y) if s == "l" else (at, y, x) for (s, _), (x, y) in zip(groups, rows)]
 
-    return c.select(page, "l", "r", "lt", "rt", "score", "aat", "bat").groupBy(page).applyInPandas(consume, f"{page} {kind}, lefts array<{item}>, rights array<{item}>")
+    c = c.select(page, "l", "r", "lt", "rt", F.coalesce("score", F.lit(float("-inf"))).alias("score"), "aat", "bat")
+    return folded(c, page, [F.desc("score"), "l", "r"], consume, f"{page} {kind}, lefts array<{item}>, rights array<{item}>")
 
 
 def text_matches(left: DataFrame, right: DataFrame, page: str, least: float = 0.9) -> DataFrame:
@@ -158,21 +192,21 @@ def text_matches(left: DataFrame, right: DataFrame, page: str, least: float = 0.
     middle = lambda d: d.withColumns({"x": F.col("left") + F.col("w") / 2, "y": F.col("top") + F.col("h") / 2})
     a, b = middle(left), middle(right)
     kind = left.schema[page].dataType.simpleString()
-    one = greedy_pairs(scored_pairs(a, b, page, least), page, "l", "r", "score")
+    one, _ = written(greedy_pairs(scored_pairs(a, b, page, least), page, "l", "r", "score"))
     rest = lambda d, gone, c: d.join(gone.select(page, F.col(c).alias("id")), [page, "id"], "left_anti")
     a2, b2 = rest(a, one, "l"), rest(b, one, "r")
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _pairs_of_neighbours(pdf)
+    def pair(rows: list) -> list[tuple]:
         box = lambda g, h: ((min(g.left, h.left) + max(g.left + g.w, h.left + h.w)) / 2, (min(g.top, h.top) + max(g.top + g.h, h.top + h.h)) / 2)
-        return pd.DataFrame([(pdf[page].iloc[0], g.id, h.id, g.text + h.text, *box(g, h)) for g, h in found], columns=[page, "r1", "r2", "both", "bx", "by"])
+        return [(getattr(rows[0], page), g.id, h.id, g.text + h.text, *box(g, h)) for g, h in _pairs_of_neighbours(rows)]
 
-    two = b2.select(page, "id", "parent", "text", "left", "top", "w", "h").groupBy(page).applyInPandas(pair, f"{page} {kind}, r1 string, r2 string, both string, bx double, by double")
+    sides = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in ("left", "top", "w", "h")]  # what is not known is close to nothing
+    two = folded(b2.select(page, "id", "parent", F.coalesce("text", F.lit("")).alias("text"), *sides), page, ["top", "left", "id"], pair, f"{page} {kind}, r1 string, r2 string, both string, bx double, by double")
     c = a2.select(page, F.col("id").alias("l"), "text", F.col("x").alias("ax"), F.col("y").alias("ay")).join(two, page)
     n, m = F.length("text"), F.length("both")
-    c = c.where(2 * F.least(n, m) >= least * (n + m)).withColumn("alike", ratio(F.col("text"), F.col("both"))).where(F.col("alike") >= least)
+    c = c.where(2 * F.least(n, m) >= least * (n + m)).withColumn("alike", ratio(F.col("text"), F.col("both"), least)).where(F.col("alike") >= least)
     c = c.select(page, "l", F.concat_ws("\n", "r1", "r2").alias("r"), (F.col("alike") * 0.8 + _near(("ax", "ay"), ("bx", "by")) * 0.2).alias("score"))
-    two = greedy_pairs(c, page, "l", "r", "score").withColumn("rights", F.split("r", "\n"))
+    two = written(greedy_pairs(c, page, "l", "r", "score"))[0].withColumn("rights", F.split("r", "\n"))
     a3, b3 = rest(a2, two, "l"), rest(b2, two.select(page, F.explode("rights").alias("r")), "r")
     three = held_texts(a3, b3, page)
     out = one.select(page, F.lit(1).alias("step"), F.array("l").alias("lefts"), F.array("r").alias("rights"))
@@ -271,7 +305,7 @@ def image_matches(left: DataFrame, right: DataFrame, anchors: DataFrame, page: s
     kind = left.schema[page].dataType.simpleString()
     worded = lambda d: d.where(squeezed(F.col("text")) != "")
     rest = lambda d, gone, c: d.join(gone.select(page, F.explode(c).alias("id")), [page, "id"], "left_anti")
-    steps = [greedy_pairs(scored_pairs(worded(a), worded(b), page, least), page, "l", "r", "score").select(page, F.array("l").alias("lefts"), F.array("r").alias("rights"))]
+    steps = [written(greedy_pairs(scored_pairs(worded(a), worded(b), page, least), page, "l", "r", "score"))[0].select(page, F.array("l").alias("lefts"), F.array("r").alias("rights"))]
     one = steps[0].select(page, F.col("lefts")[0].alias("l"), F.col("rights")[0].alias("r"))
     a, b = rest(a, steps[0], "lefts"), rest(b, steps[0], "rights")
     steps.append(written(held_texts(a, b, page))[0])
@@ -281,12 +315,11 @@ def image_matches(left: DataFrame, right: DataFrame, anchors: DataFrame, page: s
     known = one.join(where(left, "l", "x", "y"), [page, "l"]).join(where(right, "r", "x2", "y2"), [page, "r"]).withColumn("place", F.col("l"))
     rows = spot(anchors, "anchor", 0).unionByName(spot(known, "anchor", 1)).unionByName(spot(a, "left", 2)).unionByName(spot(b, "right", 3))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = _projected(list(pdf.sort_values(["turn", "place"]).itertuples()), within)
-        return pd.DataFrame({page: pdf[page].iloc[0], "l": [p[0] for p in pairs], "r": [p[1] for p in pairs]})
+    def fold(items: list) -> list[tuple]:
+        return [(getattr(items[0], page), *pair) for pair in _projected(items, within)]
 
     number = left.schema["place"].dataType.simpleString()
-    three, _ = written(rows.groupBy(page).applyInPandas(fold, f"{page} {kind}, l {number}, r {number}"))
+    three, _ = written(folded(rows, page, ["turn", "place"], fold, f"{page} {kind}, l {number}, r {number}"))
     steps.append(three.select(page, F.array("l").alias("lefts"), F.array("r").alias("rights")))
     bare = lambda d, gone, c: rest(d, gone, c).join(anchors.select(page), page, "left_anti").select(page, F.col("id").alias(c[0]), F.col("x").alias(f"{c[0]}x"), F.col("y").alias(f"{c[0]}y"))
     far = bare(a, steps[2], "lefts").join(bare(b, steps[2], "rights"), page)
