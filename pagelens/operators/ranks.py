@@ -7,6 +7,17 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from ..sources.sinks import scratch
 
 
+#: Rows of a piece about: a task's share of a table, however large that is.
+PIECE = 500_000
+
+
+def in_pieces(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many partitions as its rows ask for, so that a window over keys sorts a bounded share.
+    Rows are counted first; for tables as they are read that is their metadata."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PIECE))
+    return df.repartition(n, *keys)
+
+
 def placed(df: DataFrame, group: list[str], order: list, place: str = "place") -> DataFrame:
     """df with the place of each row in its group, from 0, and the group's size as n.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import aggregates as a, ordered as o
+from ..operators import aggregates as a, ordered as o, ranks
 from ..sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -157,7 +157,7 @@ def st_session_gap(spark, sf):
  s AS (SELECT *, sum(n) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS i FROM f) SELECT l_suppkey, min(lo) AS low, max(hi) AS high, count(*) AS n FROM s GROUP BY l_suppkey, i""")
 def win_interval_merge(spark, sf):
     x = table(spark, sf, "lineitem").select("l_suppkey", F.col("l_extendedprice").alias("low"), (F.col("l_extendedprice") + F.col("l_quantity")).alias("high"))
-    return o.merged_intervals(x, "l_suppkey", "low", "high")
+    return o.merged_intervals(ranks.in_pieces(x, "l_suppkey"), "l_suppkey", "low", "high")
 
 
 POINTS = "SELECT l_suppkey AS id, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS x, CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) AS y, CAST(sum(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) AS z FROM lineitem GROUP BY 1"
