@@ -353,9 +353,13 @@ def _binned(spark, sf):
     return table(spark, sf, "documents").withColumn("place", place)
 
 
+#: Documents of a language at most, see QUOTA.
+QUOTA_MOST = 60
+
+
 def _quotas(spark, sf):
     sizes = _binned(spark, sf).groupBy("lang", "place").agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.groupBy(F.col("lang").alias("of")).agg(F.least(F.lit(60), F.sum("n")).alias("quota"))
+    total = sizes.groupBy(F.col("lang").alias("of")).agg(F.least(F.lit(QUOTA_MOST), F.sum("n")).alias("quota"))
     sizes = sizes.join(total, F.col("lang").eqNullSafe(F.col("of"))).withColumn("bin", F.concat(F.lit("B"), (F.col("place") + 2).cast("string")))
     return s.quotas(sizes, "lang", "bin", F.col("place"), F.col("n"), F.col("quota"), {0: 60, 1: 72, 2: 92})
 
@@ -365,10 +369,17 @@ def smp_greedy_diversity(spark, sf):
     """The quotas of smp_quota_alloc filled in turn by the document that adds most words not yet covered; a
     bin is narrowed to twice its quota by size first."""
     q = _quotas(spark, sf)
-    x = _binned(spark, sf).select("doc_id", "lang", "n_chars", F.concat(F.lit("B"), (F.col("place") + 2).cast("string")).alias("bin"), F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+")).alias("words"))
-    x = x.join(q.withColumnRenamed("lang", "l").withColumnRenamed("bin", "b"), F.col("lang").eqNullSafe(F.col("l")) & (F.col("bin") == F.col("b"))).drop("l", "b")
+    bin = F.concat(F.lit("B"), (F.col("place") + 2).cast("string")).alias("bin")
+    q = q.withColumnRenamed("lang", "l").withColumnRenamed("bin", "b")
+    # sizes alone are ranked, and what no quota reaches goes before the shuffle; texts are read for the narrowed bins only
+    x = _binned(spark, sf).select("doc_id", "lang", "n_chars", bin)
     narrow = F.row_number().over(W.partitionBy("lang", "bin").orderBy(F.desc("n_chars"), "doc_id"))
-    x = x.withColumn("r", narrow).where(F.col("r") <= 2 * F.col("take"))
+    x = x.withColumn("r", narrow).where(F.col("r") <= 2 * QUOTA_MOST)
+    x = x.join(q, F.col("lang").eqNullSafe(F.col("l")) & (F.col("bin") == F.col("b"))).where(F.col("r") <= 2 * F.col("take"))
+    x = x.select(F.col("doc_id").alias("d"), "lang", "bin", "take")
+    texts = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("own"), "text")
+    x = texts.join(F.broadcast(x), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("own").eqNullSafe(F.col("lang")))  # twice a quota for each bin
+    x = x.select("doc_id", "lang", "bin", "take", F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+")).alias("words"))
     return s.most_covering(x, ["lang", "bin"], "doc_id", "words", "take")
 
 
