@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..operators import regression as r, trees as t
+from ..operators.rounds import written
 from ..sources.tables import table
 from .boxes import TREE, _boxes, _tree
 from .register import registrar
@@ -109,5 +110,5 @@ def versions(spark, sf):
 @query()
 def eval_pages(spark, sf):
     """Both versions of every page from its source to the verdict: trees, boxes, sections, matches, overlaps."""
-    a, b = (r.prepared(r.stacked(t.build(v, "page_id", "html"), "page_id"), "page_id") for v in versions(spark, sf))
+    a, b = (r.prepared(r.stacked(written(t.build(v, "page_id", "html"))[0], "page_id"), "page_id") for v in versions(spark, sf))
     return r.compared(a, b, "page_id")
