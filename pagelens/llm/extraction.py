@@ -9,14 +9,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.htmltree import BLOCKS, IN_TABLE, TABLE_PARTS, Element, parse
+from ..functions.htmltree import BLOCKS, HEADINGS, IN_TABLE, TABLE_PARTS, Element, parse
 from ._common import union_all, written
-from ._words import mix, word_hashes, _AT
+from ._words import mix, texts, word_hashes, _AT
 
 #: Words of a repeated substring at least, and share of a block's words that such substrings must cover.
 LEAST, COVERED = 6, 0.5
 #: Words of the pages whose suffixes are sorted together.
 ARRAY = 1 << 20
+#: Runs of articles in a batch.
+ROWS = 1 << 15
 #: A page of which everything repeats keeps its blocks of so many words outside links.
 PROSE = 20
 
@@ -38,7 +40,7 @@ _BREAKS = BLOCKS | IN_TABLE | TABLE_PARTS | frozenset("body html legend optgroup
 #: What the tree says of a block: around the main text, within it, or nothing that settles it.
 AWAY, WITHIN, OPEN = 0, 1, 2
 BLOCK = "array<struct<text:string,role:int,free:int>>"
-PARSED = f"page_id {{}}, url {{}}, host string, key binary, text string, blocks {BLOCK}"
+PARSED = f"page_id {{}}, url {{}}, host string, key binary, open boolean, blocks {BLOCK}"
 
 
 def _marked(e: Element, attrs: dict, within: bool) -> bool:
@@ -82,8 +84,8 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
         parts.clear()
         free.clear()
 
-    # an entry opens an element, shows a text or ends a block; state: marked, region, link
-    stack = [(top, False, "", False)]
+    # an entry opens an element, shows a text or ends a block; state: marked, region, link (-1: in a heading of an article)
+    stack = [(top, False, "", 0)]
     while stack:
         item, marked, region, link = stack.pop()
         if item is None:
@@ -95,7 +97,7 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
                 flush()
                 now[0] = state
             parts.append(item)
-            free.append(" " if link else item)
+            free.append(" " if link > 0 else item)
             continue
         if item.tag in SILENT:
             continue
@@ -109,7 +111,9 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
             if marked and item.tag not in _BREAKS:  # within a block, which goes on
                 continue
         region = "article" if "article" in (region, mine) else region or mine
-        link = link or item.tag == "a"
+        if region == "article" and item.tag in HEADINGS:
+            link = -1
+        link = link or int(item.tag == "a")
         breaks = item.tag in _BREAKS
         if breaks:
             flush()
@@ -124,7 +128,7 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
         if marked or (inner and not region):
             return AWAY
         if region == "article":
-            return WITHIN
+            return WITHIN if free else OPEN  # links alone are text of it unless they repeat
         return OPEN if free or region else AWAY  # a block of links alone, outside any region, is a menu
 
     return [(text, role(state, free), free) for text, state, free in out]
@@ -133,17 +137,19 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
 def _parsed(batches):
     for batch in batches:
         ids, urls, hosts, pages = (batch.column(k) for k in range(4))
-        rows = {"host": [], "key": [], "text": [], "blocks": []}
+        keys, opens, shown, roles, frees, ends = [], [], [], [], [], [0]
         for host, html in zip(hosts.to_pylist(), pages.to_pylist()):
             found = blocks(html) if html else []
-            settled = all(r != OPEN for _, r, _ in found)
-            rows["host"].append(host or "")
-            rows["key"].append(hashlib.blake2b(f"{host}\0{html}".encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            rows["text"].append("\n".join(t for t, r, _ in found if r == WITHIN) if settled else None)
-            rows["blocks"].append([{"text": t, "role": r, "free": f} for t, r, f in found if not (settled and r == WITHIN)])
-        kind = pa.list_(pa.struct([("text", pa.string()), ("role", pa.int32()), ("free", pa.int32())]))
-        arrays = [pa.array(rows[c], t) for c, t in zip(rows, (pa.string(), pa.binary(), pa.string(), kind))]
-        yield pa.RecordBatch.from_arrays([ids, urls, *arrays], names=["page_id", "url", *rows])
+            keys.append(hashlib.blake2b(f"{host}\0{html}".encode("utf-8", "surrogatepass"), digest_size=16).digest())
+            opens.append(any(r == OPEN for _, r, _ in found))
+            for text, role, free in found:
+                shown.append(text)
+                roles.append(role)
+                frees.append(free)
+            ends.append(len(shown))
+        inner = pa.StructArray.from_arrays([pa.array(shown, pa.string()), pa.array(roles, pa.int32()), pa.array(frees, pa.int32())], ["text", "role", "free"])
+        arrays = [pa.array([h or "" for h in hosts.to_pylist()], pa.string()), pa.array(keys, pa.binary()), pa.array(opens, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)]
+        yield pa.RecordBatch.from_arrays([ids, urls, *arrays], names=["page_id", "url", "host", "key", "open", "blocks"])
 
 
 def suffix_runs(words: np.ndarray, page: np.ndarray, least: int):
@@ -168,9 +174,8 @@ def suffix_runs(words: np.ndarray, page: np.ndarray, least: int):
     return at, np.cumsum(np.append(False, rank[at][1:] != rank[at][:-1])) if len(at) else at
 
 
-def _arrays(least: int):
-    """Suffix arrays of a task's pages, about ARRAY words at a time: covered words of pages with open blocks
-    (gram null), and a row for each distinct run of least words, with its page if only one page has it."""
+def _arrays(least: int, told):
+    """Suffix arrays of a task's pages, about ARRAY words at a time; told makes rows of the runs of one array."""
 
     def solved(held):
         first = {}
@@ -186,43 +191,21 @@ def _arrays(least: int):
         if not len(at):
             return
         heads = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-        pages = which[at]
-        low, high = np.minimum.reduceat(pages, heads), np.maximum.reduceat(pages, heads)
-        many = low != high
-        cover = np.zeros(len(words) + least, bool)
-        for k in range(least):
-            cover[at[many[run]] + k] = True
-        keys = list(first)
-        rows = {"key": [], "places": [], "gram": []}
-        for k, (_, is_open) in enumerate(first.values()):
-            if is_open:
-                hit = np.flatnonzero(cover[begins[k] : begins[k] + size[k]])
-                if len(hit):
-                    rows["key"].append(keys[k])
-                    rows["places"].append(hit.tolist())
-                    rows["gram"].append(None)
         total = np.full(len(heads), least, np.uint64)
         for k in range(least):
             total += words[at[heads] + k] * _AT[k]
-        grams = mix(total).view(np.int64)
-        ends = np.append(heads[1:], len(at))
-        for gram, head, end, shared in zip(grams.tolist(), heads.tolist(), ends.tolist(), many.tolist()):
-            k = which[at[head]]
-            rows["key"].append(None if shared else keys[k])
-            rows["places"].append(None if shared else (at[head:end] - begins[k]).tolist())
-            rows["gram"].append(gram)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in zip(rows, (pa.binary(), pa.list_(pa.int32()), pa.int64()))], names=list(rows))
+        yield from told(list(first), [o for _, o in first.values()], begins, size, which[at], at, run, heads, mix(total).view(np.int64))
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            for host, key, found in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                text = " ".join(b["text"] for b in found if b["role"] != WITHIN)
-                w = word_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
+            hosts, keys, opens = (batch.column(k).to_pylist() for k in range(3))
+            for host, key, is_open, data in zip(hosts, keys, opens, texts(batch.column(3))):
+                w = word_hashes(data)
                 if not len(w):
                     continue
                 salt = np.frombuffer(hashlib.blake2b(host.encode(), digest_size=8).digest(), np.uint64)
-                held.append((key, mix(w ^ salt), any(b["role"] == OPEN for b in found)))
+                held.append((key, mix(w ^ salt), is_open))
                 n += len(w)
                 if n >= ARRAY:
                     yield from solved(held)
@@ -232,50 +215,115 @@ def _arrays(least: int):
     return run
 
 
-def repeated(parsed: DataFrame, least: int = LEAST) -> DataFrame:
-    """key and places: the words (numbers among a page's words outside its article) that substrings of least
-    words or more cover which stand on other pages of the host too.
+def _outside(least: int):
+    """Of words outside articles: covered words of pages with open blocks (gram null), and a row for each distinct
+    run of least words, with its page if only one page has it."""
+
+    def told(keys, opens, begins, size, pages, at, run, heads, grams):
+        low, high = np.minimum.reduceat(pages, heads), np.maximum.reduceat(pages, heads)
+        many = low != high
+        cover = np.zeros(int(size.sum()) + least, bool)
+        for k in range(least):
+            cover[at[many[run]] + k] = True
+        rows = {"key": [], "places": [], "gram": []}
+        for k, is_open in enumerate(opens):
+            if is_open:
+                hit = np.flatnonzero(cover[begins[k] : begins[k] + size[k]])
+                if len(hit):
+                    rows["key"].append(keys[k])
+                    rows["places"].append(hit.tolist())
+                    rows["gram"].append(None)
+        ends = np.append(heads[1:], len(at))
+        for gram, k, head, end, shared in zip(grams.tolist(), low.tolist(), heads.tolist(), ends.tolist(), many.tolist()):
+            rows["key"].append(None if shared else keys[k])
+            rows["places"].append(None if shared or not opens[k] else (at[head:end] - begins[k]).tolist())
+            rows["gram"].append(gram)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in zip(rows, (pa.binary(), pa.list_(pa.int32()), pa.int64()))], names=list(rows))
+
+    return _arrays(least, told)
 
-    Tasks sort the suffixes of their own pages. What is on one page in one array can be on another page in
-    another: each array hands on one row a distinct run of words, so a run meets at most one row an array,
-    however many pages hold it; the result is that of one array over all pages of the host.
+
+def _inside(least: int):
+    """Of words of articles: a row for each distinct run of least words, with a page and another one that hold it."""
+
+    def told(keys, opens, begins, size, pages, at, run, heads, grams):
+        low, high = np.minimum.reduceat(pages, heads), np.maximum.reduceat(pages, heads)
+        names = pa.array(keys, pa.binary())
+        for k in range(0, len(heads), ROWS):
+            one, two = low[k : k + ROWS], high[k : k + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(grams[k : k + ROWS]), names.take(pa.array(one)), names.take(pa.array(two, mask=one == two))], names=["gram", "key", "other"])
+
+    return _arrays(least, told)
+
+
+def _side(parsed: DataFrame, within: bool) -> DataFrame:
+    """Pages with their words within articles, or outside."""
+    mine = F.filter("blocks", lambda b: (b.role == WITHIN) == F.lit(within))
+    return parsed.select("host", "key", "open", F.array_join(F.transform(mine, lambda b: b.text), " ").alias("words")).where("words <> ''")
+
+
+def repeated(parsed: DataFrame, least: int = LEAST) -> DataFrame:
+    """key, places and quoted of pages with open blocks: the words (numbers among a page's words outside its
+    article) that substrings of least words or more cover which stand on other pages of the host too, for places
+    outside their articles, for quoted in them.
+
+    Tasks sort the suffixes of their own pages, articles for themselves. What is on one page in one array can be on
+    another page in another: each array hands on one row a distinct run of words, so a run meets at most one row an
+    array, however many pages hold it; the result is that of one array over all pages of the host. Of the runs of
+    articles only those that open blocks hold too are handed on.
     """
-    rows = written(parsed.select("host", "key", "blocks").mapInArrow(_arrays(least), "key binary, places array<int>, gram long"), "suffixes")
+    rows = written(_side(parsed, False).mapInArrow(_outside(least), "key binary, places array<int>, gram long"), "suffixes")
     runs = rows.where("gram is not null")
     shared = runs.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max(F.col("key").isNull()).alias("many"))
     shared = shared.where("low is not null and (many or low <> high)").select("gram")
-    own = runs.where("key is not null").join(shared, "gram", "left_semi").select("key", F.explode("places").alias("p"))
-    own = own.select("key", F.explode(F.sequence("p", F.col("p") + least - 1)).alias("place"))
-    places = own.unionByName(rows.where("gram is null").select("key", F.explode("places").alias("place")))
-    return places.distinct().groupBy("key").agg(F.array_sort(F.collect_list("place")).alias("places"))  # one page's words
+    own = runs.where("places is not null")
+    asked = written(own.select("gram").distinct(), "asked")
+    held = _side(parsed, True).mapInArrow(_inside(least), "gram long, key binary, other binary").join(asked, "gram", "left_semi")
+    held = held.groupBy("gram").agg(F.min(F.least("key", "other")).alias("low"), F.max(F.greatest("key", "other")).alias("high"))
+    quoted = own.join(held, "gram").where("low <> key or high <> key")
+
+    def covered(found, quotes):
+        starts = found.select("key", F.explode("places").alias("p"))
+        return starts.select("key", F.explode(F.sequence("p", F.col("p") + least - 1)).alias("place"), F.lit(quotes).alias("quotes"))
+
+    settled = rows.where("gram is null").select("key", F.explode("places").alias("place"), F.lit(False).alias("quotes"))
+    places = union_all([covered(own.join(shared, "gram", "left_semi"), False), settled, covered(quoted, True)]).distinct()
+    of = lambda quotes: F.array_sort(F.collect_list(F.when(F.col("quotes") == quotes, F.col("place"))))
+    return places.groupBy("key").agg(of(False).alias("places"), of(True).alias("quoted"))  # one page's words
 
 
 def _assembled(batches):
-    """Pages with open blocks: those that repeats cover go, unless nothing would stay."""
+    """Pages' blocks that stay: of open ones those go that repeats cover; if nothing would stay, only those that
+    repeats outside articles cover."""
     for batch in batches:
-        texts = []
-        for found, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            places, at, rows = np.array(places or [], np.int64), 0, []
-            for b in found:
-                n = b["text"].count(" ") + 1 if b["role"] != WITHIN else 0
-                hits = int(np.searchsorted(places, at + n) - np.searchsorted(places, at))
+        out = []
+        found, ends = batch.column(2).flatten(), batch.column(2).offsets.to_numpy()
+        found = list(zip(*(found.field(k).to_pylist() for k in range(3))))
+        for low, high, places, quoted in zip(ends - ends[0], ends[1:] - ends[0], batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            outside = np.array(places or [], np.int64)
+            anywhere, at, rows = np.union1d(outside, np.array(quoted or [], np.int64)), 0, []
+            for text, role, free in found[low:high]:
+                n = text.count(" ") + 1 if role != WITHIN else 0
+                hits = [int(np.searchsorted(x, at + n) - np.searchsorted(x, at)) if n and len(x) else 0 for x in (anywhere, outside)]
                 at += n
-                if b["role"] != AWAY:
-                    rows.append((b["text"], b["role"] == WITHIN or hits < COVERED * n, b["free"]))
-            kept = [t for t, stays, _ in rows if stays] or [t for t, _, free in rows if free >= PROSE]
-            texts.append("\n".join(kept))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+                if role != AWAY:
+                    rows.append((text, *(role == WITHIN or h < COVERED * n for h in hits), free))
+            kept = [t for t, stays, _, _ in rows if stays] or [t for t, _, stays, _ in rows if stays] or [t for t, _, _, free in rows if free >= PROSE]
+            out.append("\n".join(kept))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
 def main_text(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, text and n_chars of every page: the article without what stands around it.
 
     The element tree gives a page's blocks. Those of an article element are main text, but for marked parts
-    (menus, footers, asides, adverts, notices, forms, comments); if there is one, what lies outside it and
-    outside a main element goes. All other blocks are open: suffix arrays over the pages of each host find
-    substrings of `least` words or more that stand on distinct pages (copies of a page count as one); an open
-    block goes if they cover half of its words, and unique ones stay. A page of which all open blocks repeat
-    keeps those of PROSE words outside links. Open blocks that are links alone are menus.
+    (menus, footers, asides, adverts, notices, forms, comments) and blocks of links alone that are no headings;
+    if there is one, what lies outside it and outside a main element goes. All other blocks are open. Suffix
+    arrays over the pages of each host, articles included, find substrings of `least` words or more that stand on
+    distinct pages (copies of a page count as one); an open block goes if they cover half of its words, and
+    unique ones stay. A page of which all open blocks repeat keeps those that only articles of other pages hold
+    (it is another form of them), else those of PROSE words outside links. Open blocks outside any article that
+    are links alone are menus. An article's text stays whatever repeats, as articles quote and copy each other.
 
     In a block, references are decoded and white space becomes one space; a line break is white space.
     Blocks are joined by a line feed. Null and empty html give an empty text; a null url is a host of its own
@@ -285,7 +333,6 @@ def main_text(pages: DataFrame, least: int = LEAST) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     kinds = [pages.schema[c].dataType.simpleString() for c in ("page_id", "url")]
     parsed = written(pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(_parsed, PARSED.format(*kinds)), "parsed-pages")
-    done = parsed.where("text is not null").select("page_id", "url", "text")
-    left = parsed.where("text is null").select("page_id", "url", "blocks", "key").join(repeated(parsed, least), "key", "left")
-    left = left.select("page_id", "url", "blocks", "places").mapInArrow(_assembled, f"page_id {kinds[0]}, url {kinds[1]}, text string")
-    return union_all([done, left]).withColumn("n_chars", F.length("text").cast("long"))
+    found = written(repeated(parsed, least), "covered")
+    whole = parsed.join(found, "key", "left").select("page_id", "url", "blocks", "places", "quoted")
+    return whole.mapInArrow(_assembled, f"page_id {kinds[0]}, url {kinds[1]}, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -206,6 +206,27 @@ def test_repeats_equal_brute_force(spark, monkeypatch, array):
     assert got == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("array", [1 << 20, 1])
+def test_main_text_articles_take_suffix_arrays(spark, monkeypatch, array):
+    """What stands in other pages' articles repeats too; links alone in an article go if they repeat; its text stays."""
+    monkeypatch.setattr(extraction, "ARRAY", array)
+    own = lambda k: " ".join(f"{'abcdefgh'[k]}{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i in range(40))
+    quote, more, title = "one said that all of this was never meant so", "<div><a href=/>Read all other texts of our desk on</a></div>", "<h1><a href=/>This long title is a link to itself</a></h1>"
+    alone = "<ul><li><a href=/x>A link that only this one page has in it</a></ul>"
+    pages = [f"<article>{title}<p>{own(0)}<p>{quote}{more}{alone}</article>", f"<article><p>{own(1)}<p>{quote}{more}</article>"]
+    pages += [f"<div>{' '.join(own(0).split()[:12])}</div><div>{own(2)}</div>"]  # a list with a teaser
+    pages += [f"<div>This long title is a link to itself</div><div>{own(0)}</div><div>{quote}</div>"]  # a form for print
+    pages += [f"<div>{own(5)}</div><article><p>{own(6)}</article><main>{own(6)}</main>", f"<article>{title}<p>{own(0)}</article>{more}"]
+    hosts = ["a"] * 5 + ["b"]
+    rows = [(k, f"http://{h}.example/{k}", p) for k, (h, p) in enumerate(zip(hosts, pages))]
+    df = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string").repartition(3)
+    got = sorted((r["page_id"], r["text"]) for r in extraction.main_text(df).collect())
+    text, name = "A link that only this one page has in it", "This long title is a link to itself"
+    first = f"{name}\n{own(0)}\n{quote}\n{text}"
+    want = [first, first, f"{own(1)}\n{quote}", own(2), f"{name}\n{own(0)}\n{quote}", f"{own(6)}\n{own(6)}", f"{name}\n{own(0)}"]
+    assert [t for _, t in got] == want
+
+
 def test_suffix_runs():
     words = np.array([3, 1, 2, 1, 2, 9, 1, 2, 1], np.uint64)
     at, run = extraction.suffix_runs(words, np.array([0, 0, 0, 0, 0, 1, 1, 1, 1]), 3)
