@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .boxes import greedy_pairs
-from .rounds import folded, written
+from .rounds import dealt, folded, written
 from .trees import ancestors
 
 
@@ -71,7 +71,7 @@ def scored_pairs(left: DataFrame, right: DataFrame, page: str, least: float = 0.
     """
     a = left.select(page, F.col("id").alias("l"), squeezed(F.col("text")).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = right.select(page, F.col("id").alias("r"), squeezed(F.col("text")).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    x = a.join(b, page)
+    x = a.join(dealt(b), page)
     n, m = F.length("a"), F.length("b")
     x = x.where(2 * F.least(n, m) >= least * (n + m)).withColumn("alike", ratio(F.col("a"), F.col("b"), least)).where(F.col("alike") >= least)
     near = 1 - F.least(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) / 1000, F.lit(1.0))
@@ -155,7 +155,7 @@ def held_texts(left: DataFrame, right: DataFrame, page: str) -> DataFrame:
     """
     kind, item = (left.schema[c].dataType.simpleString() for c in (page, "id"))
     low = lambda d, i, t, s: d.select(page, F.col("id").alias(i), F.lower(squeezed(F.col("text"))).alias(t), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"), F.struct("top", "left").alias(f"{s}at")).where(F.col(t) != "")
-    c = low(left, "l", "lt", "a").join(low(right, "r", "rt", "b"), page).where((F.col("lt") != F.col("rt")) & (F.contains("lt", F.col("rt")) | F.contains("rt", F.col("lt"))))
+    c = low(left, "l", "lt", "a").join(dealt(low(right, "r", "rt", "b")), page).where((F.col("lt") != F.col("rt")) & (F.contains("lt", F.col("rt")) | F.contains("rt", F.col("lt"))))
     share = F.least(F.length("lt"), F.length("rt")) / F.greatest(F.length("lt"), F.length("rt"))
     c = c.withColumn("score", share * 0.7 + _near(("ax", "ay"), ("bx", "by")) * 0.3)
 
@@ -202,7 +202,7 @@ def text_matches(left: DataFrame, right: DataFrame, page: str, least: float = 0.
 
     sides = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in ("left", "top", "w", "h")]  # what is not known is close to nothing
     two = folded(b2.select(page, "id", "parent", F.coalesce("text", F.lit("")).alias("text"), *sides), page, ["top", "left", "id"], pair, f"{page} {kind}, r1 string, r2 string, both string, bx double, by double")
-    c = a2.select(page, F.col("id").alias("l"), "text", F.col("x").alias("ax"), F.col("y").alias("ay")).join(two, page)
+    c = a2.select(page, F.col("id").alias("l"), "text", F.col("x").alias("ax"), F.col("y").alias("ay")).join(dealt(two), page)
     n, m = F.length("text"), F.length("both")
     c = c.where(2 * F.least(n, m) >= least * (n + m)).withColumn("alike", ratio(F.col("text"), F.col("both"), least)).where(F.col("alike") >= least)
     c = c.select(page, "l", F.concat_ws("\n", "r1", "r2").alias("r"), (F.col("alike") * 0.8 + _near(("ax", "ay"), ("bx", "by")) * 0.2).alias("score"))
@@ -311,7 +311,7 @@ def image_matches(left: DataFrame, right: DataFrame, anchors: DataFrame, page: s
     steps.append(written(held_texts(a, b, page))[0])
     a, b = rest(a, steps[1], "lefts"), rest(b, steps[1], "rights")
     spot = lambda d, name, order, *more: d.select(page, F.lit(name).alias("kind"), F.lit(order).alias("turn"), F.col("place").cast("long").alias("place"), *[F.col(c).cast("double").alias(c) if c in d.columns else F.lit(None).cast("double").alias(c) for c in ("x", "y", "x2", "y2")])
-    where = lambda d, i, x, y: middle(d).select(page, F.col("place").alias(i), F.col("x").alias(x), F.col("y").alias(y))
+    where = lambda d, i, x, y: dealt(middle(d).select(page, F.col("place").alias(i), F.col("x").alias(x), F.col("y").alias(y)))
     known = one.join(where(left, "l", "x", "y"), [page, "l"]).join(where(right, "r", "x2", "y2"), [page, "r"]).withColumn("place", F.col("l"))
     rows = spot(anchors, "anchor", 0).unionByName(spot(known, "anchor", 1)).unionByName(spot(a, "left", 2)).unionByName(spot(b, "right", 3))
 
@@ -322,7 +322,7 @@ def image_matches(left: DataFrame, right: DataFrame, anchors: DataFrame, page: s
     three, _ = written(folded(rows, page, ["turn", "place"], fold, f"{page} {kind}, l {number}, r {number}"))
     steps.append(three.select(page, F.array("l").alias("lefts"), F.array("r").alias("rights")))
     bare = lambda d, gone, c: rest(d, gone, c).join(anchors.select(page), page, "left_anti").select(page, F.col("id").alias(c[0]), F.col("x").alias(f"{c[0]}x"), F.col("y").alias(f"{c[0]}y"))
-    far = bare(a, steps[2], "lefts").join(bare(b, steps[2], "rights"), page)
+    far = bare(a, steps[2], "lefts").join(dealt(bare(b, steps[2], "rights")), page)
     four = greedy_pairs(far.withColumn("score", -F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))), page, "l", "r", "score")
     steps.append(four.select(page, F.array("l").alias("lefts"), F.array("r").alias("rights")))
     out = [d.select(page, F.lit(k).alias("step"), "lefts", "rights") for k, d in enumerate(steps, 1)]

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .boxes import ancestors, greedy_pairs, iou, structure_differs
 from .matching import image_matches, scored_pairs, text_matches
-from .rounds import written
+from .rounds import dealt, written
 from .trees import parent, sections, without_dressing, without_empty
 
 #: Boxes that overlap by less count as changed.
@@ -31,7 +31,9 @@ def stacked(nodes: DataFrame, page: str, width: float = 1000.0, line: float = 20
 def prepared(nodes: DataFrame, page: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """What is compared of a version with boxes: its nodes without empty and dressing ones, and its sections, those of
     more than most leaves subdivided."""
-    x, _ = written(without_dressing(without_empty(nodes.where("box.w > 0 AND box.h > 0"), page).drop("parent"), page))
+    x, _ = written(nodes.where("box.w > 0 AND box.h > 0"))  # each step reads its nodes several times
+    x, _ = written(without_empty(x, page).drop("parent"))
+    x, _ = written(without_dressing(x, page))
     sizes = x.groupBy(page).agg(F.max(F.col("box.x") + F.col("box.w")).alias("page_w"), F.max(F.col("box.y") + F.col("box.h")).alias("page_h"))
     return x, written(sections(x, sizes, page, most=most))[0]
 
@@ -77,7 +79,7 @@ def compared(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFram
     """
     (a, a_ids), (b, b_ids) = left, right
     pages = a.select(page).distinct().join(b.select(page).distinct(), page, "left_semi")
-    a_sections, b_sections = (x.join(ids, [page, "id"], "left_semi") for x, ids in ((a, a_ids), (b, b_ids)))
+    a_sections, b_sections = (written(x.select(page, "id", "text", "box").join(ids, [page, "id"], "left_semi"))[0] for x, ids in ((a, a_ids), (b, b_ids)))
     pairs, _ = written(section_pairs(a_sections, b_sections, page))
     la, _ = written(section_leaves(a, pairs, page, "l"))
     lb, _ = written(section_leaves(b, pairs, page, "r"))
@@ -85,7 +87,7 @@ def compared(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFram
     texts, _ = written(text_matches(flat(la.where("NOT image")), flat(lb.where("NOT image")), "pair"))
     spot = lambda d, i, x, y: d.select("pair", F.col("id").alias(i), (F.col("box.x") + F.col("box.w") / 2).alias(x), (F.col("box.y") + F.col("box.h") / 2).alias(y), *([F.col("place")] if i == "l" else []))
     heads = texts.select("pair", F.col("lefts")[0].alias("l"), F.col("rights")[0].alias("r"))
-    anchors = heads.join(spot(la, "l", "x", "y"), ["pair", "l"]).join(spot(lb, "r", "x2", "y2"), ["pair", "r"]).select("pair", "place", "x", "y", "x2", "y2")
+    anchors, _ = written(heads.join(spot(la, "l", "x", "y"), ["pair", "l"]).join(spot(lb, "r", "x2", "y2"), ["pair", "r"]).select("pair", "place", "x", "y", "x2", "y2"))
     used = texts.select("pair", F.explode("rights").alias("id"))
     pictures = lb.where("image").unionByName(lb.where("NOT image").join(used, ["pair", "id"], "left_anti"))
     images = image_matches(flat(la.where("image")), flat(pictures), anchors, "pair")
@@ -105,10 +107,11 @@ def compared(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFram
     leaf = leaf.select(page, F.round(iou(share(F.col("lefts"), F.col("sa")), share(F.col("rights"), F.col("sb"))), 4).alias("iou"))
     at0 = lambda c: F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col(c)["w"].alias("w"), F.col(c)["h"].alias("h"))
     size = whole.select(page, F.round(iou(at0("sa"), at0("sb")), 4).alias("iou"))
-    mean = lambda d, v, n: d.groupBy(page).agg(F.round(F.avg("iou"), 4).alias(v), F.count(F.lit(1)).alias(n))
+    exact = F.round(F.avg(F.round(F.col("iou") * 10_000)), 0) / 10_000  # sums of whole numbers, in whatever order
+    mean = lambda d, v, n: dealt(d.groupBy(page).agg(exact.alias(v), F.count(F.lit(1)).alias(n)))
     gone = lambda d, c: d.join(groups.select("pair", F.explode(c).alias("id")), ["pair", "id"], "left_anti").select(page, "id").distinct()
     alone = lambda ids, side: ids.join(pairs.select(page, F.col(side).alias("id")), [page, "id"], "left_anti")
-    count = lambda d, n: d.groupBy(page).agg(F.count(F.lit(1)).alias(n))
+    count = lambda d, n: dealt(d.groupBy(page).agg(F.count(F.lit(1)).alias(n)))
     out = pages.join(mean(leaf, "leaf_iou", "leaf_pairs"), page, "left").join(mean(size, "section_iou", "section_pairs"), page, "left")
     faults = {"missing": gone(la, "lefts"), "extra": gone(lb, "rights"), "unmatched_left": alone(a_ids, "l"), "unmatched_right": alone(b_ids, "r")}
     for n, d in faults.items():

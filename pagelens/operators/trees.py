@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from ..functions.htmltree import parse
 from .boxes import ancestors, depth, not_contained
 from .ordered import merged_intervals
-from .rounds import folded
+from .rounds import dealt, folded, written
 
 # Tags of images, and tags that only dress text.
 IMAGES = frozenset("img svg canvas picture video".split())
@@ -93,10 +93,10 @@ def parent(id: Column) -> Column:
 def _without(nodes: DataFrame, page: str, gone: DataFrame) -> DataFrame:
     """nodes that stay, with parent as the nearest ancestor that stays, and image also if one was dropped
     below the node whose nearest ancestor it is. gone: page and id."""
-    marked = nodes.join(gone.select(page, "id").withColumn("gone", F.lit(True)), [page, "id"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    marked, _ = written(nodes.join(gone.select(page, "id").withColumn("gone", F.lit(True)), [page, "id"], "left").withColumn("gone", F.coalesce("gone", F.lit(False))))
     stay = marked.where("not gone").select(page, F.col("id").alias("above"))
     up = marked.select(page, "id", "gone", "image", F.explode(ancestors(F.col("id"))).alias("above")).join(stay, [page, "above"])
-    near = up.groupBy(page, "id").agg(F.max_by("above", depth(F.col("above"))).alias("parent"), F.first("gone").alias("gone"), F.first("image").alias("image"))
+    near, _ = written(up.groupBy(page, "id").agg(F.max_by("above", depth(F.col("above"))).alias("parent"), F.first("gone").alias("gone"), F.first("image").alias("image")))
     lit = near.where("gone and image").groupBy(page, F.col("parent").alias("id")).agg(F.lit(True).alias("lit"))
     out = marked.where("not gone").drop("gone").join(near.select(page, "id", "parent"), [page, "id"], "left").join(lit, [page, "id"], "left")
     return out.withColumn("image", F.col("image") | F.coalesce("lit", F.lit(False))).drop("lit")
@@ -220,8 +220,9 @@ def sections(nodes: DataFrame, sizes: DataFrame, page: str, tallest: float = 290
     x = nodes.select(page, "id", "place", "box").join(sizes, page).where((h <= 0.9 * F.col("page_h")) & (h <= tallest))
     widths = x.where(w >= 0.3 * F.col("page_w")).groupBy(page, (F.bround(w / 10) * 10).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
     common = widths.groupBy(page).agg(F.max_by("r", F.struct("n", -F.col("first"))).alias("r"))
-    x = x.join(common, page, "left")
+    x = x.join(dealt(common), page, "left")
     x = x.withColumn("content", F.when(F.col("r").isNull() | (F.col("r") >= 0.95 * F.col("page_w")), F.col("page_w")).otherwise(F.col("r"))).drop("r")
+    x, _ = written(x)
     wide = w >= 0.95 * F.col("content")
     down = W.partitionBy(page).orderBy("box.y", "place")
     before = W.unboundedPreceding
@@ -232,9 +233,9 @@ def sections(nodes: DataFrame, sizes: DataFrame, page: str, tallest: float = 290
     rest = rest.withColumn("new", F.greatest(F.lit(0.0), right - F.greatest(left, F.coalesce(F.max(right).over(across), left))))
     bands = rest.groupBy(page, "band").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("covered"), F.first("content").alias("of")).where("n > 1 and covered >= 0.95 * of")
     first = lambda d, full: d.select(page, "place", "box", F.struct(F.lit(full).alias("full"), F.when(F.lit(full == 0), y).otherwise(0.0).alias("y")).alias("tie"))
-    chosen = first(rest.join(bands.select(page, "band"), [page, "band"], "left_semi"), 0).unionByName(first(x.where(wide), 1))
+    chosen, _ = written(first(rest.join(bands.select(page, "band"), [page, "band"], "left_semi"), 0).unionByName(first(x.where(wide), 1)))
     kept = not_contained(chosen, page, "place", "box", tie="tie")
-    boxes = x.select(page, "place", "id", "box", "page_h").join(kept, [page, "place"], "left_semi")
+    boxes, _ = written(x.select(page, "place", "id", "box").join(kept, [page, "place"], "left_semi"))
     spans = merged_intervals(boxes.select(page, y.alias("low0"), (y + h).alias("high0")), page, "low0", "high0").select(page, "low", "high")
     order = W.partitionBy(page).orderBy("low")
     gaps = spans.select(page, F.coalesce(F.lag("high").over(order), F.lit(0.0)).alias("from"), F.col("low").alias("to"))
