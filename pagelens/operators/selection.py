@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 from heapq import heapify, heappop, heapreplace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from .ranks import placed
+from .rounds import FEW, folded, written
 
 
 def quotas(sizes: DataFrame, group: str, bin: str, place: Column, size: Column, total: Column, ratio: dict[int, int]) -> DataFrame:
@@ -38,11 +39,16 @@ def quotas(sizes: DataFrame, group: str, bin: str, place: Column, size: Column,
     return each.select(group, F.explode(F.aggregate("all", start, step, lambda a: a["done"])).alias("d")).select(group, "d.*").where("take > 0")
 
 
-def _covering(rows: dict, take: int) -> tuple[list, int]:
+#: Rows of a group that one task chooses from in a round (Spark ranks by limits up to 1000 before it shuffles), and their items.
+POOL, ITEMS = 900, 200_000
+
+
+def _covering(rows: dict, take: int, outside: tuple | None = None) -> tuple[list, int]:
     """Keys in the order of choice, and how many gains were looked at.
 
     Gains only fall, so a heap may hold stale ones: the top is looked at again, and chosen if it still holds.
-    An index from item to rows takes a newly covered item off the gains of those rows alone.
+    An index from item to rows takes a newly covered item off the gains of those rows alone. outside is the best
+    row that is not among these, as its gain less than 0 and its key: what is not ahead of it is left open.
     """
     holders, gains = defaultdict(list), {}
     for key, items in rows.items():
@@ -58,6 +64,8 @@ def _covering(rows: dict, take: int) -> tuple[list, int]:
         if -g != gains[key]:
             heapreplace(heap, (-gains[key], key))
             continue
+        if outside is not None and (g, key) > outside:
+            break
         heappop(heap)
         out.append(key)
         for i in rows[key]:
@@ -66,21 +74,63 @@ def _covering(rows: dict, take: int) -> tuple[list, int]:
     return out, looked
 
 
+def few(df: DataFrame, n: int) -> DataFrame:
+    """df, which has n rows at most, for a broadcast if these are few."""
+    return F.broadcast(df) if n <= FEW else df
+
+
 def most_covering(rows: DataFrame, group: list[str], key: str, items: str, take: str) -> DataFrame:
     """group, key and place (1, 2, ...) of the rows chosen in each group, up to take: always the row that adds most
     items not covered yet, the least key of equals. Keys name the rows of a group; null items are no items.
 
-    The choice depends on all before it, so a group is one task's; bins of a sample are small by design.
+    All rows of a group are candidates, and its rows are spread over tasks. A round counts every row's gain, lets
+    one task choose among the best of a group (POOL of them, of ITEMS items together) as long as its choice is
+    ahead of the best row outside, whose gain can only fall, and takes what is covered off all other rows. So
+    each choice is that of the whole group, a round makes one at least, and most make many.
     """
-    kind = rows.schema[key].dataType.simpleString()
-    types = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in group)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = {k: {i for i in (v if v is not None else ()) if i is not None} for k, v in zip(pdf[key].tolist(), pdf[items])}
-        out, _ = _covering(sets, int(pdf[take].iloc[0]))
-        return pd.DataFrame({**{g: pdf[g].iloc[0] for g in group}, key: out, "place": range(1, len(out) + 1)}, columns=[*group, key, "place"])
-
-    return rows.groupBy(*group).applyInPandas(choose, f"{types}, {key} {kind}, place int")
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    names = f"g struct<{','.join(f'{c}:{kind(c)}' for c in group)}>, k struct<{key}:{kind(key)}>"
+    item = rows.schema[items].dataType.elementType.simpleString()
+    g, k = F.struct(*group).alias("g"), F.struct(key).alias("k")
+    docs, n = written(rows.select(g, k, F.col(take).cast("int").alias("take"), F.lit(0).alias("done")))
+    held, m = written(rows.select(g, k, F.explode(F.array_distinct(items)).alias("item")).where("item IS NOT NULL"))
+    best = W.partitionBy("g").orderBy(F.desc("gain"), "k")
+
+    def choose(pool: list) -> list[tuple]:
+        sets = {r.by_key: set(r.items or ()) for r in pool if r.inside}
+        outside = next(((-r.gain, r.by_key) for r in pool if not r.inside), None)  # in order of gain, then key
+        own, covered, out = {r.by_key: r.k for r in pool}, set(), []
+        for place, c in enumerate(_covering(sets, pool[0].take - pool[0].done, outside)[0], pool[0].done + 1):
+            out.append((pool[0].g, own[c], place, list(sets[c] - covered)))
+            covered |= sets[c]
+        return out
+
+    def chosen(top: DataFrame, n: int) -> DataFrame:
+        of = held.join(few(top.where("inside").select("g", "k"), n), ["g", "k"]).groupBy("g", "k").agg(F.collect_list("item").alias("items"))
+        return folded(top.join(of, ["g", "k"], "left"), "g", ["r"], choose, f"{names}, place int, items array<{item}>")
+
+    found = []
+    while True:
+        gains = docs.join(held.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n")), ["g", "k"], "left").withColumn("gain", F.coalesce("n", F.lit(0)))
+        top = gains.withColumn("r", F.row_number().over(best)).where(F.col("r") <= POOL + 1)
+        together = F.sum("gain").over(best.rowsBetween(W.unboundedPreceding, 0))
+        top = top.withColumn("inside", (F.col("r") == 1) | ((F.col("r") <= POOL) & (together <= ITEMS)))
+        top = top.select("g", "k", "take", "done", "gain", "r", "inside", F.row_number().over(W.partitionBy("g").orderBy("k")).alias("by_key"))
+        if n <= POOL and m <= ITEMS:  # no row is outside: nothing stays open
+            found.append(chosen(top, n))
+            break
+        top, n = written(top)
+        took, some = written(chosen(top, n))
+        found.append(took)
+        at = took.groupBy("g").agg(F.max("place").alias("at"))  # a row for each open group, as each made a choice
+        docs = docs.join(few(took.select("g", "k"), some), ["g", "k"], "left_anti").join(few(at, some), "g").where("at < take")
+        docs, n = written(docs.select("g", "k", "take", F.col("at").alias("done")))
+        if not n:
+            break
+        covered, many = written(took.select("g", F.explode("items").alias("item")))
+        held = held.join(few(covered, many), ["g", "item"], "left_anti").join(few(docs.select("g").distinct(), some), "g", "left_semi")
+        held, m = written(held.select("g", "k", "item"))
+    return reduce(DataFrame.unionByName, found).select(*[F.col(f"g.{c}").alias(c) for c in group], F.col(f"k.{key}").alias(key), "place")
 
 
 def keep_dissimilar(rows: DataFrame, group: str, key: str, words: Column, threshold: float) -> DataFrame:

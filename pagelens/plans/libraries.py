@@ -9,6 +9,7 @@ from pyspark.sql import functions as F, Window as W
 
 from ..functions import assets as a, code as c, packages as p, signatures as g, urls as u
 from ..operators import repositories, selection as s
+from ..operators.rounds import written
 from ..sources.tables import table
 from .register import registrar
 
@@ -366,19 +367,10 @@ def _quotas(spark, sf):
 
 @query()
 def smp_greedy_diversity(spark, sf):
-    """The quotas of smp_quota_alloc filled in turn by the document that adds most words not yet covered; a
-    bin is narrowed to twice its quota by size first."""
-    q = _quotas(spark, sf)
+    """The quotas of smp_quota_alloc filled in turn by the document of the bin that adds most words not yet covered."""
+    q, n = written(_quotas(spark, sf).withColumnRenamed("lang", "l").withColumnRenamed("bin", "b"))
     bin = F.concat(F.lit("B"), (F.col("place") + 2).cast("string")).alias("bin")
-    q = q.withColumnRenamed("lang", "l").withColumnRenamed("bin", "b")
-    # sizes alone are ranked, and what no quota reaches goes before the shuffle; texts are read for the narrowed bins only
-    x = _binned(spark, sf).select("doc_id", "lang", "n_chars", bin)
-    narrow = F.row_number().over(W.partitionBy("lang", "bin").orderBy(F.desc("n_chars"), "doc_id"))
-    x = x.withColumn("r", narrow).where(F.col("r") <= 2 * QUOTA_MOST)
-    x = x.join(q, F.col("lang").eqNullSafe(F.col("l")) & (F.col("bin") == F.col("b"))).where(F.col("r") <= 2 * F.col("take"))
-    x = x.select(F.col("doc_id").alias("d"), "lang", "bin", "take")
-    texts = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("own"), "text")
-    x = texts.join(F.broadcast(x), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("own").eqNullSafe(F.col("lang")))  # twice a quota for each bin
+    x = _binned(spark, sf).select("doc_id", "lang", bin, "text").join(s.few(q, n), F.col("lang").eqNullSafe(F.col("l")) & (F.col("bin") == F.col("b")))
     x = x.select("doc_id", "lang", "bin", "take", F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+")).alias("words"))
     return s.most_covering(x, ["lang", "bin"], "doc_id", "words", "take")
 
