@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from pyspark.sql.functions import pandas_udf
 
 from .boxes import greedy_pairs
@@ -74,9 +74,50 @@ def scored_pairs(left: DataFrame, right: DataFrame, page: str, least: float = 0.
     x = a.join(dealt(b), page)
     n, m = F.length("a"), F.length("b")
     x = x.where(2 * F.least(n, m) >= least * (n + m)).withColumn("alike", ratio(F.col("a"), F.col("b"), least)).where(F.col("alike") >= least)
-    near = 1 - F.least(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) / 1000, F.lit(1.0))
-    score = F.when(F.col("a") == "", F.col("alike") * 0.2 + near * 0.8).otherwise(F.col("alike") * 0.8 + near * 0.2)
-    return x.select(page, "l", "r", score.alias("score"))
+    return x.select(page, "l", "r", _score(F.col("alike")).alias("score"))
+
+
+def _score(alike: Column) -> Column:
+    """The score of texts a and b with middles ax, ay, bx and by that are alike by so much, see scored_pairs()."""
+    near = _near(("ax", "ay"), ("bx", "by"))
+    return F.when(F.col("a") == "", alike * 0.2 + near * 0.8).otherwise(alike * 0.8 + near * 0.2)
+
+
+def paired_texts(left: DataFrame, right: DataFrame, page: str, least: float = 0.8) -> DataFrame:
+    """page, l and r of what greedy_pairs() takes of scored_pairs(), with few texts compared.
+
+    Letters and places bound what a pair can score, and equal texts have that score. So a pair of equal texts
+    ahead of all else that its ends can score is taken whatever the others are, and what shares an end with it
+    need not be compared.
+    """
+
+    @pandas_udf("array<int>")
+    def letters(texts: pd.Series) -> pd.Series:
+        there = texts.notna().to_numpy()
+        counts = iter(_letters(texts[there].tolist()) if there.any() else ())
+        return pd.Series([next(counts) if t else None for t in there], dtype=object)
+
+    def side(d: DataFrame, i: str, t: str) -> DataFrame:
+        d = d.select(page, F.col("id").alias(i), squeezed(F.col("text")).alias(t), F.col("x").alias(f"{t}x"), F.col("y").alias(f"{t}y"))
+        return written(d.withColumn(f"{t}n", letters(t)))[0]
+
+    a, b = side(left, "l", "a"), side(right, "r", "b")
+    n, m = F.length("a"), F.length("b")
+    x = a.join(b, page).where(2 * F.least(n, m) >= least * (n + m))
+    shared = F.aggregate(F.zip_with("an", "bn", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+    x = x.withColumn("most", F.when(n + m > 0, 2.0 * shared / (n + m)).otherwise(1.0)).where(F.col("most") >= least)
+    x, _ = written(x.select(page, "l", "r", (F.col("a") == F.col("b")).alias("same"), F.coalesce(_score(F.col("most")), F.lit(float("nan"))).alias("top")))
+
+    def ahead(end: str) -> Column:
+        down = W.partitionBy(page, end).orderBy(F.desc("top"))  # NaN first, which settles nothing
+        return (F.row_number().over(down) == 1) & F.coalesce(F.lead("top").over(down) < F.col("top"), F.lit(True))
+
+    sure = x.withColumns({"of_l": ahead("l"), "of_r": ahead("r")}).where("same AND of_l AND of_r AND NOT isnan(top)")
+    sure, _ = written(sure.select(page, "l", "r"))
+    rest = x.select(page, "l", "r").join(sure.select(page, "l"), [page, "l"], "left_anti").join(sure.select(page, "r"), [page, "r"], "left_anti")
+    rest = rest.join(a.drop("an"), [page, "l"]).join(b.drop("bn"), [page, "r"]).withColumn("alike", ratio(F.col("a"), F.col("b"), least)).where(F.col("alike") >= least)
+    found = greedy_pairs(rest.select(page, "l", "r", _score(F.col("alike")).alias("score")), page, "l", "r", "score")
+    return sure.unionByName(found.select(page, "l", "r"))
 
 
 def merged_groups(pairs: DataFrame, page: str) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .boxes import ancestors, greedy_pairs, iou, structure_differs
-from .matching import image_matches, scored_pairs, text_matches
+from .boxes import ancestors, iou, structure_differs
+from .matching import image_matches, paired_texts, text_matches
 from .rounds import dealt, written
 from .trees import parent, sections, without_dressing, without_empty
 
@@ -44,8 +44,7 @@ def section_pairs(left: DataFrame, right: DataFrame, page: str) -> DataFrame:
     count = lambda d, c: d.groupBy(page).agg(F.count(F.lit(1)).alias(c), F.min("id").alias(f"{c}_id"))
     single = count(left, "a").join(count(right, "b"), page).where("a = 1 AND b = 1").select(page, F.col("a_id").alias("l"), F.col("b_id").alias("r"))
     middle = lambda d: d.join(single, page, "left_anti").select(page, "id", "text", (F.col("box.x") + F.col("box.w") / 2).alias("x"), (F.col("box.y") + F.col("box.h") / 2).alias("y"))
-    found = greedy_pairs(scored_pairs(middle(left), middle(right), page), page, "l", "r", "score")
-    return single.unionByName(found.select(page, "l", "r"))
+    return single.unionByName(paired_texts(middle(left), middle(right), page))
 
 
 def _pair(page: str) -> Column:
