@@ -97,13 +97,13 @@ def compared(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFram
 
     def around(d: DataFrame, c: str) -> DataFrame:
         x = groups.select("pair", "n", F.explode(c).alias("id")).join(d.select("pair", "id", "box"), ["pair", "id"])
-        return x.groupBy("pair", "n").agg(_union_box(F.collect_list("box")).alias(c))
+        return dealt(x.groupBy("pair", "n").agg(_union_box(F.collect_list("box")).alias(c)))
 
     own = lambda d, i, c: d.select(page, F.col("id").alias(i), F.col("box").alias(c))
     whole = pairs.join(own(a_sections, "l", "sa"), [page, "l"]).join(own(b_sections, "r", "sb"), [page, "r"]).select(page, _pair(page).alias("pair"), "sa", "sb")
     share = lambda b, s: F.struct(((b["x"] - s["x"]) / s["w"]).alias("x"), ((b["y"] - s["y"]) / s["h"]).alias("y"), (b["w"] / s["w"]).alias("w"), (b["h"] / s["h"]).alias("h"))
-    leaf = around(la, "lefts").join(around(lb, "rights"), ["pair", "n"]).join(whole, "pair")
-    leaf = leaf.select(page, F.round(iou(share(F.col("lefts"), F.col("sa")), share(F.col("rights"), F.col("sb"))), 4).alias("iou"))
+    leaf = around(la, "lefts").join(around(lb, "rights"), ["pair", "n"]).join(dealt(whole), "pair")
+    leaf, _ = written(leaf.select(page, F.round(iou(share(F.col("lefts"), F.col("sa")), share(F.col("rights"), F.col("sb"))), 4).alias("iou")))
     at0 = lambda c: F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col(c)["w"].alias("w"), F.col(c)["h"].alias("h"))
     size = whole.select(page, F.round(iou(at0("sa"), at0("sb")), 4).alias("iou"))
     exact = F.round(F.avg(F.round(F.col("iou") * 10_000)), 0) / 10_000  # sums of whole numbers, in whatever order
